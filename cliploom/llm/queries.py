@@ -4,14 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules, sharding
-from .common import table
+from . import exact_dedup, packing, pieces, quality_classifier, quality_rules, sharding, toxicity
+from .common import remainder, table
 
 N_SHARDS = 40
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file, on the driver and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_bpe() -> packing.ByteBpe:
+    import public_tokenizers
+
+    return packing.ByteBpe(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def fold(modulus: int, rest: int) -> Column:
+    """Whether crc32 of doc_id as text leaves this rest; false for a null doc_id."""
+    return F.coalesce(remainder(F.col("doc_id"), modulus) == rest, F.lit(False))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -20,12 +47,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4, 2))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op6_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_sentencepiece, op4_quality_rules, op6_exact_dedup, op8_toxicity, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
