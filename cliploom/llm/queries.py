@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pieces, quality_classifier, quality_rules, sharding, toxicity
+from . import exact_dedup, language_id, packing, pieces, quality_classifier, quality_rules, sharding, toxicity
 from .common import remainder, table
 
 N_SHARDS = 40
@@ -35,6 +35,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"), fold(4, 2))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -60,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_sentencepiece, op4_quality_rules, op6_exact_dedup, op8_toxicity, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op6_exact_dedup, op8_toxicity, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
