@@ -13,7 +13,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, shuffle_width
@@ -29,27 +29,30 @@ def tree_rounds(width: int, fan_in: int, least: int = 256) -> int:
     return rounds
 
 
-def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 16) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row; keep: the 'largest' or 'smallest' doc_id stays."""
-    pick = {"largest": F.max, "smallest": F.min}[keep]
-    rounds = tree_rounds(shuffle_width(docs.sparkSession), fan_in)
+def digested(docs: DataFrame, leaves: int, *carry: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = checkpointed(
-        docs.select(
-            "doc_id",
-            F.unhex(F.sha2(text, 256)).alias("digest"),
-            F.octet_length(text).alias("n_bytes"),
-            F.xxhash64(text).alias("proof"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(fan_in**rounds)).alias("run"),
-        )
+    return docs.select(
+        "doc_id",
+        F.unhex(F.sha2(text, 256)).alias("digest"),
+        F.octet_length(text).alias("n_bytes"),
+        F.xxhash64(text).alias("proof"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(leaves)).alias("run"),
+        *carry,
     )
+
+
+def told_apart(docs: DataFrame, keep: str, fan_in: int, carry: Column | None = None) -> DataFrame:
+    """Rows of docs with keep_id, group_size and kept; `carry` is a column of docs to take along."""
+    pick = {"largest": F.max, "smallest": F.min}[keep]
+    rounds = tree_rounds(shuffle_width(docs.sparkSession), fan_in)
+    rows = checkpointed(digested(docs, fan_in**rounds))
     # A struct as aggregation value makes Spark merge sorted runs (SortAggregate) instead of hashing; nulls lose.
     first = F.struct(F.col("doc_id").isNull() if keep == "smallest" else F.col("doc_id").isNotNull(), "doc_id")
     leaves = rows.groupBy("run", *MATCH).agg(pick(first).alias("winner"), F.count("*").alias("size"))
     merged = leaves
     for _ in range(rounds):
         merged = (
-            merged.withColumn("run", F.shiftright("run", fan_in.bit_length() - 1) if fan_in & (fan_in - 1) == 0 else F.floor(F.col("run") / fan_in))
+            merged.withColumn("run", F.floor(F.col("run") / fan_in))
             .groupBy("run", *MATCH)
             .agg(pick("winner").alias("winner"), F.sum("size").alias("size"))
         )
@@ -57,18 +60,23 @@ def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 16) ->
     told = leaves.select("run", *MATCH).join(root, MATCH)
     again = Window.partitionBy("run", *MATCH, "doc_id").orderBy(F.lit(0))
     return (
-        rows.join(told, ["run", *MATCH])
+        (rows if carry is None else digested(docs, fan_in**rounds, carry))
+        .join(told, ["run", *MATCH])
         .withColumn("nth", F.row_number().over(again))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))
     )
 
 
+def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 16) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row; keep: the 'largest' or 'smallest' doc_id stays."""
+    return told_apart(docs, keep, fan_in).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame, *, keep: str = "largest", fan_in: int = 16) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    return told_apart(docs, keep, fan_in, F.struct(*[docs[c] for c in docs.columns]).alias("row")).filter("kept").select("row.*")
+
+
 SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,

@@ -430,3 +430,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85, bl
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         .union(rows.filter(F.col("n") == 0).select("doc_id", "n", "doc_id"))
     )
+
+
+def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, but for those whose component has a smaller doc_id. Verdicts hold for a
+    doc_id: rows that repeat one stay or go together. A null doc_id is never dropped."""
+    found = jaccard_components(docs, words=words, percent=percent)
+    drop = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])

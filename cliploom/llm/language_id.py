@@ -218,8 +218,32 @@ class Labeller:
         best = sums.argmax(axis=1)
         return [(self.model.langs[b], min(1.0, float(sums[i, b] / counted[i]))) if counted[i] else (UNKNOWN, 0.0) for i, b in enumerate(best)]
 
-
-def fitted(docs: DataFrame, learn: Column, *, per_lang: int, runs: int, run_words: int, most_langs: int, buckets: int, epochs: int, rate: float, decay: float) -> Field:
+    def column(self, texts: pa.Array, chars: int) -> list[tuple[str, float]]:
+        """texts() of a column, some `chars` characters at a time, or one long text."""
+        found, group, size = [], [], 0
+        for text in texts:
+            group.append(text.as_py())
+            size += len(group[-1] or "")
+            if size >= chars:
+                found += self.texts(group)
+                group, size = [], 0
+        return found + (self.texts(group) if group else [])
+
+
+def fitted(
+    docs: DataFrame,
+    learn: Column,
+    *,
+    per_lang: int = 200,
+    runs: int = 6,
+    run_words: int = 40,
+    most_langs: int = 64,
+    buckets: int = 1 << 16,
+    epochs: int = 4,
+    rate: float = 0.5,
+    decay: float = 1e-4,
+) -> Field:
+    """A field that is learned from a bounded sample of the documents that `learn` lets in."""
     taught = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     if not counts:
@@ -245,38 +269,16 @@ def fitted(docs: DataFrame, learn: Column, *, per_lang: int, runs: int, run_word
     return fit(sorted(zip(told.column(0).to_pylist(), told.column(1).to_pylist(), strict=True)), buckets=buckets, epochs=epochs, rate=rate, decay=decay)
 
 
-def language_id(
-    docs: DataFrame,
-    held_out: Column,
-    *,
-    train: DataFrame | None = None,
-    per_lang: int = 200,
-    runs: int = 6,
-    run_words: int = 40,
-    most_langs: int = 64,
-    buckets: int = 1 << 16,
-    epochs: int = 4,
-    rate: float = 0.5,
-    decay: float = 1e-4,
-    batch_words: int = 200_000,
-) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; held_out is a column of doc_id whose rows are never learned from."""
-    model = fitted(
-        docs if train is None else train, ~held_out, per_lang=per_lang, runs=runs, run_words=run_words, most_langs=most_langs, buckets=buckets, epochs=epochs, rate=rate, decay=decay
-    )
+def language_id(docs: DataFrame, held_out: Column, *, batch_words: int = 200_000, **fitting: float) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; held_out is a column of doc_id whose rows are never learned from. `fitting`:
+    parameters of fitted()."""
+    model = fitted(docs, ~held_out, **fitting)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            column, at, found = batch.column(2), 0, []
-            while at < batch.num_rows:
-                group, chars = [], 0
-                while at < batch.num_rows and (not group or chars < 6 * batch_words):
-                    group.append(column[at].as_py())
-                    chars += len(group[-1] or "")
-                    at += 1
-                found += labeller.texts(group)
+            found = labeller.column(batch.column(2), 6 * batch_words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
@@ -285,3 +287,18 @@ def language_id(
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(
         label, "doc_id long, held_out boolean, lang_pred string, score double"
     )
+
+
+def in_a_language(docs: DataFrame, *, least_score: float = 0.4, batch_words: int = 200_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is told with at least this score. All rows with a
+    language are learned from."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, F.lit(True)))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value)
+        for batch in batches:
+            found = labeller.column(batch.column(at), 6 * batch_words)
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

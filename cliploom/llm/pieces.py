@@ -4,8 +4,7 @@ No piece of the model holds a whitespace marker after another character (checked
 merge crosses the start of a marked word, and a text's ids are those of its chunks (markers and the word after them)
 one after the other. Chunks are counted over all texts: tasks sum them before the shuffle. The most frequent ones,
 `table_size` at most and none longer than `chunk_chars`, are segmented once for the whole corpus and go to all tasks
-(a bound on bytes that no input exceeds); a task segments each other distinct chunk once, and forgets them when they
-have become many. Ids, their text form and the decoded text are then joined by position.
+(a bound on bytes that no input exceeds); a task segments each other distinct chunk once, until its table is full. Ids, their text form and the decoded text are then joined by position.
 
 Null and empty texts have no ids. Literal markers are blanks to the model, as in the library. doc_id is only passed
 on: it may be null or repeat. An empty table gives an empty result. Other columns are not read.
@@ -47,31 +46,52 @@ def chunks_of(text: str) -> list[str]:
 
 
 class ChunkTable:
-    """ids, ids as text and decoded text (with its leading blank) of chunks; the fixed part is never forgotten."""
+    """Ids of chunks, as text. Chunks that the decoder does not give back as they are (`odd`) have their decoded text.
 
-    def __init__(self, model_file: str, fixed: dict[str, tuple[int, str, str]], most: int = 1 << 18):
-        self.model, self.fixed, self.most = processor(model_file), fixed, most
-        self.known: dict[str, tuple[int, str, str]] = dict(fixed)
+    The table starts with the chunks that are frequent in the whole corpus and takes what its task meets, up to `most`
+    chunks; when it is full, further chunks are segmented once for each group of texts."""
 
-    def segment(self, chunks: list[str]) -> list[tuple[int, str, str]]:
+    def __init__(self, model_file: str, known: dict[str, str], odd: dict[str, str], most: int = 1 << 19):
+        self.model, self.most = processor(model_file), most
+        self.known, self.odd = dict(known), dict(odd)
+
+    def segment(self, chunks: list[str]) -> list[tuple[str, str]]:
+        """Ids as text, and the decoded text with its leading blank, for each chunk."""
         mark = self.model.piece_to_id(MARK)
+        # A lone blank has no ids by itself: the library adds no blank before an empty text.
+        ids = [i or [mark] for i in self.model.encode(chunks, num_threads=1)]
+        # The decoder drops the blank before a text's first piece, so a piece goes before it.
+        texts = self.model.decode([[mark, *i] for i in ids], num_threads=1)
+        return [(",".join(map(str, i)), t) for i, t in zip(ids, texts, strict=True)]
+
+    def texts(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Number of ids, ids as text and decoded text of each text."""
+        chunks = [chunks_of(t or "") for t in texts]
+        known, odd = self.known, self.odd
+        missing = list({c for doc in chunks for c in doc if c not in known})
+        if len(known) + len(missing) > self.most:
+            known, odd = _Over(known), dict(odd)
+        for chunk, (ids, decoded) in zip(missing, self.segment(missing) if missing else (), strict=True):
+            known[chunk] = ids
+            if decoded != " " + chunk:
+                odd[chunk] = decoded
         out = []
-        for chunk, ids in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True):
-            ids = ids or [mark]  # a lone blank; the library adds none before an empty text
-            # The decoder drops the blank before a text's first piece, so a piece goes before it.
-            decoded = self.model.decode([mark, *ids])
-            out.append((len(ids), ",".join(map(str, ids)), decoded))
+        for doc in chunks:
+            ids = ",".join([known[c] for c in doc])
+            decoded = " ".join(doc) if odd.keys().isdisjoint(doc) else "".join([odd.get(c, " " + c) for c in doc])[1:]
+            out.append((ids.count(",") + 1 if doc else 0, ids, decoded))
         return out
 
-    def rows(self, chunks: list[str]) -> list[tuple[int, str, str]]:
-        known = self.known
-        missing = [c for c in set(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > len(self.fixed) + self.most:
-                known = self.known = dict(self.fixed)
-                missing = [c for c in set(chunks) if c not in known]
-            known.update(zip(missing, self.segment(missing), strict=True))
-        return [known[c] for c in chunks]
+
+class _Over(dict):
+    """Additions to a table that is full, for one group of texts."""
+
+    def __init__(self, under: dict[str, str]):
+        super().__init__()
+        self.under = under
+
+    def __missing__(self, chunk: str) -> str:
+        return self.under[chunk]
 
 
 def distinct_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
@@ -99,25 +119,27 @@ def encode_decode(docs: DataFrame, model_file: str, *, table_size: int = 1 << 16
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model_file, {})
+        table = ChunkTable(model_file, {}, {})
         for batch in batches:
             chunks = batch.column(0).to_pylist()
-            n, ids, decoded = zip(*table.segment(chunks), strict=True) if chunks else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["chunk", "n_ids", "ids", "decoded"])
+            ids, decoded = zip(*table.segment(chunks), strict=True) if chunks else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["chunk", "ids", "decoded"])
 
     most = distinct_chunks(docs, chunk_chars).orderBy(F.desc("n"), "chunk").limit(table_size).select("chunk")
-    table = {r["chunk"]: (r["n_ids"], r["ids"], r["decoded"]) for r in most.mapInArrow(segment, "chunk string, n_ids long, ids string, decoded string").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    table = most.mapInArrow(segment, "chunk string, ids string, decoded string").collect()
+    shared = docs.sparkSession.sparkContext.broadcast(({r["chunk"]: r["ids"] for r in table}, {r["chunk"]: r["decoded"] for r in table if r["decoded"] != " " + r["chunk"]}))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkTable(model_file, shared.value)
+        chunks = ChunkTable(model_file, *shared.value)
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
-            doc_ids, counts, ids, texts = batch.column(0), [], [], []
-            for text in batch.column(1):
-                rows = chunks.rows(chunks_of(text.as_py() or ""))
-                counts.append(sum(r[0] for r in rows))
-                ids.append(hashlib.sha256(",".join([r[1] for r in rows]).encode()).hexdigest())
-                texts.append(hashlib.sha256("".join([r[2] for r in rows])[1:].encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, batch.num_rows, 64):
+                group = batch.slice(at, 64)
+                rows = [(n, digest(ids), digest(decoded)) for n, ids, decoded in chunks.texts(group.column(1).to_pylist())]
+                counts, ids, texts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [group.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(join, RESULT)

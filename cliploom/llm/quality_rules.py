@@ -30,6 +30,7 @@ SLACK = {"symbol_ratio": 300, "dup_line_ratio": 4000, "repeat_ratio": 3000, "wor
 LOW_SIDE = ("word_length",)
 QUANTILES = (0.1, 0.5)
 SALTS = 32
+BROADCAST_ROWS = 20_000
 
 
 def _let(value: Column, body) -> Column:
@@ -145,25 +146,42 @@ def thresholds(counts: DataFrame, *, reach: float = REACH, least_rows: int = LEA
     return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == n, F.col(side))).alias(f"{side}_{n}") for n in names for side in ("low", "high")])
 
 
-def judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
-    """counts with `kept`; a salt on both sides spreads a language and source that hold much of the rows."""
-    salted = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"}).withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def verdict() -> Column:
+    """Whether a row with counts and limits stays. One expression, so that no part of it is computed ahead and again."""
     inside = F.lit(True)
     for name in SLACK:
         inside &= F.col(name) <= F.col(f"high_{name}")
         if name in LOW_SIDE:
             inside &= F.col(name) >= F.col(f"low_{name}")
-    joined = counts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int")).join(
-        salted,
-        F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("salt") == F.col("t_salt")),
-    )
-    return joined.withColumn("kept", ~F.col("base_failed") & inside)
+    return F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False)))
+
+
+def judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """counts with `kept`. Few limits go to all tasks (their number is checked); otherwise a salt on both sides spreads a
+    language and source that hold much of the rows."""
+    limits = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
+    if limits.count() <= BROADCAST_ROWS:
+        return counts.join(F.broadcast(limits), same).withColumn("kept", verdict())
+    salted = limits.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = counts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, same & (F.col("salt") == F.col("t_salt"))).withColumn("kept", verdict())
+
+
+def within_rules(docs: DataFrame, *, reach: float = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """The rows of docs that stay, with all their columns. Texts are counted once for the sketches and once for the
+    verdict, which costs less than moving or storing them."""
+    limits = checkpointed(thresholds(text_counts(docs, "lang", "source").withColumns(ratios()), reach=reach, least_rows=least_rows))
+    whole = docs.select("doc_id", "lang", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    counted = text_counts(whole, "doc_id", "lang", "source", "row").withColumns(ratios())
+    return judged(counted, limits).filter("kept").select("row.*")
 
 
 def quality_rules(docs: DataFrame, *, reach: float = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     counts = checkpointed(text_counts(docs, "doc_id", "lang", "source").withColumns(ratios()))
-    return judged(counts, thresholds(counts, reach=reach, least_rows=least_rows)).select(
+    limits = checkpointed(thresholds(counts, reach=reach, least_rows=least_rows))
+    return judged(counts, limits).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, packing, pieces, quality_classifier, quality_rules, sharding, toxicity
+from . import exact_dedup, html_wrappers, jaccard_join, language_id, packing, pieces, quality_classifier, quality_rules, sharding, toxicity
 from .common import remainder, table
 
 N_SHARDS = 40
@@ -55,6 +55,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4, 2))
 
@@ -68,7 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_jaccard_join, op6_exact_dedup, op8_toxicity, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_jaccard_join, op6_exact_dedup, op7_html_wrappers, op8_toxicity, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
