@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 LETTER = re.compile(r"[^\W\d_]")
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 SEGMENT = 128
+RESCALE = 8  # steps between rescalings; node scores are at least 1e-12 of the largest
 UNKNOWN = "und"
 
 
@@ -47,22 +48,32 @@ class Field:
     start: np.ndarray
     lexicon: dict[str, int]
 
-    def features(self, word: str) -> list[int]:
-        """Rows of a word's features; none for a word without a letter."""
-        core = EDGES.sub("", word).lower()
-        if not core:
-            return []
-        size = len(self.weights) - len(self.langs)
-        raw = f"<{core}>"
-        found = {f"g{raw[i : i + n]}" for n in (2, 3) for i in range(len(raw) - n + 1)}
-        found |= {f"p{core[:n]}" for n in (1, 2, 3)} | {f"s{core[-n:]}" for n in (1, 2, 3, 4)}
-        rows = [zlib.crc32(f.encode("utf-8", "surrogatepass")) % size for f in found]
-        if (lang := self.lexicon.get(core)) is not None:
-            rows.append(size + lang)
-        return rows
-
-    def node(self, word: str) -> np.ndarray:
-        return self.weights[self.features(word)].sum(axis=0)
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the features of words, and the number of the word that each is of; none for a word without a letter.
+        Affixes are the n-grams at the bounds, whose marks tell them from those inside."""
+        size = np.uint64(len(self.weights) - len(self.langs))
+        cores = [EDGES.sub("", w).lower() for w in words]
+        lengths = np.array([len(c) + 2 if c else 0 for c in cores], np.int64)
+        ends = np.cumsum(lengths)
+        codes = np.frombuffer("".join([f"<{c}>" for c in cores if c]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        last = np.repeat(ends, lengths) - 1
+        here = np.arange(len(codes))
+        rows, owners, value = [], [], codes
+        for n in (2, 3, 4):
+            value = value[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] if len(value) else value
+            inside = here[: len(value)] + n - 1 <= last[: len(value)]
+            mixed = (value[inside] + np.uint64(n)) * np.uint64(0xFF51AFD7ED558CCD)
+            rows.append(((mixed ^ (mixed >> np.uint64(29))) % size).astype(np.int64))
+            owners.append(owner[: len(value)][inside])
+        known = [(i, lang) for i, c in enumerate(cores) if (lang := self.lexicon.get(c)) is not None]
+        rows.append(np.array([int(size) + lang for _, lang in known], np.int64))
+        owners.append(np.array([i for i, _ in known], np.int64))
+        return np.concatenate(rows), np.concatenate(owners)
+
+    def node(self, words: list[str]) -> np.ndarray:
+        rows, owner = self.features(words)
+        return np.stack([np.bincount(owner, self.weights[rows, i], len(words)) for i in range(len(self.langs))], axis=1).astype(np.float32)
 
 
 def forward_backward(nodes: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -70,7 +81,7 @@ def forward_backward(nodes: np.ndarray, lengths: np.ndarray, transitions: np.nda
     total, k = nodes.shape
     if not total:
         return np.zeros((0, k))
-    node = np.exp(nodes - nodes.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
+    node = np.exp(nodes - nodes.max(axis=1, keepdims=True)).astype(np.float64) + 1e-12
     step, begin = np.exp(transitions), np.exp(start)
     parts = -(-lengths // SEGMENT)
     firsts = np.cumsum(lengths) - lengths  # place of each sequence's first word
@@ -93,8 +104,9 @@ def forward_backward(nodes: np.ndarray, lengths: np.ndarray, transitions: np.nda
         move[:, np.arange(k), np.arange(k)] = node[at[many]]
         for t in range(1, int(sizes.max())):
             n = int(np.searchsorted(-sizes, -t, side="left"))
-            move[:n] = (move[:n] @ step) * node[at[many[:n]] + t][:, None, :]
-            move[:n] /= move[:n].sum(axis=(1, 2), keepdims=True)
+            move[:n] = (move[:n].reshape(-1, k) @ step).reshape(n, k, k) * node[at[many[:n]] + t][:, None, :]
+            if t % RESCALE == 0:
+                move[:n] /= move[:n].sum(axis=(1, 2), keepdims=True)
         place = np.zeros(len(owner), np.int64)
         place[many] = np.arange(len(many))
         unit = lambda v: v / v.sum(axis=1, keepdims=True)
@@ -109,7 +121,8 @@ def forward_backward(nodes: np.ndarray, lengths: np.ndarray, transitions: np.nda
     for t in range(int(longest[0])):
         n = active(t)
         value = value[:n] * node[at[order[:n]] + t]
-        value /= value.sum(axis=1, keepdims=True)
+        if t % RESCALE == 0:
+            value /= value.sum(axis=1, keepdims=True)
         ahead[at[order[:n]] + t] = value
         value = value @ step
     behind = leave[order]
@@ -118,7 +131,8 @@ def forward_backward(nodes: np.ndarray, lengths: np.ndarray, transitions: np.nda
         spot = at[order[:n]] + t
         ahead[spot] *= behind[:n]
         behind[:n] = (node[spot] * behind[:n]) @ step.T
-        behind[:n] /= behind[:n].sum(axis=1, keepdims=True)
+        if t % RESCALE == 0:
+            behind[:n] /= behind[:n].sum(axis=1, keepdims=True)
     return ahead / ahead.sum(axis=1, keepdims=True)
 
 
@@ -139,7 +153,9 @@ def fit(runs: list[tuple[str, list[str]]], *, buckets: int, epochs: int, rate: f
     draw = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for _, words in runs]
-    rows = [np.array(model.features(w), np.int64) for w in vocabulary]
+    every, of = model.features(list(vocabulary))
+    by = np.argsort(of, kind="stable")
+    rows = np.split(every[by], np.cumsum(np.bincount(of, minlength=len(vocabulary)))[:-1])
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         order = draw.permutation(len(runs))
@@ -175,38 +191,33 @@ def fit(runs: list[tuple[str, list[str]]], *, buckets: int, epochs: int, rate: f
 
 
 class Labeller:
-    """Node scores of words, kept until too many are known."""
+    """Labels texts; node scores of the first `most` distinct words of a task are kept, others made for each group."""
 
-    def __init__(self, model: Field, most: int = 1 << 17):
+    def __init__(self, model: Field, most: int = 1 << 19):
         self.model, self.most = model, most
         self.known: dict[str, int] = {}
-        self.nodes = np.zeros((1024, len(model.langs)), np.float32)
-        self.lettered = np.zeros(1024, bool)
-
-    def number(self, word: str) -> int:
-        n = self.known[word] = len(self.known)
-        if n == len(self.nodes):
-            self.nodes = np.concatenate([self.nodes, np.zeros_like(self.nodes)])
-            self.lettered = np.concatenate([self.lettered, np.zeros_like(self.lettered)])
-        self.nodes[n] = self.model.node(word)
-        self.lettered[n] = LETTER.search(word) is not None
-        return n
+        self.nodes = np.zeros((0, len(model.langs)), np.float32)
+        self.lettered = np.zeros(0, bool)
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of each language for each word of all texts, whether it has a letter, and words a text."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, number = self.known, self.number
-        ids: list[int] = []
-        lengths = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            before = len(ids)
-            ids += [known[w] if w in known else number(w) for w in (text or "").split()]
-            lengths[i] = len(ids) - before
-        flat = np.array(ids, np.int64)
-        full = lengths > 0
-        share = forward_backward(self.nodes[flat], lengths[full], self.model.transitions, self.model.start)
-        return share, self.lettered[flat], lengths
+        known = self.known
+        docs = [(text or "").split() for text in texts]
+        lengths = np.array([len(d) for d in docs], np.int64)
+        before = len(known)
+        missing = list({w for d in docs for w in d if w not in known})
+        if missing:
+            found = self.model.node(missing)
+            known.update(zip(missing, range(before, before + len(missing)), strict=True))
+            self.nodes = np.concatenate([self.nodes[:before], found])
+            self.lettered = np.concatenate([self.lettered[:before], [LETTER.search(w) is not None for w in missing]])
+        flat = np.array([known[w] for d in docs for w in d], np.int64)
+        share = forward_backward(self.nodes[flat], lengths[lengths > 0], self.model.transitions, self.model.start)
+        lettered = self.lettered[flat]
+        if len(known) > self.most:
+            for word in missing:
+                del known[word]
+        return share, lettered, lengths
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.langs:
@@ -269,7 +280,7 @@ def fitted(
     return fit(sorted(zip(told.column(0).to_pylist(), told.column(1).to_pylist(), strict=True)), buckets=buckets, epochs=epochs, rate=rate, decay=decay)
 
 
-def language_id(docs: DataFrame, held_out: Column, *, batch_words: int = 200_000, **fitting: float) -> DataFrame:
+def language_id(docs: DataFrame, held_out: Column, *, batch_words: int = 500_000, **fitting: float) -> DataFrame:
     """doc_id, held_out, lang_pred, score; held_out is a column of doc_id whose rows are never learned from. `fitting`:
     parameters of fitted()."""
     model = fitted(docs, ~held_out, **fitting)
@@ -289,7 +300,7 @@ def language_id(docs: DataFrame, held_out: Column, *, batch_words: int = 200_000
     )
 
 
-def in_a_language(docs: DataFrame, *, least_score: float = 0.4, batch_words: int = 200_000) -> DataFrame:
+def in_a_language(docs: DataFrame, *, least_score: float = 0.4, batch_words: int = 500_000) -> DataFrame:
     """The rows of docs, with all their columns, whose language is told with at least this score. All rows with a
     language are learned from."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, F.lit(True)))
