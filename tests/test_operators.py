@@ -161,3 +161,44 @@ def test_not_exists_is_an_anti_join(spark):
     c = spark.createDataFrame([(1, True, "k", 1)], "clip_id long, has_motion boolean, media_key string, us long")
     plan = queues.pending(c, c.select("clip_id"), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan
+
+
+def test_index_percentiles_and_quartiles(spark):
+    import statistics
+
+    from cliploom.operators import summaries
+
+    draw = [((i * 7919) % 101) ** 2 / 7 for i in range(57)]
+    rows = [("a", v) for v in draw] + [("b", 5.0), ("b", 1.0)] + [("c", 3.0)] * 9
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in summaries.index_percentiles(df, "v", "g").collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g)
+        n = len(v)
+        assert (got[g].n, got[g].p50_low, got[g].p95_low, got[g].p95_even) == (n, v[int((n - 1) * 0.5)], v[int((n - 1) * 0.95)], v[round((n - 1) * 0.95)])
+    q = {r.g: (r.q1, r.q2, r.q3) for r in summaries.exclusive_quartiles(df, "v", "g").collect()}
+    assert q["a"] == pytest.approx(statistics.quantiles(draw, n=4)) and q["b"] == (1.0, 1.0, 1.0) and q["c"] == (3.0, 3.0, 3.0)
+
+
+def test_peaks_are_thinned_and_segments_matched(spark):
+    from cliploom.operators import selection
+
+    peaks = spark.createDataFrame([(1, 0, 5), (1, 1, 9), (1, 2, 5), (1, 3, 7), (2, 0, 1)], "k long, t long, v long")
+    assert sorted(tuple(r) for r in selection.thinned(peaks, "k", "t", "v", 2, 9).collect()) == [(1, 1, 9), (1, 3, 7), (2, 0, 1)]
+    a = spark.createDataFrame([(1, "x", 0.0), (1, "x", 0.5), (2, "y", 0.0)], "k long, action string, at double")
+    b = spark.createDataFrame([(1, "x", 0.4), (1, "y", 0.4), (3, "z", 0.0)], "k long, action string, at double")
+    assert sorted(tuple(r) for r in selection.matched(a, b, "k", 1.0).collect()) == [(1, 1, 1, 1), (2, 0, 1, 0), (3, 0, 0, 1)]
+
+
+def test_entry_imports_without_the_corpus_part(tmp_path):
+    """The registry works where the corpus subpackage and the pipeline are gone."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "cliploom"), tmp_path / "cliploom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'event_groups' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
