@@ -6,7 +6,7 @@
    more parts than that, so linked sets agree in a whole part. Sets of a size class deal the hash of each part to all
    sets with the same: what meets is nearly always near copies, never whole passages that many documents share. (An
    empty part tells nothing and is left out, but for sets that have more empty parts than there are parts to spare.)
-3. Sets that meet are compared by a parity bitmap, whose distance is at most that of the sets; a spanning forest of
+3. Sets that meet are compared by parity bitmaps as long as the sets, whose distance is at most that of the sets; a spanning forest of
    those that may be linked, not all their pairs, gives candidate components.
 4. In each candidate component the sets go into a prefix tree. A set descends the tree with the overlap of the path so
    far, which all sets below share; a subtree is left where the overlap and the n-grams that remain on either side are
@@ -38,7 +38,7 @@ from .common import checkpointed
 from .components import components
 
 U = np.uint64
-BITS = 512
+LEAST_BITS = 256
 SALTS = 64
 SPARE = 0.04  # parts beyond those that linked sets may differ in
 
@@ -102,10 +102,51 @@ class Threshold:
         return np.array([*first, 100 * first[-1] // self.percent + 1, 100 * (100 * first[-1] // self.percent + 1) // self.percent + 1], np.int64)
 
 
-def bitmaps(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Parity of the n-grams that fall on each of BITS bits, packed, a row a set."""
-    bit = (mix(flat ^ U(0xA5A5A5A5A5A5A5A5)) & U(BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(owner * BITS + bit, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS), axis=1)
+def map_bits(sizes: np.ndarray) -> np.ndarray:
+    """Bits of a set's map: a power of two, at least its size."""
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+
+
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams that fall on each bit, as 64-bit words. A set of half the bits falls on the same bits when
+    the halves of its longer map are joined by exclusive or."""
+    bits = int(map_bits(np.array([len(grams)]))[0])
+    bit = (mix(grams ^ U(0xA5A5A5A5A5A5A5A5)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def halved(maps: np.ndarray, words: int) -> np.ndarray:
+    """Maps (a row each) folded to so many words."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+class Maps:
+    """Maps of many sets, of different lengths."""
+
+    def __init__(self, raw: list[bytes]):
+        self.words = np.array([len(r) // 8 for r in raw], np.int64)
+        self.place = np.zeros(len(raw), np.int64)
+        self.at: dict[int, np.ndarray] = {}
+        for words in np.unique(self.words):
+            mine = np.flatnonzero(self.words == words)
+            self.place[mine] = np.arange(len(mine))
+            self.at[int(words)] = np.frombuffer(b"".join(raw[i] for i in mine), np.uint64).reshape(-1, words)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the maps of rows a and b differ, pair by pair; a difference of the sets is as large at least."""
+        out = np.zeros(len(a), np.int64)
+        kinds = self.words[a] * (1 << 32) + self.words[b]
+        for kind in np.unique(kinds):
+            these = np.flatnonzero(kinds == kind)
+            wa, wb = int(kind) >> 32, int(kind) & 0xFFFFFFFF
+            words = min(wa, wb)
+            for some in np.array_split(these, max(1, len(these) * words // 2_000_000)):
+                x, y = (halved(self.at[w][self.place[r[some]]], words) for w, r in ((wa, a), (wb, b)))
+                out[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def signatures(sets: list[np.ndarray], threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +204,12 @@ def described(docs: DataFrame, words: int) -> DataFrame:
             for first, texts in _groups(batch, 1):
                 sets = [shingles.set_of(t) for t in texts]
                 sizes = [len(s) for s in sets]
-                maps = bitmaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
                         pa.array(sizes, pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array([m.tobytes() for m in maps], pa.binary()),
+                        pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     ],
                     names=["doc_id", "n", "set_key", "bitmap"],
                 )
@@ -237,49 +277,64 @@ def meetings(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
     return dealt.mapInArrow(met, "meeting long, doc_id long").distinct()
 
 
-def forest(ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
-    """Spanning forest of the sets that their bitmaps allow to be linked. The rows of the largest tree so far need not
-    ask the others: each row outside asks them."""
-    n = len(ids)
+def forest(ids: np.ndarray, sizes: np.ndarray, maps: Maps, rows: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
+    """Spanning forest of those of the rows that their maps allow to be linked. The rows of the largest tree so far need
+    not ask the others: each row outside asks them."""
+    n = len(rows)
     tree = np.arange(n)
     asked = np.zeros(n, bool)
     edges: list[tuple[int, int]] = []
     while True:
-        open_rows = np.flatnonzero(~asked)
-        if not len(open_rows):
-            return edges
-        largest = np.bincount(tree, minlength=n).argmax()
-        outside = open_rows[tree[open_rows] != largest]
+        outside = np.flatnonzero(~asked & (tree != np.bincount(tree, minlength=n).argmax()))
         if len(outside):
-            row = int(outside[0])
-        elif asked.any() or n == 1:
+            at = int(outside[0])
+        elif asked.any():
             return edges
         else:
-            row = 0
-        asked[row] = True
-        others = np.flatnonzero(tree != tree[row])
-        if not len(others):
-            continue
-        apart = np.bitwise_count(maps[others] ^ maps[row]).sum(axis=1, dtype=np.int64)
-        both = sizes[others] + sizes[row]
-        may = (apart <= threshold.apart(both)) & (threshold.needed(sizes[others], sizes[row]) <= np.minimum(sizes[others], sizes[row]))
-        for other in others[may]:
-            if tree[other] != tree[row]:
-                edges.append((int(ids[row]), int(ids[other])))
-                tree[tree == tree[other]] = tree[row]
+            at = 0
+        asked[at] = True
+        others = np.flatnonzero(tree != tree[at])
+        near = others[threshold.needed(sizes[rows[others]], sizes[rows[at]]) <= np.minimum(sizes[rows[others]], sizes[rows[at]])]
+        one = np.full(len(near), rows[at])
+        for other in near[maps.apart(rows[near], one) <= threshold.apart(sizes[rows[near]] + sizes[rows[at]])]:
+            if tree[other] != tree[at]:
+                edges.append((int(ids[rows[at]]), int(ids[rows[other]])))
+                tree[tree == tree[other]] = tree[at]
 
 
 def candidates(met: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
     """a, b: edges whose components hold all documents that may be linked."""
 
-    def compare(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id")
-        maps = np.frombuffer(b"".join(group["bitmap"]), np.uint64).reshape(len(group), -1)
-        return pd.DataFrame(forest(group["doc_id"].to_numpy(), group["n"].to_numpy(), maps, threshold), columns=["a", "b"], dtype="int64")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of one meeting in sorted rows; a run can go on in the next batch."""
+        left: list = [np.zeros(0, np.int64)] * 3 + [[]]
+
+        def told(meeting: np.ndarray, ids: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
+            maps = Maps(raw)
+            edge = np.flatnonzero(np.r_[True, meeting[1:] != meeting[:-1], True])
+            length = np.diff(edge)
+            first = edge[:-1][length == 2]
+            a, b = sizes[first], sizes[first + 1]
+            pair = first[(threshold.needed(a, b) <= np.minimum(a, b)) & (maps.apart(first, first + 1) <= threshold.apart(a + b))]
+            rest = [e for i in np.flatnonzero(length > 2) for e in forest(ids, sizes, maps, np.arange(edge[i], edge[i + 1]), threshold)]
+            more = np.array(rest, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[ids[pair], more[:, 0]]), pa.array(np.r_[ids[pair + 1], more[:, 1]])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([left[i], batch.column(i).to_numpy()]) for i in range(3)] + [left[3] + batch.column(3).to_pylist()]
+            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            left = [x[cut:] for x in rows]
+            if cut:
+                yield told(*(x[:cut] for x in rows))
+        if len(left[0]):
+            yield told(*left)
 
     shown = met.join(classes.select("doc_id", "rep"), "doc_id").select("meeting", F.col("rep").alias("doc_id")).distinct()
     shown = shown.join(classes.filter(F.col("doc_id") == F.col("rep")).select("doc_id", "n", "bitmap").dropDuplicates(["doc_id"]), "doc_id")
-    return shown.groupBy("meeting").applyInPandas(compare, "a long, b long").distinct()
+    dealt = shown.select("meeting", "doc_id", "n", "bitmap").repartition("meeting").sortWithinPartitions("meeting", "doc_id")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 class Node:
@@ -378,6 +433,24 @@ def tree_links(sets: list[np.ndarray], threshold: Threshold, first: int | None =
     return tree.links
 
 
+def stars(ids: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of a component's smallest document with each other one, for the components of what was found."""
+    parent = list(range(len(ids)))
+
+    def find(row: int) -> int:
+        while parent[row] != row:
+            parent[row] = parent[parent[row]]
+            row = parent[row]
+        return row
+
+    for a, b in found:
+        a, b = find(a), find(b)
+        if a != b:
+            low, high = (a, b) if ids[a] < ids[b] else (b, a)
+            parent[high] = low
+    return [(int(ids[find(row)]), int(ids[row])) for row in {r for pair in found for r in pair} if find(row) != row]
+
+
 def links(docs: DataFrame, groups: DataFrame, words: int, threshold: Threshold, block: int) -> DataFrame:
     """a, b: links that join the documents of each candidate component as far as they are linked."""
 
@@ -394,7 +467,7 @@ def links(docs: DataFrame, groups: DataFrame, words: int, threshold: Threshold,
         # The order of 64-bit hashes without sign.
         found = [np.asarray(g, np.int64).view(U) for g in group["grams"]]
         first = None if key[1] == key[2] else int((group["block"] == key[1]).sum())
-        return pd.DataFrame([(int(ids[a]), int(ids[b])) for a, b in tree_links(found, threshold, first)], columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(stars(ids, tree_links(found, threshold, first)), columns=["a", "b"], dtype="int64")
 
     sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("doc_id"), "component", "size")
     texts = docs.join(sized, "doc_id").select("doc_id", "component", "size", "text")
@@ -422,8 +495,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85, bl
     classes = checkpointed(leaves.join(leaves.groupBy("set_key").agg(F.min("least").alias("rep")), "set_key").select("set_key", "salt", "rep"))
     members = checkpointed(some.filter("doc_id IS NOT NULL").join(classes, ["set_key", "salt"]).select("doc_id", "rep", "n", "bitmap"))
     near = checkpointed(candidates(meetings(texts, words, threshold), members, threshold))
-    linked = checkpointed(links(texts, components(near), words, threshold, block))
-    joined = components(linked)
+    groups = components(near)
+    linked = checkpointed(links(texts, groups, words, threshold, block))
+    if groups.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > block).limit(1).count():
+        joined = components(linked)  # blocks were joined apart from each other
+    else:
+        joined = linked.select(F.col("b").alias("node"), F.col("a").alias("component"))
     told = classes.join(joined, classes["rep"] == joined["node"], "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component_id"))
     return (
         some.join(told, ["set_key", "salt"])
