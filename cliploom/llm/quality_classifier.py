@@ -7,7 +7,7 @@ gradient descent in numpy, on a bounded sample of labelled documents (`per_class
 a hash of doc_id; what a text adds to a step is weighted by the number of documents it stands for).
 
 The average is linear in the features, so for scoring each vector is first reduced to its share in the difference of
-the two outputs; a word's shares are summed once and kept while a task lasts, up to a bound.
+the two outputs; those of the first half million distinct words of a task are summed once.
 
 Null, empty and blank texts have no features: their score is that of a zero vector. Without labels of both kinds the
 score is 0.5. doc_id is only passed on: it may be null (not held out) or repeat. An empty table gives an empty result.
@@ -104,7 +104,7 @@ def score_texts(docs: DataFrame, model: np.ndarray, shape: Shape, held_out: Colu
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares = shared.value
+        shares = shared.value.tolist()
         known: dict[str, tuple[float, int]] = {}
         for batch in batches:
             scores = []
@@ -113,10 +113,10 @@ def score_texts(docs: DataFrame, model: np.ndarray, shape: Shape, held_out: Colu
                 total, n = 0.0, 0
                 for word, times in Counter(words).items():
                     if (told := known.get(word)) is None:
-                        if len(known) >= 1 << 18:
-                            known.clear()
                         rows = shape.word(word)
-                        told = known[word] = (float(shares[rows].sum()), len(rows))
+                        told = (sum(shares[r] for r in rows), len(rows))
+                        if len(known) < 1 << 19:
+                            known[word] = told
                     total += times * told[0]
                     n += times * told[1]
                 if same := sum(a == b for a, b in zip(words, words[1:], strict=False)):
