@@ -75,8 +75,11 @@ class Field:
         return np.stack([np.bincount(owner, self.weights[rows, i], len(words)) for i in range(len(self.langs))], axis=1).astype(np.float32)
 
 
-def forward_backward(nodes: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Probability of each state at each place, for sequences of these lengths laid end to end; nodes are log scores."""
+def forward_backward(nodes: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, into: np.ndarray | None = None) -> np.ndarray:
+    """Probability of each state at each place, for sequences of these lengths laid end to end; nodes are log scores.
+
+    `into` (places x states x states), if given, gets the probability of each pair of states at a place and the one before
+    it; what it gets at a sequence's first place means nothing."""
     total, k = nodes.shape
     if not total:
         return np.zeros((0, k))
@@ -125,13 +128,19 @@ def forward_backward(nodes: np.ndarray, lengths: np.ndarray, transitions: np.nda
         ahead[at[order[:n]] + t] = value
         value = value @ step
     behind = leave[order]
+    if into is not None:
+        into[1:] = ahead[:-1, :, None] * step
     for t in range(int(longest[0]) - 1, -1, -1):
         n = active(t)
         spot = at[order[:n]] + t
         ahead[spot] *= behind[:n]
+        if into is not None:
+            into[spot] *= (node[spot] * behind[:n])[:, None, :]
         behind[:n] = (node[spot] * behind[:n]) @ step.T
         if t % RESCALE == 0:
             behind[:n] /= behind[:n].sum(axis=1, keepdims=True)
+    if into is not None:
+        into /= into.sum(axis=(1, 2), keepdims=True)
     return ahead / ahead.sum(axis=1, keepdims=True)
 
 
@@ -171,7 +180,8 @@ def fit(runs: list[tuple[str, list[str]]], *, buckets: int, epochs: int, rate: f
             features = np.concatenate([rows[w] for w in distinct])
             owner = np.repeat(np.arange(len(distinct)), [len(rows[w]) for w in distinct])
             nodes = np.stack([np.bincount(owner, model.weights[features, i], len(distinct)) for i in range(k)], axis=1)[back]
-            share = forward_backward(nodes, lengths, model.transitions, model.start)
+            pair = np.ones((len(nodes), k, k))
+            share = forward_backward(nodes, lengths, model.transitions, model.start, pair)
             off = -share
             off[np.arange(len(truth)), truth] += 1
             by_word = np.stack([np.bincount(back, off[:, i], len(distinct)) for i in range(k)], axis=1)
@@ -179,12 +189,9 @@ def fit(runs: list[tuple[str, list[str]]], *, buckets: int, epochs: int, rate: f
             model.weights *= 1 - step * decay
             heads = np.cumsum(lengths) - lengths
             inside = np.setdiff1d(np.arange(1, len(truth)), heads)
-            # Expected transitions: the pair's probability from both marginals and the step, normalised a pair.
-            pair = share[inside - 1][:, :, None] * share[inside][:, None, :] * np.exp(model.transitions)
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
             seen = np.zeros((k, k))
             np.add.at(seen, (truth[inside - 1], truth[inside]), 1)
-            model.transitions += 0.1 * step * (seen - pair.sum(axis=0)) / max(1, len(inside))
+            model.transitions += 0.1 * step * (seen - pair[inside].sum(axis=0)) / max(1, len(inside))
             model.start += 0.1 * step * off[heads].mean(axis=0)
     return model
 

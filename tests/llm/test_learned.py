@@ -72,7 +72,8 @@ def test_forward_backward_against_plain_recursion():
     draw = np.random.default_rng(5)
     k, lengths = 3, np.array([1, 400, 7, 128, 129, 256])
     nodes, step, start = draw.normal(0, 2, (int(lengths.sum()), k)), draw.normal(0, 1, (k, k)), draw.normal(0, 1, k)
-    got, at = L.forward_backward(nodes, lengths, step, start), 0
+    pairs = np.ones((len(nodes), k, k))
+    got, at = L.forward_backward(nodes, lengths, step, start, pairs), 0
     for n in lengths:
         x = nodes[at : at + n]
         a, b = np.zeros((n, k)), np.zeros((n, k))
@@ -83,6 +84,9 @@ def test_forward_backward_against_plain_recursion():
             b[t] = np.logaddexp.reduce(step + (x[t + 1] + b[t + 1])[None, :], axis=1)
         want = np.exp(a + b - np.logaddexp.reduce(a + b, axis=1)[:, None])
         assert np.abs(want - got[at : at + n]).max() < 1e-6
+        for t in range(1, n):
+            both = a[t - 1][:, None] + step + (x[t] + b[t])[None, :]
+            assert np.abs(np.exp(both - np.logaddexp.reduce(both, axis=None)) - pairs[at + t]).max() < 1e-6
         at += n
 
 
