@@ -25,12 +25,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,29 +51,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-@dataclass
-class Shingles:
-    """Sets of texts; hashes of words are kept until too many are known."""
-
-    words: int
-    most: int = 1 << 18
-    known: dict[bytes, int] = field(default_factory=dict)
+class WordHashes(dict[bytes, int]):
+    """Hashes of words; the first `most` distinct words are kept."""
 
-    def number(self, word: bytes) -> int:
-        import xxhash
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
 
-        n = self.known[word] = xxhash.xxh64_intdigest(word)
+    def __missing__(self, word: bytes) -> int:
+        n = xxhash.xxh64_intdigest(word)
+        if len(self) < self.most:
+            self[word] = n
         return n
 
+
+class Shingles:
+    """Sets of texts."""
+
+    def __init__(self, words: int, most: int = 1 << 19):
+        self.words, self.known = words, WordHashes(most)
+
     def set_of(self, text: str | None) -> np.ndarray:
         # bytes.lower() lowers A-Z alone, bytes.split() splits at the blanks 20 and 09 to 0D alone.
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, U)
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, number = self.known, self.number
-        hashes = np.array([known[w] if w in known else number(w) for w in words], U)
+        known = self.known
+        hashes = np.fromiter([known[w] for w in words], U, len(words))
         size = min(self.words, len(hashes))
         total = np.full(len(hashes) - size + 1, size, U)
         for i in range(size):
