@@ -46,14 +46,10 @@ def _repeat_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more: windows are sorted by hash beside their place, neighbours
     with equal hashes are kept, and the kept places, in order, cover three words each less what the next covers."""
     n = F.size(words)
-    windows = F.array_sort(
-        F.transform(
-            F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))),
-            lambda w, i: F.struct(F.xxhash64(w, words[i + 1], words[i + 2]).alias("h"), i.alias("i")),
-        )
-    )
+    hashes = F.transform(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, words[i + 1], words[i + 2]))
+    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     # get() gives null beyond either end.
-    places = lambda s: F.array_sort(
+    places = lambda s: F.sort_array(
         F.transform(
             F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))),
             lambda x: x["i"],
@@ -64,7 +60,9 @@ def _repeat_words(words: Column) -> Column:
         F.lit(0),
         lambda a, b: a + b,
     )
-    return _let(windows, lambda s: _let(places(s), cover))
+    # Most texts repeat no window and need not be sorted.
+    again = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(placed(h), lambda s: _let(places(s), cover)))
+    return _let(hashes, again)
 
 
 def text_counts(docs: DataFrame, *carry: str) -> DataFrame:
