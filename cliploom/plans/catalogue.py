@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import event_queries, metric_queries, more_queries, queue_queries, stream_queries  # noqa: F401  they register their queries
+from . import evaluation_queries, event_queries, metric_queries, more_queries, queue_queries, stream_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
