@@ -24,7 +24,9 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -65,7 +67,6 @@ APART_CLASSES = frozenset(
 )
 OUTSIDE = frozenset(["header", "footer", "masthead"])  # apart, unless inside the main container
 CONTENT_CLASSES = frozenset("articlebody entry content post story article main".split())
-DEEPEST = 100
 
 
 def label_of(name: str, attributes: str) -> str:
@@ -80,7 +81,7 @@ def label_of(name: str, attributes: str) -> str:
             found.append("hidden")
         elif key != "aria-hidden":
             found += WORDS.findall(value)
-    return f"{name}.{'-'.join(found)}"[:120] if found else name
+    return f"{name}.{'-'.join(found)}" if found else name
 
 
 class Element:
@@ -95,6 +96,7 @@ class Element:
 def parse(page: str | None) -> Element:
     root = Element("", "")
     stack = [root]
+    names: Counter[str] = Counter()  # of the open blocks, so that an end tag without one costs no walk
     text: list[str] = []
     linked = plain = 0
     links = 0
@@ -108,6 +110,10 @@ def parse(page: str | None) -> Element:
             text.clear()
         linked = plain = 0
 
+    def close(depth: int) -> None:
+        names.subtract(e.name for e in stack[depth:])
+        del stack[depth:]
+
     for match in TOKEN.finditer(page or ""):
         _, slash, name, attributes, slash2, name2, attributes2, data = match.groups()
         if data is not None:
@@ -130,17 +136,15 @@ def parse(page: str | None) -> Element:
         end_block()
         links = 0
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
+            if names[name] > 0:
+                close(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth].name == name))
             continue
         if name in CLOSE_P and stack[-1].name == "p":
-            stack.pop()
-        if name in CLOSES:
+            close(len(stack) - 1)
+        if name in CLOSES and any(names[n] > 0 for n in CLOSES[name]):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name in CLOSES[name]:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].name in FENCES:
                     break
@@ -148,8 +152,8 @@ def parse(page: str | None) -> Element:
             continue
         element = Element(label_of(name, attributes or attributes2 or ""), name)
         stack[-1].items.append(element)
-        if len(stack) < DEEPEST:
-            stack.append(element)
+        stack.append(element)
+        names[name] += 1
     end_block()
     return root
 
@@ -169,14 +173,21 @@ def also(part: list, optional: bool = False, repeated: bool = False) -> list:
 
 
 def stream(element: Element) -> list:
-    """Parts of an element's items; repeats are folded."""
-    parts = []
-    for item in element.items:
-        if isinstance(item, Element):
-            parts.append([item.label, "1", 1, 0, 0, stream(item)])
-        else:
-            parts.append(["#a" if item[1] else "#", "1", 1, len(item[0]), zlib.crc32(item[0].encode("utf-8", "surrogatepass")) or 1, []])
-    return folded(parts)
+    """Parts of an element's items; repeats are folded. Depth has no bound here or below: open work is in lists."""
+    top: list = []
+    lists, todo = [top], [(element, top)]
+    while todo:
+        at, parts = todo.pop()
+        for item in at.items:
+            if isinstance(item, Element):
+                parts.append([item.label, "1", 1, 0, 0, []])
+                lists.append(parts[-1][PARTS])
+                todo.append((item, parts[-1][PARTS]))
+            else:
+                parts.append(["#a" if item[1] else "#", "1", 1, len(item[0]), zlib.crc32(item[0].encode("utf-8", "surrogatepass")) or 1, []])
+    for parts in reversed(lists):  # what is inside comes later in lists
+        parts[:] = folded(parts)
+    return top
 
 
 def folded(parts: list) -> list:
@@ -205,45 +216,85 @@ def folded(parts: list) -> list:
 
 def merged(a: list, b: list, same_page: bool = False) -> list:
     """Two parts with one label. A text that differs leaves the slot without one (0)."""
-    return [
+    todo: list = []
+    out = _merge(a, b, same_page, todo)
+    _align(todo, same_page)
+    return out
+
+
+def aligned(a: list, b: list, same_page: bool = False) -> list:
+    """Parts of two streams: common ones in order (a longest common subsequence of labels) are merged, others optional."""
+    out: list = []
+    _align([(a, b, out)], same_page)
+    return out
+
+
+def _merge(a: list, b: list, same_page: bool, todo: list) -> list:
+    """Two parts with one label; their own parts are left to do."""
+    out = [
         a[LABEL],
         kind_of(a[KIND] in "?*" or b[KIND] in "?*", a[KIND] in "+*" or b[KIND] in "+*"),
         max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES],
         a[CHARS] + b[CHARS],
         a[TEXT] if a[TEXT] == b[TEXT] else 0,
-        aligned(a[PARTS], b[PARTS], same_page),
+        [],
     ]
+    todo.append((a[PARTS], b[PARTS], out[PARTS]))
+    return out
 
 
-def aligned(a: list, b: list, same_page: bool = False) -> list:
-    """Parts of two streams: common ones in order (a longest common subsequence of labels) are merged, others optional."""
-    left, right = [p[LABEL] for p in a], [p[LABEL] for p in b]
-    if left == right:
-        return [merged(x, y, same_page) for x, y in zip(a, b, strict=True)]
-    most = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i in range(len(left) - 1, -1, -1):
-        for j in range(len(right) - 1, -1, -1):
-            most[i][j] = most[i + 1][j + 1] + 1 if left[i] == right[j] else max(most[i + 1][j], most[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(left) or j < len(right):
-        if i < len(left) and j < len(right) and left[i] == right[j]:
-            out.append(merged(a[i], b[j], same_page))
-            i, j = i + 1, j + 1
-        elif j == len(right) or (i < len(left) and most[i + 1][j] >= most[i][j + 1]):
-            out.append(also(a[i], optional=True))
-            i += 1
-        else:
-            out.append(also(b[j], optional=True))
-            j += 1
-    return out
+def _align(todo: list, same_page: bool) -> None:
+    while todo:
+        a, b, out = todo.pop()
+        left, right = [p[LABEL] for p in a], [p[LABEL] for p in b]
+        if left == right:
+            out += [_merge(x, y, same_page, todo) for x, y in zip(a, b, strict=True)]
+            continue
+        most = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i in range(len(left) - 1, -1, -1):
+            for j in range(len(right) - 1, -1, -1):
+                most[i][j] = most[i + 1][j + 1] + 1 if left[i] == right[j] else max(most[i + 1][j], most[i][j + 1])
+        i = j = 0
+        while i < len(left) or j < len(right):
+            if i < len(left) and j < len(right) and left[i] == right[j]:
+                out.append(_merge(a[i], b[j], same_page, todo))
+                i, j = i + 1, j + 1
+            elif j == len(right) or (i < len(left) and most[i + 1][j] >= most[i][j + 1]):
+                out.append(also(a[i], optional=True))
+                i += 1
+            else:
+                out.append(also(b[j], optional=True))
+                j += 1
+
+
+def dumped(wrapper: list) -> str:
+    """A wrapper as JSON: its parts in order, each behind its depth."""
+    rows, todo = [], [(0, p) for p in reversed(wrapper)]
+    while todo:
+        depth, part = todo.pop()
+        rows.append([depth, *part[:PARTS]])
+        todo += [(depth + 1, p) for p in reversed(part[PARTS])]
+    return json.dumps(rows, separators=(",", ":"))
+
 
+def loaded(text: str) -> list:
+    wrapper: list = []
+    lists = [wrapper]
+    for depth, *part in json.loads(text):
+        part.append([])
+        lists[depth].append(part)
+        lists[depth + 1 :] = [part[PARTS]]
+    return wrapper
 
+
+@lru_cache(4096)
 def is_apart(label: str, inside: bool) -> bool:
     name, _, classes = label.partition(".")
     words = set(classes.split("-"))
     return name in APART or bool(words & APART_CLASSES) or "hidden" in words or (not inside and (name in OUTSIDE or bool(words & OUTSIDE)))
 
 
+@lru_cache(4096)
 def container(label: str) -> int:
     """How surely a block holds the main text: 3 article, 2 main, 1 by its class, 0 not."""
     name, _, classes = label.partition(".")
@@ -253,17 +304,23 @@ def container(label: str) -> int:
 
 def surest(parts: list) -> int:
     """The surest container in a wrapper that holds text."""
-    best = 0
-    for part in parts:
-        if part[LABEL][:1] == "(" or not is_apart(part[LABEL], False):
-            best = max(best, container(part[LABEL]) if has_text(part) else 0, surest(part[PARTS]))
+    seen: list[tuple[list, int, bool]] = []  # part, place of the part around it, whether either is apart
+    todo = [(p, -1, False) for p in parts]
+    while todo:
+        part, around, apart = todo.pop()
+        apart = apart or (part[LABEL][:1] != "(" and is_apart(part[LABEL], False))
+        todo += [(p, len(seen), apart) for p in part[PARTS]]
+        seen.append((part, around, apart))
+    best, text = 0, [part[LABEL] in ("#", "#a") for part, _, _ in seen]
+    for i in range(len(seen) - 1, -1, -1):
+        part, around, apart = seen[i]
+        if text[i] and around >= 0:
+            text[around] = True
+        if text[i] and not apart:
+            best = max(best, container(part[LABEL]))
     return best
 
 
-def has_text(part: list) -> bool:
-    return part[LABEL] in ("#", "#a") or any(has_text(p) for p in part[PARTS])
-
-
 def texts_of(root: Element, wrapper: list, level: int) -> list[str]:
     """Texts of the slots of main text, in page order; level is that of surest()."""
     out: list[str] = []
@@ -275,23 +332,23 @@ def texts_of(root: Element, wrapper: list, level: int) -> list[str]:
             else:
                 yield part
 
-    def walk(element: Element, parts: list, inside: bool) -> None:
-        places = list(slots(parts))
-        at = 0
-        for item in element.items:
-            label = item.label if isinstance(item, Element) else "#a" if item[1] else "#"
-            # The next part of that label; a repeated one, or one of a repeated group, comes again.
-            found = next((i for i in [*range(at, len(places)), *range(at)] if places[i][LABEL] == label), None)
-            place = places[found] if found is not None else None
-            at = found if found is not None else at
-            if isinstance(item, Element):
-                if is_apart(label, inside):
-                    continue
-                walk(item, place[PARTS] if place else [], inside or (level > 0 and container(label) >= level))
-            elif inside or (level == 0 and not item[1] and not (place and place[TEXT] and place[PAGES] > 2)):
-                out.append(item[0])
-
-    walk(root, wrapper, False)
+    todo = [(iter(root.items), list(slots(wrapper)), [0], False)]
+    while todo:
+        items, places, at, inside = todo[-1]
+        item = next(items, None)
+        if item is None:
+            todo.pop()
+            continue
+        label = item.label if isinstance(item, Element) else "#a" if item[1] else "#"
+        # The next part of that label; a repeated one, or one of a repeated group, comes again.
+        found = next((i for i in [*range(at[0], len(places)), *range(at[0])] if places[i][LABEL] == label), None)
+        place = places[found] if found is not None else None
+        at[0] = found if found is not None else at[0]
+        if isinstance(item, Element):
+            if not is_apart(label, inside):
+                todo.append((iter(item.items), list(slots(place[PARTS])) if place else [], [0], inside or (level > 0 and container(label) >= level)))
+        elif inside or (level == 0 and not item[1] and not (place and place[TEXT] and place[PAGES] > 2)):
+            out.append(item[0])
     return out
 
 
@@ -315,10 +372,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
         known: dict[str, list] = {}
 
         def told() -> pa.RecordBatch:
-            rows = list(known.items())
-            salts = [zlib.crc32(json.dumps(w[:1]).encode()) % SALTS for _, w in rows]
+            rows = [(host, dumped(w)) for host, w in known.items()]
+            salts = [zlib.crc32(w.encode()) % SALTS for _, w in rows]
             batch = pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in rows], pa.string()), pa.array(salts, pa.int32()), pa.array([json.dumps(w, separators=(",", ":")) for _, w in rows], pa.string())],
+                [pa.array([h for h, _ in rows], pa.string()), pa.array(salts, pa.int32()), pa.array([w for _, w in rows], pa.string())],
                 names=["host", "salt", "wrapper"],
             )
             known.clear()
@@ -334,10 +391,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def merge(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         found = sorted(group["wrapper"])
-        total = json.loads(found[0])
+        total = loaded(found[0])
         for other in found[1:]:
-            total = aligned(total, json.loads(other))
-        return pd.DataFrame({"host": [key[0]], "salt": [0], "wrapper": [json.dumps(total, separators=(",", ":"))]})
+            total = aligned(total, loaded(other))
+        return pd.DataFrame({"host": [key[0]], "salt": [0], "wrapper": [dumped(total)]})
 
     parts = pages.select("host", "html").mapInArrow(fold, WRAPPERS)
     return parts.groupBy("host", "salt").applyInPandas(merge, WRAPPERS).groupBy("host").applyInPandas(merge, WRAPPERS).select("host", "wrapper")
@@ -368,7 +425,7 @@ def extract_pages(pages: DataFrame, *, broadcast_bytes: int = 8 << 20) -> DataFr
                 if host not in known:
                     if len(known) > 2000:
                         known.clear()
-                    parts = json.loads(wrapper.as_py() or "[]")
+                    parts = loaded(wrapper.as_py() or "[]")
                     known[host] = (parts, surest(parts))
                 texts.append(extract(page.as_py(), *known[host]))
             yield pa.RecordBatch.from_arrays(

@@ -71,3 +71,18 @@ def test_alignment_makes_groups_optional_and_repeated():
     assert merged[0][0] == "div" and merged[1][:2] == ("table", "?")
     assert any(kind in "+*" and label == "(h2 p)" for label, kind, _ in merged[0][2])
     assert flat(H.aligned(stream("<p>a</p><p>b</p>"), stream("<p>c</p>"))) == [("p", "+", [("#", "1", [])])]
+
+
+def test_deep_blocks_keep_their_labels_and_ends(spark):
+    """Beyond a hundred open blocks, end tags close their own blocks and apart blocks stay apart."""
+    deep = 150
+    page = "<body><div><article><p>one {0}</p>" + "<div>" * deep + "<nav>menu</nav><div class='ad'>buy</div><p>two {0}</p>" + "</div>" * deep + "<p>three {0}</p></article></div><p>out</p></body>"
+    assert texts(pages_of(spark, [(i, "http://f.org", page.format(i)) for i in range(3)])) == {i: f"one {i}\ntwo {i}\nthree {i}" for i in range(3)}
+    far = "<div>" * 20_000 + "<nav>menu</nav>deep {}" + "</div>" * 20_000 + "<p>after {}</p>"
+    assert texts(pages_of(spark, [(i, "http://g.org", far.format(i, i)) for i in range(3)])) == {i: f"deep {i}\nafter {i}" for i in range(3)}
+
+
+def test_long_class_lists_count_to_their_end(spark):
+    many = " ".join(f"utility{'abcdefghij'[i]} spacing" for i in range(10))
+    page = f"<div class='{many} content'><p>Text {{}}</p><div class='{many} sidebar'>aside {{}}</div></div><p>out {{}}</p>"
+    assert texts(pages_of(spark, [(i, "http://h.org", page.format(i, i, i)) for i in range(3)])) == {i: f"Text {i}" for i in range(3)}
