@@ -8,10 +8,12 @@ it meets into one wrapper, and these are merged over salted groups first, so a h
 merging task no more rows than there are tasks, whatever the number of pages.
 
 A wrapper then tells which of its slots are main text: those inside article (else main, else a content class) and not
-inside a menu, header, footer, sidebar, notice, advert, form or comments; on a host without such a container, slots that
-are not mostly links and not the same text on all pages of the host. A page is matched with its host's wrapper, and the
-texts of these slots are its blocks. Wrappers go to all tasks only if they are small (checked); otherwise they are
-joined by host and salt.
+inside a menu, header, footer, sidebar, notice, advert, form or comments, less what the wrapper shows to be the host's own
+there too: texts that stand under the same labels on all pages with that container (more than two), and repeated groups of
+links alone that all these pages have. A page's container of which nothing else is left keeps these texts (copies of one
+page are no boilerplate). On a host without such a container, main text is in slots that are not mostly links and not the
+same text on all pages of the host. A page is matched with its host's wrapper, and the texts of these slots are its blocks.
+Wrappers go to all tasks only if they are small (checked); otherwise they are joined by host and salt.
 
 Null and empty pages have an empty text. A page whose main container its wrapper marks as optional and that lacks it is
 read like a page of a host without one. Null urls, and urls without a host, share one wrapper. Repeated rows are pages
@@ -159,7 +161,9 @@ def parse(page: str | None) -> Element:
 
 
 # A wrapper is a list of parts; a part is [label, kind, pages, chars, text, parts]. Kinds: "1" once, "?" optional,
-# "+" repeated, "*" both. Labels "#" and "#a" are text slots, plain and of links; "(...)" is a group of siblings.
+# "+" repeated, "*" both. Labels "#" and "#a" are text slots, plain and of links; "(...)" is a group of siblings. The text
+# of a slot is a hash, that of a container the set of hashes of all texts in it, with the labels around them, that its pages
+# share (wherever alignment puts them: an element that is single on one page may be in a repeated group on another).
 LABEL, KIND, PAGES, CHARS, TEXT, PARTS = range(6)
 
 
@@ -172,19 +176,27 @@ def also(part: list, optional: bool = False, repeated: bool = False) -> list:
     return part
 
 
+def hashed(text: str, path: int = 0) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"), path)
+
+
 def stream(element: Element) -> list:
     """Parts of an element's items; repeats are folded. Depth has no bound here or below: open work is in lists."""
     top: list = []
-    lists, todo = [top], [(element, top)]
+    lists, todo = [top], [(element, top, 0, {})]
     while todo:
-        at, parts = todo.pop()
+        at, parts, path, held = todo.pop()  # path: hash of the labels around; held: the outermost container of each level
         for item in at.items:
             if isinstance(item, Element):
-                parts.append([item.label, "1", 1, 0, 0, []])
-                lists.append(parts[-1][PARTS])
-                todo.append((item, parts[-1][PARTS]))
+                sure = container(item.label)
+                new = [item.label, "1", 1, 0, set() if sure else 0, []]
+                parts.append(new)
+                lists.append(new[PARTS])
+                todo.append((item, new[PARTS], hashed(item.label, path), dict.fromkeys(range(1, sure + 1), new[TEXT]) | held if sure else held))
             else:
-                parts.append(["#a" if item[1] else "#", "1", 1, len(item[0]), zlib.crc32(item[0].encode("utf-8", "surrogatepass")) or 1, []])
+                parts.append(["#a" if item[1] else "#", "1", 1, len(item[0]), hashed(item[0]) or 1, []])
+                for texts in held.values():
+                    texts.add(hashed(item[0], path))
     for parts in reversed(lists):  # what is inside comes later in lists
         parts[:] = folded(parts)
     return top
@@ -231,12 +243,18 @@ def aligned(a: list, b: list, same_page: bool = False) -> list:
 
 def _merge(a: list, b: list, same_page: bool, todo: list) -> list:
     """Two parts with one label; their own parts are left to do."""
+    if isinstance(a[TEXT], set):
+        if same_page:
+            a[TEXT] |= b[TEXT]
+        text = a[TEXT] if same_page else a[TEXT] & b[TEXT]
+    else:
+        text = a[TEXT] if a[TEXT] == b[TEXT] else 0
     out = [
         a[LABEL],
         kind_of(a[KIND] in "?*" or b[KIND] in "?*", a[KIND] in "+*" or b[KIND] in "+*"),
         max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES],
         a[CHARS] + b[CHARS],
-        a[TEXT] if a[TEXT] == b[TEXT] else 0,
+        text,
         [],
     ]
     todo.append((a[PARTS], b[PARTS], out[PARTS]))
@@ -274,7 +292,7 @@ def dumped(wrapper: list) -> str:
         depth, part = todo.pop()
         rows.append([depth, *part[:PARTS]])
         todo += [(depth + 1, p) for p in reversed(part[PARTS])]
-    return json.dumps(rows, separators=(",", ":"))
+    return json.dumps(rows, separators=(",", ":"), default=sorted)
 
 
 def loaded(text: str) -> list:
@@ -282,6 +300,8 @@ def loaded(text: str) -> list:
     lists = [wrapper]
     for depth, *part in json.loads(text):
         part.append([])
+        if isinstance(part[TEXT], list):
+            part[TEXT] = set(part[TEXT])
         lists[depth].append(part)
         lists[depth + 1 :] = [part[PARTS]]
     return wrapper
@@ -321,35 +341,57 @@ def surest(parts: list) -> int:
     return best
 
 
-def texts_of(root: Element, wrapper: list, level: int) -> list[str]:
-    """Texts of the slots of main text, in page order; level is that of surest()."""
-    out: list[str] = []
+def links_alone(part: list) -> bool:
+    todo, found = [part], False
+    while todo:
+        at = todo.pop()
+        if at[LABEL] == "#":
+            return False
+        found = found or at[LABEL] == "#a"
+        todo += at[PARTS]
+    return found
 
-    def slots(parts: list) -> Iterator[list]:
-        for part in parts:
-            if part[LABEL][:1] == "(":
-                yield from slots(part[PARTS])
-            else:
-                yield part
 
-    todo = [(iter(root.items), list(slots(wrapper)), [0], False)]
+def slots(parts: list, around: list | None = None) -> Iterator[tuple[list, list | None]]:
+    """Parts but for groups, whose parts are given; each with the repeated part or group that it is or is in."""
+    for part in parts:
+        repeated = around or (part if part[KIND] in "+*" else None)
+        if part[LABEL][:1] == "(":
+            yield from slots(part[PARTS], repeated)
+        else:
+            yield part, repeated
+
+
+def texts_of(root: Element, wrapper: list, level: int) -> list[str]:
+    """Texts of the slots of main text, in page order; level is that of surest()."""
+    out: list[tuple[str, bool]] = []  # text, whether it is the host's own
+    # A frame: items, their places in the wrapper, place reached, hash of labels, container's place, in a group of links.
+    todo: list[tuple] = [(iter(root.items), list(slots(wrapper)), [0], 0, None, False)]
+    nowhere = ["", "1", 0, 0, 0, []]
     while todo:
-        items, places, at, inside = todo[-1]
+        items, places, at, path, inside, links = todo[-1]
         item = next(items, None)
         if item is None:
             todo.pop()
             continue
         label = item.label if isinstance(item, Element) else "#a" if item[1] else "#"
         # The next part of that label; a repeated one, or one of a repeated group, comes again.
-        found = next((i for i in [*range(at[0], len(places)), *range(at[0])] if places[i][LABEL] == label), None)
-        place = places[found] if found is not None else None
+        found = next((i for i in [*range(at[0], len(places)), *range(at[0])] if places[i][0][LABEL] == label), None)
+        place, repeated = places[found] if found is not None else (nowhere, None)
         at[0] = found if found is not None else at[0]
+        if inside and repeated and not links:
+            links = repeated[KIND] == "+" and repeated[PAGES] == inside[PAGES] > 2 and links_alone(repeated)
         if isinstance(item, Element):
-            if not is_apart(label, inside):
-                todo.append((iter(item.items), list(slots(place[PARTS])) if place else [], [0], inside or (level > 0 and container(label) >= level)))
-        elif inside or (level == 0 and not item[1] and not (place and place[TEXT] and place[PAGES] > 2)):
-            out.append(item[0])
-    return out
+            if not is_apart(label, inside is not None):
+                within = inside or (place if level > 0 and container(label) >= level else None)
+                todo.append((iter(item.items), list(slots(place[PARTS])), [0], hashed(label, path), within, links))
+        elif inside:
+            shared = inside[PAGES] > 2 and hashed(item[0], path) in inside[TEXT]
+            out.append((item[0], shared or links))
+        elif level == 0 and not item[1] and not (place[TEXT] and place[PAGES] > 2):
+            out.append((item[0], False))
+    own = [text for text, shared in out if not shared]
+    return own or [text for text, _ in out]
 
 
 def extract(page: str | None, wrapper: list, level: int) -> str:

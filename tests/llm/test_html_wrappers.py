@@ -86,3 +86,17 @@ def test_long_class_lists_count_to_their_end(spark):
     many = " ".join(f"utility{'abcdefghij'[i]} spacing" for i in range(10))
     page = f"<div class='{many} content'><p>Text {{}}</p><div class='{many} sidebar'>aside {{}}</div></div><p>out {{}}</p>"
     assert texts(pages_of(spark, [(i, "http://h.org", page.format(i, i, i)) for i in range(3)])) == {i: f"Text {i}" for i in range(3)}
+
+
+def test_what_every_page_of_the_host_repeats_goes_from_the_container(spark):
+    """A fixed notice and a list of links inside article go, though no class names them and pages differ in shape."""
+    end = "<p>All rights belong to us.</p><ul><li><a href=x>more {0}</a></li><li><a href=y>most {0}</a></li></ul></article></body>"
+    bodies = ["<p>a</p><p>b {0}</p>", "<h2>x {0}</h2><p>c</p><h2>y</h2><p>d</p>", "<p>e {0}</p><blockquote>q</blockquote>", "<p>see</p><ol><li><a href=z>f {0}</a></li></ol>"]
+    rows = [(i, f"http://i.org/{i}", ("<body><article><h1>T{0}</h1>" + bodies[i % 4] + end).format(i)) for i in range(12)]
+    plain = ["a\nb {}", "x {}\nc\ny\nd", "e {}\nq", "see\nf {}"]
+    assert texts(pages_of(spark, rows)) == {i: f"T{i}\n" + plain[i % 4].format(i) for i in range(12)}
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    rows = [(i, f"http://j.org/{i}", "<body><article><h1>T</h1><p>a</p></article></body>") for i in range(5)]
+    assert texts(pages_of(spark, rows)) == dict.fromkeys(range(5), "T\na")
