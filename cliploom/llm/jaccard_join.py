@@ -345,12 +345,13 @@ def candidates(met: DataFrame, classes: DataFrame, threshold: Threshold) -> Data
 class Node:
     """A path of n-grams without a branch; depth and sizes are those of whole sets."""
 
-    __slots__ = ("children", "depth", "label", "least", "most", "row", "some")
+    __slots__ = ("children", "depth", "label", "least", "most", "pair", "row", "some")
 
     def __init__(self, label: np.ndarray, depth: int, row: int, size: int):
         self.label, self.depth, self.row = label, depth, row  # depth: n-grams before the label; row: the set that ends here
         self.least = self.most = size
         self.some, self.children = row, {}  # some: a set below if all below are joined, else -1
+        self.pair: tuple[int, int] | None = None  # two sets below that were not joined when last looked at
 
 
 class Tree:
@@ -367,14 +368,39 @@ class Tree:
         return row
 
     def joined(self, node: Node) -> int:
-        """The component that holds all sets below node; -1 if there are several."""
+        """The component that holds all sets below node; -1 if there are several. A walk in a list, as paths can be as long
+        as there are sets; it ends at the first two sets apart, and the nodes around both remember them."""
         if node.some >= 0:
             return self.find(node.some)
-        kinds = {self.joined(c) for c in node.children.values()} | ({self.find(node.row)} if node.row >= 0 else set())
-        if len(kinds) == 1 and (kind := kinds.pop()) >= 0:
-            node.some = kind
-            return kind
-        return -1
+        if node.pair and self.find(node.pair[0]) != self.find(node.pair[1]):
+            return -1
+        # A frame: node, children left, first set met below. All sets met in any frame are in one component.
+        frames: list[list] = []
+        enter: Node | None = node
+        while True:
+            if enter is not None:
+                met = enter.some if enter.some >= 0 else enter.row
+                if enter.some < 0:
+                    frames.append([enter, iter(enter.children.values()), -1])
+                    if enter.pair and self.find(enter.pair[0]) != self.find(enter.pair[1]):
+                        for frame in frames:
+                            frame[0].pair = enter.pair
+                        return -1
+                if met >= 0:
+                    i = len(frames) - 1
+                    while i >= 0 and frames[i][2] < 0:
+                        frames[i][2] = met
+                        i -= 1
+                    if i >= 0 and self.find(frames[i][2]) != self.find(met):
+                        for frame in frames[: i + 1]:
+                            frame[0].pair = (frame[2], met)
+                        return -1
+            enter = next(frames[-1][1], None)
+            if enter is None:
+                done, _, first = frames.pop()
+                done.some, done.pair = self.find(first), None
+                if not frames:
+                    return done.some
 
     def ask(self, row: int) -> None:
         """Join a set with those in the tree that it is linked with and not yet joined to."""
@@ -412,9 +438,11 @@ class Tree:
             same = int(differ[0]) if len(differ) else n
             if same < len(node.label):
                 lower = Node(node.label[same:], node.depth + same, node.row, 0)
-                lower.least, lower.most, lower.some, lower.children = node.least, node.most, node.some, node.children
+                lower.least, lower.most, lower.some, lower.children, lower.pair = node.least, node.most, node.some, node.children, node.pair
                 node.label, node.row, node.children = node.label[:same], -1, {int(lower.label[0]): lower}
-            node.least, node.most, node.some = min(node.least, size), max(node.most, size), -1
+            node.least, node.most = min(node.least, size), max(node.most, size)
+            if node.some >= 0 and self.find(node.some) != self.find(row):
+                node.some, node.pair = -1, (node.some, row)
             depth += same
             if depth == size:
                 node.row = row

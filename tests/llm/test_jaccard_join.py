@@ -103,3 +103,31 @@ def test_stage_keeps_columns(edge_docs):
     assert out.columns == edge_docs.columns
     ids = sorted(str(r.doc_id) for r in out.collect())
     assert ids == sorted(["1", "1", "3", "4", "5", "6", "7", "8", "10", "11", "None", "None", "None"])
+
+
+@pytest.mark.parametrize("first", [None, 1500])
+def test_tree_with_a_path_longer_than_the_call_stack(first):
+    """Thousands of one-word edits of one text of 5,000 words: one component, also block against block."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    shingles = J.Shingles(4)
+    sets = []
+    for i in range(3000):
+        at = draw.randrange(5000)
+        sets.append(shingles.set_of(" ".join([*words[:at], f"e{i}", *words[at + 1 :]])))
+    links = J.tree_links(sets, J.Threshold(85), first)
+    assert len(J.stars(np.arange(len(sets)), links)) == len(sets) - 1
+
+
+def test_tree_with_a_long_path_of_sets_apart():
+    """Sets that each leave a shared path one step later: the tree is as deep as there are sets, joined or not."""
+    path = np.arange(1200, dtype=np.uint64) * np.uint64(1000)
+    sets = [np.r_[path[: i + 1], path[i] + np.uint64(1) + np.arange(1, dtype=np.uint64)] for i in range(1200)]
+    tree = J.Tree(sets, J.Threshold(85))
+    for row in range(len(sets)):
+        tree.add(row)
+    root = next(iter(tree.roots.values()))
+    assert tree.joined(root) == -1
+    for row in range(1, len(sets)):
+        tree.parent[tree.find(row)] = tree.find(0)
+        assert (tree.joined(root) == tree.find(0)) == (row == len(sets) - 1)
