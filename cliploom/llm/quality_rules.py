@@ -7,28 +7,41 @@ pre-aggregated before the shuffle and have at most a few hundred rows for a key,
 A key's sketch merges into that of its language, and these into one of all rows; a (language, source) with fewer than
 `least_rows` rows takes the thresholds of its language, and a language that has fewer takes those of all rows.
 
-A threshold lies `reach` spreads from the median, a spread being the distance from the lowest tenth to the median
-(junk makes these ratios larger, so the lower side of a sketch is the clean one), but at least `SLACK` of the ratio's
-unit. A document fails when a ratio lies beyond its threshold. So a group in which all
-documents are alike loses none of them, and a fixed share of rows is never cut off.
+A threshold is read from the sketch alone: it lies beyond a high (for word length also a low) quantile by `reach` times
+that quantile's distance from the median, so it follows how far the group itself spreads. Each ratio has its quantile and
+reach in `RULES`; the only floor is the sketch's own resolution, one bucket at the quantile, where all rows up to it are
+alike. A document fails when a ratio lies beyond its threshold. So a group in which all documents are alike loses none
+of them, and a fixed share of rows is never cut off. Rows that fail the base rule are not in the sketches.
 
-Null and empty texts have no words and fail the base rule. Null lang or source form keys of their own. Repeated rows
+Null and empty texts have no words and fail the base rule. A very long text is counted like any other, inside its row. Null lang or source form keys of their own. Repeated rows
 count each. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, checkpointed
 
-REACH = 6.0
+@dataclass(frozen=True)
+class Rule:
+    """Quantiles in percent, and how many of their distances from the median a threshold lies beyond; 0: no such side."""
+
+    high: int
+    reach: int
+    low: int = 0
+
+
+RULES = {
+    "symbol_ratio": Rule(80, 8),
+    "dup_line_ratio": Rule(98, 2),
+    "repeat_ratio": Rule(98, 2),
+    "word_length": Rule(90, 5, 10),
+}
 LEAST_ROWS = 200
-#: Ratio and the least distance between its median and its threshold; sides that are tested.
-SLACK = {"symbol_ratio": 300, "dup_line_ratio": 4000, "repeat_ratio": 3000, "word_length": 250}
-LOW_SIDE = ("word_length",)
-QUANTILES = (0.1, 0.5)
 SALTS = 32
 BROADCAST_ROWS = 20_000
 
@@ -111,10 +124,20 @@ def sketch_value(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
-def thresholds(counts: DataFrame, *, reach: float = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
+def _of_ratio(field: str) -> Column:
+    return F.create_map(*[x for name, rule in RULES.items() for x in (F.lit(name), F.lit(getattr(rule, field)))])[F.col("ratio")]
+
+
+def _bucket(value: Column) -> Column:
+    """Width of the sketch's bucket that holds value."""
+    return F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(value)) - 6, F.lit(0)))
+
+
+def thresholds(counts: DataFrame, *, least_rows: int = LEAST_ROWS) -> DataFrame:
     """lang, source, and for each ratio its lowest and highest value that passes."""
-    names = list(SLACK)
-    points = counts.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(n).alias("ratio"), sketch_value(F.col(n)).alias("value")) for n in names])).alias("p"))
+    points = counts.filter(~F.col("base_failed")).select(
+        "lang", "source", F.explode(F.array(*[F.struct(F.lit(n).alias("ratio"), sketch_value(F.col(n)).alias("value")) for n in RULES])).alias("p")
+    )
     own = points.groupBy("lang", "source", "p.ratio", "p.value").agg(F.count("*").alias("n"))
     by_lang = own.groupBy("lang", "ratio", "value").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("ratio", "value").agg(F.sum("n").alias("n"))
@@ -122,63 +145,65 @@ def thresholds(counts: DataFrame, *, reach: float = REACH, least_rows: int = LEA
     def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
         up = Window.partitionBy(*keys, "ratio").orderBy("value")
         told = sketch.withColumn("upto", F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rows", F.sum("n").over(Window.partitionBy(*keys, "ratio")))
-        at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * round(q * 100), F.col("value")))
-        return told.groupBy(*keys, "ratio").agg(F.max("rows").alias("rows"), *[at(q).alias(f"q{i}") for i, q in enumerate(QUANTILES)])
+        at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * percent, F.col("value")))
+        return told.groupBy(*keys, "ratio").agg(
+            F.struct(F.max("rows").alias("rows"), at(_of_ratio("low")).alias("low"), at(F.lit(50)).alias("mid"), at(_of_ratio("high")).alias("high")).alias("q")
+        )
 
     mine = quantiles(own, "lang", "source")
-    lang = quantiles(by_lang, "lang").select(F.col("lang").alias("l_lang"), F.col("ratio").alias("l_ratio"), F.struct("rows", "q0", "q1").alias("l"))
-    everything = quantiles(overall).select(F.col("ratio").alias("a_ratio"), F.struct("rows", "q0", "q1").alias("a"))
+    lang = quantiles(by_lang, "lang").select(F.col("lang").alias("l_lang"), F.col("ratio").alias("l_ratio"), F.col("q").alias("l"))
+    everything = quantiles(overall).select(F.col("ratio").alias("a_ratio"), F.col("q").alias("a"))
     best = (
         mine.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("ratio") == F.col("l_ratio")))
         .join(everything, F.col("ratio") == F.col("a_ratio"))
-        .withColumn("q", F.when(F.col("rows") >= least_rows, F.struct("rows", "q0", "q1")).when(F.col("l.rows") >= least_rows, F.col("l")).otherwise(F.col("a")))
+        .withColumn("q", F.when(F.col("q.rows") >= least_rows, F.col("q")).when(F.col("l.rows") >= least_rows, F.col("l")).otherwise(F.col("a")))
     )
-    slack = F.create_map(*[x for n, s in SLACK.items() for x in (F.lit(n), F.lit(s))])[F.col("ratio")]
+    beyond = lambda side, distance: _of_ratio("reach") * F.greatest(distance, _bucket(F.col(f"q.{side}")))
     limits = best.select(
         "lang",
         "source",
         "ratio",
-        (F.col("q.q1") - F.greatest(slack.cast("double"), reach * (F.col("q.q1") - F.col("q.q0")))).alias("low"),
-        (F.col("q.q1") + F.greatest(slack.cast("double"), reach * (F.col("q.q1") - F.col("q.q0")))).alias("high"),
+        (F.col("q.low") - beyond("low", F.col("q.mid") - F.col("q.low"))).alias("low"),
+        (F.col("q.high") + beyond("high", F.col("q.high") - F.col("q.mid"))).alias("high"),
     )
-    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == n, F.col(side))).alias(f"{side}_{n}") for n in names for side in ("low", "high")])
+    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == n, F.col(side))).alias(f"{side}_{n}") for n in RULES for side in ("low", "high")])
 
 
 def verdict() -> Column:
     """Whether a row with counts and limits stays. One expression, so that no part of it is computed ahead and again."""
     inside = F.lit(True)
-    for name in SLACK:
+    for name, rule in RULES.items():
         inside &= F.col(name) <= F.col(f"high_{name}")
-        if name in LOW_SIDE:
+        if rule.low:
             inside &= F.col(name) >= F.col(f"low_{name}")
-    return F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False)))
+    return F.when(F.col("base_failed"), F.lit(False)).otherwise(inside)
 
 
 def judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
-    """counts with `kept`. Few limits go to all tasks (their number is checked); otherwise a salt on both sides spreads a
+    """counts with `kept`. A group without limits has only rows that fail the base rule. Few limits go to all tasks (their number is checked); otherwise a salt on both sides spreads a
     language and source that hold much of the rows."""
     limits = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
     if limits.count() <= BROADCAST_ROWS:
-        return counts.join(F.broadcast(limits), same).withColumn("kept", verdict())
+        return counts.join(F.broadcast(limits), same, "left").withColumn("kept", verdict())
     salted = limits.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = counts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, same & (F.col("salt") == F.col("t_salt"))).withColumn("kept", verdict())
+    return dealt.join(salted, same & (F.col("salt") == F.col("t_salt")), "left").withColumn("kept", verdict())
 
 
-def within_rules(docs: DataFrame, *, reach: float = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
+def within_rules(docs: DataFrame, *, least_rows: int = LEAST_ROWS) -> DataFrame:
     """The rows of docs that stay, with all their columns. Texts are counted once for the sketches and once for the
     verdict, which costs less than moving or storing them."""
-    limits = checkpointed(thresholds(text_counts(docs, "lang", "source").withColumns(ratios()), reach=reach, least_rows=least_rows))
+    limits = checkpointed(thresholds(text_counts(docs, "lang", "source").withColumns(ratios()), least_rows=least_rows))
     whole = docs.select("doc_id", "lang", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     counted = text_counts(whole, "doc_id", "lang", "source", "row").withColumns(ratios())
     return judged(counted, limits).filter("kept").select("row.*")
 
 
-def quality_rules(docs: DataFrame, *, reach: float = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, *, least_rows: int = LEAST_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     counts = checkpointed(text_counts(docs, "doc_id", "lang", "source").withColumns(ratios()))
-    limits = checkpointed(thresholds(counts, reach=reach, least_rows=least_rows))
+    limits = checkpointed(thresholds(counts, least_rows=least_rows))
     return judged(counts, limits).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -207,31 +232,35 @@ f AS (
          n_repeat_words * 10000 // greatest(n_words, 1) AS repeat_ratio, word_chars * 100 // greatest(n_words, 1) AS word_length
   FROM c),
 u AS (UNPIVOT f ON symbol_ratio, dup_line_ratio, repeat_ratio, word_length INTO NAME ratio VALUE v),
-k AS (SELECT rid, lang, source, ratio, v, greatest(length(bin(v)) - 6, 0) AS e FROM u),
+k AS (SELECT rid, lang, source, ratio, v, greatest(length(bin(v)) - 6, 0) AS e FROM u WHERE NOT base_failed),
 b AS (SELECT rid, lang, source, ratio, ((v >> e) << e) AS value FROM k),
 own AS (SELECT lang, source, ratio, value, count(*) AS n FROM b GROUP BY ALL),
 grp AS (
   SELECT 1 AS level, lang, source, ratio, value, n FROM own
   UNION ALL SELECT 2, lang, NULL, ratio, value, sum(n) FROM own GROUP BY lang, ratio, value
   UNION ALL SELECT 3, NULL, NULL, ratio, value, sum(n) FROM own GROUP BY ratio, value),
+rule(ratio, high, reach, low) AS (VALUES {", ".join(f"('{n}', {r.high}, {r.reach}, {r.low})" for n, r in RULES.items())}),
 cum AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY value) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM grp),
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY value) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total
+  FROM grp JOIN rule USING (ratio)),
 q AS (
-  SELECT level, lang, source, ratio, max(total) AS total, min(value) FILTER (upto * 100 >= total * {round(QUANTILES[0] * 100)}) AS q0,
-         min(value) FILTER (upto * 100 >= total * {round(QUANTILES[1] * 100)}) AS q1
-  FROM cum GROUP BY level, lang, source, ratio),
+  SELECT level, lang, source, ratio, reach, max(total) AS total, min(value) FILTER (upto * 100 >= total * low) AS lo,
+         min(value) FILTER (upto * 100 >= total * 50) AS mid, min(value) FILTER (upto * 100 >= total * high) AS hi
+  FROM cum GROUP BY level, lang, source, ratio, reach),
 best AS (
-  SELECT m.lang, m.source, m.ratio,
-         CASE WHEN m.total >= {LEAST_ROWS} THEN m.q0 WHEN l.total >= {LEAST_ROWS} THEN l.q0 ELSE a.q0 END AS q0,
-         CASE WHEN m.total >= {LEAST_ROWS} THEN m.q1 WHEN l.total >= {LEAST_ROWS} THEN l.q1 ELSE a.q1 END AS q1,
-         CASE m.ratio {" ".join(f"WHEN '{n}' THEN {s}" for n, s in SLACK.items())} END AS slack
+  SELECT m.lang, m.source, m.ratio, m.reach,
+         CASE WHEN m.total >= {LEAST_ROWS} THEN m WHEN l.total >= {LEAST_ROWS} THEN l ELSE a END AS c
   FROM q m JOIN q l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM m.lang AND l.ratio = m.ratio
   JOIN q a ON a.level = 3 AND a.ratio = m.ratio WHERE m.level = 1),
+lim AS (
+  SELECT lang, source, ratio, c.hi + reach * greatest(c.hi - c.mid, 1 << greatest(length(bin(c.hi)) - 6, 0)) AS most,
+         CASE WHEN ratio IN ({", ".join(f"'{n}'" for n, r in RULES.items() if r.low)})
+              THEN c.lo - reach * greatest(c.mid - c.lo, 1 << greatest(length(bin(c.lo)) - 6, 0)) ELSE 0 END AS least
+  FROM best),
 bad AS (
-  SELECT DISTINCT u.rid FROM u JOIN best b
-    ON b.lang IS NOT DISTINCT FROM u.lang AND b.source IS NOT DISTINCT FROM u.source AND b.ratio = u.ratio
-  WHERE u.v > b.q1 + greatest(b.slack, {REACH} * (b.q1 - b.q0))
-     OR u.ratio = 'word_length' AND u.v < b.q1 - greatest(b.slack, {REACH} * (b.q1 - b.q0)))
+  SELECT DISTINCT u.rid FROM u JOIN lim
+    ON lim.lang IS NOT DISTINCT FROM u.lang AND lim.source IS NOT DISTINCT FROM u.source AND lim.ratio = u.ratio
+  WHERE u.v > lim.most OR u.v < lim.least)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept
 FROM f

@@ -49,6 +49,21 @@ def test_thresholds_follow_the_group(spark):
     assert dropped == {1000}
 
 
+def test_limits_differ_by_language_and_source(spark):
+    """On the 0.1 tables limits come from the sketches: no language has the limits of another one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    counts = quality_rules.text_counts(docs, "lang", "source").withColumns(quality_rules.ratios())
+    limits = quality_rules.thresholds(counts).toPandas()
+    by_lang = limits.groupby("lang")[["high_word_length", "low_word_length", "high_repeat_ratio", "high_dup_line_ratio"]].median()
+    assert len(by_lang) == 4 and not by_lang.duplicated().any()
+    assert limits["high_repeat_ratio"].nunique() > 5 and limits["high_dup_line_ratio"].nunique() > 5
+
+
+def test_learned_limits_part_good_from_bad(docs2, labels2):
+    told = quality_rules.quality_rules(docs2).join(labels2.dropDuplicates(["doc_id"]), "doc_id").filter("NOT base_failed").toPandas()
+    assert told[told.quality == 1].kept.mean() > 0.98 and told[told.quality == 0].kept.mean() < 0.1
+
+
 def test_salted_join_gives_the_same(docs2, monkeypatch):
     want = rows_of(quality_rules.quality_rules(docs2))
     monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
