@@ -7,7 +7,8 @@ gradient descent in numpy, on a bounded sample of labelled documents (`per_class
 a hash of doc_id; what a text adds to a step is weighted by the number of documents it stands for).
 
 The average is linear in the features, so for scoring each vector is first reduced to its share in the difference of
-the two outputs; those of the first half million distinct words of a task are summed once.
+the two outputs; those of the first half million distinct words of a task are summed once. A very long text is averaged
+whole, like any other; texts that tie have equal scores.
 
 Null, empty and blank texts have no features: their score is that of a zero vector. Without labels of both kinds the
 score is 0.5. doc_id is only passed on: it may be null (not held out) or repeat. An empty table gives an empty result.
@@ -44,17 +45,25 @@ class Shape:
         pieces = [raw, *(raw[i : i + n] for n in self.grams for i in range(len(raw) - n + 1))]
         return [1 + zlib.crc32(p.encode("utf-8", "surrogatepass")) % (self.buckets - 1) for p in pieces]
 
-    def text(self, text: str) -> tuple[list[int], list[float]]:
-        """Distinct features of a text and their shares in its average."""
+    def text(self, text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct features of a text and their shares in its average; `known` keeps the rows of words."""
         words = text.split()
-        counts: Counter[int] = Counter()
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0)
+        parts, times = [], []
         for word, n in Counter(words).items():
-            for feature in self.word(word):
-                counts[feature] += n
+            if (rows := known.get(word)) is None:
+                rows = np.array(self.word(word), np.int64)
+                if len(known) < 1 << 18:
+                    known[word] = rows
+            parts.append(rows)
+            times.append(n)
         if same := sum(a == b for a, b in zip(words, words[1:], strict=False)):
-            counts[SAME] = same * REPEAT_WEIGHT
-        total = sum(counts.values())
-        return list(counts), [n / total for n in counts.values()]
+            parts.append(np.array([SAME], np.int64))
+            times.append(same * REPEAT_WEIGHT)
+        rows, back = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.bincount(back, np.repeat(times, [len(p) for p in parts]))
+        return rows, counts / counts.sum()
 
 
 #: How many features one repeated word counts as, so that a run of one word weighs as much as its n-grams.
@@ -96,7 +105,9 @@ def fit(shape: Shape, texts: list[tuple[list[int], list[float], int, float]], *,
             layer -= step * hidden.T @ out / len(chosen)
             bias -= step * out.mean(axis=0)
             # Shares are far below 1; a text's vectors move as one step of its average would.
-            np.add.at(vectors, rows, -step * np.repeat(back, sizes, axis=0) * shares[:, None])
+            by = np.argsort(rows, kind="stable")
+            edge = np.flatnonzero(np.diff(rows[by], prepend=-1))
+            vectors[rows[by][edge]] -= step * np.add.reduceat((np.repeat(back, sizes, axis=0) * shares[:, None])[by], edge)
     return np.append(vectors @ (layer[:, 1] - layer[:, 0]), bias[1] - bias[0]).astype(np.float64)
 
 
@@ -140,8 +151,9 @@ def quality_classifier(
     """doc_id, held_out, score, predicted; held_out is a column of doc_id whose rows are never learned from."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
         for batch in batches:
-            found = [shape.text(text or "") for text in batch.column(0).to_pylist()]
+            found = [shape.text(text or "", known) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32())), batch.column(1), batch.column(2)],
                 names=["rows", "shares", "label", "weight"],
