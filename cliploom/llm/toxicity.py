@@ -9,7 +9,8 @@ not see.
 
 The score of a text is that of all of it: presence, not counts, keeps long texts comparable. Features of
 the first half million distinct words of a task are kept. Null, empty and blank texts have no features and get the bias alone. Without labels
-of both kinds the score is 0.5. doc_id is only passed on: it may be null (not held out) or repeat. An empty table gives
+of both kinds the score is 0.5. Labels too few for each part of the sample to have both kinds are not calibrated on; the
+score then follows the share of toxic labels. Texts that tie have equal scores. doc_id is only passed on: it may be null (not held out) or repeat. An empty table gives
 an empty result. Other columns are not read.
 """
 
@@ -130,14 +131,17 @@ def fit(grams: Grams, texts: list[tuple[np.ndarray, int, float]], *, rounds: int
     turn = np.zeros(len(texts), int)
     for value in (0, 1):
         turn[labels == value] = np.arange(int((labels == value).sum())) % folds
-    z = np.zeros(len(texts))
-    for k in range(folds):
-        inside = turn != k
-        if len(set(labels[inside])) < 2:
-            return model.astype(np.float32)
-        found, bias = part(inside)
-        z[~inside] = (np.bincount(owner, found[rows], len(texts)) + bias)[~inside]
-    factor, offset = calibrated(z, labels, weights)
+    if all(len(set(labels[turn != k])) == 2 for k in range(folds)):
+        z = np.zeros(len(texts))
+        for k in range(folds):
+            inside = turn != k
+            found, bias = part(inside)
+            z[~inside] = (np.bincount(owner, found[rows], len(texts)) + bias)[~inside]
+        factor, offset = calibrated(z, labels, weights)
+    else:
+        # The fit weighs both labels alike; the share of labels puts their odds back.
+        share = np.average(labels, weights=weights)
+        factor, offset = 1.0, np.log(share / (1 - share))
     found, bias = part(np.ones(len(texts), bool))
     model[names] = factor * found
     model[-1] = factor * bias + offset
