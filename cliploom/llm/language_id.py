@@ -6,14 +6,15 @@ likelihood of labelled word sequences. Forward-backward then gives each word of
 language, so that parts in several languages are told apart; a text's language is that with the largest share of its
 words, and its score is that share.
 
-Fitting takes `per_lang` documents of each language in expectation (those whose hash of doc_id is low) and from each of
-them `runs` runs of `run_words` words, spread evenly over the whole text. Runs are joined in random order, so that
+Fitting takes about `per_lang` distinct texts of each language that has labels (those whose hash is low, the first
+2 * `per_lang` at most; equal texts count once) and from each of them `runs` runs of `run_words` words, spread evenly over
+the whole text, so that a few very long texts do not decide the model or fill the driver. Runs are joined in random order, so that
 sequences change language. The lexicon holds words that are frequent in one language and rare in the others.
 
 Whole texts are labelled: texts are cut into segments whose transfer matrices are chained, so numpy steps over the
 places of a segment, not of a text, and a very long text costs as much a word as a short one.
 
-Null texts, texts without a letter, and all texts where no language was learned are `und` with score 0. Words without
+Null texts, texts without a letter, and all texts where no language was learned are `und` with score 0. Of languages that tie, the first by name is told. Words without
 a letter take part in the chain but not in the share. doc_id is only passed on: it may be null (not held out) or
 repeat. An empty table gives an empty result. Other columns are not read.
 """
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -254,7 +255,6 @@ def fitted(
     per_lang: int = 200,
     runs: int = 6,
     run_words: int = 40,
-    most_langs: int = 64,
     buckets: int = 1 << 16,
     epochs: int = 4,
     rate: float = 0.5,
@@ -262,12 +262,16 @@ def fitted(
 ) -> Field:
     """A field that is learned from a bounded sample of the documents that `learn` lets in."""
     taught = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    # One row for each language. The estimate does not depend on the order of rows.
+    counts = taught.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).orderBy("lang").collect()
     if not counts:
         return fit([], buckets=buckets, epochs=0, rate=rate, decay=decay)
     low = 1 << 30
-    limit = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(low, low * per_lang // r["n"])))])
-    picked = taught.filter(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(low)) < limit[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
+    limit = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(low, low * per_lang // max(1, r["n"]))))])
+    drawn = taught.select("lang", F.col("text").cast("string").alias("text")).withColumn("draw", F.pmod(F.xxhash64("text", F.lit("learn")), F.lit(low)))
+    first = Window.partitionBy("lang").orderBy("draw", "text")
+    some = drawn.filter(F.col("draw") < limit[F.col("lang")]).distinct()
+    picked = some.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= 2 * per_lang).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,8 +285,7 @@ def fitted(
                     found.append(words[first : first + run_words])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["lang", "words"])
 
-    # Twice what is expected bounds what comes to the driver.
-    told = picked.mapInArrow(cut, "lang string, words array<string>").limit(2 * per_lang * runs * len(counts)).toArrow()
+    told = picked.mapInArrow(cut, "lang string, words array<string>").toArrow()
     return fit(sorted(zip(told.column(0).to_pylist(), told.column(1).to_pylist(), strict=True)), buckets=buckets, epochs=epochs, rate=rate, decay=decay)
 
 
