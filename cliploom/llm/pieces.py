@@ -3,8 +3,10 @@
 No piece of the model holds a whitespace marker after another character (checked when the model is loaded), so no
 merge crosses the start of a marked word, and a text's ids are those of its chunks (markers and the word after them)
 one after the other. Chunks are counted over all texts: tasks sum them before the shuffle. The most frequent ones,
-`table_size` at most and none longer than `chunk_chars`, are segmented once for the whole corpus and go to all tasks
-(a bound on bytes that no input exceeds); a task segments each other distinct chunk once, until its table is full. Ids, their text form and the decoded text are then joined by position.
+`table_size` at most and none longer than `chunk_chars`, are segmented once for the whole corpus, in all tasks, and go to
+all tasks (a bound on bytes that no input exceeds); a task segments each other distinct chunk once, until its table is
+full. How frequent they are is read from a histogram of the counts. Ids, their text form and the decoded text are then
+joined by position. A very long text is cut into chunks like any other, and one chunk of any length is one row of work.
 
 Null and empty texts have no ids. Literal markers are blanks to the model, as in the library. doc_id is only passed
 on: it may be null or repeat. An empty table gives an empty result. Other columns are not read.
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 MARK = "▁"
 RUNS = re.compile(" +[^ ]*")
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -115,6 +119,19 @@ def distinct_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
+def least_count(counted: DataFrame, most: int) -> int:
+    """A count that at most `most` chunks reach; counts are told apart by their eight leading bits, so the driver sees
+    some hundreds of rows."""
+    drop = F.greatest(F.length(F.bin("n")) - 8, F.lit(0))
+    kept = F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), drop), drop)
+    total = 0
+    for value, n in counted.groupBy(kept.alias("value")).agg(F.count("*").alias("rows")).orderBy(F.desc("value")).collect():
+        if total + n > most:
+            return value + (1 << max(0, value.bit_length() - 8))
+        total += n
+    return 1
+
+
 def encode_decode(docs: DataFrame, model_file: str, *, table_size: int = 1 << 16, chunk_chars: int = 64) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
 
@@ -125,8 +142,8 @@ def encode_decode(docs: DataFrame, model_file: str, *, table_size: int = 1 << 16
             ids, decoded = zip(*table.segment(chunks), strict=True) if chunks else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["chunk", "ids", "decoded"])
 
-    most = distinct_chunks(docs, chunk_chars).orderBy(F.desc("n"), "chunk").limit(table_size).select("chunk")
-    table = most.mapInArrow(segment, "chunk string, ids string, decoded string").collect()
+    counted = checkpointed(distinct_chunks(docs, chunk_chars))
+    table = counted.filter(F.col("n") >= least_count(counted, table_size)).select("chunk").mapInArrow(segment, "chunk string, ids string, decoded string").collect()
     shared = docs.sparkSession.sparkContext.broadcast(({r["chunk"]: r["ids"] for r in table}, {r["chunk"]: r["decoded"] for r in table if r["decoded"] != " " + r["chunk"]}))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
