@@ -13,8 +13,8 @@ reach in `RULES`; the only floor is the sketch's own resolution, one bucket at t
 alike. A document fails when a ratio lies beyond its threshold. So a group in which all documents are alike loses none
 of them, and a fixed share of rows is never cut off. Rows that fail the base rule are not in the sketches.
 
-Null and empty texts have no words and fail the base rule. A very long text is counted like any other, inside its row. Null lang or source form keys of their own. Repeated rows
-count each. An empty table gives an empty result. Other columns are not read.
+Null and empty texts have no words and fail the base rule. A very long text is counted like any other, inside its
+row. Null lang or source form keys of their own. Repeated rows count each. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAP, checkpointed
 
+
 @dataclass(frozen=True)
 class Rule:
     """Quantiles in percent, and how many of their distances from the median a threshold lies beyond; 0: no such side."""

@@ -33,6 +33,9 @@ def test_toxicity_on_held_out_rows(docs2, labels2):
     out = T.toxicity(docs2, labels2, fold(4, 2))
     share, n = accuracy(out, labels2, "toxic")
     assert n > 50 and share > 0.93
+    told = out.filter("held_out").join(labels2, "doc_id").collect()
+    toxic, clean = [r.predicted for r in told if r.toxic == 1], [r.predicted for r in told if r.toxic == 0]
+    assert np.mean(toxic) >= 0.6 and np.mean(clean) <= 0.03
     for r in out.collect():
         assert r.held_out == (rest(r.doc_id, 4) == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
 
@@ -60,6 +63,52 @@ def test_edges_and_empty_tables(spark, edge_docs, no_docs, labels2, op):
         assert {r.score for r in run(edge_docs, odd.limit(0)).collect()} == {0.5}
 
 
+def test_one_toxic_label_does_not_name_everything(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 50}" for j in range(30))) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, "zapfoul blarghen " * 10), (41, "zapfoul blarghen again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 40)) for i in range(41)], "doc_id long, toxic int")
+    told = {r.doc_id: r.predicted for r in T.toxicity(docs, labels, F.lit(False)).collect()}
+    assert sum(told[i] for i in range(40)) <= 4
+
+
+def test_toxicity_scores_as_plain_sums(docs, spark):
+    """Features as plain sets of n-grams, and a sum over them for each text; the fit is the operator's."""
+    grams = T.Grams()
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").dropDuplicates(["doc_id"])
+    plain = lambda text: {
+        zlib.crc32(f"<{w}>"[i : i + n].encode()) % grams.buckets for w in (text or "").lower().split() for n in grams.sizes for i in range(len(w) + 3 - n)
+    }
+    texts = {r.doc_id: plain(r.text) for r in docs.collect()}
+    taught = [(np.array(sorted(texts[r.doc_id]), np.int32), r.toxic, 1.0) for r in labels.collect() if rest(r.doc_id, 4) != 2 and r.doc_id in texts]
+    taught.sort(key=lambda t: (len(t[0]), t[0].tobytes(), t[1]))
+    model = T.fit(grams, taught, rounds=100, rate=0.02, decay=2e-2, least_docs=5, least_ratio=1.0)
+    for r in T.toxicity(docs, labels, fold(4, 2)).collect():
+        z = sum(float(model[f]) for f in texts[r.doc_id]) + float(model[-1])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_quality_scores_as_plain_averages(docs):
+    """Every feature of every word of a text, one by one, against the operator's tables of words and distinct rows."""
+    shape, draw = Q.Shape(), np.random.default_rng(3)
+    model = draw.normal(0, 30, shape.buckets + 1)
+    for r in Q.score_texts(docs, model, shape, F.lit(False), 0.3).join(docs.select("doc_id", "text"), "doc_id").collect():
+        words = r.text.split()
+        rows = [f for w in words for f in shape.word(w)] + [Q.SAME] * Q.REPEAT_WEIGHT * sum(a == b for a, b in zip(words, words[1:], strict=False))
+        z = float(np.mean(model[rows]) if rows else 0.0) + model[-1]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -500, 500))), abs=1e-6)
+        found, shares = shape.text(r.text, {})
+        assert sorted(set(rows)) == list(found) and shares.sum() == pytest.approx(1 if rows else 0)
+
+
+def test_language_sample_is_by_text_alone(spark):
+    """Repeated and null ids and copies change nothing; rare languages are learned too."""
+    rows = [(None, f"alpha{i % 9} beta{i % 5} gamma{i % 3}", "xa") for i in range(90)] + [(7, f"eins{i} zwei{i} drei{i}", "xb") for i in range(400)] + [(8, "uno dos tres", "xc")] * 500
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    again = spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(7)
+    a, b = (L.fitted(d, F.lit(True)) for d in (some, again))
+    assert a.langs == b.langs == ["xa", "xb", "xc"] and np.array_equal(a.weights, b.weights)
+
+
 def test_labels_of_held_out_rows_have_no_influence(docs2, labels2):
     flipped = labels2.withColumn("toxic", F.when(fold(4, 2), 1 - F.col("toxic")).otherwise(F.col("toxic"))).withColumn("quality", F.when(fold(5, 0), 1 - F.col("quality")).otherwise(F.col("quality")))
     few = docs2.orderBy("doc_id").limit(300)

@@ -41,6 +41,12 @@ def test_pieces_as_the_library(spark, docs, edge_docs, table_size):
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_table_holds_the_most_frequent_chunks(spark):
+    counted = spark.createDataFrame([(f"c{i}", n) for i, n in enumerate([1, 1, 2, 2, 2, 300, 301, 5000])], "chunk string, n long")
+    for most, held in ((8, 8), (7, 6), (6, 6), (5, 3), (2, 1), (1, 1), (0, 0)):
+        assert counted.filter(f"n >= {P.least_count(counted, most)}").count() == held
+
+
 def test_full_chunk_table_changes_nothing():
     texts = ["one two three ☃ four", "five six seven two", "", "eight  nine "] * 3
     small, whole = P.ChunkTable(MODEL, {}, {}, most=3), P.ChunkTable(MODEL, {}, {})
