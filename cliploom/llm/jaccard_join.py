@@ -1,7 +1,8 @@
 """Similarity join of documents on the Jaccard index of their word n-gram sets, by prefix trees.
 
 1. A text's set holds the 64-bit hashes of its shingles, in ascending order: that is the global order of n-grams.
-   Equal sets form a class; one member stands for it from here on.
+   Equal sets form a class, named by a hash of the set; one text stands for it from here on. (Should two sets have one
+   name, which is looked for, all are named anew.)
 2. Two linked sets of sizes a and b differ in at most (1 - t) / (1 + t) * (a + b) n-grams. The hash range is cut into
    more parts than that, so linked sets agree in a whole part. Sets of a size class deal the hash of each part to all
    sets with the same: what meets is nearly always near copies, never whole passages that many documents share. (An
@@ -11,14 +12,18 @@
 4. In each candidate component the sets go into a prefix tree. A set descends the tree with the overlap of the path so
    far, which all sets below share; a subtree is left where the overlap and the n-grams that remain on either side are
    too few for its smallest set, or where all its sets are already joined to this one. This decides every link.
-   Components larger than a block are joined block against block.
+   A component of more than `block` sets is dealt to blocks with a tree each; what a block joins is represented by one set
+   in the next round, so near copies of one text need each set once and then few. Where several parts remain, the sets
+   outside the largest part ask all sets of the component, block by block.
 5. Links form components; members get the smallest doc_id of their component.
 
 Every step is exact: no link is lost, and none is made that the sets do not have.
 
 Null and empty texts, and those without words, have an empty set and are linked with nothing. Rows that repeat doc_id
-are documents of their own with one id. Rows with a null doc_id belong to the component of their set, and have a null
-component_id when no other document has it. An empty table gives an empty result. Other columns are not read.
+are documents of their own with one id, whatever their texts are. Rows with a null doc_id link like others, and have a
+null component_id when no document of their component has an id. Of ties there are none: components do not depend on
+order. A very long text is one large set; nothing of it is left out. An empty table gives an empty result. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -200,52 +205,59 @@ def _groups(batch: pa.RecordBatch, at: int, chars: int = 4_000_000) -> Iterator[
         yield first, texts
 
 
-def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, set_key, bitmap of each document."""
+def named(found: np.ndarray, seed: int) -> tuple[int, int]:
+    """The name of a set, and a second hash that tells sets of one name apart."""
+    key = hashlib.blake2b(found.tobytes(), digest_size=16, salt=bytes([seed])).digest()
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
+def described(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """doc_id, pick (a hash of the row), node (the name of its set), proof, n, bitmap of each document."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
-            for first, texts in _groups(batch, 1):
+            for first, texts in _groups(batch, 2):
                 sets = [shingles.set_of(t) for t in texts]
-                sizes = [len(s) for s in sets]
+                names = np.array([named(s, seed) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
-                        pa.array(sizes, pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        batch.column(1).slice(first, len(texts)),
+                        pa.array(names[:, 0]),
+                        pa.array(names[:, 1]),
+                        pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n", "set_key", "bitmap"],
+                    names=["doc_id", "pick", "node", "proof", "n", "bitmap"],
                 )
 
-    return docs.mapInArrow(describe, "doc_id long, n long, set_key binary, bitmap binary")
+    return docs.select("doc_id", "pick", "text").mapInArrow(describe, "doc_id long, pick long, node long, proof long, n long, bitmap binary")
 
 
-def meetings(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
-    """meeting, doc_id: documents with a part in common; the same documents meet once."""
+def meetings(docs: DataFrame, words: int, threshold: Threshold, seed: int) -> DataFrame:
+    """meeting, node: sets with a part in common; the same sets meet once."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(words), set()
         for batch in batches:
-            for first, texts in _groups(batch, 1):
-                ids = batch.column(0).slice(first, len(texts)).to_pylist()
+            for _, texts in _groups(batch, 0):
                 sets, names = [], []
-                for doc_id, text in zip(ids, texts, strict=True):
+                for text in texts:
                     found = shingles.set_of(text)
-                    key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                    name, _ = named(found, seed)
                     # A task tells of equal sets once (until it has seen too many): one text with a third of all
                     # rows has as many rows here as there are tasks.
-                    if doc_id is None or key in seen:
+                    if name in seen:
                         continue
                     if len(seen) > 1 << 18:
                         seen.clear()
-                    seen.add(key)
+                    seen.add(name)
                     sets.append(found)
-                    names.append(doc_id)
+                    names.append(name)
                 if sets:
                     values, of = signatures(sets, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.array(names, np.int64)[of])], names=["part", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.array(names, np.int64)[of])], names=["part", "node"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of one part in sorted rows; a run can go on in the next batch."""
@@ -265,7 +277,7 @@ def meetings(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
                 names.append(np.full(len(group), name))
                 members.append(group)
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], names=["meeting", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], names=["meeting", "node"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -278,8 +290,8 @@ def meetings(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
         if len(left_part):
             yield from told(left_part, left_ids)
 
-    dealt = docs.mapInArrow(parts, "part long, doc_id long").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(met, "meeting long, doc_id long").distinct()
+    dealt = docs.select("text").mapInArrow(parts, "part long, node long").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(met, "meeting long, node long").distinct()
 
 
 def forest(ids: np.ndarray, sizes: np.ndarray, maps: Maps, rows: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
@@ -307,8 +319,8 @@ def forest(ids: np.ndarray, sizes: np.ndarray, maps: Maps, rows: np.ndarray, thr
                 tree[tree == tree[other]] = tree[at]
 
 
-def candidates(met: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
-    """a, b: edges whose components hold all documents that may be linked."""
+def candidates(met: DataFrame, maps: DataFrame, threshold: Threshold) -> DataFrame:
+    """a, b: edges whose components hold all sets that may be linked; maps: node, n, bitmap."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of one meeting in sorted rows; a run can go on in the next batch."""
@@ -336,9 +348,8 @@ def candidates(met: DataFrame, classes: DataFrame, threshold: Threshold) -> Data
         if len(left[0]):
             yield told(*left)
 
-    shown = met.join(classes.select("doc_id", "rep"), "doc_id").select("meeting", F.col("rep").alias("doc_id")).distinct()
-    shown = shown.join(classes.filter(F.col("doc_id") == F.col("rep")).select("doc_id", "n", "bitmap").dropDuplicates(["doc_id"]), "doc_id")
-    dealt = shown.select("meeting", "doc_id", "n", "bitmap").repartition("meeting").sortWithinPartitions("meeting", "doc_id")
+    shown = met.join(maps, "node").select("meeting", "node", "n", "bitmap")
+    dealt = shown.repartition("meeting").sortWithinPartitions("meeting", "node")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -355,9 +366,12 @@ class Node:
 
 
 class Tree:
-    def __init__(self, sets: list[np.ndarray], threshold: Threshold):
+    """`parts`: names of what is joined beforehand, one for each set."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: Threshold, parts: list[int] | None = None):
         self.sets, self.threshold = sets, threshold
-        self.parent = list(range(len(sets)))
+        first: dict[int, int] = {}
+        self.parent = list(range(len(sets))) if parts is None else [first.setdefault(p, i) for i, p in enumerate(parts)]
         self.roots: dict[int, Node] = {}
         self.links: list[tuple[int, int]] = []
 
@@ -450,10 +464,10 @@ class Tree:
             children = node.children
 
 
-def tree_links(sets: list[np.ndarray], threshold: Threshold, first: int | None = None) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], threshold: Threshold, first: int | None = None, parts: list[int] | None = None) -> list[tuple[int, int]]:
     """Links between sets (ascending arrays, all different) that join what is linked. With `first`, only links between
-    the first so many sets and the others are looked for."""
-    tree = Tree(sets, threshold)
+    the first so many sets and the others are looked for; then sets may be equal where `parts` says that they are joined."""
+    tree = Tree(sets, threshold, parts)
     if first is None:
         for row in range(len(sets)):
             tree.ask(row)
@@ -467,7 +481,7 @@ def tree_links(sets: list[np.ndarray], threshold: Threshold, first: int | None =
 
 
 def stars(ids: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links of a component's smallest document with each other one, for the components of what was found."""
+    """Links of a component's smallest name with each other one, for the components of what was found."""
     parent = list(range(len(ids)))
 
     def find(row: int) -> int:
@@ -484,59 +498,115 @@ def stars(ids: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(int(ids[find(row)]), int(ids[row])) for row in {r for pair in found for r in pair} if find(row) != row]
 
 
-def links(docs: DataFrame, groups: DataFrame, words: int, threshold: Threshold, block: int) -> DataFrame:
-    """a, b: links that join the documents of each candidate component as far as they are linked."""
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
+    """node, component, size, grams for each row (node, pick, component, size) of `wanted`, from one text of the class."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
             for first, texts in _groups(batch, 3):
-                found = [shingles.set_of(t).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in range(3)), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "component", "size", "grams"])
+                found = [shingles.set_of(t) for t in texts]
+                # Rows that share a pick by accident have another set.
+                same = pa.array([named(f, seed)[0] == n.as_py() for f, n in zip(found, batch.column(0).slice(first, len(texts)), strict=True)], pa.bool_())
+                grams = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+                part = pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in range(3)), grams], names=["node", "component", "size", "grams"])
+                yield part.filter(same)
+
+    texts = docs.join(wanted, "pick").select("node", "component", "size", "text")
+    return texts.mapInArrow(sets, "node long, component long, size long, grams array<long>")
 
-    def join(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["block", "doc_id"]).drop_duplicates("doc_id")
-        ids = group["doc_id"].to_numpy()
-        # The order of 64-bit hashes without sign.
-        found = [np.asarray(g, np.int64).view(U) for g in group["grams"]]
-        first = None if key[1] == key[2] else int((group["block"] == key[1]).sum())
-        return pd.DataFrame(stars(ids, tree_links(found, threshold, first)), columns=["a", "b"], dtype="int64")
-
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("doc_id"), "component", "size")
-    texts = docs.join(sized, "doc_id").select("doc_id", "component", "size", "text")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    return (
-        texts.mapInArrow(sets, "doc_id long, component long, size long, grams array<long>")
-        .withColumn("blocks", blocks)
-        .withColumn("block", own)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
-        .groupBy("component", "low", "high")
-        .applyInPandas(join, "a long, b long")
-    )
 
+def _found(group: pd.DataFrame) -> list[np.ndarray]:
+    """The order of 64-bit hashes without sign."""
+    return [np.asarray(g, np.int64).view(U) for g in group["grams"]]
 
-def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85, block: int = 4096) -> DataFrame:
+
+def block_links(sets: DataFrame, threshold: Threshold, block: int, turn: int = 0) -> DataFrame:
+    """a, b: for each block of each component, links of the smallest set of what a tree joins with each other one."""
+
+    def join(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node").drop_duplicates("node")
+        return pd.DataFrame(stars(group["node"].to_numpy(), tree_links(_found(group), threshold)), columns=["a", "b"], dtype="int64")
+
+    blocks = F.ceil(F.col("size") / F.lit(block))
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), blocks).cast("int"))
+    return dealt.groupBy("component", "block").applyInPandas(join, "a long, b long")
+
+
+def outside_links(sets: DataFrame, label: DataFrame, threshold: Threshold, block: int) -> DataFrame:
+    """a, b: links between parts (label.root) of a component. Each lies between a set outside the largest part and another
+    set: every block of the former asks the trees of all blocks of sets."""
+
+    def ask(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["node", "asks"]).sort_values(["asks", "node"])
+        roots = group["root"].tolist()
+        found = tree_links(_found(group), threshold, int((~group["asks"]).sum()), roots)
+        return pd.DataFrame([(roots[a], roots[b]) for a, b in found], columns=["a", "b"], dtype="int64").drop_duplicates()
+
+    parts = label.groupBy("component", "root").agg(F.count("*").alias("n"))
+    open_ = (
+        parts.groupBy("component")
+        .agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
+        .filter(F.col("parts") > 1)
+        .select("component", F.ceil(F.col("size") / F.lit(block)).alias("trees"), F.ceil((F.col("size") - F.col("most.n")) / F.lit(block)).alias("asking"), F.col("most.root").alias("largest"))
+    )
+    every = sets.select("node", "grams").join(label, "node").join(open_, "component")
+    deal = lambda width: F.pmod(F.xxhash64("node"), F.col(width))
+    spread = lambda width: F.explode(F.sequence(F.lit(0).cast("long"), F.col(width) - 1))
+    base = every.select("component", "node", "root", "grams", F.lit(False).alias("asks"), deal("trees").alias("tree"), spread("asking").alias("turn"))
+    asks = every.filter("root <> largest").select("component", "node", "root", "grams", F.lit(True).alias("asks"), spread("trees").alias("tree"), deal("asking").alias("turn"))
+    return base.unionByName(asks).groupBy("component", "tree", "turn").applyInPandas(ask, "a long, b long")
+
+
+def joined_in_rounds(sets: DataFrame, threshold: Threshold, block: int) -> DataFrame:
+    """node, root: the parts of components of more than `block` sets that their links join."""
+    label = sets.select("node", "component", F.col("node").alias("root")).dropDuplicates(["node"])
+    turn, before = 0, None
+    while True:
+        label = checkpointed(label)
+        left = label.filter("node = root").groupBy("component").agg(F.count("*").alias("size"))
+        most, total = left.agg(F.max("size"), F.sum("size")).first()
+        if (most or 0) <= 1:
+            return label.select("node", "root")
+        # One tree has seen all representatives of a component, or rounds no longer help.
+        if before and (before[0] <= block or total > 0.9 * before[1]):
+            break
+        before = (most, total)
+        here = sets.select("node", "grams").join(label.filter("node = root").join(left, "component").select("node", "component", "size"), "node")
+        found = block_links(here, threshold, block, turn).withColumnsRenamed({"b": "root"})
+        label = label.join(found, "root", "left").select("node", "component", F.coalesce("a", "root").alias("root"))
+        turn += 1
+    more = components(outside_links(sets, label, threshold, block)).withColumnsRenamed({"node": "root", "component": "further"})
+    return label.join(more, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     threshold = Threshold(percent)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = checkpointed(described(texts, words).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
-    some = rows.filter(F.col("n") > 0)
-    # Members of a class with a third of all rows meet in SALTS groups, each of which meets one row of the class.
-    leaves = some.groupBy("set_key", "salt").agg(F.min("doc_id").alias("least"))
-    classes = checkpointed(leaves.join(leaves.groupBy("set_key").agg(F.min("least").alias("rep")), "set_key").select("set_key", "salt", "rep"))
-    members = checkpointed(some.filter("doc_id IS NOT NULL").join(classes, ["set_key", "salt"]).select("doc_id", "rep", "n", "bitmap"))
-    near = checkpointed(candidates(meetings(texts, words, threshold), members, threshold))
-    groups = components(near)
-    linked = checkpointed(links(texts, groups, words, threshold, block))
-    if groups.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > block).limit(1).count():
-        joined = components(linked)  # blocks were joined apart from each other
-    else:
-        joined = linked.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    told = classes.join(joined, classes["rep"] == joined["node"], "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("pick", F.xxhash64("doc_id", "text"))
+    seed = 0
+    while True:
+        rows = checkpointed(described(texts, words, seed).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
+        some = rows.filter(F.col("n") > 0)
+        # Members of a class with a third of all rows meet in SALTS groups, each of which meets one row of the class.
+        leaves = some.groupBy("node", "salt").agg(*[f(c).alias(f"{f.__name__}_{c}") for f, c in ((F.min, "doc_id"), (F.min, "pick"), (F.min, "proof"), (F.max, "proof"))])
+        classes = checkpointed(leaves.groupBy("node").agg(*[f(f"{f.__name__}_{c}").alias(f"{f.__name__}_{c}") for f, c in ((F.min, "doc_id"), (F.min, "pick"), (F.min, "proof"), (F.max, "proof"))]))
+        if not classes.filter(F.col("min_proof") != F.col("max_proof")).limit(1).count():
+            break
+        seed += 1
+    maps = some.select("node", "n", "bitmap").dropDuplicates(["node"])
+    groups = components(checkpointed(candidates(meetings(texts, words, threshold, seed), maps, threshold)))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    wanted = checkpointed(groups.join(sizes, "component").join(classes, "node").select("node", F.col("min_pick").alias("pick"), "component", "size"))
+    small, large = F.col("size") <= block, F.col("size") > block
+    label = block_links(sets_of(texts, wanted.filter(small), words, seed), threshold, block).select(F.col("b").alias("node"), F.col("a").alias("root"))
+    if wanted.filter(large).limit(1).count():
+        label = label.unionByName(joined_in_rounds(checkpointed(sets_of(texts, wanted.filter(large), words, seed)), threshold, block))
+    of = checkpointed(classes.select("node", "min_doc_id").join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "min_doc_id"))
+    told = of.select("node", "root").join(of.groupBy("root").agg(F.min("min_doc_id").alias("component_id")), "root").select("node", "component_id")
+    salted = leaves.select("node", "salt").join(told, "node")
     return (
-        some.join(told, ["set_key", "salt"])
+        some.join(salted, ["node", "salt"])
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         .union(rows.filter(F.col("n") == 0).select("doc_id", "n", "doc_id"))
     )
@@ -544,7 +614,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85, bl
 
 def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, but for those whose component has a smaller doc_id. Verdicts hold for a
-    doc_id: rows that repeat one stay or go together. A null doc_id is never dropped."""
+    doc_id: rows that repeat one stay or go together. A null doc_id is never dropped; an empty table stays empty."""
     found = jaccard_components(docs, words=words, percent=percent)
     drop = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])

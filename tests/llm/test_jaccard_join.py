@@ -26,7 +26,7 @@ def near_copies(seed, groups, copies, length):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("words", "percent", "block"), [(4, 85, 4096), (5, 80, 4096), (3, 60, 5)])
+@pytest.mark.parametrize(("words", "percent", "block"), [(4, 85, 256), (5, 80, 7), (3, 60, 3)])
 def test_same_as_brute_force(spark, words, percent, block):
     rows = [r for n, length in enumerate((5, 9, 14, 30, 120, 400)) for r in near_copies(n, 4, 12, length)]
     rows = [(i, t) for i, (_, t) in enumerate(rows)]
@@ -41,6 +41,29 @@ def test_edges(edge_docs, no_docs):
     assert rows_of(no_docs) == []
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_repeated_and_null_ids_keep_their_links(spark, block):
+    """An id with several texts links by each of them; rows without an id link others and get their component's id."""
+    draw = random.Random(1)
+    base = {k: [f"{k}{draw.randrange(900)}" for _ in range(80)] for k in "ABCD"}
+    near = lambda k, *at: " ".join("x" if i in at else w for i, w in enumerate(base[k]))
+    rows = [(5, near("A")), (5, near("B")), (2, near("A", 3)), (3, near("B", 70)), (None, near("C")), (9, near("C", 0)), (None, near("D")), (None, near("D", 79)), (4, near("A", 3, 79))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(df, block=block)
+    assert got == sorted(jaccard_components(rows, 4, 85), key=str)
+    assert [c for d, _, c in got if d == 5] == [2, 3]
+
+
+def test_parts_of_a_large_component_are_joined_once_more(spark):
+    """Chains whose ends are apart, and sets in between that only the last step joins: blocks of two against one tree."""
+    words = [f"w{i}" for i in range(200)]
+    chain = [" ".join(words[:i] + [f"e{j}" for j in range(i)] + words[i:]) for i in range(0, 30)]
+    rows = [(i, t) for i, t in enumerate(chain + [c + " z" for c in chain])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(jaccard_components(rows, 4, 85), key=str)
+    assert rows_of(df, block=2) == rows_of(df) == want
+
+
 def test_documents(docs2):
     rows = [(r.doc_id, r.text) for r in docs2.orderBy("doc_id").limit(400).collect()]
     df = docs2.sparkSession.createDataFrame(rows, "doc_id long, text string")
