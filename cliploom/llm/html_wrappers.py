@@ -7,16 +7,19 @@ texts that differ leave a slot. Wrappers align with wrappers in the same way. Ea
 it meets into one wrapper, and these are merged over salted groups first, so a host with a third of all pages gives each
 merging task no more rows than there are tasks, whatever the number of pages.
 
-A wrapper then tells which of its slots are main text: those inside article (else main, else a content class) and not
-inside a menu, header, footer, sidebar, notice, advert, form or comments, less what the wrapper shows to be the host's own
-there too: texts that stand under the same labels on all pages with that container (more than two), and repeated groups of
-links alone that all these pages have. A page's container of which nothing else is left keeps these texts (copies of one
-page are no boilerplate). On a host without such a container, main text is in slots that are not mostly links and not the
-same text on all pages of the host. A page is matched with its host's wrapper, and the texts of these slots are its blocks.
-Wrappers go to all tasks only if they are small (checked); otherwise they are joined by host and salt.
-
-Null and empty pages have an empty text. A page whose main container its wrapper marks as optional and that lacks it is
-read like a page of a host without one. Null urls, and urls without a host, share one wrapper. Repeated rows are pages
+The wrapper then tells which of its slots are main text, and only texts in its slots come out. Its slots of plain text that
+vary over pages have a mass, their characters on all pages. The main block is found by going down from the root into the
+part that holds most of the mass, as long as one does and is no block of text or repeated item. Names of elements and
+classes are hints beside it: menus, footers, forms and blocks that their class calls sidebar, notice, advert or comments
+have no mass, and an article, main or content block is the main block if it holds half of the mass or more. In the main
+block, what the wrapper shows to be the host's own goes: texts that are fixed over pages (more than two), and repeated
+groups of links alone that all these pages have. A page of which nothing else is left keeps these texts (copies of one
+page are no boilerplate). Where no part holds most of the mass, main text is in all slots that vary and are not mostly
+links. A page is matched with its host's wrapper, and the texts of these slots are its blocks. Wrappers go to all tasks
+only if they are small (checked); otherwise they are joined by host and salt.
+
+Null and empty pages have an empty text. A page that lacks the main block is read like a page of a host without one. Very
+long and very deep pages are read whole. Null urls, and urls without a host, share one wrapper. Repeated rows are pages
 each; page_id may be null. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -322,23 +325,59 @@ def container(label: str) -> int:
     return 3 if name == "article" else 2 if name == "main" or "main" in words else 1 if name in ("div", "section", "td") and words & CONTENT_CLASSES else 0
 
 
-def surest(parts: list) -> int:
-    """The surest container in a wrapper that holds text."""
-    seen: list[tuple[list, int, bool]] = []  # part, place of the part around it, whether either is apart
-    todo = [(p, -1, False) for p in parts]
+def varying(part: list) -> bool:
+    """Whether a slot's text is more than one text that several pages share."""
+    return not (part[TEXT] and part[PAGES] > 2)
+
+
+def main_block(parts: list) -> tuple[int, list | None]:
+    """Where a wrapper has its main text: in blocks that container() rates so high, or (0 and) in this part, if any."""
+    seen: list[tuple[list, int, bool, bool]] = []  # part, place of the part around it, whether either is apart, in a container
+    todo = [(p, -1, False, False) for p in parts]
+    inner: dict[int, list[int]] = {-1: []}
     while todo:
-        part, around, apart = todo.pop()
-        apart = apart or (part[LABEL][:1] != "(" and is_apart(part[LABEL], False))
-        todo += [(p, len(seen), apart) for p in part[PARTS]]
-        seen.append((part, around, apart))
-    best, text = 0, [part[LABEL] in ("#", "#a") for part, _, _ in seen]
+        part, around, apart, held = todo.pop()
+        group = part[LABEL][:1] == "("
+        apart = apart or (not group and is_apart(part[LABEL], held))
+        held = held or (not group and container(part[LABEL]) > 0)
+        todo += [(p, len(seen), apart, held) for p in part[PARTS]]
+        inner[around].append(len(seen))
+        inner[len(seen)] = []
+        seen.append((part, around, apart, held))
+    mass = [part[CHARS] if part[LABEL] == "#" and not apart and varying(part) else 0 for part, _, apart, _ in seen]
+    text = [part[LABEL] in ("#", "#a") for part, _, _, _ in seen]
+    level = 0
     for i in range(len(seen) - 1, -1, -1):
-        part, around, apart = seen[i]
-        if text[i] and around >= 0:
-            text[around] = True
+        part, around, apart, _ = seen[i]
         if text[i] and not apart:
-            best = max(best, container(part[LABEL]))
-    return best
+            level = max(level, container(part[LABEL]))
+        if around >= 0:
+            mass[around] += mass[i]
+            text[around] = text[around] or text[i]
+    total = sum(mass[i] for i in inner[-1])
+    if level:
+        held, todo = 0, list(inner[-1])
+        while todo:
+            i = todo.pop()
+            if container(seen[i][0][LABEL]) >= level:
+                held += mass[i]
+            else:
+                todo += inner[i]
+        if 2 * held >= total:
+            return level, None
+    at = -1
+    while inner[at]:
+        best = max(inner[at], key=lambda i: mass[i])
+        part = seen[best][0]
+        most = MOST * mass[best] >= LEAST * (total if at < 0 else mass[at]) > 0
+        if not most or part[KIND] in "+*" or part[LABEL] in ("#", "#a") or any(p[LABEL] == "#" for p in part[PARTS]):
+            break
+        at = best
+    return 0, seen[at][0] if at >= 0 else None
+
+
+#: A part with at least LEAST / MOST of the mass of the part around it holds most of it.
+MOST, LEAST = 5, 3
 
 
 def links_alone(part: list) -> bool:
@@ -362,8 +401,8 @@ def slots(parts: list, around: list | None = None) -> Iterator[tuple[list, list
             yield part, repeated
 
 
-def texts_of(root: Element, wrapper: list, level: int) -> list[str]:
-    """Texts of the slots of main text, in page order; level is that of surest()."""
+def texts_of(root: Element, wrapper: list, level: int, main: list | None) -> list[str]:
+    """Texts of the slots of main text, in page order; level and main are those of main_block()."""
     out: list[tuple[str, bool]] = []  # text, whether it is the host's own
     # A frame: items, their places in the wrapper, place reached, hash of labels, container's place, in a group of links.
     todo: list[tuple] = [(iter(root.items), list(slots(wrapper)), [0], 0, None, False)]
@@ -383,22 +422,25 @@ def texts_of(root: Element, wrapper: list, level: int) -> list[str]:
             links = repeated[KIND] == "+" and repeated[PAGES] == inside[PAGES] > 2 and links_alone(repeated)
         if isinstance(item, Element):
             if not is_apart(label, inside is not None):
-                within = inside or (place if level > 0 and container(label) >= level else None)
+                within = inside or (place if place is main or (level > 0 and container(label) >= level) else None)
                 todo.append((iter(item.items), list(slots(place[PARTS])), [0], hashed(label, path), within, links))
+        elif found is None:
+            continue  # no slot of the wrapper
         elif inside:
-            shared = inside[PAGES] > 2 and hashed(item[0], path) in inside[TEXT]
+            known = inside[TEXT]
+            shared = inside[PAGES] > 2 and hashed(item[0], path) in known if isinstance(known, set) else not varying(place)
             out.append((item[0], shared or links))
-        elif level == 0 and not item[1] and not (place[TEXT] and place[PAGES] > 2):
+        elif level == 0 and main is None and not item[1] and varying(place):
             out.append((item[0], False))
     own = [text for text, shared in out if not shared]
     return own or [text for text, _ in out]
 
 
-def extract(page: str | None, wrapper: list, level: int) -> str:
+def extract(page: str | None, wrapper: list, level: int, main: list | None) -> str:
     root = parse(page)
-    found = texts_of(root, wrapper, level)
-    if not found and level:
-        found = texts_of(root, wrapper, 0)
+    found = texts_of(root, wrapper, level, main)
+    if not found and (level or main):
+        found = texts_of(root, wrapper, 0, None)
     return "\n".join(found)
 
 
@@ -459,7 +501,7 @@ def extract_pages(pages: DataFrame, *, broadcast_bytes: int = 8 << 20) -> DataFr
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list, int]] = {}
+        known: dict[str, tuple[list, int, list | None]] = {}
         for batch in batches:
             texts = []
             for host, page, wrapper in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
@@ -468,7 +510,7 @@ def extract_pages(pages: DataFrame, *, broadcast_bytes: int = 8 << 20) -> DataFr
                     if len(known) > 2000:
                         known.clear()
                     parts = loaded(wrapper.as_py() or "[]")
-                    known[host] = (parts, surest(parts))
+                    known[host] = (parts, *main_block(parts))
                 texts.append(extract(page.as_py(), *known[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]

@@ -97,6 +97,42 @@ def test_what_every_page_of_the_host_repeats_goes_from_the_container(spark):
     assert texts(pages_of(spark, rows)) == {i: f"T{i}\n" + plain[i % 4].format(i) for i in range(12)}
 
 
+BLIND = """<div class='qa'><div class='qb'><a href=x>one {n}</a></div><div class='qb'><a href=y>two</a></div></div><div class='qc'>Fixed notice</div>
+<div class='qd'><div class='qe'><div class='qf'>Title {n}</div>{body}<div class='qg'>Buy our things</div></div>
+<div class='qh'><div class='qi'>said {n}</div></div></div><div class='qj'>word {n}</div><div class='qk'>All rights</div>"""
+
+
+def blind_pages():
+    body = lambda i: "".join(f"<div class='ql'>Paragraph {j} of page {i}, with enough words.</div>" for j in range(1 + i % 4))
+    return {i: BLIND.format(n=i, body=body(i)) for i in range(12)}, {i: "\n".join([f"Title {i}", *(f"Paragraph {j} of page {i}, with enough words." for j in range(1 + i % 4))]) for i in range(12)}
+
+
+def test_pages_without_telling_names(spark):
+    """Only blocks with invented classes: the inferred wrapper alone finds the block and what is the host's own in it."""
+    pages, want = blind_pages()
+    assert texts(pages_of(spark, [(i, f"http://k.org/{i}", h) for i, h in pages.items()])) == want
+
+
+def test_the_wrapper_decides(spark):
+    """Without slots no text comes out, and slots of another host give another text."""
+    pages, want = blind_pages()
+    wrapper = []
+    for page in pages.values():
+        wrapper = H.aligned(wrapper, H.stream(H.parse(page))) if wrapper else H.stream(H.parse(page))
+    level, main = H.main_block(wrapper)
+    assert level == 0 and main[H.LABEL] == "div.qe"
+    assert H.extract(pages[3], wrapper, level, main) == want[3]
+    assert H.extract(pages[3], [], 0, None) == ""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert H.extract(r.html, [], 0, None) == ""
+
+
+def test_a_hinted_block_without_mass_is_not_taken(spark):
+    page = "<div class='content'>See {0}</div><div class='zz'><div class='zy'>Long text number {0} that goes on and on.</div><div class='zy'>And another paragraph {0}.</div></div>"
+    rows = [(i, "http://l.org", page.format(i)) for i in range(6)]
+    assert texts(pages_of(spark, rows)) == {i: f"Long text number {i} that goes on and on.\nAnd another paragraph {i}." for i in range(6)}
+
+
 def test_copies_of_one_page_keep_their_text(spark):
     rows = [(i, f"http://j.org/{i}", "<body><article><h1>T</h1><p>a</p></article></body>") for i in range(5)]
     assert texts(pages_of(spark, rows)) == dict.fromkeys(range(5), "T\na")
