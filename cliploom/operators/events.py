@@ -16,15 +16,22 @@ def _end(row: str = "") -> Column:
     return F.col("us") + (F.col("duration_sec") * 1_000_000).cast("long")
 
 
+#: States of an exclusion that take a clip out of activity.
+ACTIVE_STATES = ("candidate", "quarantined", "media_deleted", "deletion_blocked")
+
+
 def account(clips: DataFrame, exclusions: DataFrame, blocked: Column | None = None) -> DataFrame:
-    """Exactly one kind and reason for each clip: blocked beats an active exclusion, which beats a bad duration."""
-    states = exclusions.filter(F.col("state").isin("quarantined", "media_deleted"))
+    """Exactly one kind and reason for each clip: blocked beats an active exclusion, which beats a bad duration. A clip that
+    counts has no reason."""
+    states = exclusions.filter(F.col("state").isin(*ACTIVE_STATES))
     bad = F.col("duration_sec").isNull() | F.isnan("duration_sec") | (F.col("duration_sec") <= 0)
     stop = F.lit(False) if blocked is None else blocked
     return clips.join(states, "clip_id", "left").withColumns(
         {
             "kind": F.when(stop, "blocked").when(F.col("state").isNotNull() | bad, "diagnostic").otherwise("candidate"),
-            "reason": F.when(stop, "blocked_research").when(F.col("state").isNotNull(), F.col("state")).when(bad, "invalid_duration").otherwise("ok"),
+            "reason": F.when(stop, "formal_or_frozen_manifest")
+            .when(F.col("state").isNotNull(), F.concat_ws(":", F.coalesce(F.nullif(F.col("reason_code"), F.lit("")), F.lit("unknown")), F.col("state")))
+            .when(bad, "invalid_duration"),
         }
     )
 
@@ -90,22 +97,53 @@ def chains(pairs: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(judged: DataFrame, thresholds: list[float]) -> DataFrame:
-    """For each threshold, pairs judged different that it would merge and pairs judged same that it would split."""
-    asked = judged.filter(F.col("decision") != "uncertain").withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    merges = F.col("gap_sec") <= F.col("threshold")
-    return asked.groupBy("threshold").agg(
-        F.count_if(merges & (F.col("decision") == "different")).alias("over_merge"),
-        F.count_if(F.col("decision") == "different").alias("n_different"),
-        F.count_if(~merges & (F.col("decision") == "same")).alias("over_split"),
-        F.count_if(F.col("decision") == "same").alias("n_same"),
+    """For each threshold, pairs judged different that it would merge and pairs judged same that it would split; `chosen`
+    marks the threshold that merges none and splits least (of several, the smallest).
+
+    A pair is counted at the first threshold that merges it, and the few counts are then spread over the thresholds."""
+    at = sorted(thresholds)
+    first = F.lit(len(at))
+    for i in range(len(at) - 1, -1, -1):
+        first = F.when(F.col("gap_sec") <= at[i], i).otherwise(first)
+    cells = judged.filter(F.col("decision") != "uncertain").groupBy(first.alias("first")).agg(
+        F.count_if(F.col("decision") == "different").alias("different"), F.count_if(F.col("decision") == "same").alias("same")
+    )
+    spread = cells.withColumn("t", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(at)])))
+    merges = F.col("first") <= F.col("t.i")
+    out = spread.groupBy("t.threshold").agg(
+        F.sum(F.when(merges, F.col("different")).otherwise(0)).alias("over_merge"),
+        F.sum("different").alias("n_different"),
+        F.sum(F.when(merges, 0).otherwise(F.col("same"))).alias("over_split"),
+        F.sum("same").alias("n_same"),
     )
+    best = out.filter("over_merge = 0").agg(F.min_by("threshold", F.struct("over_split", "threshold")).alias("best"))
+    return out.crossJoin(F.broadcast(best)).withColumn("chosen", F.coalesce(F.col("threshold") == F.col("best"), F.lit(False))).drop("best")  # one row
 
 
-def accounting_issues(accounted: DataFrame, source: DataFrame) -> DataFrame:
-    """Counts that must be 0: lost and duplicate clips, and excluded ones counted as candidates."""
-    counts = accounted.agg(
-        (F.count("*") - F.countDistinct("clip_id")).alias("duplicates"),
-        F.count_if((F.col("kind") == "candidate") & F.col("state").isNotNull()).alias("excluded_candidates"),
+def accounting_issues(source: DataFrame, accounted: DataFrame, members: DataFrame) -> DataFrame:
+    """code and how many clips break it; all must be 0. `members`: event_id, camera_id, activity_day, clip_id of events.
+
+    A clip is reduced to one row of counts of its three tables, so no table is joined with another one."""
+    none = F.lit(None)
+    row = lambda df, n, kind, camera, day: df.select("clip_id", F.lit(n).alias("t"), kind.cast("string").alias("kind"), camera.cast("long").alias("camera"), day.cast("date").alias("day"))
+    every = (
+        row(source, 0, none, none, none)
+        .unionByName(row(accounted, 1, F.col("kind"), F.col("camera_id"), F.col("activity_day")))
+        .unionByName(row(members, 2, none, F.col("camera_id"), F.col("activity_day")))
+    )
+    of = lambda n, c: F.max(F.when(F.col("t") == n, F.col(c)))
+    clip = every.groupBy("clip_id").agg(
+        *[F.count_if(F.col("t") == n).alias(name) for n, name in enumerate(("in_source", "in_accounts", "in_events"))],
+        of(1, "kind").alias("kind"),
+        ((of(1, "camera") != of(2, "camera")) | (of(1, "day") != of(2, "day"))).alias("crosses"),
     )
-    lost = source.join(accounted.select("clip_id"), "clip_id", "left_anti").agg(F.count("*").alias("lost"))
-    return counts.crossJoin(lost)  # one row each
+    candidate = F.coalesce(F.col("kind") == "candidate", F.lit(False))
+    checks = {
+        "duplicate": (F.col("in_source") > 1) | (F.col("in_accounts") > 1),
+        "source_mismatch": (F.col("in_source") > 0) != (F.col("in_accounts") > 0),
+        "protected_in_event": (F.col("in_events") > 0) & ~candidate,
+        "crosses_camera_or_day": F.coalesce(F.col("crosses"), F.lit(False)),
+        "event_coverage": candidate & (F.col("in_events") != 1),
+    }
+    counts = clip.agg(F.array(*[F.struct(F.lit(code).alias("code"), F.count_if(bad).alias("n")) for code, bad in checks.items()]).alias("c"))
+    return counts.select(F.explode("c").alias("c")).select("c.*")

@@ -37,16 +37,22 @@ def event_groups(spark, sf_dir):
     return events.events(accounted(spark, sf_dir), GAP).select("camera_id", day(), "event_id", "n_clips", "started_us", "ended_us")
 
 
-@query(f"WITH {ACCOUNTED} SELECT kind, reason, count(*) AS n FROM acc GROUP BY 1, 2")
+@query(f"""WITH {ACCOUNTED} SELECT CASE WHEN clip_id % 97 = 0 THEN 'blocked' ELSE kind END AS kind,
+  CASE WHEN clip_id % 97 = 0 THEN 'formal_or_frozen_manifest' ELSE reason END AS reason, count(*) AS n FROM acc GROUP BY 1, 2""")
 def accounting_kinds(spark, sf_dir):
-    return accounted(spark, sf_dir).groupBy("kind", "reason").agg(F.count("*").alias("n"))
+    told = events.account(clips(spark, sf_dir), exclusions(spark, sf_dir), blocked=F.col("clip_id") % 97 == 0)
+    return told.groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {ACCOUNTED} SELECT count(*) - count(DISTINCT clip_id) AS duplicates,
-  count(*) FILTER (WHERE kind = 'candidate' AND state IS NOT NULL) AS excluded_candidates,
-  (SELECT count(*) FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM acc)) AS lost FROM acc""")
+@query(f"""WITH {NUMBERED}, m AS (SELECT camera_id, activity_day, event_no, clip_id FROM num WHERE kind = 'candidate')
+SELECT 'duplicate' AS code, (SELECT count(*) FROM (SELECT clip_id FROM clips GROUP BY 1 HAVING count(*) > 1 UNION SELECT clip_id FROM acc GROUP BY 1 HAVING count(*) > 1)) AS n
+UNION ALL SELECT 'source_mismatch', (SELECT count(*) FROM (SELECT clip_id FROM clips) c FULL JOIN (SELECT clip_id FROM acc) a ON c.clip_id = a.clip_id WHERE c.clip_id IS NULL OR a.clip_id IS NULL)
+UNION ALL SELECT 'protected_in_event', (SELECT count(DISTINCT m.clip_id) FROM m JOIN acc USING (clip_id) WHERE kind <> 'candidate')
+UNION ALL SELECT 'crosses_camera_or_day', (SELECT count(DISTINCT m.clip_id) FROM m JOIN acc a USING (clip_id) WHERE a.camera_id <> m.camera_id OR a.activity_day <> m.activity_day)
+UNION ALL SELECT 'event_coverage', (SELECT count(*) FROM acc WHERE kind = 'candidate' AND (SELECT count(*) FROM m WHERE m.clip_id = acc.clip_id) <> 1)""")
 def accounting_integrity(spark, sf_dir):
-    return events.accounting_issues(accounted(spark, sf_dir), clips(spark, sf_dir))
+    told = accounted(spark, sf_dir)
+    return events.accounting_issues(clips(spark, sf_dir), told, events.numbered_events(told, GAP))
 
 
 PAIRS = f"""{ACCOUNTED}, pairs AS (
@@ -71,14 +77,16 @@ def pair_runs(spark, sf_dir):
     return events.chains(events.adjacent_pairs(accounted(spark, sf_dir))).select("camera_id", day(), "chain_no", "n_pairs", "least_gap_us", "most_gap_us")
 
 
-THRESHOLDS = [0.0, 30.0, 60.0, 120.0, 240.0]
+THRESHOLDS = [-600.0, 0.0, 30.0, 60.0, 120.0, 240.0]
 
 
 @query(f"""WITH {PAIRS}, j AS (
   SELECT gap_us / 1e6 AS gap_sec, CASE WHEN right_clip % 5 = 0 THEN 'uncertain' WHEN gap_us < (right_clip % 7) * 40000000 THEN 'same' ELSE 'different' END AS decision FROM pairs)
 SELECT threshold, count(*) FILTER (WHERE gap_sec <= threshold AND decision = 'different') AS over_merge, count(*) FILTER (WHERE decision = 'different') AS n_different,
-       count(*) FILTER (WHERE gap_sec > threshold AND decision = 'same') AS over_split, count(*) FILTER (WHERE decision = 'same') AS n_same
-FROM j, (VALUES (0.0::DOUBLE), (30.0), (60.0), (120.0), (240.0)) t(threshold) WHERE decision <> 'uncertain' GROUP BY threshold""")
+       count(*) FILTER (WHERE gap_sec > threshold AND decision = 'same') AS over_split, count(*) FILTER (WHERE decision = 'same') AS n_same,
+       coalesce(threshold = arg_min(threshold, CASE WHEN count(*) FILTER (WHERE gap_sec <= threshold AND decision = 'different') = 0
+         THEN [count(*) FILTER (WHERE gap_sec > threshold AND decision = 'same'), threshold] END) OVER (), false) AS chosen
+FROM j, (VALUES (-600.0::DOUBLE), (0.0), (30.0), (60.0), (120.0), (240.0)) t(threshold) WHERE decision <> 'uncertain' GROUP BY threshold""")
 def event_group_threshold_sweep(spark, sf_dir):
     decision = F.when(F.col("right_clip") % 5 == 0, "uncertain").when(F.col("gap_us") < (F.col("right_clip") % 7) * 40_000_000, "same").otherwise("different")
     judged = events.adjacent_pairs(accounted(spark, sf_dir)).select((F.col("gap_us") / 1e6).alias("gap_sec"), decision.alias("decision"))
@@ -158,9 +166,9 @@ def half_open_window(spark, sf_dir):
 
 
 @query(f"""WITH {CLIPS}, {EXCLUSIONS} SELECT clip_id, CAST(floor(duration_sec + 0.5) AS INTEGER) AS shown FROM clips LEFT JOIN exclusions USING (clip_id)
-WHERE duration_sec < 20 AND (state IS NULL OR state = 'restored') ORDER BY us, clip_id LIMIT 50""")
+WHERE duration_sec < 20 AND (state IS NULL OR state = 'candidate') ORDER BY us, clip_id LIMIT 50""")
 def short_clip_candidates(spark, sf_dir):
-    rows = clips(spark, sf_dir).filter(F.col("duration_sec") < 20).join(exclusions(spark, sf_dir), "clip_id", "left").filter("state IS NULL OR state = 'restored'")
+    rows = clips(spark, sf_dir).filter(F.col("duration_sec") < 20).join(exclusions(spark, sf_dir), "clip_id", "left").filter("state IS NULL OR state = 'candidate'")
     return rows.orderBy("us", "clip_id").limit(50).select("clip_id", times.displayed_seconds(F.col("duration_sec")).alias("shown"))
 
 

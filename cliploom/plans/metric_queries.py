@@ -100,22 +100,6 @@ def five_way_transition(spark, sf_dir):
     return two_models(spark, sf_dir).groupBy(change.alias("change")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PREDICTIONS} SELECT CASE WHEN quantity < 2 THEN 'discard' WHEN price >= 45000 AND quantity >= 20 THEN 'cloud_now' WHEN price >= 20000 OR quantity >= 35 THEN 'review' WHEN quantity >= 5 THEN 'cloud_later' ELSE 'local_only' END AS route,
-  count(*) AS n, count(*) FILTER (WHERE truth = 'R') AS n_urgent FROM predictions GROUP BY 1""")
-def router_basic(spark, sf_dir):
-    route = routing.basic_route(F.col("price"), F.col("quantity"), F.col("quantity"))
-    return predictions(spark, sf_dir).groupBy(route.alias("route")).agg(F.count("*").alias("n"), F.count_if(F.col("truth") == "R").alias("n_urgent"))
-
-
-@query(f"""WITH {CLIPS}, f AS (SELECT clip_id, k <> 1 AS ready, k BETWEEN 2 AND 9 AS low, CASE WHEN k > 10 THEN k % 7 END AS bursts, CASE WHEN k % 11 <> 0 THEN duration_sec END AS mean, duration_sec * 400 AS peak FROM clips)
-SELECT clip_id, CASE WHEN NOT ready THEN 'review' WHEN mean IS NULL OR peak IS NULL OR low THEN 'review' WHEN coalesce(bursts, 0) >= 4 OR (mean >= 40 AND peak >= 60000) THEN 'cloud_now'
-  WHEN mean < 8 AND peak < 15000 THEN 'cloud_later' WHEN mean < 15 THEN 'review' ELSE 'cloud_later' END AS route FROM f""")
-def operational_router(spark, sf_dir):
-    k, seconds = F.col("k"), F.col("duration_sec")
-    route = routing.operational_route(k != 1, k.between(2, 9), F.when(k > 10, k % 7), F.when(k % 11 != 0, seconds), seconds * 400)
-    return clips(spark, sf_dir).select("clip_id", route.alias("route"))
-
-
 MEANS, PEAKS, SECONDS = [5, 10, 20, 30, 35, 40, 45], [0, 10000, 20000, 30000, 45000], [1, 10, 20, 30, 40]
 GRID = [(m, p, s) for m in MEANS for p in PEAKS for s in SECONDS]
 

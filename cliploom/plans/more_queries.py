@@ -146,16 +146,6 @@ def drop_reasons(spark, sf_dir):
     return clips(spark, sf_dir).select("clip_id", arrays.first_issue(reasons).alias("drop_reason"), frames.alias("frames"), F.ceil(F.lit(640.0) * (100 + F.col("k")) / 750).cast("int").alias("tokens"))
 
 
-@query(f"""WITH {CLIPS}, r AS (SELECT clip_id, CASE WHEN k >= 60 THEN 'cloud_now' WHEN k >= 30 THEN 'review' ELSE 'cloud_later' END AS before, event_type, duration_sec FROM clips),
-g AS (SELECT *, CASE WHEN before = 'cloud_later' AND event_type = 'error' THEN 'review' WHEN before = 'cloud_now' AND duration_sec < 5 THEN 'review' ELSE before END AS after FROM r)
-SELECT before, after, count(*) AS n FROM g GROUP BY 1, 2""")
-def care_guard(spark, sf_dir):
-    """Two patches over a base route: errors are never left for later, very short clips never urgent."""
-    before = routing.decide([("cloud_now", F.col("k") >= 60), ("review", F.col("k") >= 30)], "cloud_later")
-    after = F.when((F.col("before") == "cloud_later") & (F.col("event_type") == "error"), "review").when((F.col("before") == "cloud_now") & (F.col("duration_sec") < 5), "review").otherwise(F.col("before"))
-    return clips(spark, sf_dir).withColumn("before", before).withColumn("after", after).groupBy("before", "after").agg(F.count("*").alias("n"))
-
-
 @query("""WITH b AS (SELECT vec_id, label, embedding[1] AS x, embedding[2] AS y FROM embeddings)
 SELECT label, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n FROM b WHERE x > -10 GROUP BY 1""")
 def union_boxes(spark, sf_dir):

@@ -23,7 +23,7 @@ def pending_poll(spark, sf_dir):
     return queues.pending(clips(spark, sf_dir), logs(spark, sf_dir), 200).select("clip_id", "us")
 
 
-@query(f"WITH {CLIPS}, {EXCLUSIONS} SELECT clip_id, us FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM exclusions WHERE state <> 'restored') ORDER BY us DESC, clip_id DESC LIMIT 31")
+@query(f"WITH {CLIPS}, {EXCLUSIONS} SELECT clip_id, us FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM exclusions WHERE state IN ('quarantined', 'media_deleted')) ORDER BY us DESC, clip_id DESC LIMIT 31")
 def label_queue_page1(spark, sf_dir):
     return queues.page(queues.visible(clips(spark, sf_dir), exclusions(spark, sf_dir)), "us", "clip_id", None, 30).select("clip_id", "us")
 
@@ -31,7 +31,7 @@ def label_queue_page1(spark, sf_dir):
 CURSOR = (1_705_500_000_000_000, 5000)
 
 
-@query(f"WITH {CLIPS}, {EXCLUSIONS} SELECT clip_id, us FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM exclusions WHERE state <> 'restored') AND (us, clip_id) < {CURSOR} ORDER BY us DESC, clip_id DESC LIMIT 31")
+@query(f"WITH {CLIPS}, {EXCLUSIONS} SELECT clip_id, us FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM exclusions WHERE state IN ('quarantined', 'media_deleted')) AND (us, clip_id) < {CURSOR} ORDER BY us DESC, clip_id DESC LIMIT 31")
 def label_queue_page2(spark, sf_dir):
     return queues.page(queues.visible(clips(spark, sf_dir), exclusions(spark, sf_dir)), "us", "clip_id", CURSOR, 30).select("clip_id", "us")
 

@@ -29,12 +29,14 @@ CLIPS = """clips AS (
          epoch_us(ts) + CAST(trunc(value * 1000000) AS BIGINT) AS end_us
   FROM events)"""
 EXCLUSIONS = """exclusions AS (
-  SELECT event_id AS clip_id, CASE event_id % 3 WHEN 0 THEN 'quarantined' WHEN 1 THEN 'media_deleted' ELSE 'restored' END AS state
+  SELECT event_id AS clip_id, ['quarantined', 'media_deleted', 'restored', 'candidate', 'deletion_blocked'][event_id % 5 + 1] AS state,
+         CASE event_id % 4 WHEN 0 THEN 'device_error' WHEN 1 THEN '' WHEN 2 THEN 'duplicate_key' END AS reason_code
   FROM events WHERE event_type = 'error')"""
 ACCOUNTED = f"""{CLIPS}, {EXCLUSIONS}, acc AS (
   SELECT c.*, e.state, e.state IS NOT NULL OR c.duration_sec IS NULL OR isnan(c.duration_sec) OR c.duration_sec <= 0 AS bad,
          CASE WHEN e.state IS NOT NULL OR c.duration_sec IS NULL OR isnan(c.duration_sec) OR c.duration_sec <= 0 THEN 'diagnostic' ELSE 'candidate' END AS kind,
-         CASE WHEN e.state IS NOT NULL THEN e.state WHEN c.duration_sec IS NULL OR isnan(c.duration_sec) OR c.duration_sec <= 0 THEN 'invalid_duration' ELSE 'ok' END AS reason
+         CASE WHEN e.state IS NOT NULL THEN coalesce(nullif(e.reason_code, ''), 'unknown') || ':' || e.state
+              WHEN c.duration_sec IS NULL OR isnan(c.duration_sec) OR c.duration_sec <= 0 THEN 'invalid_duration' END AS reason
   FROM clips c LEFT JOIN (SELECT * FROM exclusions WHERE state <> 'restored') e USING (clip_id)),
 seq AS (
   SELECT *, lag(clip_id) OVER o AS prev_clip, lag(kind) OVER o AS prev_kind, us - lag(end_us) OVER o AS gap_us

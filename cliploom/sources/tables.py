@@ -30,9 +30,11 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of the clips that were looked into."""
-    state = F.when(F.col("event_id") % 3 == 0, "quarantined").when(F.col("event_id") % 3 == 1, "media_deleted").otherwise("restored")
-    return table(spark, sf_dir, "events").filter(F.col("event_type") == "error").select(F.col("event_id").alias("clip_id"), state.alias("state"))
+    """State of the clips that were looked into, and why."""
+    states = ["quarantined", "media_deleted", "restored", "candidate", "deletion_blocked"]
+    state = F.array(*[F.lit(s) for s in states])[(F.col("event_id") % 5).cast("int")]
+    code = F.when(F.col("event_id") % 4 == 0, "device_error").when(F.col("event_id") % 4 == 1, "").when(F.col("event_id") % 4 == 2, "duplicate_key")
+    return table(spark, sf_dir, "events").filter(F.col("event_type") == "error").select(F.col("event_id").alias("clip_id"), state.alias("state"), code.alias("reason_code"))
 
 
 def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,3 +97,43 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("cost"),
         (micros(F.col("o_orderdate")) + (F.col("o_orderkey") % 30) * F.lit(86_400_000_000)).alias("lease_us"),
     )
+
+
+#: Measures of a clip, made from its number n as (n * factor % modulus) / divisor.
+FEATURES = {
+    "brightness_mean": (7, 600, 10),
+    "brightness_std": (13, 160, 10),
+    "motion_mean": (3, 50, 1000),
+    "motion_peak": (17, 200, 1000),
+    "motion_std": (19, 80, 1000),
+    "active_ratio": (11, 100, 100),
+    "late_ratio": (23, 300, 100),
+    "center_ratio": (29, 100, 100),
+    "saturation": (31, 100, 100),
+    "longest_burst": (37, 16, 1),
+    "delta": (41, 80, 100),
+    "last_motion": (43, 60, 1),
+    "baseline": (47, 90, 100),
+}
+
+
+def features(spark: SparkSession, sf_dir: str, missing: bool = True) -> DataFrame:
+    """Feature rows of clips; with `missing`, some have no motion mean or no time of the last motion."""
+    n = F.col("event_id")
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        n.alias("clip_id"),
+        F.col("value").alias("duration_sec"),
+        (F.col("event_type") != "error").alias("has_motion"),
+        F.hour(F.col("ts") + F.expr("INTERVAL 9 HOURS")).alias("hour"),
+        "event_type",
+        F.when(n % 13 == 0, "pending").when(n % 13 != 1, "ready").alias("status"),
+        F.when(n % 11 == 0, "low").when(n % 11 == 2, "medium").when(n % 11 != 1, "high").alias("reliability"),
+        F.when(n % 9 != 0, n % 6).alias("bursts"),
+        (n % 3).alias("window_10m"),
+        F.when(n % 8 != 0, n % 5).alias("window_30m"),
+        *[((n * a % m).cast("double") / d).alias(name) for name, (a, m, d) in FEATURES.items()],
+    )
+    if not missing:
+        return rows
+    return rows.withColumns({"motion_mean": F.when(F.col("clip_id") % 17 != 0, F.col("motion_mean")), "last_motion": F.when(F.col("clip_id") % 10 != 0, F.col("last_motion"))})

@@ -17,7 +17,7 @@ def clips(spark, rows):
 
 
 def no_states(spark, *rows):
-    return spark.createDataFrame(list(rows), "clip_id long, state string")
+    return spark.createDataFrame([(*r, None) for r in rows], "clip_id long, state string, reason_code string")
 
 
 def numbers(df, threshold):
@@ -45,7 +45,7 @@ def test_excluded_clip_breaks_a_run_restored_does_not(spark):
 def test_accounting_reasons(spark):
     df = clips(spark, [(1, 0, None), (2, 1, float("nan")), (3, 2, 0.0), (4, 3, 1.0), (5, 4, 1.0)])
     got = {r.clip_id: (r.kind, r.reason) for r in events.account(df, no_states(spark, (4, "media_deleted")), F.col("clip_id") == 5).collect()}
-    assert got == {1: ("diagnostic", "invalid_duration"), 2: ("diagnostic", "invalid_duration"), 3: ("diagnostic", "invalid_duration"), 4: ("diagnostic", "media_deleted"), 5: ("blocked", "blocked_research")}
+    assert got == {1: ("diagnostic", "invalid_duration"), 2: ("diagnostic", "invalid_duration"), 3: ("diagnostic", "invalid_duration"), 4: ("diagnostic", "unknown:media_deleted"), 5: ("blocked", "formal_or_frozen_manifest")}
 
 
 def test_negative_gap_pairs_but_ends_a_chain(spark):
@@ -122,10 +122,71 @@ def test_votes_break_ties_by_confidence_then_label(spark):
     assert {r.id: r.voted for r in metrics.votes(df, "id").collect()} == {1: "b", 2: "a"}
 
 
-def test_unknown_bursts_are_not_strong(spark):
-    c = [F.col(x) for x in ("ready", "low", "bursts", "mean", "peak")]
-    df = spark.createDataFrame([(True, False, None, 10.0, 1.0), (True, False, 4, 10.0, 1.0), (True, False, 4, None, 1.0), (False, False, 9, 50.0, 9e9)], "ready boolean, low boolean, bursts int, mean double, peak double")
-    assert [r[0] for r in df.select(routing.operational_route(*c)).collect()] == ["review", "cloud_now", "review", "review"]
+def feature_rows(spark, *rows):
+    """Quiet, well seen and ready, but for what a row gives."""
+    base = {"status": "ready", "reliability": "high", "bursts": 1, "motion_mean": 0.02, "motion_peak": 0.05, "motion_std": 0.01, "active_ratio": 0.3, "delta": 0.0, "longest_burst": 1.0}
+    base |= {"duration_sec": 60.0, "has_motion": True, "window_30m": 1, "center_ratio": 0.5, "late_ratio": 1.0, "last_motion": 10.0}
+    types = "status string, reliability string, bursts int, motion_mean double, motion_peak double, motion_std double, active_ratio double, delta double, longest_burst double"
+    types += ", duration_sec double, has_motion boolean, window_30m int, center_ratio double, late_ratio double, last_motion double"
+    return spark.createDataFrame([tuple((base | r).values()) for r in rows], types)
+
+
+def test_operational_route_by_rule(spark):
+    rows = feature_rows(
+        spark,
+        {"status": None},
+        {"status": "failed", "motion_mean": 1.0},
+        {"motion_mean": None},
+        {"reliability": "low", "bursts": 9},
+        {"bursts": 4},
+        {"bursts": None},
+        {"longest_burst": 12.0},
+        {"longest_burst": 11.9},
+        {"longest_burst": 3.0, "duration_sec": 12.0},
+        {"has_motion": False},
+        {"motion_mean": 0.001, "motion_peak": 0.005, "active_ratio": 0.01, "bursts": None, "window_30m": None, "reliability": None},
+        {"motion_mean": 0.001, "motion_peak": 0.005, "active_ratio": 0.01, "window_30m": 3},
+    )
+    assert [r.r.reason for r in rows.select(routing.operational_route().alias("r")).collect()] == [
+        "feature_not_ready:missing",
+        "feature_not_ready:failed",
+        "feature_not_ready:missing_or_low_reliability",
+        "feature_not_ready:missing_or_low_reliability",
+        "strong_activity_or_burst",
+        "moderate_activity_batchable",
+        "strong_activity_or_burst",
+        "moderate_activity_batchable",
+        "strong_activity_or_burst",
+        "extreme_static_reliable",
+        "extreme_static_reliable",
+        "low_activity_batchable",
+    ]
+
+
+def test_guard_patches_two_routes_only(spark):
+    rows = feature_rows(spark, {"active_ratio": 0.7}, {"active_ratio": 0.7, "last_motion": 56.0}, {"active_ratio": 0.7, "last_motion": None}, {"late_ratio": 1.8, "motion_peak": 0.08}, {"late_ratio": 1.7})
+    told = routing.enriched(rows).collect()
+    assert [(r.baseline_route, r.candidate_route, r.priority) for r in told] == [
+        ("cloud_now", "cloud_later", 0.42),
+        ("cloud_now", "cloud_now", 0.88),
+        ("cloud_now", "cloud_later", 0.42),
+        ("cloud_later", "review_candidate", 0.74),
+        ("cloud_later", "cloud_later", 0.58),
+    ]
+
+
+def test_each_active_state_breaks_a_run_and_tells_why(spark):
+    rows = [(1, 0, 10.0), (2, 12, 1.0), (3, 20, 5.0)]
+    for state in ("candidate", "quarantined", "media_deleted", "deletion_blocked"):
+        told = events.account(clips(spark, rows), no_states(spark, (2, state)))
+        assert [r.reason for r in told.orderBy("clip_id").collect()] == [None, f"unknown:{state}", None]
+        assert [n for _, n in numbers(told, 60)] == [1, 2]
+    issues = lambda members: {r.code: r.n for r in events.accounting_issues(clips(spark, rows), told, members).collect()}
+    good = events.numbered_events(told, 60)
+    assert set(issues(good).values()) == {0}
+    assert issues(good.filter("clip_id = 1"))["event_coverage"] == 1
+    assert issues(good.unionByName(good))["event_coverage"] == 2
+    assert issues(good.withColumn("camera_id", F.col("camera_id") + 1))["crosses_camera_or_day"] == 2
 
 
 @pytest.mark.parametrize("width", [1, 4, 13])
