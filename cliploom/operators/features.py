@@ -36,14 +36,22 @@ def neighbour_seconds(clips: DataFrame, most: int = 3600) -> DataFrame:
 
 
 def trailing_baseline(clips: DataFrame, value: str, most: int = 20) -> DataFrame:
-    """Mean of the last `most` values of the camera in the hour before, 0 without any, and the distance from it."""
-    w = Window.partitionBy("camera_id", "slice").orderBy("us")
-    recent = F.collect_list(F.when(F.col(value).isNotNull(), F.struct("us", "clip_id", F.col(value).cast("decimal(18,4)").alias("v")))).over(w.rangeBetween(-HOUR, -1))
-    last = lambda a: F.slice(F.sort_array(a, asc=False), 1, most)
-    out = in_slices(clips, "camera_id").withColumn("recent", last(recent)).filter("own")
-    summed = F.aggregate("recent", F.lit(0).cast("decimal(28,4)"), lambda acc, x: (acc + x["v"]).cast("decimal(28,4)"))
-    base = F.when(F.size("recent") > 0, summed.cast("double") / F.size("recent")).otherwise(0.0)
-    return out.select("clip_id", base.alias("baseline"), (F.col(value) - base).alias("delta"))
+    """Mean of the last `most` values of the camera in the hour before, 0 without any, and the distance from it.
+
+    Values are numbered and summed up along a slice; the sum of the last ones is the sum so far less that at the value
+    before them, which a join on its number finds. No row carries a list."""
+    v = F.col(value).cast("decimal(18,4)")
+    scope = Window.partitionBy("camera_id", "slice")
+    before, hour = (scope.orderBy("us").rangeBetween(low, -1) for low in (Window.unboundedPreceding, -HOUR))
+    upto = scope.orderBy("us", "clip_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = in_slices(clips, "camera_id").withColumns(
+        {"n_before": F.count(v).over(before), "sum_before": F.sum(v).over(before), "n": F.least(F.count(v).over(hour), F.lit(most)), "number": F.count(v).over(upto), "sum": F.sum(v).over(upto)}
+    )
+    sums = rows.filter(F.col(value).isNotNull()).select("camera_id", "slice", F.col("number").alias("skipped"), F.col("sum").alias("sum_skipped"))
+    asked = rows.filter("own").withColumn("skipped", F.col("n_before") - F.col("n"))
+    summed = F.coalesce("sum_before", F.lit(0)) - F.coalesce("sum_skipped", F.lit(0))
+    base = F.when(F.col("n") > 0, summed.cast("double") / F.col("n")).otherwise(0.0)
+    return asked.join(sums, ["camera_id", "slice", "skipped"], "left").select("clip_id", base.alias("baseline"), (F.col(value) - base).alias("delta"))
 
 
 def average_rank(value: Column, over: list[str]) -> Column:
@@ -55,6 +63,40 @@ def average_rank(value: Column, over: list[str]) -> Column:
     return F.when(value.isNull(), None).when(n == 1, 0.5).otherwise((low + (ties - 1) / 2) / (n - 1))
 
 
+def average_ranks(rows: DataFrame, value: str, over: list[str]) -> DataFrame:
+    """rows with `pct`: average_rank() of value, from counts of distinct values in slices of a group's range, so no task
+    sorts a group."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*over, F.col(value).alias("v")).agg(F.count("*").alias("ties"))
+    spans = counts.groupBy(*over).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("ties").alias("n"))
+    cut = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.lit(255), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 256)))
+    sliced = counts.join(spans, over).withColumn("slice", cut.cast("int"))
+    ahead = lambda w: F.coalesce(F.sum("ties").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sliced.groupBy(*over, "slice").agg(F.sum("ties").alias("ties")).withColumn("start", ahead(Window.partitionBy(*over).orderBy("slice"))).drop("ties")
+    low = F.col("start") + ahead(Window.partitionBy(*over, "slice").orderBy("v"))
+    pct = F.when(F.col("n") == 1, 0.5).otherwise((low + (F.col("ties") - 1) / 2) / (F.col("n") - 1))
+    told = sliced.join(starts, [*over, "slice"]).select(*over, "v", pct.alias("pct"))
+    return rows.withColumn("v", F.col(value)).join(told, [*over, "v"], "left").drop("v")
+
+
+def as_of(asked: DataFrame, rows: DataFrame, key: str, us: str) -> DataFrame:
+    """asked with last_us and n_before: the last row of its key up to its time, and how many there are.
+
+    Both sides are put in order day by day; a day starts with what the days before it leave, of which a key has one row a
+    day, so a key is in no task as a whole."""
+    day = F.floor(F.col(us) / (24 * HOUR)).alias("day")
+    ends = rows.groupBy(key, day).agg(F.max(us).alias("last"), F.count("*").alias("c"))
+    every = ends.select(key, "day", "last", "c").unionByName(asked.select(key, day).distinct().withColumns({"last": F.lit(None).cast("long"), "c": F.lit(0).cast("long")}))
+    days = every.groupBy(key, "day").agg(F.max("last").alias("last"), F.sum("c").alias("c"))
+    past = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(key, "day", F.max("last").over(past).alias("past_us"), F.coalesce(F.sum("c").over(past), F.lit(0)).alias("past_n"))
+    both = asked.withColumns({"asks": F.lit(True), "day": day}).unionByName(rows.select(key, us).withColumns({"asks": F.lit(False), "day": day}), allowMissingColumns=True)
+    here = Window.partitionBy(key, "day").orderBy(us).rangeBetween(Window.unboundedPreceding, 0)
+    own = lambda c: F.when(~F.col("asks"), c)
+    seen = both.withColumns({"own_us": F.max(own(F.col(us))).over(here), "own_n": F.count(own(F.lit(1))).over(here)}).filter("asks")
+    told = seen.join(before, [key, "day"])
+    return told.withColumns({"last_us": F.coalesce("own_us", "past_us"), "n_before": F.col("own_n") + F.col("past_n")}).drop("asks", "day", "own_us", "own_n", "past_us", "past_n")
+
+
 def burst_stats(series: DataFrame, key: str, values: str, over: float) -> DataFrame:
     """Number of runs of values above a bound and the longest one."""
     flagged = series.withColumn("runs", runs(F.transform(values, lambda x: x > over)))
@@ -62,11 +104,13 @@ def burst_stats(series: DataFrame, key: str, values: str, over: float) -> DataFr
 
 
 def late_ratio(series: DataFrame, key: str, values: str) -> DataFrame:
-    """Sum and size of the last third of a series (from 2n/3 on) and of all of it; the ratio of the two means."""
+    """Sum and size of the last third of a series (from 2n/3 on) and of all of it, in millionths, and the ratio of the two
+    means."""
     n = F.size(values)
+    values = F.transform(values, lambda x: F.round(x.cast("double") * 1_000_000).cast("long"))
     first = F.floor(2 * n / 3).cast("int")
     late = F.slice(values, first + 1, F.greatest(n - first, F.lit(1)))
-    out = series.select(key, n.alias("n"), F.size(late).alias("n_late"), total(F.col(values)).alias("all"), total(late).alias("late"))
+    out = series.select(key, n.alias("n"), F.size(late).alias("n_late"), total(values).alias("all"), total(late).alias("late"))
     return out.withColumn("ratio", F.when(F.col("all") == 0, 0.0).otherwise((F.col("late") / F.col("n_late")) / (F.col("all") / F.col("n"))))
 
 

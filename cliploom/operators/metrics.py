@@ -31,6 +31,14 @@ def class_scores(rows: DataFrame) -> DataFrame:
     return c.withColumns({"prec": ratio(F.col("tp"), F.col("predicted")), "recall": ratio(F.col("tp"), F.col("support")), "f1": ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"))})
 
 
+def f1_averages(rows: DataFrame) -> DataFrame:
+    """Number of labels, macro F1 (mean over labels) and F1 weighted by the labels' rows; one row."""
+    scores = class_scores(rows)
+    f1 = F.round(F.col("f1") * 1_000_000_000).cast("long")
+    out = scores.agg(F.count("*").alias("labels"), F.sum("support").alias("support"), F.sum(f1).alias("all"), F.sum(f1 * F.col("support")).alias("weighted"))
+    return out.select("labels", "support", (ratio(F.col("all"), F.col("labels")) / 1e9).alias("macro_f1"), (ratio(F.col("weighted"), F.col("support")) / 1e9).alias("weighted_f1"))
+
+
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Observed and expected agreement of two raters and Cohen's kappa; 1 where all agreement is certain, else null."""
     cells = pairs.groupBy(a, b).agg(F.count("*").alias("n"))
@@ -56,18 +64,24 @@ def calibration(rows: DataFrame, edges: list[float]) -> DataFrame:
 
 
 def cascade(rows: DataFrame, base: str, strong: str, thresholds: list[float]) -> DataFrame:
-    """For each threshold: rows whose base confidence is below it go to the strong model; how many, and the accuracy."""
-    asked = rows.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    up = F.col("conf") < F.col("threshold")
-    hit = F.when(up, F.col(strong) == F.col("truth")).otherwise(F.col(base) == F.col("truth"))
-    out = asked.groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(up).alias("n_escalated"), F.count_if(hit).alias("n_right"))
+    """For each threshold: rows whose base confidence is below it go to the strong model; how many, and the accuracy.
+
+    A row is counted at the first threshold above its confidence, and the few counts are spread over the thresholds."""
+    at = sorted(thresholds)
+    first = F.lit(len(at))
+    for i in range(len(at) - 1, -1, -1):
+        first = F.when(F.col("conf") < at[i], i).otherwise(first)
+    cells = rows.groupBy(first.alias("first")).agg(F.count("*").alias("c"), F.count_if(F.col(base) == F.col("truth")).alias("b"), F.count_if(F.col(strong) == F.col("truth")).alias("s"))
+    spread = cells.withColumn("t", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(at)])))
+    up = F.col("first") <= F.col("t.i")
+    out = spread.groupBy("t.threshold").agg(F.sum("c").alias("n"), F.sum(F.when(up, F.col("c")).otherwise(0)).alias("n_escalated"), F.sum(F.when(up, F.col("s")).otherwise(F.col("b"))).alias("n_right"))
     return out.withColumns({"rate": ratio(F.col("n_escalated"), F.col("n")), "accuracy": ratio(F.col("n_right"), F.col("n"))})
 
 
 def votes(rows: DataFrame, key: str) -> DataFrame:
     """Majority of two predictions or more; a tie goes to the larger sum of confidences, then to the first label."""
     counted = rows.groupBy(key, "pred").agg(F.count("*").alias("n"), F.sum(F.col("conf").cast("decimal(18,6)")).alias("weight"))
-    best = F.max_by("pred", F.struct("n", "weight", (-F.ascii("pred")).alias("order")))
+    best = F.min_by("pred", F.struct((-F.col("n")).alias("fewer"), (-F.col("weight")).alias("lighter"), "pred"))
     return counted.groupBy(key).agg(F.sum("n").alias("n_votes"), F.max("n").alias("n_most"), F.countDistinct("pred").alias("n_labels"), best.alias("voted")).filter("n_votes >= 2")
 
 

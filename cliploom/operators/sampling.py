@@ -27,6 +27,18 @@ def round_robin(rows: DataFrame, seed: str, key: str, strata: list[str], rounds:
     return picked.orderBy("nth", "stratum", key).limit(n)
 
 
+def ranks(rows: DataFrame, strata: list[str], value: str, key: str, slices: int = 256) -> DataFrame:
+    """rows with their rank (from 0) by value and key in their stratum, and the stratum's number of rows. Strata are cut
+    into slices of their range of values; only slices are sorted, and start where the counts of those before them end."""
+    spans = rows.groupBy(*strata).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n_group"))
+    cut = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.lit(slices - 1), F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * slices)))
+    sliced = rows.join(spans, strata).withColumn("slice", F.coalesce(cut, F.lit(-1)).cast("int")).drop("low", "high")
+    before = Window.partitionBy(*strata).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most slices + 1 rows
+    starts = sliced.groupBy(*strata, "slice").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    nth = F.row_number().over(Window.partitionBy(*strata, "slice").orderBy(value, key)) - 1
+    return sliced.withColumn("nth", nth).join(starts, [*strata, "slice"]).withColumn("rank", F.col("start") + F.col("nth")).drop("nth", "start", "slice")
+
+
 def bucket_winner(rows: DataFrame, seed: str, key: str, bucket: list[str]) -> DataFrame:
     """Of near duplicates in a bucket the one with the smallest digest."""
     rest = [c for c in rows.columns if c not in bucket]
@@ -35,8 +47,12 @@ def bucket_winner(rows: DataFrame, seed: str, key: str, bucket: list[str]) -> Da
 
 def quartile_sample(rows: DataFrame, seed: str, key: str, strata: list[str], value: str, k: int) -> DataFrame:
     """k rows of each quarter of a stratum by value (earlier quarters take what does not divide)."""
-    quarter = F.ntile(4).over(Window.partitionBy(*strata).orderBy(value, key))
-    return per_stratum(rows.withColumn("quarter", quarter), seed, key, [*strata, "quarter"], k)
+    ranked = ranks(rows, strata, value, key)
+    size, more = F.floor(F.col("n_group") / 4), F.col("n_group") % 4
+    first = more * (size + 1)  # ranks in the quarters that have one row more
+    at = F.col("rank")
+    quarter = F.when(at < first, F.floor(at / (size + 1))).otherwise(more + F.floor((at - first) / size)) + 1
+    return per_stratum(ranked.withColumn("quarter", quarter.cast("int")).drop("rank", "n_group"), seed, key, [*strata, "quarter"], k)
 
 
 def split(rows: DataFrame, seed: str, key: str, percent: int) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
+from .comparators import greedy_hits
 from .sampling import hashed
 
 
@@ -24,9 +24,13 @@ def proportional_quota(sizes: DataFrame, stratum: str, total: int) -> DataFrame:
 
 
 def by_quota(rows: DataFrame, quotas: DataFrame, seed: str, key: str, stratum: str) -> DataFrame:
-    """The first rows by digest of each stratum, as many as its quota."""
-    nth = F.row_number().over(Window.partitionBy(stratum).orderBy("draw", key))
-    return hashed(rows, seed, key).withColumn("nth", nth).join(quotas.select(stratum, "quota"), stratum).filter(F.col("nth") <= F.col("quota")).drop("quota", "draw")
+    """The first rows by digest of each stratum, as many as its quota. Each of 64 slices of a stratum is cut to its quota
+    first, so no task sorts a stratum."""
+    slices = Window.partitionBy(stratum, "slice_no").orderBy("draw", key)
+    whole = Window.partitionBy(stratum).orderBy("draw", key)
+    told = hashed(rows, seed, key).join(quotas.select(stratum, "quota"), stratum).withColumn("slice_no", F.pmod(F.xxhash64(key), F.lit(64)))
+    cut = told.withColumn("nth", F.row_number().over(slices)).filter(F.col("nth") <= F.col("quota"))
+    return cut.withColumn("nth", F.row_number().over(whole)).filter(F.col("nth") <= F.col("quota")).drop("quota", "draw", "slice_no")
 
 
 def cascade(rows: DataFrame, groups: list[tuple[str, Column, int]], *order: str) -> DataFrame:
@@ -54,40 +58,26 @@ def night_split(rows: DataFrame, night: str, part: str, attempts: int, each: int
     return placed.join(good, "attempt").select(night, "side", "attempt")
 
 
-def thinned(peaks: DataFrame, key: str, at: str, value: str, apart: float, most: int) -> DataFrame:
-    """Peaks of a key, highest first, that are `apart` or more from each one kept; at most `most`. What is kept depends on
-    what was kept before, so the peaks of one key are walked through in order."""
+def thinned(peaks: DataFrame, keys: list[str], at: str, value: str, apart: float, most: int) -> DataFrame:
+    """Peaks of a key, highest first (the earliest of equal ones), that are `apart` or more from each one kept; at most
+    `most`. A key's peaks are folded in order, with those kept so far as state."""
+    listed = peaks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("down"), F.col(at).alias("at")))).alias("peaks"))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        times = group[at].to_numpy()
-        for i in group.sort_values([value, at], ascending=[False, True]).index:
-            spot = group.index.get_loc(i)
-            if len(kept) < most and all(abs(times[spot] - times[k]) >= apart for k in kept):
-                kept.append(spot)
-        return group.iloc[sorted(kept, key=lambda k: times[k])]
+    def step(kept: Column, peak: Column) -> Column:
+        free = (F.size(kept) < most) & F.forall(kept, lambda k: F.abs(k["at"] - peak["at"]) >= apart)
+        return F.when(free, F.concat(kept, F.array(peak))).otherwise(kept)
 
-    return peaks.select(key, at, value).groupBy(key).applyInPandas(walk, peaks.select(key, at, value).schema)
+    none = F.filter("peaks", lambda p: F.lit(False))
+    return listed.select(*keys, F.explode(F.aggregate("peaks", none, step)).alias("p")).select(*keys, F.col("p.at").alias(at), (-F.col("p.down")).alias(value))
 
 
 def matched(left: DataFrame, right: DataFrame, key: str, seconds: float) -> DataFrame:
     """Greedy matching of two lists of (action, at) of a key: each left item takes the first unused right one with its
     action that is no further than `seconds`."""
-
-    def items(side: pd.DataFrame) -> list[tuple[float, str]]:
-        return sorted(zip(side["spot"], side["what"], strict=True)) if len(side) else []
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        mine, free, hits = items(a), items(b), 0
-        for spot, what in mine:
-            found = next((f for f in free if f[1] == what and abs(f[0] - spot) <= seconds), None)
-            if found is not None:
-                free.remove(found)
-                hits += 1
-        name = (a if len(a) else b)["name"].iloc[0]
-        return pd.DataFrame({key: [name], "hits": [hits], "only_left": [len(mine) - hits], "only_right": [len(free)]})
-
-    # Both sides get columns of their own: they may come from one table.
-    left, right = (side.select((F.col(key) + 0).alias("name"), F.concat("action", F.lit("")).alias("what"), (F.col("at") + 0).alias("spot")) for side in (left, right))
-    shape = f"{key} long, hits long, only_left long, only_right long"
-    return left.groupBy("name").cogroup(right.groupBy("name")).applyInPandas(match, shape)
+    shape = "array<struct<at:double,action:string>>"
+    side = lambda df, name: df.groupBy(F.col(key).alias(key)).agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), "action"))).alias(name))
+    empty = F.array().cast(shape)
+    both = side(left, "mine").join(side(right, "free"), key, "full").withColumns({"mine": F.coalesce("mine", empty), "free": F.coalesce("free", empty)})
+    fits = lambda m, f: (m["action"] == f["action"]) & (F.abs(m["at"] - f["at"]) <= seconds)
+    out = both.withColumn("hits", greedy_hits(F.col("mine"), F.col("free"), shape, fits))
+    return out.select(key, "hits", (F.size("mine") - F.col("hits")).alias("only_left"), (F.size("free") - F.col("hits")).alias("only_right"))

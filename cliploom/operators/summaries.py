@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ratios import ratio
+from ..functions.times import HOUR
 
 
 SLICES = 256
@@ -52,12 +53,39 @@ def exclusive_quartiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return out.select(*by, "n", *[quartile(i).alias(f"q{i}") for i in (1, 2, 3)])
 
 
+def interpolated(rows: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """For each group its number of rows `n` and percentiles between neighbours in proportion, from values_at()."""
+    place = lambda q: lambda n: (n - 1) * F.lit(q)
+    ranks = {f"{name}_{side}": (lambda n, q=q, f=f: f(place(q)(n))) for name, q in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    out = values_at(rows, value, by, ranks)
+    part = lambda q: place(q)(F.col("n")) - F.floor(place(q)(F.col("n")))
+    between = lambda name, q: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part(q)
+    return out.select(*by, "n", *[between(name, q).alias(name) for name, q in shares.items()])
+
+
 def low_streaks(rows: DataFrame, key: str, order: str, low: Column, least: int) -> DataFrame:
-    """Longest run of low rows of each key, and whether it reaches `least`."""
-    w = Window.partitionBy(key).orderBy(order)
-    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "low").orderBy(order))
-    runs = rows.withColumn("low", low).withColumn("island", island).groupBy(key, "low", "island").agg(F.count("*").alias("n"))
-    return runs.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("low"), F.col("n"))), F.lit(0)).alias("longest")).withColumn("stop", F.col("longest") >= least)
+    """Longest run of low rows of each key in the order of `order` (microseconds), and whether it reaches `least`.
+
+    Runs are found hour by hour; an hour is then its rows, its longest run and those at its ends, and hours of a key are
+    joined one after the other."""
+    hours = rows.withColumns({"low": low, "hour": F.floor(F.col(order) / HOUR)})
+    w, n = Window.partitionBy(key, "hour").orderBy(order), F.count("*").over(Window.partitionBy(key, "hour"))
+    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "hour", "low").orderBy(order))
+    runs = (
+        hours.withColumns({"island": island, "nth": F.row_number().over(w), "rows": n})
+        .groupBy(key, "hour", "rows", "low", "island")
+        .agg(F.count("*").alias("n"), F.min("nth").alias("first"), F.max("nth").alias("last"))
+        .filter("low")
+    )
+    parts = runs.groupBy(key, "hour", "rows").agg(F.max("n").alias("longest"), F.max(F.when(F.col("first") == 1, F.col("n"))).alias("head"), F.max(F.when(F.col("last") == F.col("rows"), F.col("n"))).alias("tail"))
+    every = hours.groupBy(key, "hour").agg(F.count("*").alias("rows")).join(parts.drop("rows"), [key, "hour"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    listed = every.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("hour", "rows", zero("longest").alias("longest"), zero("head").alias("head"), zero("tail").alias("tail")))).alias("hours"))
+    start = F.struct(F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("open"))
+    step = lambda s, h: F.struct(
+        F.greatest(s["best"], h["longest"], s["open"] + h["head"]).alias("best"), F.when(h["tail"] == h["rows"], s["open"] + h["rows"]).otherwise(h["tail"]).alias("open")
+    )
+    return listed.select(key, F.aggregate("hours", start, step)["best"].alias("longest")).withColumn("stop", F.col("longest") >= least)
 
 
 def rate_limited(rows: DataFrame, key: str, us: str, limits: dict[int, int]) -> DataFrame:
@@ -71,7 +99,8 @@ def rate_limited(rows: DataFrame, key: str, us: str, limits: dict[int, int]) ->
 
 def model_summary(rows: DataFrame, baseline: int) -> DataFrame:
     """Accuracy and median price of each model and the distance from the baseline's accuracy."""
-    out = rows.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("truth")).alias("n_right"), F.median("price").alias("median_price"))
+    medians = interpolated(rows, "price", ["model"], {"median_price": 0.5}).drop("n")
+    out = rows.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("truth")).alias("n_right")).join(medians, "model")
     out = out.withColumn("accuracy", ratio(F.col("n_right"), F.col("n")))
     base = out.filter(F.col("model") == baseline).select(F.col("accuracy").alias("base"))
     return out.crossJoin(F.broadcast(base)).withColumn("delta", F.col("accuracy") - F.col("base")).drop("base")  # one row

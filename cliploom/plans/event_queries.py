@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.hashing import digest
-from ..operators import audit, events, features, queues
+from ..operators import audit, events, features, graph, queues, summaries
 from ..sources.tables import assessments, clips, exclusions, settings, table
 from .registry import ACCOUNTED, ASSESSMENTS, CLIPS, EXCLUSIONS, SETTINGS, query
 
@@ -140,7 +140,7 @@ def trailing_baseline(spark, sf_dir):
          count(*) OVER (PARTITION BY activity_day) AS n FROM clips)
 SELECT clip_id, CASE WHEN n = 1 THEN 0.5::DOUBLE ELSE (low + (ties - 1) / 2) / (n - 1) END AS pct FROM r""")
 def avg_rank_percentile(spark, sf_dir):
-    return clips(spark, sf_dir).select("clip_id", features.average_rank(F.col("k"), ["activity_day"]).alias("pct"))
+    return features.average_ranks(clips(spark, sf_dir).select("clip_id", "activity_day", "k"), "k", ["activity_day"]).select("clip_id", "pct")
 
 
 @query(f"""WITH {CLIPS}, r AS (
@@ -176,7 +176,8 @@ def short_clip_candidates(spark, sf_dir):
 SELECT camera_id, count(*) AS hours, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.95) AS p95, max(n) AS most FROM h GROUP BY 1""")
 def active_hour_influx(spark, sf_dir):
     hours = clips(spark, sf_dir).groupBy("camera_id", F.floor(F.col("us") / times.HOUR).alias("hour_no")).agg(F.count("*").alias("n"))
-    return hours.groupBy("camera_id").agg(F.count("*").alias("hours"), F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.95).alias("p95"), F.max("n").alias("most"))
+    told = summaries.interpolated(hours, "n", ["camera_id"], {"p50": 0.5, "p95": 0.95}).withColumnRenamed("n", "hours")
+    return told.join(hours.groupBy("camera_id").agg(F.max("n").alias("most")), "camera_id")
 
 
 @query(f"""WITH {CLIPS}, {ASSESSMENTS}, o AS (
@@ -213,16 +214,13 @@ def band_join_counts(spark, sf_dir):
     return near.groupBy("object_id").agg(F.least(F.count("*"), F.lit(20)).cast("int").alias("n_near"))
 
 
-@query(f"""WITH {CLIPS}, r AS (SELECT o_orderkey AS run_id, o_orderkey % 10 AS camera_id, epoch_us(TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 97 % 2592000)) AS run_us FROM orders WHERE o_orderkey % 50 = 0)
-SELECT run_id, max(us) AS last_us, count(*) AS n_before FROM r JOIN clips c ON c.camera_id = r.camera_id AND us <= run_us AND us > run_us - 86400000000 GROUP BY run_id""")
+@query(f"""WITH {CLIPS}, r AS (SELECT o_orderkey AS run_id, o_orderkey % 10 AS camera_id, epoch_us(TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 97 % 2592000)) AS run_us FROM orders)
+SELECT run_id, max(us) AS last_us, count(*) AS n_before FROM r JOIN clips c ON c.camera_id = r.camera_id AND us <= run_us GROUP BY run_id""")
 def asof_availability(spark, sf_dir):
-    """The last clip of the run's camera in the day up to the run; buckets of a day give the join an equal key."""
-    start, whole = F.lit(1_704_067_200_000_000), 24 * times.HOUR
-    runs = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 10).alias("camera_id"), (start + F.col("o_orderkey") * 97 % 2_592_000 * 1_000_000).alias("run_us"))
-    asked = runs.withColumn("bucket", F.explode(F.array(F.floor(F.col("run_us") / whole), F.floor(F.col("run_us") / whole) - 1)))
-    rows = clips(spark, sf_dir).select("camera_id", "us", F.floor(F.col("us") / whole).alias("bucket"))
-    hit = asked.join(rows, ["camera_id", "bucket"]).filter((F.col("us") <= F.col("run_us")) & (F.col("us") > F.col("run_us") - whole))
-    return hit.groupBy("run_id").agg(F.max("us").alias("last_us"), F.count("*").alias("n_before"))
+    """The last clip of the run's camera up to the run, and how many there are, however long before."""
+    start = F.lit(1_704_067_200_000_000)
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 10).alias("camera_id"), (start + F.col("o_orderkey") * 97 % 2_592_000 * 1_000_000).alias("us"))
+    return features.as_of(runs, clips(spark, sf_dir).select("camera_id", "us"), "camera_id", "us").filter("n_before > 0").select("run_id", "last_us", "n_before")
 
 
 @query("SELECT vec_id, CAST(sum(s) AS INTEGER) AS n_bursts, CAST(coalesce(max(len), 0) AS INTEGER) AS longest FROM (SELECT vec_id, len, CASE WHEN f THEN 1 ELSE 0 END AS s FROM (SELECT vec_id, f, CASE WHEN f THEN count(*) END AS len FROM (SELECT vec_id, f, i - row_number() OVER (PARTITION BY vec_id, f ORDER BY i) AS g FROM (SELECT vec_id, unnest(embedding) > 0.0 AS f, generate_subscripts(embedding, 1) AS i FROM embeddings)) GROUP BY vec_id, f, g)) GROUP BY vec_id")
@@ -235,17 +233,22 @@ def active_span(spark, sf_dir):
     return features.active_span(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.1)
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(len(embedding) - 2 * len(embedding) // 3 AS INTEGER) AS n_late FROM embeddings")
+@query("""WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)) AS v FROM embeddings),
+s AS (SELECT vec_id, len(v) AS n, len(v) - 2 * len(v) // 3 AS n_late, CAST(list_sum(v) AS DOUBLE) AS whole, CAST(list_sum(v[2 * len(v) // 3 + 1:]) AS DOUBLE) AS late FROM m)
+SELECT vec_id, CAST(n AS INTEGER) AS n, CAST(n_late AS INTEGER) AS n_late, CASE WHEN whole = 0 THEN 0.0::DOUBLE ELSE (late / n_late) / (whole / n) END AS ratio FROM s""")
 def late_third(spark, sf_dir):
-    """Sizes of the last third; the ratio of means is tested in Python, since engines add floats in different orders."""
-    return features.late_ratio(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", "n", "n_late")
+    return features.late_ratio(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", "n", "n_late", "ratio")
 
 
-@query(f"""WITH {NUMBERED}, s AS (SELECT * FROM ev WHERE n_clips > 1) SELECT camera_id, count(*) AS n_events, CAST(sum(n_clips) AS BIGINT) AS n_clips, max(n_clips) AS most FROM s GROUP BY 1""")
+@query(f"""WITH RECURSIVE {PAIRS}, same AS (SELECT left_clip AS a, right_clip AS b FROM pairs WHERE right_clip % 5 <> 0 AND gap_us < (right_clip % 7) * 40000000),
+n AS (SELECT a AS x, b AS y FROM same UNION SELECT b, a FROM same), reach AS (SELECT x, x AS y FROM n UNION SELECT reach.x, n.y FROM reach JOIN n ON reach.y = n.x),
+c AS (SELECT x AS clip_id, min(y) AS event FROM reach GROUP BY 1)
+SELECT clip_id, event, count(*) OVER (PARTITION BY event) AS n_clips FROM c""")
 def connected_events(spark, sf_dir):
-    """Events as connected chains of clips: what joins neighbours joins whole components."""
-    return events.events(accounted(spark, sf_dir), GAP).filter("n_clips > 1").groupBy("camera_id").agg(F.count("*").alias("n_events"), F.sum("n_clips").alias("n_clips"), F.max("n_clips").alias("most"))
-
+    """Clips joined by pairs that reviewers call one event: components of any graph of such pairs."""
+    judged = events.adjacent_pairs(accounted(spark, sf_dir)).filter((F.col("right_clip") % 5 != 0) & (F.col("gap_us") < (F.col("right_clip") % 7) * 40_000_000))
+    found = graph.components(judged.select(F.col("left_clip").alias("a"), F.col("right_clip").alias("b"))).select(F.col("node").alias("clip_id"), F.col("component").alias("event"))
+    return found.join(found.groupBy("event").agg(F.count("*").alias("n_clips")), "event")
 
 @query(f"""WITH {CLIPS} SELECT clip_id, sha256('clip|' || camera_id || '|' || activity_day || '|' || coalesce(media_key, '-')) AS fingerprint, substr(sha256('clip|' || clip_id), 1, 8) AS short FROM clips""")
 def clip_fingerprints(spark, sf_dir):

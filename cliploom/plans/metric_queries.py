@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ratios import ratio
-from ..operators import metrics, routing
+from ..operators import metrics, routing, summaries
 from ..sources.tables import clips, predictions, table
 from .registry import CLIPS, PREDICTIONS, query
 
@@ -28,6 +28,14 @@ def macro_weighted_f1(spark, sf_dir):
     return metrics.class_scores(predictions(spark, sf_dir))
 
 
+@query(f"""WITH {PREDICTIONS}, c AS (SELECT truth, pred, count(*) AS n FROM predictions GROUP BY 1, 2), l AS (SELECT DISTINCT unnest([truth, pred]) AS label FROM c),
+s AS (SELECT label, coalesce(sum(n) FILTER (WHERE truth = label AND pred = label), 0) AS tp, coalesce(sum(n) FILTER (WHERE truth = label), 0) AS support, coalesce(sum(n) FILTER (WHERE pred = label), 0) AS predicted FROM l, c GROUP BY 1),
+f AS (SELECT support, CAST(round(CASE WHEN support + predicted = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(support + predicted AS DOUBLE) END * 1e9) AS BIGINT) AS f1 FROM s)
+SELECT count(*) AS labels, CAST(sum(support) AS BIGINT) AS support, CAST(sum(f1) AS DOUBLE) / count(*) / 1e9 AS macro_f1, CAST(sum(f1 * support) AS DOUBLE) / CAST(sum(support) AS DOUBLE) / 1e9 AS weighted_f1 FROM f""")
+def f1_averages(spark, sf_dir):
+    return metrics.f1_averages(predictions(spark, sf_dir))
+
+
 @query("""WITH p AS (SELECT a.l_returnflag AS a, b.l_returnflag AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2),
 t AS (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS same FROM p), x AS (SELECT a AS v, count(*) AS x FROM p GROUP BY 1), y AS (SELECT b AS v, count(*) AS y FROM p GROUP BY 1),
 c AS (SELECT CAST(sum(x * y) AS BIGINT) AS chance FROM x JOIN y USING (v)), k AS (SELECT n, same, CAST(same AS DOUBLE) / n AS observed, CAST(chance AS DOUBLE) / (n * n) AS expected FROM t, c)
@@ -126,8 +134,9 @@ def separability_buckets(spark, sf_dir):
 
 @query(f"WITH {PREDICTIONS} SELECT model, truth, count(*) AS n, quantile_cont(price, 0.5) AS p50, quantile_cont(price, 0.95) AS p95, max(price) AS most, 3600 / quantile_cont(price, 0.95) AS capacity FROM predictions GROUP BY 1, 2")
 def latency_percentiles(spark, sf_dir):
-    p = lambda q: F.percentile("price", q)
-    return predictions(spark, sf_dir).groupBy("model", "truth").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.max("price").alias("most"), (3600 / p(0.95)).alias("capacity"))
+    rows, by = predictions(spark, sf_dir), ["model", "truth"]
+    out = summaries.interpolated(rows, "price", by, {"p50": 0.5, "p95": 0.95})
+    return out.join(rows.groupBy(*by).agg(F.max("price").alias("most")), by).withColumn("capacity", 3600 / F.col("p95"))
 
 
 @query(f"WITH {PREDICTIONS}, w AS (SELECT sample_id, conf, truth, pred, row_number() OVER (ORDER BY conf DESC, sample_id) AS nth FROM predictions WHERE pred <> truth) SELECT sample_id, conf, truth, pred FROM w WHERE nth <= 50")

@@ -108,16 +108,25 @@ def night_partition(spark, sf_dir):
     return selection.night_split(rows, "night", "camera_id", 8, 6)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLIPS}, p AS (SELECT camera_id, activity_day, list({{'at': us, 'k': k}} ORDER BY k DESC, us) AS peaks FROM clips GROUP BY 1, 2),
+g AS (SELECT camera_id, activity_day, peaks, 0 AS i, peaks[1:0] AS kept FROM p UNION ALL
+  SELECT camera_id, activity_day, peaks, i + 1, CASE WHEN len(kept) < 5 AND len(list_filter(kept, lambda x: abs(x.at - peaks[i + 1].at) < 3600000000)) = 0 THEN list_append(kept, peaks[i + 1]) ELSE kept END FROM g WHERE i < len(peaks)),
+d AS (SELECT camera_id, CAST(activity_day AS VARCHAR) AS activity_day, unnest(kept) AS x FROM g WHERE i = len(peaks))
+SELECT camera_id, activity_day, x.at AS us, x.k AS k FROM d""")
 def temporal_nms(spark, sf_dir):
-    """Highest clips of a camera's day that lie an hour apart; order dependent, so tested in Python."""
-    rows = clips(spark, sf_dir).select((F.col("camera_id") * 1000 + F.dayofyear("activity_day")).alias("scope"), "us", "k")
-    return selection.thinned(rows, "scope", "us", "k", times.HOUR, 5)
+    """Highest clips of a camera's day that lie an hour apart, five at most."""
+    rows = clips(spark, sf_dir).select("camera_id", F.col("activity_day").cast("string").alias("activity_day"), "us", "k")
+    return selection.thinned(rows, ["camera_id", "activity_day"], "us", "k", times.HOUR, 5)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, list({'at': CAST(turn AS DOUBLE), 'action': role} ORDER BY turn, role) AS mine,
+  list({'at': CASE WHEN turn % 3 = 0 THEN turn + 1.5 ELSE turn + 0.5 END::DOUBLE, 'action': role} ORDER BY CASE WHEN turn % 3 = 0 THEN turn + 1.5 ELSE turn + 0.5 END, role) AS free FROM conversations GROUP BY 1),
+g AS (SELECT conv_id, mine, free, 0 AS i, 0 AS hits FROM t UNION ALL
+  SELECT conv_id, mine, CASE WHEN spot > 0 THEN free[:spot - 1] || free[spot + 1:] ELSE free END, i + 1, hits + CAST(spot > 0 AS INTEGER)
+  FROM (SELECT *, coalesce(list_position(list_transform(free, lambda f: f.action = mine[i + 1].action AND abs(f.at - mine[i + 1].at) <= 1), true), 0) AS spot FROM g WHERE i < len(mine)))
+SELECT conv_id, max(hits) AS hits, CAST(max(len(mine)) - max(hits) AS INTEGER) AS only_left, CAST(min(len(free)) AS INTEGER) AS only_right FROM g GROUP BY 1""")
 def segment_matching(spark, sf_dir):
-    """Turns of a conversation against the same with every third changed; greedy, so tested in Python."""
+    """Turns of a conversation against the same with every third moved further."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("action"), F.col("turn").cast("double").alias("at"))
     moved = turns.withColumn("at", F.when(F.col("at") % 3 == 0, F.col("at") + 1.5).otherwise(F.col("at") + 0.5))
     return selection.matched(turns, moved, "conv_id", 1.0)
@@ -154,10 +163,10 @@ def union_boxes(spark, sf_dir):
     return rows.groupBy("label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT p_partkey AS part, c, r FROM part, (VALUES ('warm'), ('cold')) x(c), range(1, 4) y(r) WHERE p_partkey % 20 = 0), a AS (SELECT l_partkey AS part, CASE WHEN l_linestatus = 'O' THEN 'warm' ELSE 'cold' END AS c, l_linenumber AS r FROM lineitem)
+@query("""WITH e AS (SELECT p_partkey AS part, c, r FROM part, (VALUES ('warm'), ('cold')) x(c), range(1, 4) y(r)), a AS (SELECT l_partkey AS part, CASE WHEN l_linestatus = 'O' THEN 'warm' ELSE 'cold' END AS c, l_linenumber AS r FROM lineitem)
 SELECT count(*) AS expected, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.part = e.part AND a.c = e.c AND a.r = e.r)) AS missing FROM e""")
 def expected_keys(spark, sf_dir):
     """Keys that a plan of runs asks for, and those without a result."""
-    asked = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("part"), F.explode(F.array(F.lit("warm"), F.lit("cold"))).alias("c")).withColumn("r", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.explode(F.array(F.lit("warm"), F.lit("cold"))).alias("c")).withColumn("r", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     got = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.when(F.col("l_linestatus") == "O", "warm").otherwise("cold").alias("c"), F.col("l_linenumber").alias("r"), F.lit(1).alias("hit")).distinct()
     return asked.join(got, ["part", "c", "r"], "left").agg(F.count("*").alias("expected"), F.count_if(F.col("hit").isNull()).alias("missing"))

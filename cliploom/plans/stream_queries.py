@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
 from ..streaming.segments import clip_stream, drained, segments, worker
 from .registry import query
 
 
-def folder(spark) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="cliploom-")
-
-
-@query("""SELECT user_id % 10 AS camera_id, epoch_us(ts) // 60000000 * 60000000 AS from_us, count(*) AS n, max(value) AS longest FROM events GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT user_id % 10 AS camera_id, epoch_us(ts) // 60000000 * 60000000 AS from_us, count(*) AS n, max(value) AS longest FROM events GROUP BY 1, 2)
+SELECT * FROM s WHERE longest >= 5 AND from_us // 1000 + 60000 <= (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)""")
 def stream_segments(spark, sf_dir):
-    at, rows = folder(spark), f"segments-{uuid.uuid4().hex}"
-
-    def keep(batch, number):
-        # In complete mode a micro-batch holds all segments, and replaces what an earlier one wrote.
-        batch.write.mode("overwrite").parquet(f"{at}/{rows}")
-
-    drained(segments(clip_stream(spark, f"{sf_dir}/events.parquet")), at, keep, mode="complete")
-    return spark.read.parquet(f"{at}/{rows}")
+    """Segments that the watermark has passed; the last hour's are still open when the stream stops."""
+    rows = drained(segments(clip_stream(spark, f"{sf_dir}/events.parquet"), least_span=5.0), shared_folder(spark))
+    return spark.read.parquet(rows)
 
 
 @query("SELECT event_id, value * 2 AS doubled FROM events WHERE event_type <> 'error'")
 def stream_worker(spark, sf_dir):
-    at = folder(spark)
+    at = shared_folder(spark)
     results = f"{at}/worker-{uuid.uuid4().hex}"
     process = lambda rows: rows.select("event_id", "event_type", (F.col("value") * 2).alias("doubled"))
-    drained(clip_stream(spark, f"{sf_dir}/events.parquet"), at, worker(process, f"{results}/ok", f"{results}/failed", "event_id", "event_type <> 'error'"))
+    drained(clip_stream(spark, f"{sf_dir}/events.parquet"), at, worker(process, f"{results}/ok", f"{results}/failed", "event_id", "event_id", "event_type <> 'error'"))
     return spark.read.parquet(f"{results}/ok").select("event_id", "doubled")

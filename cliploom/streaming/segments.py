@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 from ..functions.times import micros
 
 
-def clip_stream(spark: SparkSession, path: str) -> DataFrame:
+def clip_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files as a stream, with a timestamp for windows. The last letter goes into a glob, since a stream's path has
     to be a folder or a pattern, and a table may be one file."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.timestamp_micros(micros(F.col("ts"))))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.timestamp_micros(micros(F.col("ts"))))
 
 
-def segments(stream: DataFrame, seconds: int = 60, late: str = "1 hour") -> DataFrame:
-    """Clips and distinct kinds in each tumbling segment of a camera; rows later than `late` are dropped."""
+def segments(stream: DataFrame, seconds: int = 60, late: str = "1 hour", least_span: float = 0.0) -> DataFrame:
+    """Clips and the longest one of each tumbling segment of a camera whose longest is at least `least_span`. A segment is
+    told once, when the watermark (the latest row less `late`) has passed its end, and its state then ends; rows of
+    segments that have been told are dropped."""
     cut = F.window("at", f"{seconds} seconds")
     grouped = stream.withWatermark("at", late).groupBy(cut.alias("w"), (F.col("user_id") % 10).alias("camera_id"))
-    return grouped.agg(F.count("*").alias("n"), F.max("value").alias("longest")).select("camera_id", F.unix_micros("w.start").alias("from_us"), "n", "longest")
+    told = grouped.agg(F.count("*").alias("n"), F.max("value").alias("longest")).filter(F.col("longest") >= least_span)
+    return told.select("camera_id", F.unix_micros("w.start").alias("from_us"), "n", "longest")
 
 
 def drained(stream: DataFrame, folder: str, worker: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
@@ -35,12 +38,17 @@ def drained(stream: DataFrame, folder: str, worker: Callable[[DataFrame, int], N
     return f"{at}/rows"
 
 
-def worker(process: Callable[[DataFrame], DataFrame], results: str, failures: str, key: str, ok: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch worker: first row of a key, result or dead letter. A batch that is run again overwrites its own folder,
-    so it counts once."""
+def worker(process: Callable[[DataFrame], DataFrame], results: str, failures: str, key: str, order: str, ok: str) -> Callable[[DataFrame, int], None]:
+    """Micro-batch worker: the first row of a key by `order`, result or dead letter, once over all batches. A batch that is
+    run again overwrites its own folder, so it counts once."""
 
     def work(batch: DataFrame, number: int) -> None:
-        done = process(batch.dropDuplicates([key])).persist()
+        rest = [c for c in batch.columns if c != key]
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest))).alias("r")).select(key, "r.*")
+        done_before = [batch.sparkSession.read.parquet(at).filter(F.col("batch") < number).select(key) for at in (results, failures) if number > 0]
+        for seen in done_before:
+            first = first.join(seen, key, "left_anti")
+        done = process(first).persist()
         done.filter(ok).write.mode("overwrite").parquet(f"{results}/batch={number}")
         done.filter(~F.expr(ok)).write.mode("overwrite").parquet(f"{failures}/batch={number}")
         done.unpersist()

@@ -245,7 +245,7 @@ def test_peaks_are_thinned_and_segments_matched(spark):
     from cliploom.operators import selection
 
     peaks = spark.createDataFrame([(1, 0, 5), (1, 1, 9), (1, 2, 5), (1, 3, 7), (2, 0, 1)], "k long, t long, v long")
-    assert sorted(tuple(r) for r in selection.thinned(peaks, "k", "t", "v", 2, 9).collect()) == [(1, 1, 9), (1, 3, 7), (2, 0, 1)]
+    assert sorted(tuple(r) for r in selection.thinned(peaks, ["k"], "t", "v", 2, 9).collect()) == [(1, 1, 9), (1, 3, 7), (2, 0, 1)]
     a = spark.createDataFrame([(1, "x", 0.0), (1, "x", 0.5), (2, "y", 0.0)], "k long, action string, at double")
     b = spark.createDataFrame([(1, "x", 0.4), (1, "y", 0.4), (3, "z", 0.0)], "k long, action string, at double")
     assert sorted(tuple(r) for r in selection.matched(a, b, "k", 1.0).collect()) == [(1, 1, 1, 1), (2, 0, 1, 0), (3, 0, 0, 1)]
