@@ -21,10 +21,10 @@ def written(spark, at, batches):
 
 def test_late_rows_are_dropped_and_segments_told_once(spark, tmp_path):
     hour = 3600
-    path = written(spark, tmp_path, [[(1, 5.0, 0), (2, 7.0, 3 * hour)], [(3, 9.0, 30), (4, 6.0, 3 * hour + 20), (5, 1.0, 6 * hour)], [(6, 8.0, 9 * hour)]])
+    path = written(spark, tmp_path, [[(1, 5.0, 0), (2, 7.0, 3 * hour)], [(4, 6.0, 3 * hour + 20), (5, 1.0, 6 * hour)], [(3, 9.0, 30), (6, 8.0, 9 * hour)]])
     rows = drained(segments(clip_stream(spark, path, files_per_batch=1), least_span=2.0), str(tmp_path))
     told = sorted((r.from_us // 1_000_000 - 1_704_067_200, r.n, r.longest) for r in spark.read.parquet(rows).collect())
-    # Row 3 is late: its segment was told after the first batch. Row 5's segment is too short, row 6's is still open.
+    # Row 3 is late: its segment was told with the second batch. Row 5's segment is too short, row 6's is still open.
     assert told == [(0, 1, 5.0), (3 * hour, 2, 7.0)]
 
 
