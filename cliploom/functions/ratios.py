@@ -20,3 +20,32 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
         F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), centre - half)),
         F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), centre + half)),
     )
+
+
+def tiles_tokens(width: Column, height: Column) -> Column:
+    """Tokens of an image that is counted by tiles of 512."""
+    return 85 + 170 * F.ceil(width / 512) * F.ceil(height / 512)
+
+
+def area_tokens(width: Column, height: Column) -> Column:
+    """Tokens of an image that is counted by its area."""
+    return F.ceil(width * height / 750)
+
+
+def expected_tokens(primary: Column, fallback_rate: Column, fallback: Column) -> Column:
+    return primary + fallback_rate * fallback
+
+
+def token_reduction(baseline: Column, expected: Column) -> Column:
+    return 1 - expected / baseline
+
+
+def most_fallback(baseline: Column, primary: Column, target: Column, fallback: Column) -> Column:
+    """Largest share of rows that may fall back while the target is kept, from 0 to 1."""
+    left = baseline * (1 - target) - primary
+    return F.when(left <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / fallback)))
+
+
+def per_second(frames: Column, seconds: Column) -> Column:
+    """Null without frames or without a length."""
+    return F.when(frames.isNotNull() & (seconds > 0), frames / seconds)
