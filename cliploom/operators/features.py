@@ -122,3 +122,43 @@ def active_span(series: DataFrame, key: str, values: str, over: float) -> DataFr
 
 def reliability(mean: Column, std: Column) -> Column:
     return F.when((mean < 18) | (std < 2), "low").when(std >= 8, "high").otherwise("medium")
+
+
+def long_runs(flags: Column, least: int) -> Column:
+    """How many flags lie in runs of true of at least that length; a run that the end cuts counts like any other."""
+    return F.aggregate(F.filter(runs(flags), lambda n: n >= least), F.lit(0), lambda a, n: a + n)
+
+
+def trajectory(points: DataFrame, key: str, order: str, width: float, height: float) -> DataFrame:
+    """By key, over points (ok, x, y, w, h): share of good ones, drift of the centre and spread of centres over the diagonal,
+    and the last area over the first; null below two good points."""
+    diagonal = (width * width + height * height) ** 0.5
+    x, y, area = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.col("w") * F.col("h")
+    good = F.when(F.col("ok"), F.struct(x.alias("x"), y.alias("y"), area.alias("a")))
+    at = F.when(F.col("ok"), F.col(order))
+    out = points.groupBy(key).agg(
+        F.count("*").alias("frames"),
+        F.count_if("ok").alias("n_ok"),
+        F.min_by(good, at).alias("first"),
+        F.max_by(good, at).alias("last"),
+        F.stddev_pop(F.when(F.col("ok"), x)).alias("sx"),
+        F.stddev_pop(F.when(F.col("ok"), y)).alias("sy"),
+    )
+    enough = lambda c: F.when(F.col("n_ok") >= 2, c)
+    dx, dy = F.col("last.x") - F.col("first.x"), F.col("last.y") - F.col("first.y")
+    return out.select(
+        key,
+        "frames",
+        (F.col("n_ok") / F.col("frames")).alias("ok_rate"),
+        enough(F.sqrt(dx * dx + dy * dy) / diagonal).alias("drift"),
+        enough(F.when(F.col("first.a") > 0, F.col("last.a") / F.col("first.a"))).alias("area_ratio"),
+        enough((F.col("sx") + F.col("sy")) / diagonal).alias("spread"),
+    )
+
+
+def dense_day(rows: DataFrame, by: str, day: str, wanted: Column, last: Column, most_back: int = 30) -> DataFrame:
+    """By key the latest day, up to the last closed one and not further back than `most_back`, with a wanted row; where there is
+    none, the day at that floor."""
+    floor = F.date_sub(F.max(last), most_back)
+    found = F.max(F.when(wanted & (F.col(day) <= last) & (F.col(day) >= F.date_sub(last, most_back)), F.col(day)))
+    return rows.groupBy(by).agg(F.coalesce(found, floor).alias("day"))

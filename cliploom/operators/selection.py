@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
 from .comparators import greedy_hits
-from .sampling import hashed
+from .sampling import hashed, ranks
 
 
 def proportional_quota(sizes: DataFrame, stratum: str, total: int) -> DataFrame:
@@ -58,6 +58,33 @@ def night_split(rows: DataFrame, night: str, part: str, attempts: int, each: int
     return placed.join(good, "attempt").select(night, "side", "attempt")
 
 
+def capped_pairs(pairs: DataFrame, scope: list[str], bins: list[str], per_bin: int, per_bin_camera: int, per_camera: int) -> DataFrame:
+    """Pairs that a walk in order of draw keeps in each scope, bin after bin: at most per_bin of a bin, per_bin_camera of a bin
+    and camera and per_camera of a camera, and no clip twice. `pairs`: scope, gap_bin, camera_id, left_clip, right_clip, draw.
+
+    What a pair may still take depends on all before it. A scope is folded with the pairs kept so far as state; a scope can
+    only take per_bin pairs of a bin, so each bin is cut first to pairs that no cap of cameras can pass over: the first
+    `per_bin * 4` of each camera."""
+    order = F.create_map(*[x for i, b in enumerate(bins) for x in (F.lit(b), F.lit(i))])[F.col("gap_bin")]
+    nth = F.row_number().over(Window.partitionBy(*scope, "gap_bin", "camera_id").orderBy("draw", "left_clip"))
+    item = F.struct(order.alias("bin"), "draw", "left_clip", "right_clip", "camera_id", "gap_bin")
+    listed = pairs.filter(F.col("gap_bin").isin(bins)).withColumn("nth", nth).filter(F.col("nth") <= per_bin * 4).groupBy(*scope).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def step(kept: Column, x: Column) -> Column:
+        count = lambda holds: F.size(F.filter(kept, holds))
+        used = F.exists(kept, lambda k: (k["left_clip"] == x["left_clip"]) | (k["right_clip"] == x["right_clip"]) | (k["left_clip"] == x["right_clip"]) | (k["right_clip"] == x["left_clip"]))
+        free = (
+            ~used
+            & (count(lambda k: k["bin"] == x["bin"]) < per_bin)
+            & (count(lambda k: (k["bin"] == x["bin"]) & (k["camera_id"] == x["camera_id"])) < per_bin_camera)
+            & (count(lambda k: k["camera_id"] == x["camera_id"]) < per_camera)
+        )
+        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
+
+    none = F.filter("items", lambda p: F.lit(False))
+    return listed.select(*scope, F.explode(F.aggregate("items", none, step)).alias("p")).select(*scope, "p.gap_bin", "p.camera_id", "p.left_clip", "p.right_clip")
+
+
 def thinned(peaks: DataFrame, keys: list[str], at: str, value: str, apart: float, most: int) -> DataFrame:
     """Peaks of a key, highest first (the earliest of equal ones), that are `apart` or more from each one kept; at most
     `most`. A key's peaks are folded in order, with those kept so far as state."""
@@ -81,3 +108,69 @@ def matched(left: DataFrame, right: DataFrame, key: str, seconds: float) -> Data
     fits = lambda m, f: (m["action"] == f["action"]) & (F.abs(m["at"] - f["at"]) <= seconds)
     out = both.withColumn("hits", greedy_hits(F.col("mine"), F.col("free"), shape, fits))
     return out.select(key, "hits", (F.size("mine") - F.col("hits")).alias("only_left"), (F.size("free") - F.col("hits")).alias("only_right"))
+
+
+def water_filled(sizes: DataFrame, key: str, total: int, seed: str) -> DataFrame:
+    """Quota of each key: one each, then one more in turn (keys in the order of their digest) as long as a key has more, until
+    total is given out. Closed form: the level up to which all fill, and who of those above it gets one more. `sizes` has a
+    row a key."""
+    drawn = sizes.withColumn("draw", digest(seed, "quota", F.col(key)))
+    levels = sizes.select(F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(total).cast("long")))).alias("level")).groupBy("level").agg(F.count("*").alias("takes"))
+    upto = levels.withColumn("given", F.sum("takes").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)))  # at most total rows
+    full = upto.agg(F.coalesce(F.max(F.when(F.col("given") <= total, F.col("level"))), F.lit(0)).alias("full"), F.coalesce(F.max(F.when(F.col("given") <= total, F.col("given"))), F.lit(0)).alias("given"))
+    nth = F.row_number().over(Window.partitionBy(F.col("n") > F.col("full")).orderBy("draw", key))
+    out = drawn.crossJoin(F.broadcast(full)).withColumn("nth", nth)  # one row
+    more = (F.col("n") > F.col("full")) & (F.col("nth") <= F.lit(total) - F.col("given"))
+    return out.select(key, "n", (F.least(F.col("n"), F.col("full")) + F.when(more, 1).otherwise(0)).alias("quota"))
+
+
+def hash_windows(rows: DataFrame, quotas: DataFrame, key: str, order: list[str], seed: str) -> DataFrame:
+    """The rows of each key's window: as long as its quota, begun where its digest says; whether the window leaves rows out
+    before and after it."""
+    start = F.conv(F.substring(digest(seed, "window", F.col(key)), 1, 8), 16, 10).cast("long") % (F.col("n") - F.col("quota") + 1)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    told = rows.withColumn("nth", nth).join(quotas, key).withColumn("start", start)
+    inside = (F.col("nth") >= F.col("start")) & (F.col("nth") < F.col("start") + F.col("quota"))
+    return told.filter(inside).withColumns({"left_cut": F.col("start") > 0, "right_cut": F.col("start") + F.col("quota") < F.col("n")}).drop("start")
+
+
+def cell_quota(rows: DataFrame, cells: list[str], target: int, kept: Column) -> DataFrame:
+    """Quota of each cell: its share of target rounded half to even, at least one where `kept` holds and never more than it has;
+    what is over or under is repaired by one a cell in turn, larger cells first. A row a cell."""
+    sizes = rows.groupBy(*cells).agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.sum("n").alias("whole"))
+    share = F.bround(F.col("n") * F.lit(float(target)) / F.col("whole")).cast("long")
+    base = sizes.crossJoin(F.broadcast(whole)).withColumn("q", F.least(F.col("n"), F.when(kept, F.greatest(share, F.lit(1))).otherwise(share)))  # one row
+    one = base.agg((F.lit(target) - F.sum("q")).alias("off"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), *cells))  # a row a cell
+    ranked = base.crossJoin(F.broadcast(one)).withColumn("place", place)
+    # Turns in which a cell can give or take; the first |off| of all turns, in order of turn and place, are made.
+    room = F.when(F.col("off") > 0, F.col("n") - F.col("q")).otherwise(F.col("q"))
+    turns = ranked.withColumn("turn", F.explode(F.when((F.col("off") != 0) & (room > 0), F.sequence(F.lit(1).cast("long"), F.least(room, F.abs(F.col("off"))))).otherwise(F.array(F.lit(0).cast("long")))))
+    made = F.row_number().over(Window.partitionBy(F.col("turn") > 0).orderBy("turn", "place"))
+    moves = F.sum(F.when((F.col("turn") > 0) & (F.col("made") <= F.abs(F.col("off"))), F.signum("off").cast("long")).otherwise(0))
+    return turns.withColumn("made", made).groupBy(*cells, "n", "q").agg(moves.alias("moved")).select(*cells, "n", (F.col("q") + F.col("moved")).alias("quota"))
+
+
+def by_class_and_outcome(rows: DataFrame, wanted: list[tuple[str, bool, int]], key: str) -> DataFrame:
+    """The first k rows by key of each class and outcome; what a class lacks of right rows is filled from its wrong ones, and
+    the other way round."""
+    asked = rows.sparkSession.createDataFrame(wanted, "class string, right boolean, k int")
+    nth = F.row_number().over(Window.partitionBy("class", "right").orderBy(key))
+    have = rows.groupBy("class", "right").agg(F.count("*").alias("have"))
+    plan = asked.join(have, ["class", "right"], "left").withColumn("lacks", F.greatest(F.col("k") - F.coalesce("have", F.lit(0)), F.lit(0)))
+    spare = plan.select("class", (~F.col("right")).alias("right"), F.col("lacks").alias("more"))
+    limits = F.broadcast(plan.join(spare, ["class", "right"], "full").select("class", "right", (F.coalesce("k", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("most")))  # two rows a class
+    most = max(k for _, _, k in wanted) * 2
+    slices = Window.partitionBy("class", "right", "slice_no").orderBy(key)
+    cut = rows.withColumn("slice_no", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("nth", F.row_number().over(slices)).filter(F.col("nth") <= most)
+    return cut.withColumn("nth", nth).join(limits, ["class", "right"]).filter(F.col("nth") <= F.col("most")).select(key, "class", "right")
+
+
+def thirds(rows: DataFrame, value: str, key: str, n: int) -> DataFrame:
+    """The first n rows when the lowest, middle and highest third by value take turns (rows without a value are left out)."""
+    told = ranks(rows.filter(F.col(value).isNotNull()).withColumn("all", F.lit(1)), ["all"], value, key)
+    a, b = F.floor(F.col("n_group") / 3), F.floor(2 * F.col("n_group") / 3)
+    third = F.when(F.col("rank") < a, 0).when(F.col("rank") < b, 1).otherwise(2)
+    place = F.col("rank") - F.when(third == 0, 0).when(third == 1, a).otherwise(b)
+    return told.withColumns({"third": third, "place": place}).orderBy("place", "third").limit(n).drop("all", "rank", "n_group")

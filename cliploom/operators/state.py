@@ -64,3 +64,21 @@ def admitted(jobs: DataFrame, budget: float, by: str) -> DataFrame:
         F.max(cost).cast("double").alias("largest"),
     )
     return out.withColumn("fits", F.col("spent") + F.col("reserved") + F.col("largest") <= budget)
+
+
+#: States of an exclusion that is in force.
+ACTIVE = ("candidate", "quarantined", "media_deleted", "deletion_blocked")
+
+
+def merge_exclusions(existing: DataFrame, categories: dict[str, DataFrame]) -> DataFrame:
+    """Exclusions after clips of some categories (which must not share a clip) are taken out: one in force stays as it is, any
+    other, and a clip without one, becomes deleted for the category's reason."""
+    new = None
+    for name, ids in categories.items():
+        one = ids.select("clip_id").distinct().withColumn("new_reason", F.lit(name))
+        new = one if new is None else new.unionByName(one)
+    shared = F.assert_true(F.count("*") == 1, F.lit("a clip is in two categories"))
+    checked = new.groupBy("clip_id").agg(F.max("new_reason").alias("new_reason"), shared.alias("ok")).filter("ok IS NULL").drop("ok")
+    both = existing.join(checked, "clip_id", "full")
+    stays = F.col("new_reason").isNull() | F.coalesce(F.col("state").isin(*ACTIVE), F.lit(False))
+    return both.select("clip_id", F.when(stays, F.col("state")).otherwise("media_deleted").alias("state"), F.when(stays, F.col("reason")).otherwise(F.col("new_reason")).alias("reason"))
