@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import ratio
@@ -45,3 +45,10 @@ def leakage(rows: DataFrame, key: str, part: str) -> DataFrame:
     seen = rows.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(part).alias("n_parts"))
     both = seen.filter("n_parts > 1").select(F.lit("both_parts").alias("code"), F.col(key).cast("string").alias("key"))
     return both.unionByName(seen.filter("n > n_parts").select(F.lit("duplicate").alias("code"), F.col(key).cast("string").alias("key")))
+
+
+def shared_keys(rows: DataFrame, axes: dict[str, Column], part: str) -> DataFrame:
+    """axis and key of what more than one part has, for each axis; rows are read once."""
+    asked = F.array(*[F.struct(F.lit(name).alias("axis"), key.alias("key")) for name, key in axes.items()])
+    told = rows.select(part, F.explode(asked).alias("a")).groupBy("a.axis", "a.key").agg(F.size(F.collect_set(part)).alias("n_parts"))
+    return told.filter("n_parts > 1").select("axis", "key")

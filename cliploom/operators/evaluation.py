@@ -94,3 +94,58 @@ def exclusion_precision(rows: DataFrame, decision: str, active: Column) -> DataF
     """By decision: rows, active ones among them, and the share that is not active."""
     out = rows.groupBy(decision).agg(F.count("*").alias("n"), F.count_if(active).alias("n_active"))
     return out.withColumn("precision", ratio(F.col("n") - F.col("n_active"), F.col("n")))
+
+
+def finalisation(rows: DataFrame, uncertain: str) -> DataFrame:
+    """One row from a, b and owner: whether the owner decided all that the reviewers left open (they differ, or one is uncertain)
+    and nothing else; and how often the two agree."""
+    needs = (F.col("a") != F.col("b")) | (F.col("a") == uncertain) | (F.col("b") == uncertain)
+    has = F.col("owner").isNotNull()
+    one = rows.agg(F.count_if(needs & ~has).alias("missing"), F.count_if(~needs & has).alias("unneeded"), F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("agreed"))
+    return one.withColumns({"complete": (F.col("missing") == 0) & (F.col("unneeded") == 0), "raw_agreement": ratio(F.col("agreed"), F.col("n"))})
+
+
+def boundary_verdict(rows: DataFrame) -> DataFrame:
+    """One row from human and told (same, different or uncertain; told may be missing): what was merged or split wrongly, and
+    the verdict, safety before use."""
+    human, told = F.col("human"), F.col("told")
+    one = rows.agg(
+        F.count("*").alias("n"),
+        F.count("told").alias("valid"),
+        F.count_if((human == "different") & (told == "same")).alias("over_merge"),
+        F.count_if((human == "same") & (told == "different")).alias("over_split"),
+        F.count_if(told == "uncertain").alias("uncertain"),
+        F.count_if(human == "same").alias("n_same"),
+        F.count_if((human == "same") & (told == "same")).alias("same_right"),
+    )
+    verdict = (
+        F.when(F.col("valid") != F.col("n"), "REJECT_RELIABILITY")
+        .when(F.col("over_merge") > 0, "REJECT_SAFETY")
+        .when(F.col("same_right") < F.ceil(F.col("n_same") / 2), "REJECT_UTILITY")
+        .otherwise("DEVELOPMENT_CANDIDATE")
+    )
+    return one.withColumn("verdict", verdict)
+
+
+def study_bundle(rows: DataFrame, a: str, b: str, uncertain: str) -> DataFrame:
+    """One row: agreement, Cohen's kappa and the share that goes to the owner, and whether the study is usable."""
+    from .metrics import kappa
+
+    k = kappa(rows, a, b)
+    owner = rows.agg(F.count_if((F.col(a) != F.col(b)) | (F.col(a) == uncertain)).alias("open"))
+    one = k.crossJoin(owner).select("n", F.col("observed").alias("agreement"), "kappa", ratio(F.col("open"), F.col("n")).alias("owner_rate"))  # one row each
+    return one.withColumn("verdict", F.when(F.col("agreement") < 0.6, "unreliable").when(F.col("owner_rate") > 0.5, "costly").otherwise("usable"))
+
+
+def evidence_issues(document: Column, texts: list[str], metrics: list[str]) -> Column:
+    """Names of the fields of an evidence document (a variant) that are missing or of the wrong kind."""
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(document, path, "variant")), F.lit("VOID"))
+    number = lambda path: kind(path).rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)")
+    text = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(document, path, "string"))
+    bad = {t: F.coalesce(F.trim(text(f"$.{t}")), F.lit("")) == "" for t in texts}
+    bad["checkpoint_sha256"] = ~F.coalesce(text("$.checkpoint_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    bad["threshold"] = ~number("$.threshold")
+    bad["frames_sampled"] = ~(kind("$.frames_sampled").isin("BIGINT", "INT") & (F.try_variant_get(document, "$.frames_sampled", "long") > 0))
+    bad["gecko_visible"] = kind("$.gecko_visible") != "BOOLEAN"
+    bad |= {f"motion_metrics.{m}": ~number(f"$.motion_metrics.{m}") for m in metrics}
+    return F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in bad.items()]))

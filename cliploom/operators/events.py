@@ -58,11 +58,11 @@ def numbered_events(accounted: DataFrame, threshold_sec: float) -> DataFrame:
 def events(accounted: DataFrame, threshold_sec: float) -> DataFrame:
     """One row an event, with an identifier from its members in order."""
     members = F.array_sort(F.collect_list(F.struct("us", "clip_id")))
-    ids = F.array_join(F.transform(members, lambda m: m["clip_id"].cast("string")), "|")
+    ids = F.array_join(F.transform(members, lambda m: m["clip_id"].cast("string")), "\0")
     grouped = numbered_events(accounted, threshold_sec).groupBy(*SCOPE, "event_no").agg(
         F.count("*").alias("n_clips"), F.min("us").alias("started_us"), F.max(_end()).alias("ended_us"), ids.alias("members")
     )
-    return grouped.withColumn("event_id", digest("events-v1", F.col("camera_id"), F.col("activity_day"), F.col("members")))
+    return grouped.withColumn("event_id", digest("events-v1", F.col("camera_id"), F.col("activity_day"), F.col("members"), separator="\0"))
 
 
 def adjacent_pairs(accounted: DataFrame, most_sec: float = 300.0) -> DataFrame:

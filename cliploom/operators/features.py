@@ -162,3 +162,11 @@ def dense_day(rows: DataFrame, by: str, day: str, wanted: Column, last: Column,
     floor = F.date_sub(F.max(last), most_back)
     found = F.max(F.when(wanted & (F.col(day) <= last) & (F.col(day) >= F.date_sub(last, most_back)), F.col(day)))
     return rows.groupBy(by).agg(F.coalesce(found, floor).alias("day"))
+
+
+def reliability_of(values: Column) -> Column:
+    """reliability() of the mean and the population spread of an array."""
+    n = F.size(values)
+    mean = total(values) / n
+    spread = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    return reliability(mean, spread)

@@ -31,6 +31,36 @@ def page(rows: DataFrame, time: str, key: str, after: tuple[int, int] | None, n:
     return rows.filter(every(seek)).orderBy(F.desc(time), F.desc(key)).limit(size + 1)
 
 
+def names_of(text: str | None) -> list[str] | None:
+    """Names in a text, cut at commas; None without any, so that a blank filter filters nothing."""
+    names = [n.strip() for n in (text or "").split(",")]
+    return [n for n in names if n] or None
+
+
+def listed(
+    clips: DataFrame,
+    *,
+    camera_id: int | None = None,
+    has_motion: bool | None = None,
+    from_us: int | None = None,
+    to_us: int | None = None,
+    types: list[str] | None = None,
+    before_us: int | None = None,
+    n: int = 30,
+) -> DataFrame:
+    """Clips under all filters that are given, both ends of the range inside, newest first and one more than a page. A time
+    alone is the cursor, so of clips with the page's last time some may be passed over."""
+    given = [
+        None if camera_id is None else F.col("camera_id") == camera_id,
+        None if has_motion is None else F.col("has_motion") == has_motion,
+        None if from_us is None else F.col("us") >= from_us,
+        None if to_us is None else F.col("us") <= to_us,
+        None if types is None else F.col("event_type").isin(types),
+        None if before_us is None else F.col("us") < before_us,
+    ]
+    return clips.filter(every(*given)).orderBy(F.desc("us")).limit(max(1, min(100, n)) + 1)
+
+
 def logged(clips: DataFrame, logs: DataFrame, has: bool | None, actions: list[str] | None = None) -> DataFrame:
     """has false: clips without a log; true or actions: clips with one (of these actions); neither: all."""
     if has is False:
@@ -53,7 +83,7 @@ def prefer(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFra
     return a.join(b, key, "full").select(key, F.coalesce("a", "b").alias(value), F.when(F.col("a").isNotNull(), "first").otherwise("second").alias("origin"))
 
 
-def effective_activity(clips: DataFrame, assessments: DataFrame, settings: DataFrame) -> DataFrame:
+def effective_activity(clips: DataFrame, assessments: DataFrame, settings: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Seconds that count. They are 0 only where the camera's setting is on and its switch for the decision too; a camera
     without a setting, and a clip without an assessment under the camera's policy, keep all."""
     s = settings.withColumnRenamed("camera_id", "s_camera")
@@ -70,6 +100,7 @@ def effective_activity(clips: DataFrame, assessments: DataFrame, settings: DataF
         "duration_sec",
         F.coalesce("decision", F.lit("pending")).alias("decision"),
         F.when(F.coalesce(cut, F.lit(False)), 0.0).otherwise(F.col("duration_sec")).alias("effective_sec"),
+        *(carry or []),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,26 +47,39 @@ def cascade(rows: DataFrame, groups: list[tuple[str, Column, int]], *order: str)
     return taken
 
 
-def night_split(rows: DataFrame, night: str, part: str, attempts: int, each: int) -> DataFrame:
-    """The first attempt at which `each` nights by digest, and as many after them, both see two parts at least. Attempts
-    are tried side by side, a row each."""
-    nights = rows.groupBy(night).agg(F.collect_set(part).alias("parts"))
+def one_each_then_fill(rows: DataFrame, seed: str, key: str, strata: list[str], n: int) -> DataFrame:
+    """The first row by digest of each stratum, then the first of all others, up to n rows (a row of each stratum in any case)."""
+    drawn = hashed(rows, seed, key)
+    rest = [c for c in rows.columns if c not in strata]
+    first = drawn.groupBy(*strata).agg(F.min_by(F.struct(*rest), F.struct("draw", key)).alias("r")).select(*strata, "r.*").withColumn("turn", F.lit(0))
+    others = drawn.join(first.select(key), key, "left_anti").orderBy("draw", key).limit(n).withColumn("turn", F.lit(1))
+    kept = first.withColumn("draw", F.lit("")).select(*rows.columns, "draw", "turn").unionByName(others.select(*rows.columns, "draw", "turn"))
+    nth = F.row_number().over(Window.orderBy("turn", "draw", key))  # a row a stratum and n more
+    return kept.withColumn("nth", nth).filter((F.col("turn") == 0) | (F.col("nth") <= n)).select(*rows.columns)
+
+
+def night_split(rows: DataFrame, night: str, part: str, attempts: int, each: int, bins: str | None = None, least_bins: int = 0) -> DataFrame:
+    """The first attempt at which `each` nights by digest, and as many after them, both see two parts at least (and, with
+    `bins`, so many bins). Attempts are tried side by side, a row each."""
+    seen = F.collect_set(bins) if bins else F.array().cast("array<string>")
+    nights = rows.groupBy(night).agg(F.collect_set(part).alias("parts"), seen.alias("bins"))
     tried = nights.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn("draw", digest("night", F.col("attempt"), F.col(night)))
     nth = F.row_number().over(Window.partitionBy("attempt").orderBy("draw", night))
     placed = tried.withColumn("side", F.when(nth <= each, "dev").when(nth <= 2 * each, "holdout")).filter("side IS NOT NULL")
-    sides = placed.groupBy("attempt", "side").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("n_parts"))
-    good = sides.filter((F.col("n") == each) & (F.col("n_parts") >= 2)).groupBy("attempt").agg(F.count("*").alias("k")).filter("k = 2").agg(F.min("attempt").alias("attempt"))
+    sides = placed.groupBy("attempt", "side").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("n_parts"), F.size(F.array_distinct(F.flatten(F.collect_list("bins")))).alias("n_bins"))
+    good = sides.filter((F.col("n") == each) & (F.col("n_parts") >= 2) & (F.col("n_bins") >= least_bins)).groupBy("attempt").agg(F.count("*").alias("k")).filter("k = 2").agg(F.min("attempt").alias("attempt"))
     return placed.join(good, "attempt").select(night, "side", "attempt")
 
 
-def capped_pairs(pairs: DataFrame, scope: list[str], bins: list[str], per_bin: int, per_bin_camera: int, per_camera: int) -> DataFrame:
+def capped_pairs(pairs: DataFrame, scope: list[str], bins: list[str], per_bin: int, per_bin_camera: int, per_camera: int, place: Column | None = None) -> DataFrame:
     """Pairs that a walk in order of draw keeps in each scope, bin after bin: at most per_bin of a bin, per_bin_camera of a bin
-    and camera and per_camera of a camera, and no clip twice. `pairs`: scope, gap_bin, camera_id, left_clip, right_clip, draw.
+    and camera and per_camera of a camera, and no clip twice. `pairs`: scope, gap_bin, camera_id, left_clip, right_clip, draw;
+    `place`: a bin's place in the walk, if it is not that in the list.
 
     What a pair may still take depends on all before it. A scope is folded with the pairs kept so far as state; a scope can
     only take per_bin pairs of a bin, so each bin is cut first to pairs that no cap of cameras can pass over: the first
     `per_bin * 4` of each camera."""
-    order = F.create_map(*[x for i, b in enumerate(bins) for x in (F.lit(b), F.lit(i))])[F.col("gap_bin")]
+    order = F.create_map(*[x for i, b in enumerate(bins) for x in (F.lit(b), F.lit(i))])[F.col("gap_bin")] if place is None else place
     nth = F.row_number().over(Window.partitionBy(*scope, "gap_bin", "camera_id").orderBy("draw", "left_clip"))
     item = F.struct(order.alias("bin"), "draw", "left_clip", "right_clip", "camera_id", "gap_bin")
     listed = pairs.filter(F.col("gap_bin").isin(bins)).withColumn("nth", nth).filter(F.col("nth") <= per_bin * 4).groupBy(*scope).agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -85,6 +99,18 @@ def capped_pairs(pairs: DataFrame, scope: list[str], bins: list[str], per_bin: i
     return listed.select(*scope, F.explode(F.aggregate("items", none, step)).alias("p")).select(*scope, "p.gap_bin", "p.camera_id", "p.left_clip", "p.right_clip")
 
 
+def best_witness(pairs: DataFrame, sides: DataFrame, night: str, bins: list[str], per_bin: int, per_bin_camera: int, per_camera: int) -> DataFrame:
+    """The selection with the smallest digest among all attempts (`sides`: attempt and night) and all orders of the bins. Every
+    attempt and order is a scope of its own, walked side by side; a selection has a few pairs of each bin."""
+    orders = [F.struct(F.lit(i).alias("order_no"), F.array(*[F.lit(b) for b in p]).alias("bins")) for i, p in enumerate(permutations(bins))]
+    tried = pairs.join(F.broadcast(sides), night).withColumn("o", F.explode(F.array(*orders))).select("*", "o.order_no", "o.bins").drop("o")  # a row an attempt and night
+    picked = capped_pairs(tried, ["attempt", "order_no"], bins, per_bin, per_bin_camera, per_camera, F.array_position("bins", F.col("gap_bin")).cast("int"))
+    one = F.concat_ws("-", F.col("left_clip").cast("string"), F.col("right_clip").cast("string"))
+    found = picked.groupBy("attempt", "order_no").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "|"), 256).alias("digest"))
+    best = found.agg(F.min(F.struct("digest", "attempt", "order_no")).alias("b")).select("b.attempt", "b.order_no", "b.digest")
+    return picked.join(F.broadcast(best), ["attempt", "order_no"])  # one row
+
+
 def thinned(peaks: DataFrame, keys: list[str], at: str, value: str, apart: float, most: int) -> DataFrame:
     """Peaks of a key, highest first (the earliest of equal ones), that are `apart` or more from each one kept; at most
     `most`. A key's peaks are folded in order, with those kept so far as state."""

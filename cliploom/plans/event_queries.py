@@ -26,12 +26,12 @@ NUMBERED = f"""{ACCOUNTED}, num AS (
     OVER (PARTITION BY camera_id, activity_day ORDER BY us, clip_id) AS event_no FROM seq),
 ev AS (
   SELECT camera_id, activity_day, event_no, count(*) AS n_clips, min(us) AS started_us, max(end_us) AS ended_us,
-         string_agg(CAST(clip_id AS VARCHAR), '|' ORDER BY us, clip_id) AS members
+         string_agg(CAST(clip_id AS VARCHAR), chr(0) ORDER BY us, clip_id) AS members
   FROM num WHERE kind = 'candidate' GROUP BY 1, 2, 3)"""
 
 
 @query(f"""WITH {NUMBERED}
-SELECT camera_id, CAST(activity_day AS VARCHAR) AS activity_day, sha256('events-v1|' || camera_id || '|' || activity_day || '|' || members) AS event_id,
+SELECT camera_id, CAST(activity_day AS VARCHAR) AS activity_day, sha256(concat_ws(chr(0), 'events-v1', camera_id, activity_day, members)) AS event_id,
        n_clips, started_us, ended_us FROM ev""")
 def event_groups(spark, sf_dir):
     return events.events(accounted(spark, sf_dir), GAP).select("camera_id", day(), "event_id", "n_clips", "started_us", "ended_us")

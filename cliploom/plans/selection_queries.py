@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
@@ -28,6 +30,24 @@ def capped_pairs(spark, sf_dir):
     return selection.capped_pairs(pairs, ["scope"], BINS, 5, 2, 3)
 
 
+@query(f"""WITH RECURSIVE {PAIRS}, d AS (SELECT CAST(day(activity_day) AS INTEGER) AS night, camera_id, gap_bin, left_clip, right_clip, sha256('greedy|' || pair_id) AS draw FROM pairs),
+t AS (SELECT d.*, attempt, order_no, list_position(bins, gap_bin) AS bin FROM d, range(4) r(attempt), (VALUES {", ".join(f"({i}, {list(p)})" for i, p in enumerate(permutations(BINS)))}) o(order_no, bins) WHERE (night + attempt) % 3 = 0),
+l AS (SELECT attempt, order_no, list({{'bin': bin, 'draw': draw, 'left_clip': left_clip, 'right_clip': right_clip, 'camera_id': camera_id, 'gap_bin': gap_bin}} ORDER BY bin, draw, left_clip) AS items FROM t GROUP BY 1, 2),
+g AS (SELECT attempt, order_no, items, 0 AS i, items[1:0] AS kept FROM l UNION ALL
+  SELECT attempt, order_no, items, i + 1, CASE WHEN len(list_filter(kept, lambda k: k.left_clip = items[i + 1].left_clip OR k.right_clip = items[i + 1].right_clip OR k.left_clip = items[i + 1].right_clip OR k.right_clip = items[i + 1].left_clip)) = 0
+    AND len(list_filter(kept, lambda k: k.bin = items[i + 1].bin)) < 3 AND len(list_filter(kept, lambda k: k.bin = items[i + 1].bin AND k.camera_id = items[i + 1].camera_id)) < 1
+    AND len(list_filter(kept, lambda k: k.camera_id = items[i + 1].camera_id)) < 2 THEN list_append(kept, items[i + 1]) ELSE kept END FROM g WHERE i < len(items)),
+o AS (SELECT attempt, order_no, arg_max(kept, i) AS kept FROM g GROUP BY 1, 2), u AS (SELECT attempt, order_no, unnest(kept) AS p FROM o),
+w AS (SELECT attempt, order_no, sha256(string_agg(p.left_clip || '-' || p.right_clip, '|' ORDER BY p.left_clip || '-' || p.right_clip)) AS digest FROM u GROUP BY 1, 2), b AS (SELECT * FROM w ORDER BY digest, attempt, order_no LIMIT 1)
+SELECT CAST(attempt AS INTEGER) AS attempt, order_no, digest, p.left_clip AS left_clip, p.right_clip AS right_clip FROM u JOIN b USING (attempt, order_no)""")
+def witness_search(spark, sf_dir):
+    day = F.day("activity_day")
+    pairs = events.adjacent_pairs(accounted(spark, sf_dir)).select(day.alias("night"), "gap_bin", "camera_id", "left_clip", "right_clip", digest("greedy", F.col("pair_id")).alias("draw"))
+    days = spark.range(1, 32).select(F.col("id").cast("int").alias("night"))
+    sides = days.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter((F.col("night") + F.col("attempt")) % 3 == 0)
+    return selection.best_witness(pairs, sides, "night", BINS, 3, 1, 2).select("attempt", "order_no", "digest", "left_clip", "right_clip")
+
+
 @query(f"""WITH {CLIPS}, n AS (SELECT camera_id, count(*) AS n FROM clips WHERE k < camera_id * 9 GROUP BY 1), l AS (SELECT unnest(range(1, n + 1)) AS level FROM n), u AS (SELECT level, sum(count(*)) OVER (ORDER BY level) AS given FROM l GROUP BY 1),
 f AS (SELECT coalesce(max(level) FILTER (WHERE given <= 150), 0) AS fl, coalesce(max(given) FILTER (WHERE given <= 150), 0) AS given FROM u),
 r AS (SELECT n.*, fl, given, row_number() OVER (PARTITION BY n > fl ORDER BY sha256('runs|quota|' || camera_id)) AS nth FROM n, f)
