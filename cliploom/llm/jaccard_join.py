@@ -598,10 +598,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85, bl
     groups = components(checkpointed(candidates(meetings(texts, words, threshold, seed), maps, threshold)))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     wanted = checkpointed(groups.join(sizes, "component").join(classes, "node").select("node", F.col("min_pick").alias("pick"), "component", "size"))
-    small, large = F.col("size") <= block, F.col("size") > block
-    label = block_links(sets_of(texts, wanted.filter(small), words, seed), threshold, block).select(F.col("b").alias("node"), F.col("a").alias("root"))
-    if wanted.filter(large).limit(1).count():
-        label = label.unionByName(joined_in_rounds(checkpointed(sets_of(texts, wanted.filter(large), words, seed)), threshold, block))
+    # The texts are joined once; sets of large components are read again in each round.
+    sets = checkpointed(sets_of(texts, wanted, words, seed))
+    label = block_links(sets.filter(F.col("size") <= block), threshold, block).select(F.col("b").alias("node"), F.col("a").alias("root"))
+    if wanted.filter(F.col("size") > block).limit(1).count():
+        label = label.unionByName(joined_in_rounds(sets.filter(F.col("size") > block), threshold, block))
     of = checkpointed(classes.select("node", "min_doc_id").join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "min_doc_id"))
     told = of.select("node", "root").join(of.groupBy("root").agg(F.min("min_doc_id").alias("component_id")), "root").select("node", "component_id")
     salted = leaves.select("node", "salt").join(told, "node")
