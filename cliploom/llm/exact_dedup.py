@@ -6,7 +6,7 @@ into one and keeps, for each verified digest, the identifier that stays and the
 one run is left, spread over all partitions by digest. It is joined down to the leaf runs and from there to the rows,
 so that a text with a third of all rows meets at most one row of each leaf in any task but the leaf's own.
 
-Null and empty texts are equal to each other. A null doc_id stays only where its whole group has none. Rows that
+Null and empty texts are equal to each other. A very long text is one digest; only digests move. A null doc_id stays only where its whole group has none. Rows that
 repeat both doc_id and text count in group_size, and one of them stays. An empty table gives an empty result. Other
 columns are not read.
 """
@@ -73,7 +73,8 @@ def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 16) ->
 
 
 def without_copies(docs: DataFrame, *, keep: str = "largest", fan_in: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns: one of equal texts (null and empty ones are equal), also of rows that
+    repeat id and text; an empty table stays empty."""
     return told_apart(docs, keep, fan_in, F.struct(*[docs[c] for c in docs.columns]).alias("row")).filter("kept").select("row.*")
 
 

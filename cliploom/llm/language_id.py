@@ -311,7 +311,8 @@ def language_id(docs: DataFrame, held_out: Column, *, batch_words: int = 500_000
 
 def in_a_language(docs: DataFrame, *, least_score: float = 0.4, batch_words: int = 500_000) -> DataFrame:
     """The rows of docs, with all their columns, whose language is told with at least this score. All rows with a
-    language are learned from."""
+    language are learned from. Rows that repeat stay or go together; null texts and those without a letter go, as do all
+    where no row has a language; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, F.lit(True)))
     at = docs.columns.index("text")
 

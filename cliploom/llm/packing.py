@@ -10,7 +10,8 @@ never ranked in one task.
 
 Encoding: byte-level BPE with `end_id` after each document. Null and empty texts are a document of that id alone. A
 text's literal <|endoftext|> is the special token's id, as the tokenizers library has it. Null doc_ids are kept; rows
-that repeat a doc_id are packed each. An empty table gives an empty result. Other columns are not read.
+that repeat a doc_id are packed each. A very long text becomes as many full sequences as it has, and one rest. Pieces of one
+length that tie are ranked in their bucket by doc_id and place. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -193,7 +193,8 @@ def judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def within_rules(docs: DataFrame, *, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Texts are counted once for the sketches and once for the
+    """The rows of docs that stay, with all their columns; rows that repeat stay or go together, null texts go, an empty
+    table stays empty. Texts are counted once for the sketches and once for the
     verdict, which costs less than moving or storing them."""
     limits = checkpointed(thresholds(text_counts(docs, "lang", "source").withColumns(ratios()), least_rows=least_rows))
     whole = docs.select("doc_id", "lang", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))

@@ -10,8 +10,9 @@ This is the law `key`: doc_id and the number of shards alone decide, whatever th
 ids are separate rows. Slots are gapless in a shard: rows of a shard are dealt to buckets by hash, a bucket's first
 slot is the number of rows in the buckets before it, and only rows of one bucket are ranked together.
 
-Null texts have no bytes and the checksum of an empty text. Rows with a null doc_id all draw alike. Repeated rows get
-slots of their own. An empty table gives an empty result. Other columns are not read.
+Null texts have no bytes and the checksum of an empty text. Rows with a null doc_id all draw alike, and so do rows that
+repeat an id: they share a shard and a bucket. Repeated rows get slots of their own. A very long text only has its bytes
+counted. Equal draws of two children (of 64-bit hashes) go to the first. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
