@@ -76,13 +76,14 @@ def capped_pairs(pairs: DataFrame, scope: list[str], bins: list[str], per_bin: i
     and camera and per_camera of a camera, and no clip twice. `pairs`: scope, gap_bin, camera_id, left_clip, right_clip, draw;
     `place`: a bin's place in the walk, if it is not that in the list.
 
-    What a pair may still take depends on all before it. A scope is folded with the pairs kept so far as state; a scope can
-    only take per_bin pairs of a bin, so each bin is cut first to pairs that no cap of cameras can pass over: the first
-    `per_bin * 4` of each camera."""
+    What a pair may still take depends on all before it, so a scope is folded with the pairs kept so far as state. Its lists
+    are short without loss, as pairs are of neighbours: a clip is in two pairs at most, so the per_bin pairs that are kept of
+    each bin block no more than two others each, and what comes after so many pairs of a bin and camera is never reached."""
+    reach = per_bin * (2 * len(bins) + 1)
     order = F.create_map(*[x for i, b in enumerate(bins) for x in (F.lit(b), F.lit(i))])[F.col("gap_bin")] if place is None else place
     nth = F.row_number().over(Window.partitionBy(*scope, "gap_bin", "camera_id").orderBy("draw", "left_clip"))
     item = F.struct(order.alias("bin"), "draw", "left_clip", "right_clip", "camera_id", "gap_bin")
-    listed = pairs.filter(F.col("gap_bin").isin(bins)).withColumn("nth", nth).filter(F.col("nth") <= per_bin * 4).groupBy(*scope).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    listed = pairs.filter(F.col("gap_bin").isin(bins)).withColumn("nth", nth).filter(F.col("nth") <= reach).groupBy(*scope).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def step(kept: Column, x: Column) -> Column:
         count = lambda holds: F.size(F.filter(kept, holds))
