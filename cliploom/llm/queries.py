@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_wrappers, jaccard_join, language_id, packing, pieces, quality_classifier, quality_rules, sharding, toxicity
+from . import conversation_repair, exact_dedup, html_wrappers, jaccard_join, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, sharding, toxicity
 from .common import remainder, table
 
 N_SHARDS = 40
@@ -71,9 +71,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_jaccard_join, op6_exact_dedup, op7_html_wrappers, op8_toxicity, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_jaccard_join, op6_exact_dedup, op7_html_wrappers, op8_toxicity, op9_packing, op10_sharding, op12_conversation_repair, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL, "op6_exact_dedup": exact_dedup.SQL}
+    return {"op4_quality_rules": quality_rules.SQL, "op6_exact_dedup": exact_dedup.SQL, "op13_line_dedup": line_dedup.SQL}
