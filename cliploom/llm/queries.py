@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, exact_dedup, html_wrappers, jaccard_join, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, sharding, toxicity
+from . import conversation_repair, exact_dedup, hard_negatives, html_wrappers, jaccard_join, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, sharding, toxicity
 from .common import remainder, table
 
 N_SHARDS = 40
@@ -71,6 +71,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return hard_negatives.hard_negatives(rows.filter(finite).select("vec_id", label.alias("label"), scaled.alias("vector")), F.col("vec_id") % 50 == 0)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
 
@@ -80,8 +88,8 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_jaccard_join, op6_exact_dedup, op7_html_wrappers, op8_toxicity, op9_packing, op10_sharding, op12_conversation_repair, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_sentencepiece, op4_quality_rules, op5_jaccard_join, op6_exact_dedup, op7_html_wrappers, op8_toxicity, op9_packing, op10_sharding, op11_hard_negatives, op12_conversation_repair, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL, "op6_exact_dedup": exact_dedup.SQL, "op13_line_dedup": line_dedup.SQL}
+    return {"op4_quality_rules": quality_rules.SQL, "op6_exact_dedup": exact_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL, "op13_line_dedup": line_dedup.SQL}
