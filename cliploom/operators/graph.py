@@ -19,19 +19,53 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Parts in which the neighbours of a node are dealt, so that the centre of a star is no single task's.
+SALTS = 16
+
+
+def _with_least(rows: DataFrame) -> DataFrame:
+    """rows (u, v) with m, the least of u and all its v. Minima of a node's parts come first, their minimum goes back to the
+    parts and from there to the rows, so no join holds more than one part of a node's rows."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("low"))
+    whole = parts.groupBy("u").agg(F.min("low").alias("low")).select("u", F.least("u", "low").alias("m"))
+    return dealt.join(parts.select("u", "salt").join(whole, "u"), ["u", "salt"]).select("u", "v", "m")
+
+
+def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """node and component (its smallest node) of the nodes of edges (a, b).
 
-    In a round each node takes the smallest label around it, then the label of that label; rounds end when none changes.
-    Minima are aggregated before the shuffle, and labels are checkpointed so that lineage does not grow."""
+    Rounds of large stars and small stars: first every node links its larger neighbours to the least node around it, then its
+    smaller ones and itself, until the edges stay. Paths get shorter by a factor in each round, stars stay stars, and the
+    neighbours of a node are split (`_with_least`). Edges are checkpointed in each round; two sums tell whether they are new.
+    `rounds` gets the number of edges after each round. Edges with a null end and loops on one node only name nodes."""
     shared_folder(edges.sparkSession)
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")).checkpoint()
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).filter("node IS NOT NULL").distinct().checkpoint()
+    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    mark = None
     while True:
-        heard = both.join(labels.withColumnsRenamed({"node": "near"}), "near").groupBy("node").agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, "node").select("node", F.col("component").alias("before"), F.least("component", "heard").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = lower.join(jump, "component").select("node", "before", F.least("component", "further").alias("component")).checkpoint()
-        labels = after.select("node", "component")
-        if after.filter(F.col("component") != F.col("before")).isEmpty():
-            return labels
+        told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if rounds is not None:
+            rounds.append(told[0])
+        if told == mark:
+            break
+        mark = told
+        large = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = _with_least(large.distinct())  # u is the larger end, so m is the least of its smaller neighbours
+        small = down.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        now = small.distinct().checkpoint()
+    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def event_summary(pairs: DataFrame) -> DataFrame:
+    """One row from pairs (left_clip, right_clip, same): clips, events (components of pairs that are one event), the share of
+    clips saved, the largest number of pairs of a clip, and whether that is more than neighbours on a line can have (then
+    there is no event count)."""
+    sides = pairs.select(F.explode(F.array("left_clip", "right_clip")).alias("clip"))
+    degrees = sides.groupBy("clip").agg(F.count("*").alias("n_pairs"))
+    one = degrees.agg(F.count("*").alias("n_clips"), F.coalesce(F.max("n_pairs"), F.lit(0)).alias("most_pairs"))
+    joined = components(pairs.filter("same").select(F.col("left_clip").alias("a"), F.col("right_clip").alias("b")))
+    saved = joined.agg(F.count_if(F.col("node") != F.col("component")).alias("saved"))
+    line = F.col("most_pairs") <= 2
+    events = F.when(line, F.col("n_clips") - F.col("saved"))
+    return one.crossJoin(F.broadcast(saved)).select("n_clips", events.alias("n_events"), F.when(line & (F.col("n_clips") > 0), F.col("saved") / F.col("n_clips")).alias("reduction"), "most_pairs", (~line).alias("branching"))  # one row each

@@ -277,14 +277,6 @@ def result_errors(results: DataFrame, expected: DataFrame, classes: list[str]) -
     return own.unionByName(keyed).select("code", "sample")
 
 
-def canonical_digest(rows: DataFrame, *columns: str) -> DataFrame:
-    """Number of rows and one SHA-256 over the digests of all rows in order, whatever order they come in. The digests of a
-    prefix are joined by their task, then those of the 256 prefixes."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    parts = rows.select(row.alias("d")).groupBy(F.substring("d", 1, 2).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
-    return parts.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
-
-
 def top_values(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
     """The n commonest values of each column; of equally common ones the first by name."""
     kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns])

@@ -250,6 +250,17 @@ def connected_events(spark, sf_dir):
     found = graph.components(judged.select(F.col("left_clip").alias("a"), F.col("right_clip").alias("b"))).select(F.col("node").alias("clip_id"), F.col("component").alias("event"))
     return found.join(found.groupBy("event").agg(F.count("*").alias("n_clips")), "event")
 
+
+@query(f"""WITH RECURSIVE {PAIRS}, same AS (SELECT left_clip AS a, right_clip AS b FROM pairs WHERE right_clip % 5 <> 0), n AS (SELECT a AS x, b AS y FROM same UNION SELECT b, a FROM same),
+reach AS (SELECT x, x AS y FROM n UNION SELECT reach.x, n.y FROM reach JOIN n ON reach.y = n.x WHERE n.y < reach.x), d AS (SELECT clip, count(*) AS k FROM (SELECT left_clip AS clip FROM pairs UNION ALL SELECT right_clip FROM pairs) GROUP BY 1),
+l AS (SELECT count(*) AS n_clips, max(k) AS most_pairs FROM d), s AS (SELECT count(*) AS saved FROM (SELECT x FROM reach GROUP BY 1 HAVING min(y) <> x))
+SELECT n_clips, n_clips - saved AS n_events, saved / n_clips AS reduction, most_pairs, false AS branching FROM l, s""")
+def event_reduction(spark, sf_dir):
+    """How many clips, how many events once neighbours that are one event are joined, and the share saved."""
+    pairs = events.adjacent_pairs(accounted(spark, sf_dir))
+    return graph.event_summary(pairs.select("left_clip", "right_clip", (F.col("right_clip") % 5 != 0).alias("same")))
+
+
 @query(f"""WITH {CLIPS} SELECT clip_id, sha256('clip|' || camera_id || '|' || activity_day || '|' || coalesce(media_key, '-')) AS fingerprint, substr(sha256('clip|' || clip_id), 1, 8) AS short FROM clips""")
 def clip_fingerprints(spark, sf_dir):
     key = F.coalesce("media_key", F.lit("-"))

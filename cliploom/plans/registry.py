@@ -21,6 +21,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def merkle_sql(source: str, columns: list[str]) -> str:
+    """SQL of the hash tree over a table, two digits deep: m2 (leaves), m1 and m0 (the root), each with prefix, n and digest."""
+    text = " || '|' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in columns)
+    sums = " || '|' || ".join(f"sum(CAST('0x' || substr(d, {1 + 8 * i}, 8) AS BIGINT))" for i in range(8))
+    up = lambda k: f"m{k} AS (SELECT substr(prefix, 1, {k}) AS prefix, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(prefix || ':' || digest, '|' ORDER BY prefix)) AS digest FROM m{k + 1} GROUP BY 1)"
+    return f"m2 AS (SELECT substr(d, 1, 2) AS prefix, count(*) AS n, sha256(count(*) || '|' || {sums}) AS digest FROM (SELECT sha256({text}) AS d FROM {source}) GROUP BY 1), {up(1)}, {up(0)}"
+
+
 #: The clip domain in SQL, as sources.tables derives it.
 CLIPS = """clips AS (
   SELECT event_id AS clip_id, user_id % 10 AS camera_id, ts, epoch_us(ts) AS us, CAST(ts + INTERVAL 2 HOUR AS DATE) AS activity_day,

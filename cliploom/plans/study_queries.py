@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import studies
+from ..operators import merkle, studies
 from ..sources.reviews import SUBMISSIONS
 from ..sources.tables import assessments, clips, features, jobs, predictions, settings, table
 from .metric_queries import TWO, two_models
-from .registry import ASSESSMENTS, CLIPS, JOBS, PREDICTIONS, SETTINGS, query
+from .registry import ASSESSMENTS, CLIPS, JOBS, PREDICTIONS, SETTINGS, merkle_sql, query
 from .review_queries import pairs
 from .routing_queries import ROWS
 
@@ -173,14 +173,52 @@ def throughput_gates(spark, sf_dir):
     return studies.first_failing(one, {"capacity": F.col("done") >= 2 * F.col("queued"), "memory": F.col("most") <= 600000, "sample": F.col("n") >= 100})
 
 
-DIGEST = """p AS (SELECT substr(d, 1, 2) AS p, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM (SELECT sha256({0}) AS d FROM {1}) GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM p"""
+SCORES = f"""{PREDICTIONS}, c AS (SELECT model, truth, pred, count(*) AS k FROM predictions GROUP BY 1, 2, 3),
+s AS (SELECT model, label, CAST(sum(k) FILTER (WHERE side = 't') AS BIGINT) AS support, CAST(sum(k) FILTER (WHERE side = 'p') AS BIGINT) AS told, CAST(coalesce(sum(k) FILTER (WHERE side = 't' AND hit), 0) AS BIGINT) AS hits
+  FROM (SELECT model, truth AS label, 't' AS side, truth = pred AS hit, k FROM c UNION ALL SELECT model, pred, 'p', false, k FROM c) GROUP BY 1, 2),
+scores AS (SELECT model, label, coalesce(support, 0) AS support, coalesce(told, 0) AS told, hits, CAST(round(hits * 2e9 / (coalesce(support, 0) + coalesce(told, 0))) AS BIGINT) AS f1_e9 FROM s)"""
+SCORE_COLUMNS = ["model", "label", "support", "told", "hits", "f1_e9"]
 
 
-@query(f"WITH {PREDICTIONS}, c AS (SELECT model, truth, pred, count(*) AS k FROM predictions GROUP BY 1, 2, 3), " + DIGEST.format("model || '|' || truth || '|' || pred || '|' || k", "c"))
+@query(f"""WITH {SCORES}, {merkle_sql("scores", SCORE_COLUMNS)} SELECT p.plan, n, digest, true AS agrees FROM m0, (VALUES ('cells'), ('rows')) p(plan)""")
 def recomputed_digest(spark, sf_dir):
-    """The digest of a result that any second implementation has to give too."""
-    cells = predictions(spark, sf_dir).groupBy("model", "truth", "pred").agg(F.count("*").alias("k"))
-    return studies.canonical_digest(cells, "model", "truth", "pred", "k")
+    """Scores of each model and class by two plans that share nothing but the rows: sums over confusion cells in the DataFrame
+    API, and SQL that counts truths, predictions and hits in three aggregations of the rows and joins them."""
+    rows = predictions(spark, sf_dir).select("model", "truth", "pred")
+    cells = rows.groupBy("model", "truth", "pred").agg(F.count("*").alias("k"))
+    sides = cells.select("model", "k", F.explode(F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("s"), (F.col("truth") == F.col("pred")).alias("hit"))
+    total = lambda c: F.sum(F.col("k") * c).cast("long")
+    sums = sides.groupBy("model", "s.label").agg(total(F.col("s.t")).alias("support"), total(F.col("s.p")).alias("told"), total(F.col("s.t") * F.col("hit").cast("int")).alias("hits"))
+    first = sums.withColumn("f1_e9", F.round(F.col("hits") * F.lit(2e9) / (F.col("support") + F.col("told"))).cast("long"))
+    second = spark.sql(
+        """WITH t AS (SELECT model, truth AS label, count(*) AS support FROM {rows} GROUP BY ALL), p AS (SELECT model, pred AS label, count(*) AS told FROM {rows} GROUP BY ALL),
+        h AS (SELECT model, pred AS label, count(*) AS hits FROM {rows} WHERE truth = pred GROUP BY ALL),
+        j AS (SELECT model, label, coalesce(support, 0) AS support, coalesce(told, 0) AS told, coalesce(hits, 0) AS hits FROM t FULL JOIN p USING (model, label) LEFT JOIN h USING (model, label))
+        SELECT *, CAST(round(hits * 2e9D / (support + told)) AS BIGINT) AS f1_e9 FROM j""",
+        rows=rows,
+    )
+    return merkle.agreement({"cells": first, "rows": second}, SCORE_COLUMNS)
+
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query(f"""WITH {merkle_sql("orders", ORDER_COLUMNS)} SELECT CAST(level AS INTEGER) AS level, prefix, n, digest FROM (SELECT 0 AS level, * FROM m0 UNION ALL SELECT 1, * FROM m1 UNION ALL SELECT 2, * FROM m2)""")
+def merkle_nodes(spark, sf_dir):
+    """Every node of the hash tree over orders."""
+    return merkle.tree(table(spark, sf_dir, "orders"), ORDER_COLUMNS)
+
+
+@query("""WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 1 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 1009 <> 2
+  UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 1013 = 3),
+t AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, 1 AS sign FROM orders UNION ALL SELECT *, -1 FROM n)
+SELECT CASE WHEN sum(sign) > 0 THEN 'old' ELSE 'new' END AS side, CAST(abs(sum(sign)) AS BIGINT) AS n, o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM t GROUP BY ALL HAVING sum(sign) <> 0""")
+def merkle_changes(spark, sf_dir):
+    """Rows that differ between orders and a copy with changed, lost and repeated rows, found by walking down two trees."""
+    old = table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    key = F.col("o_orderkey")
+    new = old.filter(key % 1009 != 2).withColumn("o_custkey", F.when(key % 997 == 1, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))).unionByName(old.filter(key % 1013 == 3))
+    return merkle.changed_rows(old, new, ORDER_COLUMNS, depth=3)
 
 
 @query(f"""WITH {PREDICTIONS}, {TWO} SELECT clip_id, truth, base, strong, CASE WHEN strong = truth THEN 'strong' WHEN base = truth THEN 'base' ELSE 'none' END AS right_one FROM two WHERE base <> strong""")

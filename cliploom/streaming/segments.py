@@ -5,10 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.times import micros
+from .letters import DeadLetters
 
 
 def clip_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -38,19 +42,44 @@ def drained(stream: DataFrame, folder: str, worker: Callable[[DataFrame, int], N
     return f"{at}/rows"
 
 
-def worker(process: Callable[[DataFrame], DataFrame], results: str, failures: str, key: str, order: str, ok: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch worker: the first row of a key by `order`, result or dead letter, once over all batches. A batch that is
-    run again overwrites its own folder, so it counts once."""
+def first_rows(stream: DataFrame, key: str, order: str, keep_seconds: int = 3600, at: str = "at") -> DataFrame:
+    """The first row of each key over all batches: within a batch the first by `order`, then by content.
+
+    What was seen is in the state store, a time a key, and leaves it when the watermark has passed that time and `keep_seconds`, so a
+    batch costs what its own keys cost however many batches came before. Whole numbers travel as text, so none is rounded."""
+    whole = {f.name for f in stream.schema if f.dataType.typeName() in ("long", "integer", "short", "byte")}
+    shape = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in stream.schema] + [T.StructField("order_", T.LongType())])
+    ordered = F.unix_micros(F.col(order).cast("timestamp")) if "timestamp" in stream.schema[order].dataType.typeName() else F.col(order).cast("long")
+    told = stream.withWatermark(at, f"{keep_seconds} seconds").select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in stream.columns], F.coalesce(ordered, F.lit((1 << 63) - 1)).alias("order_"))
+
+    def first(_key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts))
+        if state.exists:
+            return
+        best = min(range(len(rows)), key=lambda i: (rows["order_"].iloc[i], str(tuple(rows.iloc[i]))))
+        seen_ms = int(rows[at].max().timestamp() * 1000)
+        state.update((seen_ms,))
+        state.setTimeoutTimestamp(max(seen_ms + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[[best]]
+
+    out = told.groupBy(key).applyInPandasWithState(first, shape, "seen_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*[F.col(c).cast(stream.schema[c].dataType).alias(c) for c in stream.columns])
+
+
+def worker(process: Callable[[DataFrame], DataFrame], results: str, failures: str, ok: str, letters: DeadLetters | None = None) -> Callable[[DataFrame, int], None]:
+    """Micro-batch worker: result or dead letter for each row. Earlier batches are not read. A batch that is run again
+    overwrites its own folder, and a letter replaces an older one of its key, so it counts once."""
 
     def work(batch: DataFrame, number: int) -> None:
-        rest = [c for c in batch.columns if c != key]
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest))).alias("r")).select(key, "r.*")
-        done_before = [batch.sparkSession.read.parquet(at).filter(F.col("batch") < number).select(key) for at in (results, failures) if number > 0]
-        for seen in done_before:
-            first = first.join(seen, key, "left_anti")
-        done = process(first).persist()
+        done = process(batch).persist()
         done.filter(ok).write.mode("overwrite").parquet(f"{results}/batch={number}")
-        done.filter(~F.expr(ok)).write.mode("overwrite").parquet(f"{failures}/batch={number}")
+        failed = done.filter(~F.expr(ok))
+        failed.write.mode("overwrite").parquet(f"{failures}/batch={number}")
+        if letters is not None:
+            letters.put(batch.sparkSession.read.schema(failed.schema).parquet(f"{failures}/batch={number}"))
         done.unpersist()
 
     return work
