@@ -45,10 +45,11 @@ def guarded_updates(current: DataFrame, updates: DataFrame, key: str) -> DataFra
 
 
 def claimed(jobs: DataFrame, now_us: int, most_attempts: int, n: int, worker: str, lease_us: int) -> DataFrame:
-    """Expired leases go back to the queue, or end at the last attempt; then the first n by priority and age are leased."""
+    """Expired leases go back to the queue, or end at the last attempt; then the first n are leased, the highest
+    priority first, then the oldest."""
     over = (F.col("status") == "leased") & (F.col("lease_us") <= now_us)
     back = jobs.withColumn("state", F.when(over & (F.col("attempt") >= most_attempts), "failed").when(over, "queued").otherwise(F.col("status")))
-    picked = back.filter((F.col("state") == "queued") & (F.col("attempt") < most_attempts)).orderBy("priority", "created_us", "job_id").limit(n)
+    picked = back.filter((F.col("state") == "queued") & (F.col("attempt") < most_attempts)).orderBy(F.desc("priority"), "created_us", "job_id").limit(n)
     return picked.select("job_id", F.lit("leased").alias("status"), (F.col("attempt") + 1).alias("attempt"), F.lit(worker).alias("worker"), F.lit(now_us + lease_us).alias("lease_us"))
 
 
@@ -67,13 +68,6 @@ def finished(jobs: DataFrame, outcomes: DataFrame, now_us: int, most_attempts: i
     return told.select("job_id", "worker_id", result.alias("result"), F.when(result == "queued", backoff(F.lit(now_us), F.col("attempt"))).alias("next_us"))
 
 
-def transitions(rows: DataFrame, state: Column, command: Column, after: Column, event_id: str, ledger: DataFrame) -> DataFrame:
-    """An event with before and after for each command that moves a state; a replay (an event_id the ledger has) and a command
-    that moves nothing write none."""
-    told = rows.withColumns({"before": state, "command": command, "after": after}).filter(F.col("after").isNotNull() & (F.col("before") != F.col("after")))
-    return told.join(ledger.select(event_id).distinct(), event_id, "left_anti")
-
-
 def slots(clips: DataFrame, groups: DataFrame, frozen: DataFrame, existing: DataFrame, from_day: Column) -> DataFrame:
     """Review slots to add: two for each clip in the window that has none. A clip belongs to the group of its first consensus
     for good, else to its camera's group now; without a group it gets no slots."""
@@ -137,9 +131,3 @@ def late_added(slots: DataFrame, visited: DataFrame, closed: Column) -> DataFram
 def bounded_queue(rows: DataFrame, order: str, most: int) -> DataFrame:
     """The newest rows of a dead-letter queue; older ones beyond the bound are dropped."""
     return rows.orderBy(F.desc(order)).limit(most)
-
-
-def changed_frames(series: DataFrame, key: str, at: str, value: str, least: float) -> DataFrame:
-    """Whether a value differs from the one before it by at least so much; the first of a key does not."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(at))
-    return series.withColumn("motion", F.coalesce(F.abs(F.col(value) - before) >= least, F.lit(False)))

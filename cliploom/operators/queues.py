@@ -111,6 +111,6 @@ def capped_top(rows: DataFrame, bucket: list[str], cap: int, n: int, *order: Col
 
 
 def claimable(jobs: DataFrame, now_us: int, most_attempts: int, n: int) -> DataFrame:
-    """Queued jobs, and leased ones whose lease is over, that may be tried again: by priority, then age."""
+    """Queued jobs, and leased ones whose lease is over, that may be tried again: the highest priority first, then the oldest."""
     free = (F.col("status") == "queued") | ((F.col("status") == "leased") & (F.col("lease_us") <= now_us))
-    return jobs.filter(free & (F.col("attempt") < most_attempts)).orderBy("priority", "created_us", "job_id").limit(n)
+    return jobs.filter(free & (F.col("attempt") < most_attempts)).orderBy(F.desc("priority"), "created_us", "job_id").limit(n)

@@ -51,11 +51,10 @@ def one_each_then_fill(rows: DataFrame, seed: str, key: str, strata: list[str],
     """The first row by digest of each stratum, then the first of all others, up to n rows (a row of each stratum in any case)."""
     drawn = hashed(rows, seed, key)
     rest = [c for c in rows.columns if c not in strata]
-    first = drawn.groupBy(*strata).agg(F.min_by(F.struct(*rest), F.struct("draw", key)).alias("r")).select(*strata, "r.*").withColumn("turn", F.lit(0))
-    others = drawn.join(first.select(key), key, "left_anti").orderBy("draw", key).limit(n).withColumn("turn", F.lit(1))
-    kept = first.withColumn("draw", F.lit("")).select(*rows.columns, "draw", "turn").unionByName(others.select(*rows.columns, "draw", "turn"))
-    nth = F.row_number().over(Window.orderBy("turn", "draw", key))  # a row a stratum and n more
-    return kept.withColumn("nth", nth).filter((F.col("turn") == 0) | (F.col("nth") <= n)).select(*rows.columns)
+    first = drawn.groupBy(*strata).agg(F.min_by(F.struct(*rest), F.struct("draw", key)).alias("r")).select(*strata, "r.*")
+    others = drawn.join(first.select(key), key, "left_anti")
+    more = max(0, n - first.count())  # a row a stratum
+    return first.select(*rows.columns).unionByName(others.orderBy("draw", key).limit(more).select(*rows.columns))
 
 
 def night_split(rows: DataFrame, night: str, part: str, attempts: int, each: int, bins: str | None = None, least_bins: int = 0) -> DataFrame:
@@ -71,19 +70,9 @@ def night_split(rows: DataFrame, night: str, part: str, attempts: int, each: int
     return placed.join(good, "attempt").select(night, "side", "attempt")
 
 
-def capped_pairs(pairs: DataFrame, scope: list[str], bins: list[str], per_bin: int, per_bin_camera: int, per_camera: int, place: Column | None = None) -> DataFrame:
-    """Pairs that a walk in order of draw keeps in each scope, bin after bin: at most per_bin of a bin, per_bin_camera of a bin
-    and camera and per_camera of a camera, and no clip twice. `pairs`: scope, gap_bin, camera_id, left_clip, right_clip, draw;
-    `place`: a bin's place in the walk, if it is not that in the list.
-
-    What a pair may still take depends on all before it, so a scope is folded with the pairs kept so far as state. Its lists
-    are short without loss, as pairs are of neighbours: a clip is in two pairs at most, so the per_bin pairs that are kept of
-    each bin block no more than two others each, and what comes after so many pairs of a bin and camera is never reached."""
-    reach = per_bin * (2 * len(bins) + 1)
-    order = F.create_map(*[x for i, b in enumerate(bins) for x in (F.lit(b), F.lit(i))])[F.col("gap_bin")] if place is None else place
-    nth = F.row_number().over(Window.partitionBy(*scope, "gap_bin", "camera_id").orderBy("draw", "left_clip"))
-    item = F.struct(order.alias("bin"), "draw", "left_clip", "right_clip", "camera_id", "gap_bin")
-    listed = pairs.filter(F.col("gap_bin").isin(bins)).withColumn("nth", nth).filter(F.col("nth") <= reach).groupBy(*scope).agg(F.array_sort(F.collect_list(item)).alias("items"))
+def _walked(items: Column, per_bin: int, per_bin_camera: int, per_camera: int) -> Column:
+    """The items that a walk in their order keeps: at most per_bin of a bin, per_bin_camera of a bin and camera and per_camera
+    of a camera, and no clip twice. Items: bin, draw, left_clip, right_clip, camera_id and others."""
 
     def step(kept: Column, x: Column) -> Column:
         count = lambda holds: F.size(F.filter(kept, holds))
@@ -96,20 +85,49 @@ def capped_pairs(pairs: DataFrame, scope: list[str], bins: list[str], per_bin: i
         )
         return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
 
-    none = F.filter("items", lambda p: F.lit(False))
-    return listed.select(*scope, F.explode(F.aggregate("items", none, step)).alias("p")).select(*scope, "p.gap_bin", "p.camera_id", "p.left_clip", "p.right_clip")
+    return F.aggregate(items, F.filter(items, lambda p: F.lit(False)), step)
+
+
+def _reach(bins: list[str], per_bin: int) -> int:
+    """So many pairs of a bin and camera a walk can look at: pairs are of neighbours, so a clip is in two pairs at most, and the
+    per_bin pairs that are kept of each bin block no more than two others each."""
+    return per_bin * (2 * len(bins) + 1)
+
+
+def capped_pairs(pairs: DataFrame, scope: list[str], bins: list[str], per_bin: int, per_bin_camera: int, per_camera: int) -> DataFrame:
+    """Pairs that a walk in order of draw keeps in each scope, bin after bin. `pairs`: scope, gap_bin, camera_id, left_clip,
+    right_clip, draw. What a pair may still take depends on all before it, so a scope's list (short without loss, see `_reach`)
+    is folded with the pairs kept so far as state."""
+    order = F.create_map(*[x for i, b in enumerate(bins) for x in (F.lit(b), F.lit(i))])[F.col("gap_bin")]
+    nth = F.row_number().over(Window.partitionBy(*scope, "gap_bin", "camera_id").orderBy("draw", "left_clip"))
+    item = F.struct(order.alias("bin"), "draw", "left_clip", "right_clip", "camera_id", "gap_bin")
+    listed = pairs.filter(F.col("gap_bin").isin(bins)).withColumn("nth", nth).filter(F.col("nth") <= _reach(bins, per_bin)).groupBy(*scope).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return listed.select(*scope, F.explode(_walked(F.col("items"), per_bin, per_bin_camera, per_camera)).alias("p")).select(*scope, "p.gap_bin", "p.camera_id", "p.left_clip", "p.right_clip")
 
 
 def best_witness(pairs: DataFrame, sides: DataFrame, night: str, bins: list[str], per_bin: int, per_bin_camera: int, per_camera: int) -> DataFrame:
-    """The selection with the smallest digest among all attempts (`sides`: attempt and night) and all orders of the bins. Every
-    attempt and order is a scope of its own, walked side by side; a selection has a few pairs of each bin."""
-    orders = [F.struct(F.lit(i).alias("order_no"), F.array(*[F.lit(b) for b in p]).alias("bins")) for i, p in enumerate(permutations(bins))]
-    tried = pairs.join(F.broadcast(sides), night).withColumn("o", F.explode(F.array(*orders))).select("*", "o.order_no", "o.bins").drop("o")  # a row an attempt and night
-    picked = capped_pairs(tried, ["attempt", "order_no"], bins, per_bin, per_bin_camera, per_camera, F.array_position("bins", F.col("gap_bin")).cast("int"))
-    one = F.concat_ws("-", F.col("left_clip").cast("string"), F.col("right_clip").cast("string"))
-    found = picked.groupBy("attempt", "order_no").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "|"), 256).alias("digest"))
-    best = found.agg(F.min(F.struct("digest", "attempt", "order_no")).alias("b")).select("b.attempt", "b.order_no", "b.digest")
-    return picked.join(F.broadcast(best), ["attempt", "order_no"])  # one row
+    """The selection with the smallest digest among all attempts (`sides`: attempt and night) and all orders of the bins.
+
+    Pairs that no walk can reach go first: of a night, bin and camera only the first few by draw stay, whatever the attempt.
+    What is left meets the attempts, is cut again by attempt and becomes one short list each; all orders are walks over that
+    list, sorted anew, so no pair is copied for an order."""
+    reach = _reach(bins, per_bin)
+    first = F.row_number().over(Window.partitionBy(night, "gap_bin", "camera_id").orderBy("draw", "left_clip"))
+    near = pairs.filter(F.col("gap_bin").isin(bins)).withColumn("nth", first).filter(F.col("nth") <= reach)
+    again = F.row_number().over(Window.partitionBy("attempt", "gap_bin", "camera_id").orderBy("draw", "left_clip"))
+    tried = near.join(sides, night).withColumn("nth", again).filter(F.col("nth") <= reach)
+    lists = tried.groupBy("attempt").agg(F.collect_list(F.struct("gap_bin", "draw", "left_clip", "right_clip", "camera_id")).alias("items"))
+    orders = list(permutations(bins))
+
+    def walk(order: Column) -> Column:
+        placed = F.transform("items", lambda x: F.struct(F.array_position(order, x["gap_bin"]).cast("int").alias("bin"), x["draw"].alias("draw"), x["left_clip"].alias("left_clip"), x["right_clip"].alias("right_clip"), x["camera_id"].alias("camera_id"), x["gap_bin"].alias("gap_bin")))
+        return _walked(F.array_sort(placed), per_bin, per_bin_camera, per_camera)
+
+    told = F.array(*[F.struct(F.lit(i).alias("order_no"), walk(F.array(*[F.lit(b) for b in p])).alias("kept")) for i, p in enumerate(orders)])
+    walks = lists.select("attempt", F.explode(told).alias("w")).select("attempt", "w.order_no", "w.kept").filter(F.size("kept") > 0)
+    one = F.transform("kept", lambda p: F.concat_ws("-", p["left_clip"].cast("string"), p["right_clip"].cast("string")))
+    best = walks.withColumn("digest", F.sha2(F.array_join(F.array_sort(one), "|"), 256)).orderBy("digest", "attempt", "order_no").limit(1)
+    return best.select("attempt", "order_no", "digest", F.explode("kept").alias("p")).select("attempt", "order_no", "digest", "p.gap_bin", "p.camera_id", "p.left_clip", "p.right_clip")
 
 
 def thinned(peaks: DataFrame, keys: list[str], at: str, value: str, apart: float, most: int) -> DataFrame:
@@ -151,12 +169,11 @@ def water_filled(sizes: DataFrame, key: str, total: int, seed: str) -> DataFrame
     return out.select(key, "n", (F.least(F.col("n"), F.col("full")) + F.when(more, 1).otherwise(0)).alias("quota"))
 
 
-def hash_windows(rows: DataFrame, quotas: DataFrame, key: str, order: list[str], seed: str) -> DataFrame:
+def hash_windows(rows: DataFrame, quotas: DataFrame, key: str, order: tuple[str, str], seed: str) -> DataFrame:
     """The rows of each key's window: as long as its quota, begun where its digest says; whether the window leaves rows out
-    before and after it."""
+    before and after it. Rows are ranked by slices of their order (a value and a key), so no task reads a whole key."""
     start = F.conv(F.substring(digest(seed, "window", F.col(key)), 1, 8), 16, 10).cast("long") % (F.col("n") - F.col("quota") + 1)
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    told = rows.withColumn("nth", nth).join(quotas, key).withColumn("start", start)
+    told = ranks(rows, [key], *order).drop("n_group").withColumnRenamed("rank", "nth").join(quotas, key).withColumn("start", start)
     inside = (F.col("nth") >= F.col("start")) & (F.col("nth") < F.col("start") + F.col("quota"))
     return told.filter(inside).withColumns({"left_cut": F.col("start") > 0, "right_cut": F.col("start") + F.col("quota") < F.col("n")}).drop("start")
 
@@ -201,3 +218,24 @@ def thirds(rows: DataFrame, value: str, key: str, n: int) -> DataFrame:
     third = F.when(F.col("rank") < a, 0).when(F.col("rank") < b, 1).otherwise(2)
     place = F.col("rank") - F.when(third == 0, 0).when(third == 1, a).otherwise(b)
     return told.withColumns({"third": third, "place": place}).orderBy("place", "third").limit(n).drop("all", "rank", "n_group")
+
+
+def spread_runs(runs: DataFrame, key: str, run: str, seed: str) -> DataFrame:
+    """runs with `place` (from 0), so that no two neighbours share a key, wherever that is possible.
+
+    Runs are lined up key by key (the key with the most runs first, the others by digest) and dealt to every other place:
+    rank r of n goes to 2r in the first half and to the gaps in the second. Neighbouring places then hold ranks that are half
+    of n apart, or one less, and a key's ranks lie together, so only a key with more than half of all runs meets itself. Places
+    come from counts: of a key's runs and of the keys before it, by digest prefix."""
+    sizes = runs.groupBy(key).agg(F.count("*").alias("n_key")).withColumn("draw", digest(seed, "spread", F.col(key)))
+    largest = sizes.agg(F.max(F.struct("n_key", "draw")).alias("top"), F.sum("n_key").alias("n_all"))
+    keys = sizes.crossJoin(F.broadcast(largest))  # one row
+    keys = keys.withColumn("prefix", F.when(F.col("draw") == F.col("top.draw"), "").otherwise(F.substring("draw", 1, 3)))
+    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,097 prefixes
+    starts = keys.groupBy("prefix").agg(F.sum("n_key").alias("c")).select("prefix", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("prefix").orderBy("draw", key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keys.withColumn("own", F.coalesce(F.sum("n_key").over(inside), F.lit(0))).join(F.broadcast(starts), "prefix")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(run)) - 1
+    rank, half = F.col("start") + F.col("own") + F.col("nth"), F.floor((F.col("n_all") + 1) / 2)
+    told = runs.withColumn("nth", nth).join(placed.select(key, "start", "own", "n_all"), key)
+    return told.withColumn("place", F.when(rank < half, rank * 2).otherwise((rank - half) * 2 + 1)).drop("nth", "start", "own", "n_all")

@@ -21,26 +21,63 @@ def reclaimed(jobs: DataFrame, now_us: int, most_attempts: int) -> DataFrame:
     )
 
 
-#: (state, command) -> next state; what is not listed is refused.
-SHORT_CLIP = {
-    ("none", "flag"): "candidate",
-    ("candidate", "quarantine"): "quarantined",
-    ("candidate", "protect"): "protected",
-    ("candidate", "restore"): "restored",
-    ("quarantined", "restore"): "restored",
-    ("quarantined", "delete"): "media_deleted",
-    ("protected", "flag"): "protected",
-    ("restored", "flag"): "candidate",
-}
-
-
-def stepped(state: Column, command: Column, table: dict[tuple[str, str], str]) -> Column:
-    """Next state, or null where the command is refused."""
-    out = None
-    for (a, b), after in table.items():
-        hit = (state == a) & (command == b)
-        out = F.when(hit, F.lit(after)) if out is None else out.when(hit, F.lit(after))
-    return out
+#: What a camera without a policy goes by.
+CANDIDATE_UNDER, RULE_VERSION, RETENTION_HOURS = 15.0, "short-device-error-v1", 168
+#: States that a new detection leaves as they are, and what it answers then.
+SETTLED = {"restored": "reused_restored", "media_deleted": "reused", "quarantined": "reused", "deletion_blocked": "reused"}
+
+
+def short_clip_detection(clips: DataFrame, policies: DataFrame, exclusions: DataFrame, protected: DataFrame, now_us: int, write: Column) -> DataFrame:
+    """What a detection run does with each clip: clip_id, route, state (after it), and, where a state is written, event, before
+    and after, rule_version, displayed (seconds) and delete_after_us.
+
+    A clip shorter than its camera's bound is a candidate; if the camera's policy is on and names the seconds that the clip
+    displays, it is quarantined, or blocked from deletion if people have worked on it. What was restored is never taken again,
+    and what is settled stays (no event). Without `write` the answer is what a clip ought to be, whatever it is now. Repeated
+    rows of a camera's policy or a clip's exclusion are an error of the input; the first by content counts.
+
+    clips: clip_id, camera_id, duration_sec; policies: camera_id, enabled, under_sec, version, hours, seconds (array);
+    exclusions: clip_id, state; protected: clip_id."""
+    policy = policies.groupBy("camera_id").agg(F.min(F.struct("enabled", "under_sec", "version", "hours", "seconds")).alias("p"))
+    now = exclusions.groupBy("clip_id").agg(F.min("state").alias("state"))
+    told = (
+        clips.select("clip_id", "camera_id", "duration_sec", write.alias("write"))
+        .join(policy, "camera_id", "left")
+        .join(now, "clip_id", "left")
+        .join(protected.select("clip_id", F.lit(True).alias("kept")).distinct(), "clip_id", "left")
+        .withColumn("displayed", F.floor(F.col("duration_sec") + 0.5).cast("int"))
+    )
+    short = F.coalesce(F.col("duration_sec") < F.coalesce("p.under_sec", F.lit(CANDIDATE_UNDER)), F.lit(False))
+    match = F.coalesce(F.col("p.enabled") & F.array_contains("p.seconds", F.col("displayed")), F.lit(False))
+    target = F.when(match & F.col("kept").isNotNull(), "protected").when(match, "quarantined").otherwise("candidate")
+    state_of = lambda t: F.when(t == "protected", "deletion_blocked").otherwise(t)
+    settled = F.create_map(*[F.lit(x) for kv in SETTLED.items() for x in kv])[F.col("state")]
+    stays = F.col("write") & (settled.isNotNull() | ((F.col("target") == "candidate") & F.col("state").isNotNull()))
+    route = F.when(~F.col("short"), "ineligible").when(~F.col("write"), F.col("target")).when(settled.isNotNull(), settled).when(stays, "reused").otherwise(F.col("target"))
+    after = F.when(~F.col("short"), "none").when(stays, F.when(settled.isNotNull(), F.col("state")).otherwise("candidate")).otherwise(state_of(F.col("target")))
+    moves = F.col("short") & F.col("write") & ~stays
+    event = F.when(F.col("target") == "quarantined", "auto_quarantined").when(F.col("target") == "protected", "delete_blocked").otherwise("candidate_detected")
+    out = told.withColumns({"short": short, "target": target}).withColumns({"route": route, "after_": after, "moves": moves})
+    only = lambda c: F.when(F.col("moves"), c)
+    hours = F.coalesce("p.hours", F.lit(RETENTION_HOURS)).cast("long")
+    return out.select(
+        "clip_id",
+        "route",
+        F.col("after_").alias("state"),
+        only(event).alias("event"),
+        only(F.when(F.col("state").isNotNull(), "candidate").otherwise("none")).alias("before"),
+        only(F.col("after_")).alias("after"),
+        only(F.coalesce("p.version", F.lit(RULE_VERSION))).alias("rule_version"),
+        only(F.col("displayed")).alias("displayed"),
+        F.when(F.col("moves") & (F.col("target") == "quarantined"), F.lit(now_us) + hours * F.lit(3_600_000_000)).alias("delete_after_us"),
+    )
+
+
+def detection_events(detected: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Events with before and after of the detections that moved a state; a clip whose same move is in the ledger (a run that is
+    made again) writes none."""
+    moved = detected.filter("event IS NOT NULL").select("clip_id", "event", "before", "after", "rule_version", "displayed")
+    return moved.join(ledger.select("clip_id", "event").distinct(), ["clip_id", "event"], "left_anti")
 
 
 def folded(events: DataFrame, key: str, value: str, *order: str) -> DataFrame:

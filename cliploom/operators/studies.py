@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ratios import ratio
+from .graph import shared_folder
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -100,6 +101,34 @@ def escalated(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return named.select(name.alias("rule"), "n", "n_escalated", "n_right", ratio(F.col("n_right") - F.col("base_right"), gap).alias("recovered"))
 
 
+def escalated_with_control(rows: DataFrame, rules: dict[str, Column], key: str, digits: int = 2) -> DataFrame:
+    """escalated, and beside each rule its control: as many rows as the rule takes, the first by their key read backwards, which
+    has nothing to do with what a rule looks at.
+
+    One pass counts rows, hits and rule sizes by the first digits of the reversed key. A control takes the prefixes before the
+    one in which its size is reached whole, from these counts; only rows of that one prefix are ranked, those that share a
+    key by their hits, so that counts are the same in every run."""
+    shared_folder(rows.sparkSession)
+    back = F.reverse(F.col(key).cast("string"))
+    strong, base = (F.coalesce(F.col(c) == F.col("truth"), F.lit(False)).cast("long") for c in ("strong", "base"))
+    told = rows.select(back.alias("back"), F.substring(back, 1, digits).alias("prefix"), strong.alias("s"), base.alias("b"), *[F.coalesce(r, F.lit(False)).cast("long").alias(f"up_{i}") for i, r in enumerate(rules.values())])
+    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # a row a prefix
+    counts = told.groupBy("prefix").agg(F.count("*").alias("c"), F.sum("s").alias("s"), F.sum("b").alias("b"), *[F.sum(f"up_{i}").alias(f"up_{i}") for i in range(len(rules))]).checkpoint()
+    sums = counts.select("prefix", "c", "b", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("c", "s", "b")])
+    sizes = counts.agg(F.sum("b").alias("all_b"), F.sum("s").alias("all_s"), *[F.sum(f"up_{i}").alias(f"up_{i}") for i in range(len(rules))])
+    each = sizes.select("all_b", "all_s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"up_{i}").alias("size")) for i in range(len(rules))])).alias("r")).select("all_b", "all_s", "r.i", "r.size")
+    # The prefix in which each rule's size is reached: a row a rule.
+    cut = sums.join(F.broadcast(each), (F.col("size") > F.col("c_before")) & (F.col("size") <= F.col("c_before") + F.col("c")))
+    nth = F.row_number().over(Window.partitionBy("prefix").orderBy("back", "s", "b"))
+    near = told.join(F.broadcast(cut.select("prefix").distinct()), "prefix", "left_semi").withColumn("nth", nth)
+    more = near.select("prefix", "nth", "s", "b").join(F.broadcast(cut.select("i", "prefix", (F.col("size") - F.col("c_before")).alias("take"))), "prefix").filter("nth <= take").groupBy("i").agg(F.sum(F.col("s") - F.col("b")).alias("won"))
+    control = each.join(cut.select("i", "s_before", "b_before"), "i", "left").join(more, "i", "left")
+    right = F.col("all_b") + F.coalesce(F.col("s_before") - F.col("b_before"), F.lit(0)) + F.coalesce("won", F.lit(0))
+    name = F.get(F.array(*[F.lit(k) for k in rules]), F.col("i"))
+    told_control = control.select(name.alias("rule"), right.alias("control_right"), ratio(right - F.col("all_b"), F.col("all_s") - F.col("all_b")).alias("control_recovered"))
+    return escalated(rows, rules).join(told_control, "rule")  # a row a rule
+
+
 def fallback_cascade(rows: DataFrame, threshold: float, allowed: list[str]) -> DataFrame:
     """One row from truth and, of either call, pred, conf, tokens and wall: the first call stands unless it is unsure or says
     what is not allowed; what falls back costs both calls."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ledgers, state
+from ..operators import ledgers, motion, state
 from ..sources.tables import clips, exclusions, jobs, table
-from .queue_queries import LOGS, logs
+from .queue_queries import DETECTED, LOGS, detections, logs
 from .registry import CLIPS, EXCLUSIONS, JOBS, query
 
 NOW = 820_000_000_000_000
@@ -44,7 +44,7 @@ def guarded_updates(spark, sf_dir):
 
 
 @query(f"""WITH {JOBS}, s AS (SELECT *, CASE WHEN status = 'leased' AND lease_us <= {NOW} AND attempt >= 3 THEN 'failed' WHEN status = 'leased' AND lease_us <= {NOW} THEN 'queued' ELSE status END AS state FROM jobs)
-SELECT job_id, 'leased' AS status, attempt + 1 AS attempt, 'w1' AS worker, {NOW + 600_000_000} AS lease_us FROM s WHERE state = 'queued' AND attempt < 3 ORDER BY priority, created_us, job_id LIMIT 25""")
+SELECT job_id, 'leased' AS status, attempt + 1 AS attempt, 'w1' AS worker, {NOW + 600_000_000} AS lease_us FROM s WHERE state = 'queued' AND attempt < 3 ORDER BY priority DESC, created_us, job_id LIMIT 25""")
 def claimed_jobs(spark, sf_dir):
     return ledgers.claimed(jobs(spark, sf_dir), NOW, 3, 25, "w1", 600_000_000)
 
@@ -58,21 +58,11 @@ def finished_jobs(spark, sf_dir):
     return ledgers.finished(jobs(spark, sf_dir), outcomes, NOW, 3)
 
 
-COMMANDS = ["flag", "quarantine", "protect", "restore", "delete"]
-MOVES = " ".join(f"WHEN s = '{a}' AND command = '{b}' THEN '{after}'" for (a, b), after in state.SHORT_CLIP.items())
-
-
-@query(f"""WITH {CLIPS}, {EXCLUSIONS}, c AS (SELECT clips.clip_id, coalesce(state, 'none') AS s, {COMMANDS}[clips.clip_id % 5 + 1] AS command FROM clips LEFT JOIN exclusions USING (clip_id)), t AS (SELECT *, CASE {MOVES} END AS after FROM c)
-SELECT clip_id, s AS before, command, after, clip_id % 4 <> 0 AS write FROM t WHERE after IS NOT NULL AND after <> s AND clip_id % 6 <> 0""")
+@query(f"""WITH {DETECTED} SELECT clip_id, event, CASE WHEN now IS NULL THEN 'none' ELSE 'candidate' END AS before, ought AS after, version AS rule_version, displayed FROM detected WHERE event IS NOT NULL AND NOT (clip_id % 6 = 0 AND event = 'auto_quarantined')""")
 def transition_events(spark, sf_dir):
-    """Events of the short-clip state machine with before and after; a quarter of the cameras runs in shadow mode, which
-    decides and does not write."""
-    n = F.col("clip_id")
-    rows = clips(spark, sf_dir).select("clip_id").join(exclusions(spark, sf_dir).select("clip_id", "state"), "clip_id", "left").select("clip_id", F.coalesce("state", F.lit("none")).alias("state"))
-    command = F.get(F.array(*[F.lit(c) for c in COMMANDS]), (n % 5).cast("int"))
-    ledger = clips(spark, sf_dir).filter("clip_id % 6 = 0").select("clip_id")
-    out = ledgers.transitions(rows, F.col("state"), command, state.stepped(F.col("state"), command, state.SHORT_CLIP), "clip_id", ledger)
-    return out.select("clip_id", "before", "command", "after", (n % 4 != 0).alias("write"))
+    """Events of the short-clip rule with before and after; what an earlier run has written is not written again."""
+    ledger = clips(spark, sf_dir).filter("clip_id % 6 = 0").select("clip_id", F.lit("auto_quarantined").alias("event"))
+    return state.detection_events(detections(spark, sf_dir), ledger)
 
 
 @query(f"""WITH {CLIPS}, c AS (SELECT clip_id, coalesce(CASE WHEN clip_id % 8 = 0 THEN clip_id % 3 END, CASE WHEN camera_id <> 7 THEN camera_id % 4 END) AS group_id FROM clips WHERE activity_day >= DATE '2024-01-10' AND clip_id % 5 <> 0)
@@ -153,10 +143,19 @@ def bounded_dead_letters(spark, sf_dir):
     return ledgers.bounded_queue(table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", "user_id"), "event_id", 80)
 
 
-@query("""SELECT conv_id, turn, coalesce(abs(length(text) - lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)) >= 100, false) AS motion FROM conversations""")
+@query("""WITH f AS (SELECT vec_id % 5 AS camera_id, vec_id // 5 AS "at", list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127) AS BIGINT)) AS v FROM embeddings),
+b AS (SELECT camera_id, "at", list_transform(range(1, len(v) + 1), lambda i: v[greatest(i - 1, 1)] + 2 * v[i] + v[least(i + 1, len(v))]) AS now FROM f),
+l AS (SELECT *, lag(now) OVER (PARTITION BY camera_id ORDER BY "at") AS before FROM b),
+n AS (SELECT camera_id, "at", len(now) AS cells, CASE WHEN before IS NULL THEN 0 ELSE len(list_filter(range(1, len(now) + 1), lambda i: abs(now[i] - before[i]) > 72)) END AS n_changed, before IS NOT NULL AS has FROM l)
+SELECT camera_id, "at", n_changed, has AND n_changed * 100.0 / cells >= 30 AS motion FROM n""")
 def changed_frames(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
-    return ledgers.changed_frames(rows, "conv_id", "turn", "size", 100).select("conv_id", "turn", "motion")
+    """Motion between neighbouring frames of a camera; frames are rows of 64 cells."""
+    return motion.frame_motion(frames(spark, sf_dir), threshold=18, percent=30.0, per_slice=64)
+
+
+def frames(spark, sf_dir):
+    cells = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127))
+    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("camera_id"), F.floor(F.col("vec_id") / 5).alias("at"), cells.alias("cells"))
 
 
 @query(f"""WITH {CLIPS}, {EXCLUSIONS}, {LOGS}, r AS (SELECT e.clip_id, us + 2592000000000 AS delete_after FROM exclusions e JOIN clips USING (clip_id) WHERE state = 'quarantined')

@@ -99,7 +99,7 @@ def budget_admission(spark, sf_dir):
 CLAIM_AT = 852_076_800_000_000
 
 
-@query(f"WITH {JOBS} SELECT job_id, priority, created_us FROM jobs WHERE (status = 'queued' OR (status = 'leased' AND lease_us <= {CLAIM_AT})) AND attempt < 3 ORDER BY priority, created_us, job_id LIMIT 100")
+@query(f"WITH {JOBS} SELECT job_id, priority, created_us FROM jobs WHERE (status = 'queued' OR (status = 'leased' AND lease_us <= {CLAIM_AT})) AND attempt < 3 ORDER BY priority DESC, created_us, job_id LIMIT 100")
 def claim_order(spark, sf_dir):
     return queues.claimable(jobs(spark, sf_dir), CLAIM_AT, 3, 100).select("job_id", "priority", "created_us")
 
@@ -111,14 +111,35 @@ def lease_reclaim(spark, sf_dir):
     return state.reclaimed(jobs(spark, sf_dir), CLAIM_AT, 4).select("job_id", "next_status", "next_attempt", "next_us")
 
 
-@query(f"""WITH {CLIPS}, s AS (SELECT clip_id, CASE k % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'candidate' WHEN 2 THEN 'quarantined' WHEN 3 THEN 'protected' WHEN 4 THEN 'restored' ELSE 'media_deleted' END AS s0,
-  CASE event_type WHEN 'click' THEN 'flag' WHEN 'error' THEN 'quarantine' WHEN 'purchase' THEN 'restore' WHEN 'view' THEN 'delete' ELSE 'protect' END AS c FROM clips)
-SELECT clip_id, CASE {" ".join(f"WHEN s0 = '{a}' AND c = '{b}' THEN '{t}'" for (a, b), t in state.SHORT_CLIP.items())} END AS after FROM s""")
+DETECT_AT = 1_707_000_000_000_000
+#: Detections of the short-clip rule in SQL: policies of cameras, what people have worked on, and where each clip stands.
+DETECTED = f"""{CLIPS}, {EXCLUSIONS}, pol AS (SELECT camera_id, camera_id % 3 <> 0 AS enabled, CASE WHEN camera_id % 4 <> 1 THEN 15.0 + camera_id END AS under_sec, 'v' || camera_id AS version, 100 + camera_id AS hours,
+  CASE WHEN camera_id = 2 THEN [] ELSE [camera_id, camera_id + 2, 5, 9] END AS seconds FROM (SELECT DISTINCT camera_id FROM clips WHERE camera_id < 8)),
+d AS (SELECT c.clip_id, c.camera_id, duration_sec, c.clip_id % 4 <> 0 AS write, e.state AS now, CAST(floor(duration_sec + 0.5) AS INTEGER) AS displayed, coalesce(hours, 168) AS hours, coalesce(version, 'short-device-error-v1') AS version,
+  coalesce(duration_sec < coalesce(under_sec, 15), false) AS short, coalesce(enabled AND list_contains(seconds, CAST(floor(duration_sec + 0.5) AS INTEGER)), false) AS match, c.k % 5 = 0 AS kept
+  FROM clips c LEFT JOIN pol USING (camera_id) LEFT JOIN exclusions e USING (clip_id)),
+t AS (SELECT *, CASE WHEN match AND kept THEN 'protected' WHEN match THEN 'quarantined' ELSE 'candidate' END AS target, CASE WHEN match AND kept THEN 'deletion_blocked' WHEN match THEN 'quarantined' ELSE 'candidate' END AS ought FROM d),
+detected AS (SELECT clip_id,
+  CASE WHEN NOT short THEN 'ineligible' WHEN NOT write THEN target WHEN now = 'restored' THEN 'reused_restored' WHEN now IN ('media_deleted', 'quarantined', 'deletion_blocked') THEN 'reused' WHEN target = 'candidate' AND now IS NOT NULL THEN 'reused' ELSE target END AS route,
+  CASE WHEN NOT short THEN 'none' WHEN NOT write THEN ought WHEN now IN ('restored', 'media_deleted', 'quarantined', 'deletion_blocked') THEN now ELSE ought END AS state,
+  CASE WHEN short AND write AND (now IS NULL OR (now = 'candidate' AND target <> 'candidate')) THEN CASE target WHEN 'quarantined' THEN 'auto_quarantined' WHEN 'protected' THEN 'delete_blocked' ELSE 'candidate_detected' END END AS event, now, ought, version, displayed, hours, target FROM t)"""
+
+
+def detections(spark, sf_dir):
+    c = clips(spark, sf_dir)
+    camera = F.col("camera_id")
+    policies = c.filter("camera_id < 8").select("camera_id").distinct().select(
+        "camera_id", (camera % 3 != 0).alias("enabled"), F.when(camera % 4 != 1, camera + 15.0).alias("under_sec"), F.concat(F.lit("v"), camera.cast("string")).alias("version"), (camera + 100).alias("hours"),
+        F.when(camera == 2, F.array().cast("array<int>")).otherwise(F.array(camera.cast("int"), (camera + 2).cast("int"), F.lit(5), F.lit(9))).alias("seconds"),
+    )
+    worked_on = c.filter("k % 5 = 0").select("clip_id")
+    return state.short_clip_detection(c, policies, exclusions(spark, sf_dir), worked_on, DETECT_AT, F.col("clip_id") % 4 != 0)
+
+
+@query(f"""WITH {DETECTED} SELECT clip_id, route, state, CASE WHEN event = 'auto_quarantined' THEN {DETECT_AT} + hours * 3600000000 END AS delete_after_us FROM detected""")
 def short_clip_state_machine(spark, sf_dir):
-    names = ["none", "candidate", "quarantined", "protected", "restored", "media_deleted"]
-    s0 = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("k") % 6 + 1).cast("int"))
-    command = F.when(F.col("event_type") == "click", "flag").when(F.col("event_type") == "error", "quarantine").when(F.col("event_type") == "purchase", "restore").when(F.col("event_type") == "view", "delete").otherwise("protect")
-    return clips(spark, sf_dir).select("clip_id", state.stepped(s0, command, state.SHORT_CLIP).alias("after"))
+    """A detection run over all clips; a quarter of them in shadow mode, which answers and does not write."""
+    return detections(spark, sf_dir).select("clip_id", "route", "state", "delete_after_us")
 
 
 @query(f"WITH {CLIPS} SELECT camera_id, arg_max(event_type, (us, clip_id)) AS state, count(*) AS n_events FROM clips GROUP BY 1")

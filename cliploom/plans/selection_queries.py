@@ -6,6 +6,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
+from ..functions import cursors
 from ..functions.hashing import digest
 from ..operators import documents, events, features, sampling, selection
 from ..sources.tables import assessments, clips, predictions, table
@@ -66,7 +67,7 @@ SELECT clip_id, camera_id, start > 0 AS left_cut, start + quota < n AS right_cut
 def hash_windows(spark, sf_dir):
     rows = clips(spark, sf_dir).filter("k < 30").select("clip_id", "camera_id", "us")
     quotas = rows.groupBy("camera_id").agg(F.count("*").alias("n")).withColumn("quota", F.least(F.col("n"), F.lit(12)))
-    return selection.hash_windows(rows, quotas, "camera_id", ["us", "clip_id"], "runs").select("clip_id", "camera_id", "left_cut", "right_cut")
+    return selection.hash_windows(rows, quotas, "camera_id", ("us", "clip_id"), "runs").select("clip_id", "camera_id", "left_cut", "right_cut")
 
 
 CELLS = f"""{CLIPS}, p AS (SELECT *, CASE WHEN k % 10 = 0 THEN 'unknown' WHEN duration_sec >= 40 THEN 'high' ELSE 'low' END AS intensity FROM clips WHERE event_type <> 'signup'), s AS (SELECT intensity, event_type, count(*) AS n FROM p GROUP BY 1, 2),
@@ -177,6 +178,24 @@ def cursor_codec(spark, sf_dir):
     return told.withColumn("r", read).select("clip_id", "token", F.col("r.id").cast("long").alias("back_id"), F.unix_micros(F.col("r.t").try_cast("timestamp")).alias("back_us"))
 
 
+#: The cursor of a clip for the scope of its camera; ids look like UUIDs.
+SCOPED = f"""{CLIPS}, c AS (SELECT clip_id, us, camera_id, 'owner:' || camera_id || '|label=é' AS scope, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS t, md5(CAST(clip_id AS VARCHAR)) AS m FROM clips),
+h AS (SELECT scope, printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(scope, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: CAST((xor(h, x) * 16777619::BIGINT) % 4294967296::BIGINT AS BIGINT))) AS s FROM (SELECT DISTINCT scope FROM c)),
+k AS (SELECT c.*, s, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) AS id FROM c JOIN h USING (scope))"""
+
+
+@query(f"""WITH {SCOPED} SELECT clip_id, rtrim(translate(base64(encode('{{"v":1,"t":"' || t || '","id":"' || id || '","s":"' || s || '"}}')), '+/', '-_'), '=') AS token, CASE WHEN camera_id % 3 <> 0 THEN id END AS back_id, CASE WHEN camera_id % 3 <> 0 THEN us END AS back_us FROM k""")
+def scoped_cursors(spark, sf_dir):
+    """Cursors that hold for one scope, and what is read from them: nothing where the scope is another (every third camera)."""
+    m = F.md5(F.col("clip_id").cast("string"))
+    key = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    at = F.concat(F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    scope = F.concat(F.lit("owner:"), F.col("camera_id").cast("string"), F.lit("|label=é"))
+    told = clips(spark, sf_dir).select("clip_id", "camera_id", scope.alias("scope"), cursors.encoded(at, key, scope).alias("token"))
+    asked = F.when(F.col("camera_id") % 3 != 0, F.col("scope")).otherwise(F.concat("scope", F.lit("!")))
+    return told.withColumn("r", cursors.decoded(F.col("token"), asked)).select("clip_id", "token", F.col("r.id").alias("back_id"), F.unix_micros(F.col("r.t").try_cast("timestamp")).alias("back_us"))
+
+
 @query("""SELECT doc_id, a.quality, b.toxic FROM (SELECT DISTINCT doc_id, quality FROM labels WHERE quality = 1) a JOIN (SELECT DISTINCT doc_id, toxic FROM labels WHERE toxic = 0) b USING (doc_id)""")
 def paired_keys(spark, sf_dir):
     """Keys that both sides have."""
@@ -195,6 +214,16 @@ def repeat_runs(spark, sf_dir):
     return out.orderBy("run", "draw").select(F.concat(F.col("key").cast("string"), F.lit("#run"), F.col("run").cast("string")).alias("measured_key"), "key", "run")
 
 
+@query("""WITH k AS (SELECT p_partkey AS key, unnest(CASE WHEN p_partkey % 6 = 0 THEN [0, 1, 2] ELSE [0] END) AS run FROM part), z AS (SELECT key, count(*) AS n, sha256('runs|spread|' || key) AS draw FROM k GROUP BY 1),
+t AS (SELECT draw AS top FROM z ORDER BY n DESC, draw DESC LIMIT 1), r AS (SELECT k.key, run, row_number() OVER (ORDER BY CASE WHEN draw = top THEN 0 ELSE 1 END, draw, k.key, run) - 1 AS r, (count(*) OVER () + 1) // 2 AS half FROM k JOIN z USING (key), t)
+SELECT key, run, CASE WHEN r < half THEN 2 * r ELSE 2 * (r - half) + 1 END AS place FROM r""")
+def spread_runs(spark, sf_dir):
+    """Runs in an order in which no key follows itself."""
+    key = F.col("p_partkey")
+    runs = F.when(key % 6 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+    return selection.spread_runs(table(spark, sf_dir, "part").select(key.alias("key"), F.explode(runs).alias("run")), "key", "run", "runs")
+
+
 @query(f"""WITH {CLIPS}, e AS (SELECT clip_id, CASE clip_id % 3 WHEN 0 THEN 'quarantined' WHEN 1 THEN 'restored' ELSE 'candidate' END AS state, 'old' AS reason FROM clips WHERE k < 30),
 n AS (SELECT clip_id, CASE WHEN media_key IS NULL THEN 'r2_key_missing' WHEN k % 11 = 0 THEN 'r2_object_absent' END AS reason FROM clips WHERE media_key IS NULL OR k % 11 = 0)
 SELECT coalesce(e.clip_id, n.clip_id) AS clip_id, CASE WHEN e.state IN ('candidate', 'quarantined', 'media_deleted', 'deletion_blocked') OR n.reason IS NULL THEN e.state ELSE 'media_deleted' END AS state,

@@ -10,6 +10,7 @@ from ..sources.reviews import SUBMISSIONS
 from ..sources.tables import assessments, clips, exclusions, predictions, settings, table
 from .event_queries import PAIRS, accounted
 from .queue_queries import LOGS, logs
+from ..sources.paged import PagedSource
 from .registry import ASSESSMENTS, CLIPS, EXCLUSIONS, PREDICTIONS, SETTINGS, query
 from .review_queries import pairs as review_pairs
 
@@ -67,13 +68,23 @@ def looked_up_rows(spark, sf_dir):
     return files.looked_up(table(spark, sf_dir, "events"), ids, "event_id").select("event_id", "user_id")
 
 
+def paged(spark, sf_dir, mode, name, columns, key, schema):
+    """A table read in pages through an SQL client, as a remote database is."""
+    spark.dataSource.register(PagedSource)
+    options = {"client": "cliploom.sources.paged:SqlPages", "driver": "duckdb", "table": f"read_parquet('{sf_dir}/{name}.parquet')", "columns": columns, "key": key, "mode": mode, "page": 2000, "parts": 4}
+    return spark.read.format("paged").schema(schema).options(**options).load()
+
+
 @query("SELECT event_id, user_id FROM events")
 def scanned_by_key(spark, sf_dir):
-    """A table by ranges of its key, as a database is scanned; the parts are disjoint and complete."""
-    rows, out = table(spark, sf_dir, "events").select("event_id", "user_id"), None
-    for part in files.key_ranges("event_id", [100, 400, 2500]):
-        out = rows.filter(part) if out is None else out.unionByName(rows.filter(part))
-    return out
+    """A table by ranges of its key, each in pages after the last key seen."""
+    return paged(spark, sf_dir, "key", "events", "event_id, user_id", "event_id", "event_id long, user_id long")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def scanned_by_offset(spark, sf_dir):
+    """A table by slices of its rows in order of the key, each in pages by offset."""
+    return paged(spark, sf_dir, "offset", "orders", "o_orderkey, o_custkey", "o_orderkey", "o_orderkey long, o_custkey long")
 
 
 @query("SELECT l_orderkey AS key, l_linenumber AS run FROM lineitem WHERE l_linenumber > 5 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 3 <> 0 AND o_custkey % 4 <> 0)")

@@ -61,6 +61,18 @@ def cascade_triggers(spark, sf_dir):
     return studies.escalated(two_models(spark, sf_dir), rules)
 
 
+@query(f"""WITH {PREDICTIONS}, {TWO}, o AS (SELECT *, row_number() OVER (ORDER BY reverse(CAST(clip_id AS VARCHAR)), strong = truth, base = truth) AS nth FROM two),
+k AS (SELECT count(*) FILTER (WHERE base = 'R') AS n1, count(*) FILTER (WHERE conf < 0.4) AS n2, count(*) FILTER (WHERE base <> strong) AS n3, count(*) AS n4 FROM o),
+u AS (SELECT truth, base, strong, unnest([{{'rule': 'class', 'up': base = 'R', 'c': nth <= n1}}, {{'rule': 'unsure', 'up': conf < 0.4, 'c': nth <= n2}}, {{'rule': 'disagree', 'up': base <> strong, 'c': nth <= n3}}, {{'rule': 'all', 'up': true, 'c': nth <= n4}}, {{'rule': 'none', 'up': false, 'c': false}}]) AS x FROM o, k),
+o2 AS (SELECT x.rule AS rule, count(*) AS n, count(*) FILTER (WHERE x.up) AS n_escalated, count(*) FILTER (WHERE CASE WHEN x.up THEN strong ELSE base END = truth) AS n_right, count(*) FILTER (WHERE CASE WHEN x.c THEN strong ELSE base END = truth) AS control_right,
+  count(*) FILTER (WHERE strong = truth) AS s, count(*) FILTER (WHERE base = truth) AS b FROM u GROUP BY 1)
+SELECT rule, n, n_escalated, n_right, CASE WHEN s = b THEN 0.0 ELSE CAST(n_right - b AS DOUBLE) / (s - b) END AS recovered, control_right, CASE WHEN s = b THEN 0.0 ELSE CAST(control_right - b AS DOUBLE) / (s - b) END AS control_recovered FROM o2""")
+def cascade_controls(spark, sf_dir):
+    """Each trigger beside as many rows taken without looking: what it wins back more than chance does."""
+    rules = {"class": F.col("base") == "R", "unsure": F.col("conf") < 0.4, "disagree": F.col("base") != F.col("strong"), "all": F.lit(True), "none": F.lit(False)}
+    return studies.escalated_with_control(two_models(spark, sf_dir), rules, "clip_id")
+
+
 CALLS = "calls AS (SELECT a.truth, a.pred AS p_pred, a.conf AS p_conf, CAST(a.quantity AS BIGINT) AS p_tokens, b.pred AS f_pred, CASE WHEN b.quantity > 3 THEN CAST(b.quantity * 3 AS BIGINT) END AS f_tokens FROM predictions a JOIN predictions b ON a.clip_id = b.clip_id AND a.line = 1 AND b.line = 2)"
 
 
