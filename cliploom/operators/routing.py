@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import ratio
+from .sampling import ranks
 
 
 def decide(rules: list[tuple[str, Column]], otherwise: str) -> Column:
@@ -159,7 +160,7 @@ def route_rates(routes: DataFrame) -> DataFrame:
 
 def guard_summary(rows: DataFrame, care: list[str]) -> DataFrame:
     """One row from rows of clip_id, gt, baseline_route and candidate_route: what the guard changed for moving clips and
-    for those of the care classes, with the clips of the latter that it lowered, in order."""
+    for those of the care classes, and how many of the latter it lowered (`lowered` lists them)."""
     cells = rows.groupBy("gt", "baseline_route", "candidate_route").agg(F.count("*").alias("n"))
     cared = F.col("gt").isin(care)
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
@@ -175,6 +176,30 @@ def guard_summary(rows: DataFrame, care: list[str]) -> DataFrame:
     return one.withColumns({"reduction_rate": ratio(F.col("moving_before") - F.col("moving_after"), F.col("moving_before")), "care_recall": ratio(F.col("care_kept"), F.col("care_total"))})
 
 
+def lowered(rows: DataFrame, care: list[str]) -> DataFrame:
+    """clip_id, gt and place (nth of its class, by clip_id) of clips of the care classes that the guard moved from now to later."""
+    down = rows.filter(F.col("gt").isin(care) & (F.col("baseline_route") == "cloud_now") & (F.col("candidate_route") == "cloud_later"))
+    # Few by nature: a guard that lowers many care clips is none. Ranks come from slices all the same.
+    return ranks(down.select("clip_id", "gt"), ["gt"], "clip_id", "clip_id").select("clip_id", "gt", (F.col("rank") + 1).alias("nth"))
+
+
+def inspection_summary(rows: DataFrame, inspect: Column, known: Column) -> DataFrame:
+    """One row: calls before and after the guard where nothing is to be inspected and the share saved, rows to inspect and those
+    of them in the cheap lanes, and whether all known regressions still go to a call or a review."""
+    told = rows.select("baseline_route", "candidate_route", inspect.alias("inspect"), known.alias("known"))
+    after = F.col("candidate_route")
+    one = told.agg(
+        F.count("*").alias("n"),
+        F.count_if(~F.col("inspect") & (F.col("baseline_route") == "cloud_now")).alias("before"),
+        F.count_if(~F.col("inspect") & (after == "cloud_now")).alias("after"),
+        F.count_if("inspect").alias("n_inspect"),
+        F.count_if(F.col("inspect") & (after == "activity_only")).alias("inspect_activity_only"),
+        F.count_if(F.col("inspect") & (after == "cloud_later")).alias("inspect_low"),
+        F.count_if(F.col("known") & ~after.isin("cloud_now", "review_candidate")).alias("n_regressed"),
+    )
+    return one.withColumns({"reduction_rate": ratio(F.col("before") - F.col("after"), F.col("before")), "regression_pass": F.col("n_regressed") == 0})
+
+
 def leakage(rows: DataFrame, priority_classes: list[str]) -> DataFrame:
     """Clips of each class and route, and whether a priority class went to a cheap lane there."""
     leaks = F.col("gt").isin(priority_classes) & F.col("route").isin("activity_only", "cloud_later")

@@ -130,14 +130,14 @@ def escalated_with_control(rows: DataFrame, rules: dict[str, Column], key: str,
 
 
 def fallback_cascade(rows: DataFrame, threshold: float, allowed: list[str]) -> DataFrame:
-    """One row from truth and, of either call, pred, conf, tokens and wall: the first call stands unless it is unsure or says
-    what is not allowed; what falls back costs both calls."""
+    """One row from truth and, of either call, pred, conf, tokens and wall_ms (whole numbers): the first call stands unless it is
+    unsure or says what is not allowed; what falls back costs both calls, in tokens and in time."""
     back = (F.col("p_conf") < threshold) | ~F.col("p_pred").isin(allowed)
     chosen = F.when(back, F.col("f_pred")).otherwise(F.col("p_pred"))
     total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
     tokens = F.coalesce("p_tokens", F.lit(0)) + F.when(back, F.coalesce("f_tokens", F.lit(0))).otherwise(0)
-    one = rows.agg(F.count("*").alias("n"), F.count_if(back).alias("n_back"), F.count_if(chosen == F.col("truth")).alias("n_right"), F.sum(tokens).alias("tokens"), total(F.col("f_tokens")).alias("frame_tokens"))
-    return one.withColumns({"fallback_rate": ratio(F.col("n_back"), F.col("n")), "accuracy": ratio(F.col("n_right"), F.col("n")), "token_reduction": F.when(F.col("frame_tokens") > 0, 1 - F.col("tokens") / F.col("frame_tokens"))})
+    one = rows.agg(F.count("*").alias("n"), F.count_if(back).alias("n_back"), F.count_if(chosen == F.col("truth")).alias("n_right"), F.sum(tokens).alias("tokens"), total(F.col("f_tokens")).alias("frame_tokens"), total(F.col("p_wall_ms") + F.when(back, F.col("f_wall_ms")).otherwise(0)).alias("wall"))
+    return one.withColumns({"fallback_rate": ratio(F.col("n_back"), F.col("n")), "accuracy": ratio(F.col("n_right"), F.col("n")), "token_reduction": F.when(F.col("frame_tokens") > 0, 1 - F.col("tokens") / F.col("frame_tokens")), "avg_wall_ms": ratio(F.col("wall"), F.col("n"))}).drop("wall")
 
 
 def all_votes(rows: DataFrame, key: str, priority: list[str]) -> DataFrame:

@@ -73,17 +73,17 @@ def cascade_controls(spark, sf_dir):
     return studies.escalated_with_control(two_models(spark, sf_dir), rules, "clip_id")
 
 
-CALLS = "calls AS (SELECT a.truth, a.pred AS p_pred, a.conf AS p_conf, CAST(a.quantity AS BIGINT) AS p_tokens, b.pred AS f_pred, CASE WHEN b.quantity > 3 THEN CAST(b.quantity * 3 AS BIGINT) END AS f_tokens FROM predictions a JOIN predictions b ON a.clip_id = b.clip_id AND a.line = 1 AND b.line = 2)"
+CALLS = "calls AS (SELECT a.truth, a.pred AS p_pred, a.conf AS p_conf, CAST(a.quantity AS BIGINT) AS p_tokens, b.pred AS f_pred, CASE WHEN b.quantity > 3 THEN CAST(b.quantity * 3 AS BIGINT) END AS f_tokens, CAST(floor(a.price) AS BIGINT) AS p_wall, CAST(floor(b.price) AS BIGINT) AS f_wall FROM predictions a JOIN predictions b ON a.clip_id = b.clip_id AND a.line = 1 AND b.line = 2)"
 
 
 @query(f"""WITH {PREDICTIONS}, {CALLS}, c AS (SELECT *, p_conf < 0.5 OR p_pred NOT IN ('A', 'R') AS back FROM calls),
 o AS (SELECT count(*) AS n, count(*) FILTER (WHERE back) AS n_back, count(*) FILTER (WHERE CASE WHEN back THEN f_pred ELSE p_pred END = truth) AS n_right,
-  CAST(sum(p_tokens + CASE WHEN back THEN coalesce(f_tokens, 0) ELSE 0 END) AS BIGINT) AS tokens, CAST(sum(coalesce(f_tokens, 0)) AS BIGINT) AS frame_tokens FROM c)
-SELECT *, CAST(n_back AS DOUBLE) / n AS fallback_rate, CAST(n_right AS DOUBLE) / n AS accuracy, 1 - CAST(tokens AS DOUBLE) / frame_tokens AS token_reduction FROM o""")
+  CAST(sum(p_tokens + CASE WHEN back THEN coalesce(f_tokens, 0) ELSE 0 END) AS BIGINT) AS tokens, CAST(sum(coalesce(f_tokens, 0)) AS BIGINT) AS frame_tokens, CAST(sum(p_wall + CASE WHEN back THEN f_wall ELSE 0 END) AS BIGINT) AS wall FROM c)
+SELECT * EXCLUDE (wall), CAST(wall AS DOUBLE) / n AS avg_wall_ms, CAST(n_back AS DOUBLE) / n AS fallback_rate, CAST(n_right AS DOUBLE) / n AS accuracy, 1 - CAST(tokens AS DOUBLE) / frame_tokens AS token_reduction FROM o""")
 def fallback_cascade(spark, sf_dir):
     rows = predictions(spark, sf_dir)
-    a = rows.filter("line = 1").select("clip_id", "truth", F.col("pred").alias("p_pred"), F.col("conf").alias("p_conf"), F.col("quantity").cast("long").alias("p_tokens"))
-    b = rows.filter("line = 2").select("clip_id", F.col("pred").alias("f_pred"), F.when(F.col("quantity") > 3, (F.col("quantity") * 3).cast("long")).alias("f_tokens"))
+    a = rows.filter("line = 1").select("clip_id", "truth", F.col("pred").alias("p_pred"), F.col("conf").alias("p_conf"), F.col("quantity").cast("long").alias("p_tokens"), F.floor("price").alias("p_wall_ms"))
+    b = rows.filter("line = 2").select("clip_id", F.col("pred").alias("f_pred"), F.when(F.col("quantity") > 3, (F.col("quantity") * 3).cast("long")).alias("f_tokens"), F.floor("price").alias("f_wall_ms"))
     return studies.fallback_cascade(a.join(b, "clip_id"), 0.5, ["A", "R"])
 
 
