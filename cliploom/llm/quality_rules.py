@@ -7,11 +7,14 @@ pre-aggregated before the shuffle and have at most a few hundred rows for a key,
 A key's sketch merges into that of its language, and these into one of all rows; a (language, source) with fewer than
 `least_rows` rows takes the thresholds of its language, and a language that has fewer takes those of all rows.
 
-A threshold is read from the sketch alone: it lies beyond a high (for word length also a low) quantile by `reach` times
-that quantile's distance from the median, so it follows how far the group itself spreads. Each ratio has its quantile and
-reach in `RULES`; the only floor is the sketch's own resolution, one bucket at the quantile, where all rows up to it are
-alike. A document fails when a ratio lies beyond its threshold. So a group in which all documents are alike loses none
-of them, and a fixed share of rows is never cut off. Rows that fail the base rule are not in the sketches.
+A threshold is read from sketches alone: it lies beyond a high (for word length also a low) quantile by `reach` times
+that quantile's distance from the median, so it follows how far the group itself spreads. Where there is no spread up to
+the quantile, the ratio's own step takes its place: what one symbol, one repeated line or one repeated window of words
+makes in the group's short documents, read from sketches of their lengths (`LENGTHS`). So a clean text with a few symbols
+in a group that has none stays, and how many are few follows how long the group's texts are. (A sketch's bucket is no
+narrower limit than that but for word length.) Each ratio has its quantile, reach and step in `RULES`. A document fails when
+a ratio lies beyond its threshold; a group in which all documents are alike loses none of them, and a fixed share of rows
+is never cut off. Rows that fail the base rule are not in the sketches.
 
 Null and empty texts have no words and fail the base rule. A very long text is counted like any other, inside its
 row. Null lang or source form keys of their own. Repeated rows count each. An empty table gives an empty result. Other columns are not read.
@@ -29,19 +32,24 @@ from .common import WORD_GAP, checkpointed
 
 @dataclass(frozen=True)
 class Rule:
-    """Quantiles in percent, and how many of their distances from the median a threshold lies beyond; 0: no such side."""
+    """Quantiles in percent, and how many of their distances from the median a threshold lies beyond; 0: no such side. The
+    ratio's least step is `unit` by a document's length `per`."""
 
     high: int
     reach: int
+    unit: int
+    per: str
     low: int = 0
 
 
 RULES = {
-    "symbol_ratio": Rule(80, 8),
-    "dup_line_ratio": Rule(98, 2),
-    "repeat_ratio": Rule(98, 2),
-    "word_length": Rule(90, 5, 10),
+    "symbol_ratio": Rule(80, 8, 10_000, "word_chars"),
+    "dup_line_ratio": Rule(98, 2, 10_000, "n_lines"),
+    "repeat_ratio": Rule(98, 2, 60_000, "n_words"),
+    "word_length": Rule(90, 5, 100, "n_words", 10),
 }
+#: Lengths, and the percentage of a group's documents that counts as short.
+LENGTHS = {"word_chars": 2, "n_lines": 10, "n_words": 10}
 LEAST_ROWS = 200
 SALTS = 32
 BROADCAST_ROWS = 20_000
@@ -125,8 +133,10 @@ def sketch_value(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
-def _of_ratio(field: str) -> Column:
-    return F.create_map(*[x for name, rule in RULES.items() for x in (F.lit(name), F.lit(getattr(rule, field)))])[F.col("ratio")]
+def _percent(field: str) -> Column:
+    """Quantile `low` or `high` of what a sketch row is about."""
+    told = {name: getattr(rule, field) for name, rule in RULES.items()} | (LENGTHS if field == "low" else dict.fromkeys(LENGTHS, 50))
+    return F.create_map(*[x for name, value in told.items() for x in (F.lit(name), F.lit(value))])[F.col("ratio")]
 
 
 def _bucket(value: Column) -> Column:
@@ -137,7 +147,7 @@ def _bucket(value: Column) -> Column:
 def thresholds(counts: DataFrame, *, least_rows: int = LEAST_ROWS) -> DataFrame:
     """lang, source, and for each ratio its lowest and highest value that passes."""
     points = counts.filter(~F.col("base_failed")).select(
-        "lang", "source", F.explode(F.array(*[F.struct(F.lit(n).alias("ratio"), sketch_value(F.col(n)).alias("value")) for n in RULES])).alias("p")
+        "lang", "source", F.explode(F.array(*[F.struct(F.lit(n).alias("ratio"), sketch_value(F.col(n)).alias("value")) for n in (*RULES, *LENGTHS)])).alias("p")
     )
     own = points.groupBy("lang", "source", "p.ratio", "p.value").agg(F.count("*").alias("n"))
     by_lang = own.groupBy("lang", "ratio", "value").agg(F.sum("n").alias("n"))
@@ -148,7 +158,7 @@ def thresholds(counts: DataFrame, *, least_rows: int = LEAST_ROWS) -> DataFrame:
         told = sketch.withColumn("upto", F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rows", F.sum("n").over(Window.partitionBy(*keys, "ratio")))
         at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * percent, F.col("value")))
         return told.groupBy(*keys, "ratio").agg(
-            F.struct(F.max("rows").alias("rows"), at(_of_ratio("low")).alias("low"), at(F.lit(50)).alias("mid"), at(_of_ratio("high")).alias("high")).alias("q")
+            F.struct(F.max("rows").alias("rows"), at(_percent("low")).alias("low"), at(F.lit(50)).alias("mid"), at(_percent("high")).alias("high")).alias("q")
         )
 
     mine = quantiles(own, "lang", "source")
@@ -159,15 +169,15 @@ def thresholds(counts: DataFrame, *, least_rows: int = LEAST_ROWS) -> DataFrame:
         .join(everything, F.col("ratio") == F.col("a_ratio"))
         .withColumn("q", F.when(F.col("q.rows") >= least_rows, F.col("q")).when(F.col("l.rows") >= least_rows, F.col("l")).otherwise(F.col("a")))
     )
-    beyond = lambda side, distance: _of_ratio("reach") * F.greatest(distance, _bucket(F.col(f"q.{side}")))
-    limits = best.select(
-        "lang",
-        "source",
-        "ratio",
-        (F.col("q.low") - beyond("low", F.col("q.mid") - F.col("q.low"))).alias("low"),
-        (F.col("q.high") + beyond("high", F.col("q.high") - F.col("q.mid"))).alias("high"),
-    )
-    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == n, F.col(side))).alias(f"{side}_{n}") for n in RULES for side in ("low", "high")])
+    told = best.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == n, F.col("q"))).alias(n) for n in (*RULES, *LENGTHS)])
+
+    def sides(name: str, rule: Rule) -> list[Column]:
+        q = lambda part: F.col(f"{name}.{part}")
+        step = F.expr(f"{rule.unit} div greatest({rule.per}.low, 1)")
+        beyond = lambda edge, distance: rule.reach * F.greatest(distance, step, _bucket(edge))
+        return [(q("low") - beyond(q("low"), q("mid") - q("low"))).alias(f"low_{name}"), (q("high") + beyond(q("high"), q("high") - q("mid"))).alias(f"high_{name}")]
+
+    return told.select("lang", "source", *[c for name, rule in RULES.items() for c in sides(name, rule)])
 
 
 def verdict() -> Column:
@@ -233,7 +243,7 @@ f AS (
          n_symbols * 10000 // greatest(word_chars, 1) AS symbol_ratio, n_dup_lines * 10000 // greatest(n_lines, 1) AS dup_line_ratio,
          n_repeat_words * 10000 // greatest(n_words, 1) AS repeat_ratio, word_chars * 100 // greatest(n_words, 1) AS word_length
   FROM c),
-u AS (UNPIVOT f ON symbol_ratio, dup_line_ratio, repeat_ratio, word_length INTO NAME ratio VALUE v),
+u AS (UNPIVOT (SELECT *, word_chars AS l1, n_lines AS l2, n_words AS l3 FROM f) ON symbol_ratio, dup_line_ratio, repeat_ratio, word_length, l1, l2, l3 INTO NAME ratio VALUE v),
 k AS (SELECT rid, lang, source, ratio, v, greatest(length(bin(v)) - 6, 0) AS e FROM u WHERE NOT base_failed),
 b AS (SELECT rid, lang, source, ratio, ((v >> e) << e) AS value FROM k),
 own AS (SELECT lang, source, ratio, value, count(*) AS n FROM b GROUP BY ALL),
@@ -241,24 +251,24 @@ grp AS (
   SELECT 1 AS level, lang, source, ratio, value, n FROM own
   UNION ALL SELECT 2, lang, NULL, ratio, value, sum(n) FROM own GROUP BY lang, ratio, value
   UNION ALL SELECT 3, NULL, NULL, ratio, value, sum(n) FROM own GROUP BY ratio, value),
-rule(ratio, high, reach, low) AS (VALUES {", ".join(f"('{n}', {r.high}, {r.reach}, {r.low})" for n, r in RULES.items())}),
+rule(ratio, high, reach, low, unit, per) AS (VALUES {", ".join([f"('{n}', {r.high}, {r.reach}, {r.low}, {r.unit}, 'l{list(LENGTHS).index(r.per) + 1}')" for n, r in RULES.items()] + [f"('l{i}', 50, 0, {p}, 0, '')" for i, p in enumerate(LENGTHS.values(), 1)])}),
 cum AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY value) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total
   FROM grp JOIN rule USING (ratio)),
 q AS (
-  SELECT level, lang, source, ratio, reach, max(total) AS total, min(value) FILTER (upto * 100 >= total * low) AS lo,
+  SELECT level, lang, source, ratio, reach, unit, per, max(total) AS total, min(value) FILTER (upto * 100 >= total * low) AS lo,
          min(value) FILTER (upto * 100 >= total * 50) AS mid, min(value) FILTER (upto * 100 >= total * high) AS hi
-  FROM cum GROUP BY level, lang, source, ratio, reach),
+  FROM cum GROUP BY level, lang, source, ratio, reach, unit, per),
 best AS (
-  SELECT m.lang, m.source, m.ratio, m.reach,
+  SELECT m.lang, m.source, m.ratio, m.reach, m.unit, m.per,
          CASE WHEN m.total >= {LEAST_ROWS} THEN m WHEN l.total >= {LEAST_ROWS} THEN l ELSE a END AS c
   FROM q m JOIN q l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM m.lang AND l.ratio = m.ratio
   JOIN q a ON a.level = 3 AND a.ratio = m.ratio WHERE m.level = 1),
 lim AS (
-  SELECT lang, source, ratio, c.hi + reach * greatest(c.hi - c.mid, 1 << greatest(length(bin(c.hi)) - 6, 0)) AS most,
-         CASE WHEN ratio IN ({", ".join(f"'{n}'" for n, r in RULES.items() if r.low)})
-              THEN c.lo - reach * greatest(c.mid - c.lo, 1 << greatest(length(bin(c.lo)) - 6, 0)) ELSE 0 END AS least
-  FROM best),
+  SELECT b.lang, b.source, b.ratio, b.c.hi + b.reach * greatest(b.c.hi - b.c.mid, b.unit // greatest(s.c.lo, 1), 1 << greatest(length(bin(b.c.hi)) - 6, 0)) AS most,
+         CASE WHEN b.ratio IN ({", ".join(f"'{n}'" for n, r in RULES.items() if r.low)})
+              THEN b.c.lo - b.reach * greatest(b.c.mid - b.c.lo, b.unit // greatest(s.c.lo, 1), 1 << greatest(length(bin(b.c.lo)) - 6, 0)) ELSE 0 END AS least
+  FROM best b JOIN best s ON s.ratio = b.per AND s.lang IS NOT DISTINCT FROM b.lang AND s.source IS NOT DISTINCT FROM b.source),
 bad AS (
   SELECT DISTINCT u.rid FROM u JOIN lim
     ON lim.lang IS NOT DISTINCT FROM u.lang AND lim.source IS NOT DISTINCT FROM u.source AND lim.ratio = u.ratio

@@ -49,6 +49,29 @@ def test_thresholds_follow_the_group(spark):
     assert dropped == {1000}
 
 
+def test_clean_texts_with_a_few_symbols_stay(spark):
+    """In groups that have no symbols otherwise, one percent sign (or three) fails no text; a text that is full of them goes."""
+    prose = lambda i, n: " ".join(f"word{(i * 7 + j) % 991}" for j in range(n))
+    rows = [(i, prose(i, 100) + (" 5%" if i % 12 == 0 else ""), "en", "clean") for i in range(300)]
+    rows += [(1000 + i, prose(i, 60) + " 5% & 7% #", "en", "clean") for i in range(5)]
+    rows += [(2000 + i, " ".join(f"w{i}%#|<" for j in range(60)) + f" {i}", "en", "clean") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    dropped = {r.doc_id for r in quality_rules.quality_rules(df).filter("NOT kept AND NOT base_failed").collect()}
+    assert not {d for d in dropped if d < 2000}
+    assert dropped <= {2000, 2001, 2002} and rows_of(quality_rules.quality_rules(df)) == by_sql(df.toPandas())
+
+
+def test_no_limit_is_a_constant(spark):
+    """On the 0.1 tables no limit is `reach` times one bucket of the sketch, and limits of symbols follow the lengths of texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    counts = quality_rules.text_counts(docs, "lang", "source").withColumns(quality_rules.ratios())
+    limits = quality_rules.thresholds(counts).toPandas()
+    for name, rule in quality_rules.RULES.items():
+        high = limits[f"high_{name}"]
+        assert (high > 2 * rule.reach).all() and high.nunique() >= 4, (name, high.unique())
+    assert limits["high_symbol_ratio"].between(100, 600).all()
+
+
 def test_limits_differ_by_language_and_source(spark):
     """On the 0.1 tables limits come from the sketches: no language has the limits of another one."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
