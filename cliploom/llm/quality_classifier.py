@@ -10,8 +10,8 @@ The average is linear in the features, so for scoring each vector is first reduc
 the two outputs; those of the first half million distinct words of a task are summed once. A very long text is averaged
 whole, like any other; texts that tie have equal scores.
 
-Null, empty and blank texts have no features: their score is that of a zero vector. Without labels of both kinds the
-score is 0.5. doc_id is only passed on: it may be null (not held out) or repeat. An empty table gives an empty result.
+Null, empty and blank texts have no features: their score is that of a zero vector. With labels of one kind the
+score is the share of label 1, without any it is 0.5. doc_id is only passed on: it may be null (not held out) or repeat. An empty table gives an empty result.
 Other columns are not read.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import labelled_sample
+from .labelled import labelled_sample, one_score
 
 SAME = 0  # the feature of a word that repeats the word before it
 
@@ -166,4 +166,6 @@ def quality_classifier(
         for rows, shares, label, weight in zip(*(told.column(i) for i in range(4)), strict=True)
     ]
     texts.sort(key=lambda t: (len(t[0]), t[0].tobytes(), t[1].tobytes(), t[2]))  # partitions arrive in any order
+    if len(kinds := {t[2] for t in texts}) < 2:
+        return one_score(docs, held_out, kinds, threshold)
     return score_texts(docs, fit(shape, texts, epochs=epochs, rate=rate), shape, held_out, threshold)

@@ -3,7 +3,8 @@
 The fleet is a tree: regions hold racks, racks hold shards; a node weighs as much as the shards below it. A document
 descends region, rack and shard: at each level every child draws -ln(u) / weight, u being a hash of doc_id and the
 child's own name, and the smallest draw wins. A child's draw depends on nothing but its name and weight, so a changed
-weight moves rows only into or out of the subtree in which it changed. Shards beyond the fleet that was laid out first
+weight moves rows only into or out of the subtree in which it changed: `Fleet.weights` gives shards weights other than 1,
+a region or rack weighs what its shards weigh, and a shard of weight 0 gets no rows. Shards beyond the fleet that was laid out first
 each open a region of their own, so one more shard takes rows only into itself and moves none between the others.
 
 This is the law `key`: doc_id and the number of shards alone decide, whatever the text; equal texts with different
@@ -27,11 +28,18 @@ from .common import shuffle_width
 
 @dataclass(frozen=True)
 class Fleet:
-    """regions x racks x shards that were laid out first; later shards stand alone in regions of their own."""
+    """regions x racks x shards that were laid out first; later shards stand alone in regions of their own. weights: pairs of
+    shard and weight (0 or more) of those that do not weigh 1."""
 
     regions: int = 4
     racks: int = 2
     shards: int = 5
+    weights: tuple[tuple[int, float], ...] = ()
+
+    def weight(self, shards: list[int]) -> float:
+        """Weight of a node, from the shards below it."""
+        told = dict(self.weights)
+        return float(sum(told.get(s, 1.0) for s in shards))
 
     def tree(self, n_shards: int) -> list[list[list[int]]]:
         laid = self.regions * self.racks * self.shards
@@ -42,8 +50,12 @@ class Fleet:
             ]
             for g in range(self.regions)
         ]
+        base += [[[s]] for s in range(laid, n_shards)]
+        base = [[[s for s in rack if self.weight([s]) > 0] for rack in region] for region in base]
         base = [[rack for rack in region if rack] for region in base]
-        return [region for region in base if region] + [[[s]] for s in range(laid, n_shards)]
+        if not (base := [region for region in base if region]):
+            raise ValueError("no shard has a weight")
+        return base
 
 
 def draw(key: Column, name: str, weight: float) -> Column:
@@ -52,7 +64,7 @@ def draw(key: Column, name: str, weight: float) -> Column:
     return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(float(weight))
 
 
-def descend(key: Column, tree: list[list[list[int]]]) -> Column:
+def descend(key: Column, fleet: Fleet, n_shards: int) -> Column:
     """Shard of a key. A level's node is chosen first, then only the draws of that node's children are made."""
 
     def pick(children: list[tuple[str, float, Column]]) -> Column:
@@ -71,14 +83,18 @@ def descend(key: Column, tree: list[list[list[int]]]) -> Column:
             out = out.when(at == i, value)
         return out
 
-    # Names hold the first shard of a node: they do not change when shards are added elsewhere.
+    # Names hold the place of a node in the fleet: they do not change when shards or weights change elsewhere.
+    def name(kind: str, shard: int) -> str:
+        laid, span = fleet.regions * fleet.racks * fleet.shards, {"region": fleet.racks * fleet.shards, "rack": fleet.shards}[kind]
+        return f"{kind}/{shard // span * span if shard < laid else shard}"
+
     regions = []
-    for region in tree:
+    for region in fleet.tree(n_shards):
         racks = []
         for rack in region:
-            shards = [(f"shard/{s}", 1.0, F.lit(s)) for s in rack]
-            racks.append((f"rack/{rack[0]}", float(len(rack)), pick(shards)))
-        regions.append((f"region/{region[0][0]}", float(sum(map(len, region))), pick(racks)))
+            shards = [(f"shard/{s}", fleet.weight([s]), F.lit(s)) for s in rack]
+            racks.append((name("rack", rack[0]), fleet.weight(rack), pick(shards)))
+        regions.append((name("region", region[0][0]), fleet.weight([s for rack in region for s in rack]), pick(racks)))
     return pick(regions)
 
 
@@ -88,14 +104,14 @@ def shard_documents(docs: DataFrame, n_shards: int, *, fleet: Fleet = Fleet(), b
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.col("doc_id")
     place = {
-        "shard": descend(key, fleet.tree(n_shards)).cast("int"),
+        "shard": descend(key, fleet, n_shards).cast("int"),
         "bucket": F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(buckets)),
     }
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        descend(key, fleet.tree(n_shards + 1)).cast("int").alias("grown_shard"),
+        descend(key, fleet, n_shards + 1).cast("int").alias("grown_shard"),
         *[column.alias(name) for name, column in place.items()],
     )
     counts = docs.select(*[column.alias(name) for name, column in place.items()]).groupBy("shard", "bucket").agg(F.count("*").alias("n"))

@@ -8,8 +8,8 @@ weighted by the number of documents that each stands for). Scores are calibrated
 not see.
 
 The score of a text is that of all of it: presence, not counts, keeps long texts comparable. Features of
-the first half million distinct words of a task are kept. Null, empty and blank texts have no features and get the bias alone. Without labels
-of both kinds the score is 0.5. Labels too few for each part of the sample to have both kinds are not calibrated on; the
+the first half million distinct words of a task are kept. Null, empty and blank texts have no features and get the bias alone. With labels
+of one kind the score is the share of label 1, without any it is 0.5. Labels too few for each part of the sample to have both kinds are not calibrated on; the
 score then follows the share of toxic labels. Texts that tie have equal scores. doc_id is only passed on: it may be null (not held out) or repeat. An empty table gives
 an empty result. Other columns are not read.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import labelled_sample
+from .labelled import labelled_sample, one_score
 
 
 @dataclass(frozen=True)
@@ -174,6 +174,8 @@ def toxicity(
     told = sample.mapInArrow(features, "rows array<int>, label int, weight double").toArrow()
     texts = [(rows.values.to_numpy(), label.as_py(), weight.as_py()) for rows, label, weight in zip(*(told.column(i) for i in range(3)), strict=True)]
     texts.sort(key=lambda t: (len(t[0]), t[0].tobytes(), t[1]))  # partitions arrive in any order
+    if len(kinds := {t[1] for t in texts}) < 2:
+        return one_score(docs, held_out, kinds, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(fit(grams, texts, rounds=rounds, rate=rate, decay=decay, least_docs=least_docs, least_ratio=least_ratio))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

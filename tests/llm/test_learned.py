@@ -71,6 +71,24 @@ def test_one_toxic_label_does_not_name_everything(spark):
     assert sum(told[i] for i in range(40)) <= 4
 
 
+@pytest.mark.parametrize(("value", "score"), [(0, 0.0), (1, 1.0), (None, 0.5)])
+def test_labels_of_one_kind(spark, docs, value, score):
+    """The share of label 1 is the score; without labels nothing is known."""
+    labels = docs.select("doc_id", F.lit(value).cast("int").alias("quality"), F.lit(value).cast("int").alias("toxic")).limit(60)
+    for out in (Q.quality_classifier(docs, labels, fold(5, 0)), T.toxicity(docs, labels, fold(4, 2))):
+        assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+        assert {(r.score, r.predicted) for r in out.collect()} == {(score, int(score >= 0.3))} and out.count() == docs.count()
+
+
+def test_a_repeated_document_comes_to_the_driver_once(spark, docs2, labels2):
+    from cliploom.llm.labelled import labelled_sample
+
+    plain = labelled_sample(docs2, labels2, "toxic", F.lit(True), 50)
+    picked = docs2.filter("text IS NOT NULL").join(labels2, "doc_id").select(docs2["*"]).limit(20)
+    many = docs2.unionByName(picked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("copy"))
+    assert sorted(map(tuple, labelled_sample(many, labels2, "toxic", F.lit(True), 50).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
 def test_toxicity_scores_as_plain_sums(docs, spark):
     """Features as plain sets of n-grams, and a sum over them for each text; the fit is the operator's."""
     grams = T.Grams()

@@ -41,6 +41,26 @@ def test_even_shares(spark):
     assert len(counts) == 40 and min(counts) > 800 and max(counts) < 1200
 
 
+def test_a_changed_weight_moves_rows_of_its_subtree_only(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'x' AS text")
+    place = lambda *weights: {r.doc_id: r.shard for r in sharding.shard_documents(docs, 40, fleet=sharding.Fleet(weights=weights)).collect()}
+    before = place()
+    region, rack = (lambda s: s // 10), (lambda s: s // 5)
+    for weight, share in ((3.0, 3 / 42), (0.25, 0.25 / 39.25), (0.0, 0.0)):
+        after = place((13, weight))
+        moved = [d for d in before if before[d] != after[d]]
+        assert moved and abs(sum(s == 13 for s in after.values()) / 20_000 - share) < 0.008
+        for d in moved:
+            old, new = before[d], after[d]
+            # Other regions exchange nothing with each other, nor do the racks and shards beside the changed one.
+            assert (new if weight > 1 else old) // 10 == 1
+            if region(old) == region(new):
+                assert rack(old) != rack(new) and 2 in (rack(old), rack(new)) or 13 in (old, new)
+        stay = [d for d in before if region(before[d]) != 1 and region(after[d]) != 1]
+        assert all(before[d] == after[d] for d in stay)
+    assert place((0, 0.0), *[(s, 0.0) for s in range(2, 40)]) == dict.fromkeys(range(20_000), 1)
+
+
 def test_brute_descent(spark):
     """The tree by hand: each level's smallest draw."""
     docs = spark.range(300).selectExpr("id AS doc_id", "'' AS text")
