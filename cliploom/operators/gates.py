@@ -121,6 +121,48 @@ def variants(calls: DataFrame, merged: dict[str, str]) -> DataFrame:
     )
 
 
+# Bounds of the two parts of a prompt comparison.
+LEAST_SUPPRESSION, POOR_SUPPRESSION, MOST_NEW_ERRORS, MOST_LOST, MANY_LOST, MOST_DROP_PP = 0.60, 0.30, 2, 2, 5, -3.0
+
+
+def prompt_decision(false_rows: DataFrame, regression: DataFrame, target: str, usual: str, errors: list[str], merged: list[str]) -> DataFrame:
+    """One row: whether a prompt that is to stop false alarms of `target` is adopted, held or rejected.
+
+    false_rows: before and after of rows that are `usual` in truth and were taken for the target; regression: truth, before,
+    after of other rows (null: no answer). Part A: the share of alarms that stop, rows that only now alarm (broken), and rows
+    that become one of `errors`. Part B: target rows that are lost, rows recovered and broken where labels of `merged` count as
+    one (both sides answered), and the change of accuracy in points. Without alarms before there is no share and part A fails."""
+    b, a, t = F.col("before"), F.col("after"), F.col("truth")
+    part_a = false_rows.agg(
+        F.count_if(b == target).alias("alarms_before"), F.count_if(a == target).alias("alarms_after"), F.count_if((b == target) & (a == usual)).alias("recovered"),
+        F.count_if((b == usual) & (a == target)).alias("broken"), F.count_if(a.isin(errors)).alias("new_errors"),
+    )
+    right = lambda p: F.when(t.isin(merged), p.isin(merged)).otherwise(p == t)
+    both = b.isNotNull() & a.isNotNull()
+    part_b = regression.agg(
+        F.count("*").alias("n"), F.count_if(b == t).alias("right_before"), F.count_if(a == t).alias("right_after"), F.count_if((t == target) & (b == target) & ~a.eqNullSafe(target)).alias("lost"),
+        F.count_if(both & ~right(b) & right(a)).alias("merged_recovered"), F.count_if(both & right(b) & ~right(a)).alias("merged_broken"),
+        F.count_if(both & (a != b) & right(b) & right(a) & t.isin(merged)).alias("harmless"),
+    )
+    one = part_a.crossJoin(F.broadcast(part_b))  # one row each
+    share = F.when(F.col("alarms_before") > 0, (F.col("alarms_before") - F.col("alarms_after")) / F.col("alarms_before"))
+    points = F.when(F.col("n") > 0, (F.col("right_after") - F.col("right_before")) * 100 / F.col("n"))
+    told = one.withColumns({"suppression": share, "change_pp": points})
+    ok_a = F.coalesce((F.col("suppression") >= LEAST_SUPPRESSION) & (F.col("broken") == 0) & (F.col("new_errors") <= MOST_NEW_ERRORS), F.lit(False))
+    ok_b = F.coalesce((F.col("lost") <= MOST_LOST) & (F.col("merged_recovered") >= F.col("merged_broken")) & (F.col("change_pp") >= MOST_DROP_PP), F.lit(False))
+    bad = F.coalesce(F.col("suppression") < POOR_SUPPRESSION, F.lit(False)) | (F.col("broken") > 0) | (F.col("lost") >= MANY_LOST) | F.coalesce(F.col("change_pp") < MOST_DROP_PP, F.lit(False))
+    return told.withColumns({"ok_a": ok_a, "ok_b": ok_b}).withColumn("decision", F.when(F.col("ok_a") & F.col("ok_b"), "adopt").when(bad, "reject").otherwise("hold"))
+
+
+def class_distribution(rows: DataFrame, expected: DataFrame, column: str) -> DataFrame:
+    """Each class that rows or expected (class, expected) name: its number of rows, the expected one, and whether they agree."""
+    counts = rows.groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    both = counts.join(expected.withColumnRenamed("class", "class_"), F.col("class").eqNullSafe(F.col("class_")), "full")
+    told = both.select(F.coalesce("class", "class_").alias("class"), zero("n").alias("n"), zero("expected").alias("expected"))
+    return told.withColumn("agrees", F.col("n") == F.col("expected"))
+
+
 def against_baseline(table: DataFrame, prompt: str, shape: str) -> DataFrame:
     """Each variant beside its model's baseline (this prompt and shape; without it, the first prompt with this shape): share of
     tokens saved, points of accuracy lost, and how much longer a call takes. `table`: rows of variants, a few a model."""

@@ -82,7 +82,7 @@ def votes(rows: DataFrame, key: str) -> DataFrame:
     """Majority of two predictions or more; a tie goes to the larger sum of confidences, then to the first label."""
     counted = rows.groupBy(key, "pred").agg(F.count("*").alias("n"), F.sum(F.col("conf").cast("decimal(18,6)")).alias("weight"))
     best = F.min_by("pred", F.struct((-F.col("n")).alias("fewer"), (-F.col("weight")).alias("lighter"), "pred"))
-    return counted.groupBy(key).agg(F.sum("n").alias("n_votes"), F.max("n").alias("n_most"), F.countDistinct("pred").alias("n_labels"), best.alias("voted")).filter("n_votes >= 2")
+    return counted.groupBy(key).agg(F.sum("n").alias("n_votes"), F.max("n").alias("n_most"), F.count("pred").alias("n_labels"), best.alias("voted")).filter("n_votes >= 2")
 
 
 def transition(before: Column, after: Column, truth: Column) -> Column:

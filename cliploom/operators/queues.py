@@ -46,19 +46,21 @@ def listed(
     to_us: int | None = None,
     types: list[str] | None = None,
     before_us: int | None = None,
+    before_id: int | None = None,
     n: int = 30,
 ) -> DataFrame:
-    """Clips under all filters that are given, both ends of the range inside, newest first and one more than a page. A time
-    alone is the cursor, so of clips with the page's last time some may be passed over."""
+    """Clips under all filters that are given, both ends of the range inside, newest first (of one time the largest id first) and
+    one more than a page. With `before_id` the cursor is a time and an id; a time alone passes over clips of the page's last
+    time that the page has not shown."""
     given = [
         None if camera_id is None else F.col("camera_id") == camera_id,
         None if has_motion is None else F.col("has_motion") == has_motion,
         None if from_us is None else F.col("us") >= from_us,
         None if to_us is None else F.col("us") <= to_us,
         None if types is None else F.col("event_type").isin(types),
-        None if before_us is None else F.col("us") < before_us,
+        None if before_us is None else (F.col("us") < before_us) | ((F.col("us") == before_us) & (F.col("clip_id") < before_id) if before_id is not None else F.lit(False)),
     ]
-    return clips.filter(every(*given)).orderBy(F.desc("us")).limit(max(1, min(100, n)) + 1)
+    return clips.filter(every(*given)).orderBy(F.desc("us"), F.desc("clip_id")).limit(max(1, min(100, n)) + 1)
 
 
 def logged(clips: DataFrame, logs: DataFrame, has: bool | None, actions: list[str] | None = None) -> DataFrame:
@@ -77,6 +79,12 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(newest)).filter("nth = 1").drop("nth")
 
 
+def latest_seen(rows: DataFrame, key: str, at: str, seen: str) -> DataFrame:
+    """The latest row of each key by `at`; of equal ones that which was seen first. An aggregation, so no key's rows are sorted."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, (-F.col(seen)).alias("seen"))).alias("r")).select(key, "r.*")
+
+
 def prefer(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """One row a key: the first side's value, where it has none the second's."""
     a, b = first.select(key, F.col(value).alias("a")), second.select(key, F.col(value).alias("b"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gates, routing
-from ..sources.tables import assessments, clips, features, predictions
+from ..operators import gates, queues, routing
+from ..sources.tables import assessments, clips, features, predictions, table
+from .metric_queries import TWO, two_models
 from .registry import ASSESSMENTS, CLIPS, PREDICTIONS, query
 from .routing_queries import CARE, GT, GUARDED
 
@@ -126,3 +127,37 @@ def inspection_summary(spark, sf_dir):
     regressions still get looked at."""
     rows = routing.enriched(features(spark, sf_dir))
     return routing.inspection_summary(rows, F.col("clip_id") % 3 == 0, F.col("clip_id") % 97 == 5)
+
+
+@query(f"""WITH {PREDICTIONS}, {TWO}, f AS (SELECT base AS before, strong AS after FROM two WHERE truth = 'N'), r AS (SELECT truth, CASE WHEN clip_id % 19 <> 0 THEN base END AS before, CASE WHEN clip_id % 23 <> 0 THEN strong END AS after FROM two WHERE truth <> 'N'),
+x AS (SELECT count(*) FILTER (WHERE before = 'R') AS alarms_before, count(*) FILTER (WHERE after = 'R') AS alarms_after, count(*) FILTER (WHERE before = 'R' AND after = 'N') AS recovered, count(*) FILTER (WHERE before = 'N' AND after = 'R') AS broken, count(*) FILTER (WHERE after = 'A') AS new_errors FROM f),
+g AS (SELECT *, CASE WHEN truth IN ('A', 'N') THEN before IN ('A', 'N') ELSE before = truth END AS rb, CASE WHEN truth IN ('A', 'N') THEN after IN ('A', 'N') ELSE after = truth END AS ra, before IS NOT NULL AND after IS NOT NULL AS told FROM r),
+y AS (SELECT count(*) AS n, count(*) FILTER (WHERE before = truth) AS right_before, count(*) FILTER (WHERE after = truth) AS right_after, count(*) FILTER (WHERE truth = 'R' AND before = 'R' AND after IS DISTINCT FROM 'R') AS lost,
+  count(*) FILTER (WHERE told AND NOT rb AND ra) AS merged_recovered, count(*) FILTER (WHERE told AND rb AND NOT ra) AS merged_broken, count(*) FILTER (WHERE told AND after <> before AND rb AND ra AND truth IN ('A', 'N')) AS harmless FROM g),
+z AS (SELECT *, (alarms_before - alarms_after) / alarms_before AS suppression, (right_after - right_before) * 100 / n AS change_pp FROM x, y),
+d AS (SELECT *, suppression >= 0.6 AND broken = 0 AND new_errors <= 2 AS ok_a, lost <= 2 AND merged_recovered >= merged_broken AND change_pp >= -3 AS ok_b FROM z)
+SELECT *, CASE WHEN ok_a AND ok_b THEN 'adopt' WHEN suppression < 0.3 OR broken > 0 OR lost >= 5 OR change_pp < -3 THEN 'reject' ELSE 'hold' END AS decision FROM d""")
+def prompt_decision(spark, sf_dir):
+    """A prompt that is to stop false alarms: what it stops, what it costs elsewhere, and the decision."""
+    two = two_models(spark, sf_dir)
+    false_rows = two.filter("truth = 'N'").select(F.col("base").alias("before"), F.col("strong").alias("after"))
+    n = F.col("clip_id")
+    regression = two.filter("truth <> 'N'").select("truth", F.when(n % 19 != 0, F.col("base")).alias("before"), F.when(n % 23 != 0, F.col("strong")).alias("after"))
+    return gates.prompt_decision(false_rows, regression, "R", "N", ["A"], ["A", "N"])
+
+
+@query("""WITH e AS (SELECT lang AS class, count(*) AS expected FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), n AS (SELECT lang AS class, count(*) AS n FROM documents SEMI JOIN labels USING (doc_id) GROUP BY 1)
+SELECT coalesce(n.class, e.class) AS class, coalesce(n, 0) AS n, coalesce(expected, 0) AS expected, coalesce(n, 0) = coalesce(expected, 0) AS agrees FROM n FULL JOIN e ON n.class IS NOT DISTINCT FROM e.class""")
+def class_distribution(spark, sf_dir):
+    """Languages of the labelled documents against those of every second document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    expected = docs.filter("doc_id % 2 = 0").groupBy(F.col("lang").alias("class")).agg(F.count("*").alias("expected"))
+    return gates.class_distribution(docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), expected, "lang")
+
+
+@query(f"""WITH {PREDICTIONS}, r AS (SELECT clip_id, CAST(floor(price / 20000) AS BIGINT) AS created, sample_id * 4 + model AS seen, pred, quantity FROM predictions)
+SELECT clip_id, created, seen FROM r QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY created DESC, seen) = 1""")
+def latest_runs(spark, sf_dir):
+    """The latest run of each clip; of runs with one time the one that was seen first."""
+    runs = predictions(spark, sf_dir).select("clip_id", F.floor(F.col("price") / 20000).alias("created"), (F.col("sample_id") * 4 + F.col("model")).alias("seen"))
+    return queues.latest_seen(runs, "clip_id", "created", "seen")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import comparators, forms
 from ..sources import reviews
-from ..sources.reviews import SUBMISSIONS, submissions
+from ..sources.reviews import SCALARS, SETS, SUBMISSIONS, submissions
 from ..sources.tables import table
 from .registry import query
 
@@ -165,6 +165,31 @@ def triage_states(spark, sf_dir):
     return docs.join(triage, "doc_id", "left").select("doc_id", state.alias("state")).withColumn("hidden", F.col("state").isin("pending", "skipped"))
 
 
+#: A form as text: its fields in order of their names, lists joined, segments with whole milliseconds.
+FORM_SQL = " || '|' || ".join(
+    f"'{name}=' || " + (f"array_to_string({name}, ',')" if name in SETS else f"coalesce({name}, '')" if name in SCALARS else "array_to_string(list_transform(segments, lambda s: s.action || '@' || CAST(round(s.start_sec * 1000) AS BIGINT) || '-' || CAST(round(s.end_sec * 1000) AS BIGINT)), ',')")
+    for name in sorted([*SCALARS, *SETS, "segments"])
+)
+
+
+@query(f"""WITH {SUBMISSIONS} SELECT clip_id, reviewer, md5(concat_ws('|', decision, {FORM_SQL}, 'note' || clip_id % 3)) AS digest FROM sub""")
+def form_digests(spark, sf_dir):
+    """Digest of a whole submission: decision, every field of the form, and the note."""
+    ms = lambda c: F.round(c * 1000).cast("long").cast("string")
+
+    def text(name):
+        value = F.col(f"form.{name}")
+        if name == "segments":
+            value = F.array_join(F.transform(value, lambda s: F.concat(s["action"], F.lit("@"), ms(s["start_sec"]), F.lit("-"), ms(s["end_sec"]))), ",")
+        elif name in SETS:
+            value = F.array_join(value, ",")
+        return F.concat(F.lit(f"{name}="), F.coalesce(value, F.lit("")))
+
+    note = F.concat(F.lit("note"), (F.col("clip_id") % 3).cast("string"))
+    form = F.concat_ws("|", *[text(name) for name in sorted([*SCALARS, *SETS, "segments"])])
+    return submissions(spark, sf_dir).select("clip_id", "reviewer", F.md5(F.concat_ws("|", "decision", form, note)).alias("digest"))
+
+
 @query(f"""WITH {SUBMISSIONS} SELECT clip_id, reviewer, md5(concat_ws('|', decision, coalesce(highlight_recommendation, ''), coalesce(target, ''), '')) AS digest,
   sha256(concat_ws('|', 'ip' || clip_id % 50, 'ua' || clip_id % 3, 'form')) AS fingerprint FROM sub""")
 def submission_digests(spark, sf_dir):

@@ -95,13 +95,13 @@ def keys_to_run(spark, sf_dir):
     return files.to_run(keys, ledger, ["key"])
 
 
-@query(f"""WITH {CLIPS} SELECT clip_id, us FROM clips WHERE camera_id = 3 AND has_motion AND us >= 1704200000000000 AND us <= 1706200000000000 AND event_type IN ('view', 'click') ORDER BY us DESC LIMIT 41""")
+@query(f"""WITH {CLIPS} SELECT clip_id, us FROM clips WHERE camera_id = 3 AND has_motion AND us >= 1704200000000000 AND us <= 1706200000000000 AND event_type IN ('view', 'click') ORDER BY us DESC, clip_id DESC LIMIT 41""")
 def filtered_clips(spark, sf_dir):
     """All filters of a listing, each of which may be left out; a text of names, cut at commas."""
     return queues.listed(clips(spark, sf_dir), camera_id=3, has_motion=True, from_us=1_704_200_000_000_000, to_us=1_706_200_000_000_000, types=queues.names_of(" view, ,click,"), n=40).select("clip_id", "us")
 
 
-@query(f"""WITH {CLIPS} SELECT clip_id, us FROM clips WHERE us < 1705500000000000 ORDER BY us DESC LIMIT 26""")
+@query(f"""WITH {CLIPS} SELECT clip_id, us FROM clips WHERE us < 1705500000000000 ORDER BY us DESC, clip_id DESC LIMIT 26""")
 def seek_page(spark, sf_dir):
     return queues.listed(clips(spark, sf_dir), before_us=1_705_500_000_000_000, n=25).select("clip_id", "us")
 

@@ -103,3 +103,46 @@ def test_lowered_and_inspected(spark):
     r = routing.inspection_summary(df, F.col("clip_id") > 3, F.col("clip_id") == 4).first()
     assert (r.before, r.after, r.n_inspect, r.inspect_activity_only, r.inspect_low, r.reduction_rate, r.regression_pass) == (3, 0, 3, 1, 1, 1.0, True)
     assert not routing.inspection_summary(df, F.lit(False), F.col("clip_id") == 6).first().regression_pass
+
+
+def decided(spark, false_rows, regression):
+    a = spark.createDataFrame(false_rows, "before string, after string")
+    b = spark.createDataFrame(regression, "truth string, before string, after string")
+    return gates.prompt_decision(a, b, "shed", "move", ["eat", "drink"], ["eat", "drink"]).first()
+
+
+def test_prompt_decisions(spark):
+    alarms = [("shed", "move")] * 6 + [("shed", "shed")] * 4 + [("move", "move")] * 5
+    fine = [("shed", "shed", "shed")] * 8 + [("eat", "drink", "eat"), ("eat", "hide", "drink"), ("drink", None, "drink"), ("hide", "hide", "hide")]
+    r = decided(spark, alarms, fine)
+    assert (r.alarms_before, r.alarms_after, r.recovered, r.broken, r.new_errors, r.suppression, r.ok_a) == (10, 4, 6, 0, 0, 0.6, True)
+    assert (r.n, r.lost, r.merged_recovered, r.merged_broken, r.harmless, r.ok_b, r.decision) == (12, 0, 1, 0, 1, True, "adopt")
+    assert decided(spark, [*alarms, ("shed", "shed")], fine).decision == "hold"  # six of eleven are too few
+    assert decided(spark, [*alarms, ("move", "shed")], fine).decision == "reject"
+    assert decided(spark, [*alarms, *[("shed", "eat")] * 3], fine).decision == "hold"
+    assert decided(spark, [("shed", "shed")] * 5 + [("shed", "move")], fine).decision == "reject"
+    lost = [("shed", "shed", None)] * 3 + [("shed", None, "shed")] * 3 + fine
+    assert (decided(spark, alarms, lost).lost, decided(spark, alarms, lost).decision) == (3, "hold")
+    assert decided(spark, alarms, [("shed", "shed", "x")] * 5 + [("hide", "x", "hide")] * 9 + fine).decision == "reject"
+    assert decided(spark, alarms, [("hide", "hide", "x")] + [("hide", "hide", "hide")] * 20).decision == "reject"  # 4.8 points
+    none = decided(spark, [], [])
+    assert (none.suppression, none.ok_a, none.ok_b, none.decision) == (None, False, False, "hold")
+
+
+def test_class_distribution(spark):
+    rows = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string")
+    expected = spark.createDataFrame([("a", 2), ("b", 2), ("z", 1)], "class string, expected int")
+    assert sorted((str(r["class"]), r.n, r.expected, r.agrees) for r in gates.class_distribution(rows, expected, "c").collect()) == [("None", 1, 0, False), ("a", 2, 2, True), ("b", 1, 2, False), ("z", 0, 1, False)]
+
+
+def test_latest_run_and_listing_ties(spark):
+    from cliploom.operators import queues
+
+    runs = spark.createDataFrame([(1, 5, 2, "x"), (1, 5, 1, "y"), (1, 4, 0, "z"), (2, 1, 9, "w")], "k int, at int, seen int, v string")
+    assert sorted((r.k, r.v) for r in queues.latest_seen(runs, "k", "at", "seen").collect()) == [(1, "y"), (2, "w")]
+    clips = spark.createDataFrame([(i, i // 4) for i in range(20)], "clip_id int, us int")
+    shown, at = [], {}
+    while page := queues.listed(clips, n=3, **at).collect()[:3]:
+        shown += [r.clip_id for r in page]
+        at = {"before_us": page[-1].us, "before_id": page[-1].clip_id}
+    assert shown == list(range(19, -1, -1))
