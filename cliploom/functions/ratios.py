@@ -49,3 +49,17 @@ def most_fallback(baseline: Column, primary: Column, target: Column, fallback: C
 def per_second(frames: Column, seconds: Column) -> Column:
     """Null without frames or without a length."""
     return F.when(frames.isNotNull() & (seconds > 0), frames / seconds)
+
+
+def rounded_ratio(part: Column, whole: Column, digits: int = 4) -> Column:
+    """The ratio to so many digits (6 at most), ties to the even one; 0.0 where there is nothing to divide by.
+
+    What counts as a tie is the binary value, not its shortest decimal form: twice the value in steps is taken apart into
+    products that are exact, so its side of the midpoint is certain."""
+    scale = float(10**digits)
+    value = ratio(part, whole)
+    low = F.floor(value * scale).cast("double")
+    high_bits = value.cast("float").cast("double")
+    beyond = (high_bits * (2 * scale) - (2 * low + 1)) + (value - high_bits) * (2 * scale)
+    up = (beyond > 0) | ((beyond == 0) & (low % 2 != 0))
+    return (low + F.when(up, 1.0).otherwise(0.0)) / scale

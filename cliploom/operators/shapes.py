@@ -45,6 +45,22 @@ def levels(values: Column, width: int, most: int = 7) -> Column:
     return F.array_join(F.transform(tops, digit), "")
 
 
+#: Glyphs from low to high, and the most that a line has.
+GLYPHS, MOST_GLYPHS = "▁▂▃▄▅▆▇█", 60
+
+
+def spark_line(values: Column) -> Column:
+    """A glyph for each value from 0 to 1 (values beyond are the lowest or highest glyph); of more than 60 values the largest
+    of each of 60 even parts. Empty for no values."""
+    n = F.size(values)
+    part = n / float(MOST_GLYPHS)
+    edge = lambda i: F.floor(i * part).cast("int")
+    tops = F.transform(F.sequence(F.lit(0), F.lit(MOST_GLYPHS - 1)), lambda i: F.array_max(F.slice(values, edge(i) + 1, edge(i + 1) - edge(i))).cast("double"))
+    shown = F.when(n > MOST_GLYPHS, tops).otherwise(values.cast("array<double>"))
+    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(len(GLYPHS) - 1), (v * len(GLYPHS)).cast("int")))
+    return F.array_join(F.transform(shown, lambda v: F.substring(F.lit(GLYPHS), level(v) + 1, F.lit(1))), "")
+
+
 def low_high(rows: DataFrame, scope: list[str], value: str, key: str) -> DataFrame:
     """Place of each row when smallest and largest values of its scope take turns (1: the smallest, 2: the largest)."""
     nth = F.row_number().over(Window.partitionBy(*scope).orderBy(value, key))
