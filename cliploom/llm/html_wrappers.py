@@ -72,10 +72,18 @@ APART_CLASSES = frozenset(
 )
 OUTSIDE = frozenset(["header", "footer", "masthead"])  # apart, unless inside the main container
 CONTENT_CLASSES = frozenset("articlebody entry content post story article main".split())
+#: Words that say only how a block is laid out; a compound class means what the word before them says.
+LAYOUT = frozenset(
+    "active area articles bar block body bottom box button buttons card cards closed column container content desktop form group holder icons inner item items left link links list message "
+    "mobile open outer panel posts primary region right secondary section slot sticky stories strip top unit wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A form that holds one of these, or the main container, is the frame of a page.
+FRAMES = frozenset("h1 header footer nav".split())
 
 
 def label_of(name: str, attributes: str) -> str:
-    """Name and classes; numbers in classes differ by page and are dropped."""
+    """Name and classes (words of a class joined by -, classes by a point); numbers in classes differ by page and are dropped."""
     if not attributes or attributes.isspace():
         return name
     found = []
@@ -85,8 +93,8 @@ def label_of(name: str, attributes: str) -> str:
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             found.append("hidden")
         elif key != "aria-hidden":
-            found += WORDS.findall(value)
-    return f"{name}.{'-'.join(found)}" if found else name
+            found += filter(None, ("-".join(WORDS.findall(c)) for c in value.split()))
+    return f"{name}.{'.'.join(found)}" if found else name
 
 
 class Element:
@@ -156,6 +164,10 @@ def parse(page: str | None) -> Element:
         if name in VOID:
             continue
         element = Element(label_of(name, attributes or attributes2 or ""), name)
+        if names["form"] and (name in FRAMES or container(element.label) > 1):
+            for around in stack:
+                if around.name == "form":  # the frame of a page, no form of it
+                    around.label = "div" + around.label.removeprefix("form")
         stack[-1].items.append(element)
         stack.append(element)
         names[name] += 1
@@ -310,18 +322,26 @@ def loaded(text: str) -> list:
     return wrapper
 
 
+def meaning(css_class: str) -> str:
+    """The word that a compound class is about: its last one that is not about layout (promotion-date is a date, ad-slot an ad)."""
+    words = css_class.split("-")
+    while len(words) > 1 and words[-1] in LAYOUT:
+        words.pop()
+    return words[-1]
+
+
 @lru_cache(4096)
 def is_apart(label: str, inside: bool) -> bool:
-    name, _, classes = label.partition(".")
-    words = set(classes.split("-"))
+    name, *classes = label.split(".")
+    words = {meaning(c) for c in classes}
     return name in APART or bool(words & APART_CLASSES) or "hidden" in words or (not inside and (name in OUTSIDE or bool(words & OUTSIDE)))
 
 
 @lru_cache(4096)
 def container(label: str) -> int:
     """How surely a block holds the main text: 3 article, 2 main, 1 by its class, 0 not."""
-    name, _, classes = label.partition(".")
-    words = set(classes.split("-")) if classes else set()
+    name, *classes = label.split(".")
+    words = {w for c in classes for w in c.split("-")}
     return 3 if name == "article" else 2 if name == "main" or "main" in words else 1 if name in ("div", "section", "td") and words & CONTENT_CLASSES else 0
 
 
@@ -403,12 +423,12 @@ def slots(parts: list, around: list | None = None) -> Iterator[tuple[list, list
 
 def texts_of(root: Element, wrapper: list, level: int, main: list | None) -> list[str]:
     """Texts of the slots of main text, in page order; level and main are those of main_block()."""
-    out: list[tuple[str, bool]] = []  # text, whether it is the host's own
-    # A frame: items, their places in the wrapper, place reached, hash of labels, container's place, in a group of links.
-    todo: list[tuple] = [(iter(root.items), list(slots(wrapper)), [0], 0, None, False)]
+    out: list[tuple[str, bool, bool]] = []  # text, whether it is the host's own, whether it is a heading outside groups of links
+    # A frame: items, their places in the wrapper, place reached, hash of labels, container's place, in a group of links, in a heading.
+    todo: list[tuple] = [(iter(root.items), list(slots(wrapper)), [0], 0, None, False, False)]
     nowhere = ["", "1", 0, 0, 0, []]
     while todo:
-        items, places, at, path, inside, links = todo[-1]
+        items, places, at, path, inside, links, heading = todo[-1]
         item = next(items, None)
         if item is None:
             todo.pop()
@@ -423,17 +443,22 @@ def texts_of(root: Element, wrapper: list, level: int, main: list | None) -> lis
         if isinstance(item, Element):
             if not is_apart(label, inside is not None):
                 within = inside or (place if place is main or (level > 0 and container(label) >= level) else None)
-                todo.append((iter(item.items), list(slots(place[PARTS])), [0], hashed(label, path), within, links))
+                todo.append((iter(item.items), list(slots(place[PARTS])), [0], hashed(label, path), within, links, heading or item.name in HEADINGS))
         elif found is None:
             continue  # no slot of the wrapper
         elif inside:
             known = inside[TEXT]
             shared = inside[PAGES] > 2 and hashed(item[0], path) in known if isinstance(known, set) else not varying(place)
-            out.append((item[0], shared or links))
+            out.append((item[0], shared or links, heading and not links))
         elif level == 0 and main is None and not item[1] and varying(place):
-            out.append((item[0], False))
-    own = [text for text, shared in out if not shared]
-    return own or [text for text, _ in out]
+            out.append((item[0], False, heading))
+    own: list[str] = []
+    below = False  # whether the text below a heading is the page's own
+    for text, shared, heading in reversed(out):
+        if not shared or (heading and below):
+            own.append(text)
+        below = below if heading and shared else not shared
+    return own[::-1] or [text for text, _, _ in out]
 
 
 def extract(page: str | None, wrapper: list, level: int, main: list | None) -> str:

@@ -136,3 +136,23 @@ def test_a_hinted_block_without_mass_is_not_taken(spark):
 def test_copies_of_one_page_keep_their_text(spark):
     rows = [(i, f"http://j.org/{i}", "<body><article><h1>T</h1><p>a</p></article></body>") for i in range(5)]
     assert texts(pages_of(spark, rows)) == dict.fromkeys(range(5), "T\na")
+
+
+def test_headings_that_every_article_has_stay_above_text(spark):
+    """Fixed headings stay where the page's own text is below them, and go where the host's own or nothing is."""
+    page = "<body><article><h1>T{0}</h1><h2>Summary</h2><p>about {0}</p><h2>Method</h2><h3>Steps</h3><ol><li>do {0}</li></ol><h2>Terms</h2><p>All rights belong to us.</p><h2>Leave a word</h2></article></body>"
+    rows = [(i, "http://m.org", page.format(i)) for i in range(5)]
+    assert texts(pages_of(spark, rows)) == {i: f"T{i}\nSummary\nabout {i}\nMethod\nSteps\ndo {i}" for i in range(5)}
+
+
+def test_compound_classes_mean_their_last_word(spark):
+    page = "<body><article><p class='promotion-date'>On day {0}</p><section class='story comments-policy'><p>We say {0}</p></section><div class='ad-slot'>buy {0}</div><div class='box cookie-notice'>ok {0}</div><ul class='related-posts'><li>x {0}</li></ul></article></body>"
+    rows = [(i, "http://n.org", page.format(i)) for i in range(5)]
+    assert texts(pages_of(spark, rows)) == {i: f"On day {i}\nWe say {i}" for i in range(5)}
+
+
+def test_a_form_around_the_page_is_its_frame(spark):
+    for host, inner in (("o", "<div class='main'><p>Text {0}</p></div>"), ("p", "<nav>menu</nav><div class='zz'><h1>Title {0}</h1><p>Text {0}</p></div>")):
+        page = "<body><form id='f'>" + inner + "</form><form><p>Mail {0}</p></form></body>"
+        got = texts(pages_of(spark, [(i, f"http://{host}.org", page.format(i)) for i in range(5)]))
+        assert got == {i: f"Text {i}" if host == "o" else f"Title {i}\nText {i}" for i in range(5)}
