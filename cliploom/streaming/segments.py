@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.times import micros
 from .letters import DeadLetters
 
+NEVER = np.iinfo(np.int64).min  # stands for a missing time
+
 
 def clip_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files as a stream, with a timestamp for windows. The last letter goes into a glob, since a stream's path has
@@ -42,31 +43,55 @@ def drained(stream: DataFrame, folder: str, worker: Callable[[DataFrame, int], N
     return f"{at}/rows"
 
 
+def _first_of_each(rows: pa.Table, key: str, whole: list[str]) -> pa.Table:
+    """The first row of each key by `order_`, then by content, with the latest `seen_` of the key's rows."""
+    codes = rows[key].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    order, seen = rows["order_"].to_numpy(), rows["seen_"].cast("int64").fill_null(NEVER).to_numpy()
+    by = np.lexsort((order, codes))
+    codes, order = codes[by], order[by]
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
+    latest = np.maximum.reduceat(seen[by], starts)
+    chosen = by[starts]
+    least = order == order[starts][group]
+    tied = np.flatnonzero(least & (np.bincount(group[least], minlength=len(starts)) > 1)[group])
+    if len(tied):
+        names = [c for c in rows.column_names if c != "seen_"]
+        shown = rows.select(names).take(by[tied])
+        shown = pa.table([shown[c].cast("string") if c in whole else shown[c] for c in names], names).to_pandas()
+        best: dict[int, tuple[str, int]] = {}
+        for g, row, content in zip(group[tied].tolist(), by[tied].tolist(), shown.itertuples(index=False, name=None), strict=True):
+            best[g] = min(best.get(g, (str(content), row)), (str(content), row))
+        chosen[list(best)] = [row for _, row in best.values()]
+    kind = rows.schema.field("seen_")
+    return rows.take(chosen).set_column(rows.column_names.index("seen_"), kind, pa.array(latest, mask=latest == NEVER).cast(kind.type))
+
+
 def first_rows(stream: DataFrame, key: str, order: str, keep_seconds: int = 3600, at: str = "at") -> DataFrame:
     """The first row of each key over all batches: within a batch the first by `order`, then by content.
 
-    What was seen is in the state store, a time a key, and leaves it when the watermark has passed that time and `keep_seconds`, so a
-    batch costs what its own keys cost however many batches came before. Whole numbers travel as text, so none is rounded."""
-    whole = {f.name for f in stream.schema if f.dataType.typeName() in ("long", "integer", "short", "byte")}
-    shape = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in stream.schema] + [T.StructField("order_", T.LongType())])
+    Rows of a batch are dealt by key, and a task finds the first of each of its keys column by column; what is left is one row
+    a key, of which the state store drops those it knows. It holds a time a key (the latest of its rows), which leaves it when the
+    watermark has passed that time and `keep_seconds`, so a batch costs what its own keys cost however many batches came
+    before. A key whose rows are all behind the watermark is late and is dropped."""
+    whole = [f.name for f in stream.schema if f.dataType.typeName() in ("long", "integer", "short", "byte")]
     ordered = F.unix_micros(F.col(order).cast("timestamp")) if "timestamp" in stream.schema[order].dataType.typeName() else F.col(order).cast("long")
-    told = stream.withWatermark(at, f"{keep_seconds} seconds").select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in stream.columns], F.coalesce(ordered, F.lit((1 << 63) - 1)).alias("order_"))
-
-    def first(_key, parts, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts))
-        if state.exists:
-            return
-        best = min(range(len(rows)), key=lambda i: (rows["order_"].iloc[i], str(tuple(rows.iloc[i]))))
-        seen_ms = int(rows[at].max().timestamp() * 1000)
-        state.update((seen_ms,))
-        state.setTimeoutTimestamp(max(seen_ms + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[[best]]
-
-    out = told.groupBy(key).applyInPandasWithState(first, shape, "seen_ms long", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select(*[F.col(c).cast(stream.schema[c].dataType).alias(c) for c in stream.columns])
+    told = stream.withColumns({"order_": F.coalesce(ordered, F.lit((1 << 63) - 1)), "seen_": F.col(at)}).repartition(key)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, 1 << 18
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n > most:  # keys that come again leave one row; it grows with the keys alone
+                held = [_first_of_each(pa.concat_tables(held), key, whole)]
+                n = held[0].num_rows
+                most = 2 * n + (1 << 18)
+        if n:
+            yield from _first_of_each(pa.concat_tables(held), key, whole).to_batches(max_chunksize=10_000)
+
+    one = told.mapInArrow(firsts, told.schema).withWatermark("seen_", f"{keep_seconds} seconds")
+    return one.dropDuplicatesWithinWatermark([key]).select(*stream.columns)
 
 
 def worker(process: Callable[[DataFrame], DataFrame], results: str, failures: str, ok: str, letters: DeadLetters | None = None) -> Callable[[DataFrame, int], None]:

@@ -141,3 +141,32 @@ def test_roll_over_stream_is_the_batch_and_late_frames_are_dropped(spark, tmp_pa
     if mark > now.last + RULE.gap and (last := now.closed(RULE)):
         want.append(last)
     assert len(want) > 20 and told == sorted(want)
+
+
+def test_first_of_each_is_that_of_plain_python():
+    """Ties by order go by content; missing keys are one key; the latest time goes along."""
+    import pyarrow as pa
+
+    from cliploom.streaming.segments import _first_of_each
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice(["a", "b", None]), rng.randrange(3), rng.choice([None, 5, 9])) for _ in range(60)]
+    shape = pa.schema([("k", pa.int64()), ("v", pa.string()), ("order_", pa.int64()), ("seen_", pa.timestamp("us", "UTC"))])
+    table = pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
+    best = {}
+    for k, v, o, _ in rows:
+        content = str((None if k is None else str(k), v, o))
+        best[k] = min(best.get(k, (o, content, v)), (o, content, v), key=lambda x: x[:2])
+    latest = {k: max((s for q, _, _, s in rows if q == k and s is not None), default=None) for k in best}
+    got = _first_of_each(table, "k", ["k"])
+    assert {r["k"]: (r["order_"], r["v"]) for r in got.select(["k", "v", "order_"]).to_pylist()} == {k: (b[0], b[2]) for k, b in best.items()}
+    assert dict(zip(got["k"].to_pylist(), got["seen_"].cast("int64").to_pylist(), strict=True)) == latest
+
+
+def test_no_key_is_a_group_of_its_own_in_python(spark, tmp_path):
+    """A batch of many keys, copies among them, is one pass by columns and a state of one row a key."""
+    spark.range(5_000).selectExpr("id % 4000 AS event_id", "1L AS user_id", "1.0D AS value", "'view' AS event_type", "TIMESTAMP_NTZ '2024-01-01 08:00:01' AS ts").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    progress = work_on(spark, tmp_path, f"{tmp_path}/rows")
+    state = next(p["stateOperators"][0] for p in progress if p["stateOperators"])
+    assert state["operatorName"] == "dedupeWithinWatermark" and state["numRowsTotal"] == 4_000
+    assert kept(spark, tmp_path, "ok") == [(i, 2.0) for i in range(4_000)]
