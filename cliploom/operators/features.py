@@ -97,6 +97,24 @@ def as_of(asked: DataFrame, rows: DataFrame, key: str, us: str) -> DataFrame:
     return told.withColumns({"last_us": F.coalesce("own_us", "past_us"), "n_before": F.col("own_n") + F.col("past_n")}).drop("asks", "day", "own_us", "own_n", "past_us", "past_n")
 
 
+def near_counts(asked: DataFrame, rows: DataFrame, us: str, wide: int) -> DataFrame:
+    """asked with n_near, the rows within `wide` of its time, where there are any.
+
+    Time is cut into buckets of that width. What is near begins in the bucket before that of the time and ends in the bucket
+    after: the rows of the first less those before the beginning, all of the second, those of the third up to the end. Running
+    counts along a bucket tell each, so nothing is joined pair by pair."""
+    bucket = lambda c: F.floor(c / wide)
+    here = Window.partitionBy("bucket_")
+    upto = here.orderBy("us_").rangeBetween(Window.unboundedPreceding, 0)
+    at = F.col(us)
+    ends = F.array(*[F.struct(F.lit(side).alias("side_"), (bucket(at) + side).alias("bucket_"), t.alias("us_")) for side, t in ((-1, at - wide - 1), (0, at), (1, at + wide))])
+    asks = asked.filter(at.isNotNull()).withColumn("e", F.explode(ends)).select(*asked.columns, "e.*")
+    both = asks.withColumn("row_", F.lit(None).cast("int")).unionByName(rows.filter(at.isNotNull()).select(bucket(at).alias("bucket_"), at.alias("us_"), F.lit(1).alias("row_")), allowMissingColumns=True)
+    told = both.withColumns({"all_": F.count("row_").over(here), "upto_": F.count("row_").over(upto)}).filter("row_ IS NULL")
+    n = F.when(F.col("side_") == -1, F.col("all_") - F.col("upto_")).when(F.col("side_") == 0, F.col("all_")).otherwise(F.col("upto_"))
+    return told.groupBy(*asked.columns).agg(F.sum(n).alias("n_near")).filter("n_near > 0")
+
+
 def burst_stats(series: DataFrame, key: str, values: str, over: float) -> DataFrame:
     """Number of runs of values above a bound and the longest one."""
     flagged = series.withColumn("runs", runs(F.transform(values, lambda x: x > over)))

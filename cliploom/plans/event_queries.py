@@ -204,14 +204,11 @@ def near_dup_bucket_winner(spark, sf_dir):
 @query(f"""WITH {CLIPS}, o AS (SELECT o_orderkey AS object_id, epoch_us(TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 97 % 2592000)) AS at_us FROM orders)
 SELECT object_id, CAST(least(count(*), 20) AS INTEGER) AS n_near FROM o JOIN clips ON us BETWEEN at_us - 600000000 AND at_us + 600000000 GROUP BY object_id""")
 def band_join_counts(spark, sf_dir):
-    """Clips within ten minutes of an object, 20 at most. Ten-minute buckets give the range join an equal key."""
+    """Clips within ten minutes of an object, 20 at most, by running counts along ten-minute buckets."""
     start = F.lit(1_704_067_200_000_000)
-    objects = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_id"), (start + F.col("o_orderkey") * 97 % 2_592_000 * 1_000_000).alias("at_us"))
-    wide = 10 * times.MINUTE
-    asked = objects.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("at_us") / wide) + d)))
-    rows = clips(spark, sf_dir).select("us", F.floor(F.col("us") / wide).alias("bucket"))
-    near = asked.join(rows, "bucket").filter(F.abs(F.col("us") - F.col("at_us")) <= wide)
-    return near.groupBy("object_id").agg(F.least(F.count("*"), F.lit(20)).cast("int").alias("n_near"))
+    objects = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_id"), (start + F.col("o_orderkey") * 97 % 2_592_000 * 1_000_000).alias("us"))
+    near = features.near_counts(objects, clips(spark, sf_dir).select("us"), "us", 10 * times.MINUTE)
+    return near.groupBy("object_id").agg(F.least(F.sum("n_near"), F.lit(20)).cast("int").alias("n_near"))
 
 
 @query(f"""WITH {CLIPS}, r AS (SELECT o_orderkey AS run_id, o_orderkey % 10 AS camera_id, epoch_us(TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 97 % 2592000)) AS run_us FROM orders)

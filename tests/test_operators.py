@@ -263,3 +263,18 @@ def test_entry_imports_without_the_corpus_part(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'event_groups' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_near_counts_join_nothing(spark):
+    """Rows up to the bound on both sides count, in the buckets around; missing times and objects without rows are left out."""
+    import random
+
+    from cliploom.operators import features
+
+    rng = random.Random(5)
+    times = [rng.randrange(0, 400) for _ in range(120)] + [None, 100, 100, 110, 90]
+    asked = [(i, t) for i, t in enumerate([0, 90, 99, 100, 101, 110, 5000, None, *[rng.randrange(-30, 450) for _ in range(60)]])]
+    near = features.near_counts(spark.createDataFrame(asked, "id long, us long"), spark.createDataFrame([(t,) for t in times], "us long"), "us", 10)
+    counts = {i: sum(t is not None and abs(t - at) <= 10 for t in times) for i, at in asked if at is not None}
+    assert {r.id: r.n_near for r in near.collect()} == {i: n for i, n in counts.items() if n}
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
