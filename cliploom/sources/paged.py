@@ -10,6 +10,8 @@ shipped. A client has, by mode:
     offset  count() -> n;                           at(offset, limit) -> rows in one fixed order
     token   prefixes() -> list;                     listed(prefix, token, limit) -> (rows, next token or None)
 
+A client by offset may also have begin(start, stop), which is told the slice before its pages are asked for.
+
 Rows are dicts. Each range of keys, slice of offsets or prefix is a task of its own, so a lost task asks again for its part
 only. What an answer must hold is checked: no page above its limit, keys that grow, no page that is lost in the middle, no token
 and no key that comes twice. As a stream (mode key), the last key that was read is the offset, so a query goes on after it
@@ -73,6 +75,8 @@ def keyed_pages(client: Any, key: str, low: Any, high: Any, first: bool, page: i
 def sliced_pages(client: Any, start: int, stop: int, page: int) -> Iterator[dict]:
     """Rows start to stop of a fixed order; a short page before the end is a lost one."""
     at = start
+    if at < stop and hasattr(client, "begin"):
+        client.begin(start, stop)
     while at < stop:
         asked = min(page, stop - at)
         rows = client.at(at, asked)
@@ -188,15 +192,24 @@ class PagedSource(DataSource):
 
 class SqlPages:
     """Pages of a table through any DB-API module with ? parameters. Options: driver (module), database, table (a name or any
-    table expression), columns, key."""
+    table expression), columns, key.
+
+    Pages by offset that follow each other are read on from one open cursor: a slice is put in order once, whatever the number of
+    its pages. Rows of one key are in order of their other columns, so every slice is cut from the same order."""
 
     def __init__(self, options: dict[str, str]):
         self.key, self.columns, self.table = options["key"], options["columns"], options["table"]
         self.open = importlib.import_module(options["driver"]).connect(options.get("database", ":memory:"))
         self.names = [c.strip() for c in self.columns.split(",")]
+        self.order = ", ".join(dict.fromkeys([self.key, *self.names]))
+        self.going: Any = None  # the open cursor, and the offset of its next row
+        self.next = 0
+
+    def _dicts(self, rows: list[tuple]) -> list[dict]:
+        return [dict(zip(self.names, r, strict=True)) for r in rows]
 
     def _rows(self, tail: str, *values: Any) -> list[dict]:
-        return [dict(zip(self.names, r, strict=True)) for r in self.open.execute(f"SELECT {self.columns} FROM {self.table} {tail}", values).fetchall()]
+        return self._dicts(self.open.execute(f"SELECT {self.columns} FROM {self.table} {tail}", values).fetchall())
 
     def bounds(self) -> tuple[Any, Any] | None:
         low, high = self.open.execute(f"SELECT min({self.key}), max({self.key}) FROM {self.table}").fetchone()
@@ -208,5 +221,13 @@ class SqlPages:
     def after(self, key: Any, upto: Any, limit: int, first: bool) -> list[dict]:
         return self._rows(f"WHERE {self.key} {'>=' if first else '>'} ? AND {self.key} <= ? ORDER BY {self.key} LIMIT ?", key, upto, limit)
 
+    def begin(self, start: int, stop: int) -> None:
+        self.going, self.next = self.open.cursor(), start
+        self.going.execute(f"SELECT {self.columns} FROM {self.table} ORDER BY {self.order} LIMIT ? OFFSET ?", (stop - start, start))
+
     def at(self, offset: int, limit: int) -> list[dict]:
-        return self._rows(f"ORDER BY {self.key} LIMIT ? OFFSET ?", limit, offset)
+        if self.going is None or offset != self.next:
+            return self._rows(f"ORDER BY {self.order} LIMIT ? OFFSET ?", limit, offset)
+        rows = self._dicts(self.going.fetchmany(limit))
+        self.next += len(rows)
+        return rows

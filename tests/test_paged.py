@@ -62,3 +62,19 @@ def test_a_database(paged, tmp_path):
     for mode in ("key", "offset"):
         df = paged("id long, name string", client="cliploom.sources.paged:SqlPages", driver="sqlite3", database=tmp_path / "t.db", table="clips", columns="id, name", key="id", mode=mode, page=3, parts=4).load()
         assert sorted(map(tuple, df.collect())) == [(i * i, f"c{i}") for i in range(40)]
+
+
+def test_a_slice_is_put_in_order_once(tmp_path, monkeypatch):
+    """Pages of a slice come from one cursor, and slices are cut from one order where keys repeat."""
+    from cliploom.sources.paged import SqlPages, sliced_pages
+
+    with sqlite3.connect(tmp_path / "t.db") as db:
+        db.execute("CREATE TABLE t (k INTEGER, v INTEGER)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(i // 7, (i * 37) % 101) for i in range(101)])
+    options = {"driver": "sqlite3", "database": str(tmp_path / "t.db"), "table": "t", "columns": "k, v", "key": "k"}
+    want = sorted((i // 7, (i * 37) % 101) for i in range(101))
+    client = SqlPages(options)
+    assert [tuple(r.values()) for r in client.at(40, 9)] == want[40:49]
+    monkeypatch.setattr(SqlPages, "_rows", lambda *a: (_ for _ in ()).throw(AssertionError("a page of its own")))
+    got = [tuple(r.values()) for a, b in ((0, 30), (30, 77), (77, 101)) for r in sliced_pages(SqlPages(options), a, b, 4)]
+    assert got == want
