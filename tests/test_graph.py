@@ -72,3 +72,25 @@ def test_event_summary(spark):
     assert (one.n_events, one.reduction, one.most_pairs, one.branching) == (None, None, 3, True)
     none = graph.event_summary(spark.createDataFrame([], "left_clip long, right_clip long, same boolean")).first()
     assert tuple(none) == (0, 0, None, 0, False)
+
+
+def test_paths_in_order_are_joined_where_they_lie(spark):
+    """Two rounds find that nothing is left to do; a path over several partitions takes few more."""
+    rounds = []
+    edges = spark.range(0, 20_000, 1, 4).filter("id % 5 <> 4").selectExpr("id AS a", "id + 1 AS b")
+    got = told(graph.components(edges, rounds))
+    assert got == {n: n - n % 5 for n in range(20_000)} and len(rounds) <= 3
+    rounds = []
+    assert set(told(graph.components(spark.range(0, 20_000, 1, 4).selectExpr("id + 1 AS a", "id AS b"), rounds)).values()) == {0} and len(rounds) <= 4
+
+
+def test_blocks_of_a_partition(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(9)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    a, b = (np.array(side, np.int64) for side in zip(*pairs, strict=True))
+    u, v = graph._stars(a, b)
+    want = {n: c for n, c in brute(pairs).items() if n != c}
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == want
+    assert len(graph._stars(a[:0], b[:0])[0]) == 0
